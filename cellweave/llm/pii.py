@@ -85,11 +85,12 @@ def _valid(kind: str, hit: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """The base spans of a text, by start, then kind."""
-    every = []
-    for k, kind in enumerate(KINDS[:4]):
-        held = F.filter(matches(text, PATTERNS[kind]), lambda m, kind=kind: _valid(kind, m["hit"]))
-        spans = F.transform(held, lambda m, k=k: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), (m["start"] + F.char_length(m["hit"])).alias("end")))
-        every.append(F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(SPAN)))
+    def of(k: int, kind: str) -> Column:
+        held = F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["hit"]))
+        spans = F.transform(held, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), (m["start"] + F.char_length(m["hit"])).alias("end")))
+        return F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(SPAN))
+
+    every = [of(k, kind) for k, kind in enumerate(KINDS[:4])]
     return F.array_sort(F.concat(*every))
 
 
@@ -184,3 +185,8 @@ def sanitised() -> Column:
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     done = F.aggregate(F.array_sort(F.concat(base, extra)), zero, step)
     return F.when(F.size("base") + F.size("extra") == 0, text).otherwise(F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.char_length(text))))
+
+
+def count_of(kind: str) -> Column:
+    """How many base spans are of a kind."""
+    return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
