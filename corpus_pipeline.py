@@ -31,10 +31,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and revealing terms are replaced in the texts; n_chars follows."""
-    found = pii.find(docs).withColumn("text", pii.sanitised())
+    found = pii.sanitise(docs)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return found
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
