@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def safe_div(a: Column, b: Column, default: float | None = 0.0) -> Column:
@@ -36,7 +37,7 @@ def entropy_term(count: Column, total: Column) -> Column:
     return F.when(count > 0, -p * F.log2(p)).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal."""
     return pd.Series(np.asarray([math.nan if v is None or math.isnan(v) else 0.5 * math.erfc(v / math.sqrt(2)) for v in z], float))

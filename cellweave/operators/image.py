@@ -156,7 +156,7 @@ AXES_UP = [a.upper() for a in AXES]
 
 def summarize_images(patches: DataFrame, links: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """As patches.summarize; the group of a scalar map's channel carries the channel in its name."""
-    scalar = patches.where(F.col("object").isNull()).groupBy("radius", "grp", "nbhd").agg(F.sum("area").alias("area"), F.sum(F.col("s")[0]).alias("v"))
+    scalar = patches.where(F.col("object").isNull()).groupBy("radius", "grp", "nbhd").agg(F.sum("area").alias("area"), F.sum(F.get("s", F.lit(0))).alias("v"))
     means = scalar.select("radius", "nbhd", F.col("grp").alias("var"), (F.col("v") / F.col("area")).alias("value"))
     return summarize(patches.where(F.col("object").isNotNull()), links).unionByName(means)
 

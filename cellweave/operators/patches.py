@@ -89,7 +89,8 @@ def random_census(patches: DataFrame, order: Column | str, links: Sequence[tuple
         block = float(extents.agg(F.greatest(F.max("total"), F.lit(1))).first()[0])
     cut = interval_join(line, ends.drop("total") if "total" in ends.columns else ends, [*keys, "grp"], ("ps", "pe"), ("ns", "ne"), block)
     share = F.col("overlap_end") - F.col("overlap_start")
-    pieces = cut.select(*keys, "grp", "nbhd", "patch_id", share.alias("area"), "object", F.transform("s", lambda v: v / F.col("area") * share).alias("s"))
+    cut = cut.withColumn("part", share / F.col("area")).withColumn("s", F.transform("s", lambda v: v * F.col("part")))
+    pieces = cut.select(*keys, "grp", "nbhd", "patch_id", share.alias("area"), "object", "s")
     return summarize(pieces, links, keys)
 
 

@@ -168,7 +168,7 @@ def load_object_image(spark: SparkSession, path: str, image: str = "O1", backgro
     names = {"black": "#000000", "white": "#FFFFFF", "B": "#000000", "W": "#FFFFFF"}
     level = lambda k: as_uint8(F.get("s", F.when(F.size("s") >= 3, F.lit(k)).otherwise(F.lit(0))), F.col("most").cast("double"))
     pixels = pages(spark, path).select("x", "y", F.col("page").cast("long").alias("z"), hex_color(level(0), level(1), level(2)).alias("color"))
-    ordered = pixels.withColumnsRenamed({"x": "y", "y": "x"})  # column-major: columns first
+    ordered = pixels.select(F.col("y").alias("x"), F.col("x").alias("y"), "z", "color")  # column-major: columns first
     palette = first_seen_palette(ordered, names.get(background, background) if background else None)
     voxels = pixels.join(F.broadcast(palette), "color").select(F.lit(image).alias("image"), "x", "y", "z", F.lit(1).alias("c"), F.col("label").cast("double").alias("value"))
     return voxels, [r["color"] for r in palette.orderBy("label").collect()]
