@@ -6,8 +6,8 @@ EDGE = [
     (2, None, "en"),
     (3, "   \n\t ", None),
     (4, LONG, "en"),
-    (5, "Mail jo.do@a-b.example.com or +1 (212) 555-0100, 10.0.0.255 4111 1111 1111 1111 end", "en"),
-    (5, "Mail jo.do@a-b.example.com or +1 (212) 555-0100, 10.0.0.255 4111 1111 1111 1111 end", "en"),
+    (5, "Mail jo.do@a-b.example.com or +1 (212) 555-0100, 10.0.0.255, 4111 1111 1111 1111 end", "en"),
+    (5, "Mail jo.do@a-b.example.com or +1 (212) 555-0100, 10.0.0.255, 4111 1111 1111 1111 end", "en"),
     (None, "no id here", "fr"),
     (7, "日本語 テキスト <|endoftext|> 😀 é́ ǅ", "de"),
     (8, "the quick brown fox jumps over the lazy dog. " * 3999 + "cat", "en"),

@@ -147,11 +147,29 @@ def test_near_duplicates_are_found_and_others_stay(spark):
         copies.append((2000 + k, " ".join(copy)))
     rows += copies + [(3000, rows[0][1]), (3001, None), (3002, ""), (1000, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as root", "1 as k1")
-    close = [k for k in range(60) if jaccard(rows[k][1], copies[k][1]) >= 0.85]
+    close = [k for k in range(60) if jaccard(rows[k][1], copies[k][1]) >= 0.8]
+    apart = [k for k in range(60) if jaccard(rows[k][1], copies[k][1]) < 0.8]
     kept = [r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()]
     assert sorted(i for i in kept if i < 2000) == list(range(1000, 1060))
     assert 3000 not in kept and sum(i in (3001, 3002) for i in kept) == 1
-    assert sum(2000 + k in kept for k in close) <= 0.03 * len(close) and len(close) > 30
+    assert sum(2000 + k in kept for k in close) <= 0.03 * len(close) and len(close) > 30 and all(2000 + k in kept for k in apart)
+
+
+def test_graded_edges_join_what_is_near():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, (40, 8), dtype=np.uint64)
+    fps = np.concatenate([base, base.copy(), base.copy()])
+    for k in range(40, 120):
+        for bit in rng.choice(512, 30 if k < 80 else 80, replace=False):
+            fps[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    edges = simhash.graded(fps, 50, 95)
+    apart = lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum())
+    assert all(apart(i, j) <= 50 if d == 0 else apart(i, j) == d and 50 < d <= 95 for i, j, d in edges)
+    sets = Sets()
+    for i, j, _ in edges:
+        sets.join(i, j)
+    assert all(sets.find(k) == sets.find(k + 40) == sets.find(k + 80) == k for k in range(40))
+    assert len({sets.find(k) for k in range(120)}) == 40
 
 
 def test_drop_near_duplicates_edges(edge, empty):
