@@ -82,6 +82,12 @@ def census_of_seeds(seeds: DataFrame, points: DataFrame, radius: float, scalars:
     return rows.select(F.lit(float(radius)).alias("radius"), F.lit("O1").alias("grp"), F.col("nbhd").cast("int").alias("nbhd"), F.col("object").alias("patch_id"), F.col("area").cast("long").alias("area"), "object", "s")
 
 
+def member_patches(seeds: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """Patch rows of area 1, one for each neighbourhood and point in it: what the null model shuffles."""
+    joined = ball_join(seeds.select("nbhd", *AXES), points, radius)
+    return joined.select(F.lit(float(radius)).alias("radius"), F.lit("O1").alias("grp"), F.col("nbhd").cast("int").alias("nbhd"), F.col("p_row_id").alias("patch_id"), F.lit(1).cast("long").alias("area"), F.col("p_object").alias("object"), F.col("p_s").alias("s"))
+
+
 def census_table(table: DataFrame, radii: float | Sequence[float], sample_size: int | Sequence[int] | None, links: Sequence[tuple[str, str]] = (), seed_objects: Sequence[int] | dict | None = None, *, sample_indices: Sequence | None = None, seeds: DataFrame | None = None, order: Sequence[str] | None = None, random_state: int | str = 0) -> CensusResult:
     """Census of an object table: percentages O1.<id> and linked means O1.<id>_S1.<c> around sampled cells.
 
@@ -116,7 +122,9 @@ def census_table(table: DataFrame, radii: float | Sequence[float], sample_size:
         names = natural_sort([r["var"] for r in long.select("var").distinct().collect()])
         one = to_wide(long.drop("radius"), place, ("nbhd",), names)
         one = one.select("nbhd", *(F.col(f"`{n}`") for n in names), "X", "Y", "Z", "Radius")
-        patches = rows if patches is None else patches.unionByName(rows)
+        # Lazy: only the null model reads the members one by one.
+        units = member_patches(own, points, radius)
+        patches = units if patches is None else patches.unionByName(units)
         longs = long if longs is None else longs.unionByName(long)
         wide = one if wide is None else wide.unionByName(one, allowMissingColumns=True)
         tagged = own.withColumn("radius", F.lit(radius))
@@ -210,4 +218,4 @@ def census_from_neighborhoods(rows: DataFrame, variables: Sequence[str], include
     return rows.select(*(F.coalesce(F.try_element_at("values", F.lit(v)), F.lit(0.0)).alias(v) for v in variables), *(place if include_coordinates else []), F.col("radius").alias("Radius"))
 
 
-__all__ = ["CensusResult", "census_coordinates", "census_from_neighborhoods", "census_of_seeds", "census_table", "create_neighborhoods", "eligible", "neighbourhoods", "object_points", "sites", "standardize", "summarize_neighbourhoods"]
+__all__ = ["CensusResult", "census_coordinates", "census_from_neighborhoods", "census_of_seeds", "census_table", "create_neighborhoods", "eligible", "member_patches", "neighbourhoods", "object_points", "sites", "standardize", "summarize_neighbourhoods"]

@@ -117,11 +117,34 @@ def permuted_nulls(census: DataFrame, names: Sequence[str], replicates: int, see
     return moved.groupBy("radius", "replicate", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("l")).select("radius", "replicate", F.transform("l", lambda s: s["value"]).alias("v"))
 
 
-def measure_cis_mi(census: DataFrame, depth: int, nulls: DataFrame | Sequence[DataFrame] | None = None, *, radii: Sequence[float] | None = None, bootstraps: int = 100, all_of: Sequence[str] | None = None, any_of: Sequence[str] | None = None, not_of: Sequence[str] | None = None, max_bins: int = 100, bins: int | None = None, random_state: int | str = 0, allow_permutation: bool = False) -> DataFrame:
+def patch_nulls(patches: DataFrame, names: Sequence[str], replicates: int, seed: int | str, links: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """(radius, replicate, v) of censuses whose patches were shuffled; replicates are keys of one plan."""
+    from cellweave.operators.patches import neighbourhoods, random_census
+    from cellweave.plans.random_plan import shuffle_key
+
+    keys = ["radius", "replicate"]
+    each = patches.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    order = shuffle_key(F.concat_ws("-", F.lit(str(seed)), F.col("replicate").cast("string")), F.col("patch_id"))
+    # Patch ids repeat between neighbourhoods: number them by all that tells them apart.
+    each = each.withColumn("patch_id", F.xxhash64("radius", "grp", "nbhd", "patch_id"))
+    long = random_census(each, order, links, keys)
+    values = long.groupBy(*keys, "nbhd").agg(F.map_from_entries(F.collect_list(F.struct("var", "value"))).alias("m"))
+    rows = neighbourhoods(each, keys).join(values, [*keys, "nbhd"], "left")
+    return rows.select(*keys, F.array(*(F.coalesce(F.try_element_at("m", F.lit(n)), F.lit(0.0)) for n in names)).alias("v"))
+
+
+def null_provenance(patches: bool, allow_permutation: bool) -> dict:
+    """Which null model a call uses; strict with patches, exploratory with permuted columns."""
+    if not patches and not allow_permutation:
+        raise ValueError("null censuses or patches are needed, or allow_permutation")
+    return {"patch_list_used": patches, "mode": "strict" if patches else "exploratory", "null_model": "patch_randomization" if patches else "within_column_permutation"}
+
+
+def measure_cis_mi(census: DataFrame, depth: int, nulls: DataFrame | Sequence[DataFrame] | None = None, *, patches: DataFrame | None = None, links: Sequence[tuple[str, str]] = (), radii: Sequence[float] | None = None, bootstraps: int = 100, all_of: Sequence[str] | None = None, any_of: Sequence[str] | None = None, not_of: Sequence[str] | None = None, max_bins: int = 100, bins: int | None = None, random_state: int | str = 0, allow_permutation: bool = False) -> DataFrame:
     """radius, VA.., CisMI, Zscore, Pvalue, Padjust of every variable set up to depth.
 
     nulls are reference censuses: wide ones, one a replicate, or rows (radius, replicate, v); without any,
-    columns are permuted if `allow_permutation`. CisMI is the observed information less the mean null;
+    `patches` are shuffled, or else columns are permuted if `allow_permutation`. CisMI is the observed information less the mean null;
     Z is in sample deviations of the nulls, deviations within 10 machine epsilons of 0 being none.
     """
     names = chosen_variables(census.columns, depth, all_of, any_of, not_of)
@@ -136,9 +159,8 @@ def measure_cis_mi(census: DataFrame, depth: int, nulls: DataFrame | Sequence[Da
             raise ValueError("census has no rows at the requested radii")
         bins = bins_for(least, depth, max_bins)
     if nulls is None:
-        if not allow_permutation:
-            raise ValueError("null censuses are needed, or allow_permutation")
-        nulls = permuted_nulls(census, names, bootstraps, random_state)
+        null_provenance(patches is not None, allow_permutation)
+        nulls = patch_nulls(patches, names, bootstraps, random_state, links) if patches is not None else permuted_nulls(census, names, bootstraps, random_state)
     elif not isinstance(nulls, DataFrame):
         every = [census_rows(df, names, k + 1) for k, df in enumerate(nulls)]
         nulls = every[0]

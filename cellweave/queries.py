@@ -384,6 +384,15 @@ def cismi_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("VB IS NOT NULL").select("VA", "VB", r6(F.col("CisMI")).alias("CisMI"), (F.round("Zscore", 3) + 0.0).alias("Zscore"))
 
 
+@query()
+def cismi_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cisMI of the cells' census against censuses of shuffled patches."""
+    own = seeds(spark, sf_dir)
+    cells = random_plan.with_row_id(_table(spark, sf_dir).drop("row_id"), "X", "Y", "Z", "Object", "price")
+    got = census.census_table(cells, 2.0, None, seeds=own)
+    return mi.measure_cis_mi(got.census, 2, patches=got.patches, bootstraps=5, max_bins=5)
+
+
 @query()
 def cismi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = random_plan.with_row_id(read(spark, sf_dir, "orders").where("o_orderkey % 20 = 0"), "o_orderkey")
@@ -593,10 +602,12 @@ def spatial_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.fdr_correction(rows)[0].select("row_id", "corrected", "rejected")
 
 
-@query()
+@query(f"""WITH {LAT}, s AS (SELECT unnest(range(20)) AS step), a AS (SELECT step, v, row_number() OVER (PARTITION BY step ORDER BY md5('3-' || step || '|' || i), i) AS r FROM p, s)
+SELECT step::INTEGER AS step, round(sum(a.v * p.x), 2) AS value FROM a JOIN p ON p.i + 1 = a.r GROUP BY step""")
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lattice(spark, sf_dir)
-    return spatial.permutation_test(rows, lambda v, xy: float((v * xy[:, 0]).sum()), permutations=20, seed=3)[1]
+    null = spatial.permutation_test(rows, lambda v, xy: float((v * xy[:, 0]).sum()), permutations=20, seed=3)[1]
+    return null.select("step", F.round("value", 2).alias("value"))
 
 
 LAT3 = "p AS (SELECT row_number() OVER (ORDER BY x, y, z) - 1 AS i, * FROM (SELECT DISTINCT l_quantity AS x, round_even(100 * l_discount, 0) AS y, round_even(100 * l_tax, 0) AS z FROM lineitem WHERE l_quantity <= 6 AND l_orderkey % 3 = 0))"
@@ -655,7 +666,11 @@ def learn_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.learn_pattern(rows, ["O1.1", "S1.1"], 1.0, rounds=3, smooth_window=10, reference=rows)[0]
 
 
-@query()
+@query(f"""WITH {VOX}, k AS (SELECT x, y, z, x * 2 AS a, y * 4 AS b FROM vo WHERE (x + y + z) % 19 = 0), n AS (SELECT unnest([0, 1, 2]) AS k, unnest([0, 50, 100]) AS a, unnest([0, 20, 40]) AS b, unnest([1, 3, 2]) AS region),
+ d AS (SELECT k.x, k.y, k.z, arg_min(region, (sqrt((k.a - n.a)^2 + (k.b - n.b)^2), n.k)) AS region, min(sqrt((k.a - n.a)^2 + (k.b - n.b)^2)) AS d FROM k, n GROUP BY ALL),
+ e AS (SELECT x, y, z, region, 1 - d / (SELECT max(d) FROM d) - 0.0001 AS w FROM d), s AS (SELECT p.x, p.y, p.z, region, sum(w) AS score FROM e JOIN vo p ON ((p.x - e.x) / 2)^2 + ((p.y - e.y) / 2)^2 + ((p.z - e.z) / 2)^2 <= 1 GROUP BY ALL),
+ b AS (SELECT x, y, z, arg_max(region, (score, -region)) AS region, max(score) AS score FROM s GROUP BY ALL)
+SELECT vo.x::BIGINT AS x, vo.y::BIGINT AS y, vo.z::BIGINT AS z, (CASE WHEN score >= 0.000001 THEN region ELSE 0 END)::INTEGER AS label FROM vo LEFT JOIN b ON vo.x = b.x AND vo.y = b.y AND vo.z = b.z""")
 def map_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = spark.createDataFrame([(x, y, v) for v, top in (("O1.1", 100.0), ("O1.2", 40.0)) for x, y in ((0.0, 0.0), (50.0, top / 2), (100.0, top))], "X double, Y double, V string")
     v = voxels(spark, sf_dir)
@@ -699,7 +714,8 @@ def network_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return networks.analyze(networks.build(_distances(spark, sf_dir)), ["degree", "betweenness", "closeness", "pagerank"])["centrality"]
 
 
-@query()
+@query(f"""WITH RECURSIVE {LAT3}, e AS (SELECT a.i, b.i AS j FROM p a JOIN p b ON abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1), r(a, b) AS (SELECT i, i FROM p UNION SELECT r.a, e.j FROM r JOIN e ON r.b = e.i)
+SELECT a AS id, min(b) AS component FROM r GROUP BY a""")
 def network_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lattice3(spark, sf_dir)
     edges = spatial.connectivity_edges(rows, 6, 1.0).where("i < j").select("i", "j")
@@ -720,9 +736,45 @@ def mi_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viewdata.mi_rank(cismi_table(spark, sf_dir), 1.0)[1]
 
 
-@query()
+@query("""WITH r AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_tax) AS c, max(l_tax) AS d FROM lineitem),
+ g AS (SELECT i, j FROM (SELECT unnest(range(4)) AS i) JOIN (SELECT unnest(range(4)) AS j) ON true),
+ o AS (SELECT greatest(least(round_even((l_quantity - a) * 3 / (b - a), 0), 3), 0)::INTEGER AS i, greatest(least(round_even((l_tax - c) * 3 / (d - c), 0), 3), 0)::INTEGER AS j, count(*)::DOUBLE AS f FROM lineitem, r GROUP BY ALL)
+SELECT (g.i + 4 * g.j)::BIGINT AS pos, round(f / sum(f) OVER (), 8) AS freq FROM g JOIN o ON g.i = o.i AND g.j = o.j""")
 def plot_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return viewdata.distribution(_line_census(spark, sf_dir), ["S1.1", "S1.2"], 1.0, 4)
+    got = viewdata.distribution(_line_census(spark, sf_dir), ["S1.1", "S1.2"], 1.0, 4)
+    return got.where("freq > 0").select("pos", F.round("freq", 8).alias("freq"))
+
+
+@query(f"""WITH {VOX} SELECT x::BIGINT AS x, y::BIGINT AS y, (CASE label WHEN 1 THEN 255 WHEN 2 THEN 0 ELSE 16 END)::INTEGER AS r, (CASE label WHEN 2 THEN 128 ELSE 0 END)::INTEGER AS g, (CASE label WHEN 3 THEN 32 ELSE 0 END)::INTEGER AS b
+FROM vo WHERE z = 3 AND label IN (1, 3)""")
+def object_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = voxels(spark, sf_dir).where("image = 'O1'")
+    return viewdata.object_pixels(rows, ["#FF0000", "#008000", "#100020"], 3, [1, 3]).select("x", "y", "r", "g", "b")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS nbhd, (s_suppkey % 50 + 1)::DOUBLE AS x, (s_nationkey % 11)::DOUBLE AS y, (s_suppkey % 9)::DOUBLE AS z FROM supplier),
+ """ + SITES + """, m AS (SELECT nbhd, object, sum(area) AS a FROM s JOIN sites p ON (s.x - p.x)^2 + (s.y - p.y)^2 + (s.z - p.z)^2 <= 1 GROUP BY ALL)
+SELECT nbhd, round(100.0 * coalesce(max(a) FILTER (object = 1), 0) / sum(a), 6) + 0.0 AS "O1.1", round(100.0 * coalesce(max(a) FILTER (object = 2), 0) / sum(a), 6) + 0.0 AS "O1.2" FROM m GROUP BY nbhd""")
+def stream_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers arrive as a stream of seeds against the static cells; the written batches are read back."""
+    import uuid
+
+    from cellweave.streaming.census_stream import census_stream as start
+
+    known = read(spark, sf_dir, "supplier").schema
+    arriving = spark.readStream.schema(known).option("pathGlobFilter", "supplier.parquet").parquet(sf_dir)
+    arriving = arriving.select(F.col("s_suppkey").alias("nbhd"), (F.col("s_suppkey") % 50 + 1).cast("double").alias("x"), (F.col("s_nationkey") % 11).cast("double").alias("y"), (F.col("s_suppkey") % 9).cast("double").alias("z"))
+    top = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/cellweave-checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    start(arriving, points(spark, sf_dir), 1.0, [1, 2], ["nbhd"], f"{top}/out", f"{top}/state").awaitTermination()
+    return spark.read.parquet(f"{top}/out").select("nbhd", *(r6(col(f"O1.{k}")).alias(f"O1.{k}") for k in (1, 2)))
+
+
+@query("""SELECT 'table' AS type, (SELECT count(*) FROM part) AS n, true AS valid""")
+def validate_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cellweave.sources.validate import validate
+
+    report = validate(read(spark, sf_dir, "part").select(F.col("p_size").alias("x"), F.col("p_retailprice").alias("y")))
+    return spark.createDataFrame([(report["type"], report["rows"], report["valid"])], "type string, n long, valid boolean")
 
 
 @query("""SELECT round(avg("O1.1"), 6) AS a, round(avg("S1.1"), 6) AS b, count(*) AS n, "Radius" FROM (SELECT (i % 20) * 100 / 19.0 AS "O1.1", 5 - (i % 20) * 100 / 19.0 / 20 AS "S1.1", CASE WHEN i < 20 THEN 10.0::DOUBLE ELSE 20.0::DOUBLE END AS "Radius" FROM (SELECT unnest(range(40)) AS i)) GROUP BY "Radius" """)

@@ -22,6 +22,7 @@ def test_one_seed_of_an_allowed_object(spark):
     got = census.census_table(table, 1.1, 1, seed_objects=[9], sample_indices=[0])
     assert got.census.columns == ["O1.1", "O1.9", "X", "Y", "Z", "Radius"]
     assert rows(got.census, *got.census.columns) == [(50.0, 50.0, 0.0, 0.0, 0.0, 1.1)]
+    assert sorted(rows(got.patches, "nbhd", "area", "object")) == [(1, 1, 1), (1, 1, 9)]
     assert got.metadata["radius_keys"] == ["1.1"] and got.summary()["mean"] == 2
 
 

@@ -54,6 +54,16 @@ def test_constant_census_has_no_information(spark):
     assert [(r["VA"], r["VB"], r["CisMI"], r["Zscore"], r["Pvalue"], r["Padjust"]) for r in got] == [("O1.1", None, 0, 0, 1, 1), ("O2.1", None, 0, 0, 1, 1), ("O1.1", "O2.1", 0, 0, 1, 1)]
 
 
+def test_cis_mi_of_patches(spark):
+    from cellweave.operators import patches
+
+    rows = [(1.1, g, n, 0, 1, 1, []) for g in ("O1", "O2") for n in range(1, 41)]
+    df = spark.createDataFrame([(100.0, 100.0, 1.1)] * 40, "`O1.1` double, `O2.1` double, Radius double")
+    got = mi.measure_cis_mi(df, 2, patches=spark.createDataFrame(rows, patches.PATCH), bootstraps=2, max_bins=5)
+    assert [(r["CisMI"], r["Zscore"], r["Pvalue"]) for r in got.collect()] == [(0, 0, 1)] * 3
+    assert mi.null_provenance(True, False)["mode"] == "strict"
+
+
 def test_cis_mi_against_counts(spark):
     rng = np.random.default_rng(3)
     a = rng.integers(0, 4, 400).astype(float)
