@@ -140,10 +140,8 @@ def revealing(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float =
     both = both.join(weight, "text_key").groupBy("entity", "term").agg(F.sum("docs").alias("n_te"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
     terms = pairs.select("term").distinct()
-    if n_pairs <= BROADCAST_ROWS:
-        term = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    else:
-        term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+    # Every word is counted before the join: what meets the sought terms is one row a word, not one a use.
+    term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
     n = F.lit(float(docs.count()))
     ratio = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log2(n / F.col("n_e")), F.lit(1e-9))
     known = both.join(entity, "entity").join(term, "term").withColumn("ratio", ratio).where((F.col("ratio") >= generalise_at) & (F.col("n_e") < n))
