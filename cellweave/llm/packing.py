@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import slices, write_table
+from cellweave.llm.common import checkpoint, slices, write_table
 from cellweave.llm.pretoken import table
 
 TOKENS = "doc_id long, part int, before long, n long, ids binary"
@@ -49,10 +49,19 @@ def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, TOKENS)
 
 
-def offsets_of(parts: DataFrame) -> DataFrame:
-    """part -> ids in all earlier parts; parts has one row per task, so the window is small."""
+#: Tasks up to which their offsets (two longs each) are broadcast; beyond, the join shuffles.
+BROADCAST_PARTS = 100_000
+
+
+def with_offsets(tokens: DataFrame, size: str) -> DataFrame:
+    """tokens (part, ...) with part_offset, the sum of `size` over all earlier parts.
+
+    Totals have one row per task that wrote tokens, so the window over them is small.
+    """
+    totals = checkpoint(tokens.groupBy("part").agg(F.sum(size).alias("total")))
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select("part", F.coalesce(F.sum("total").over(running), F.lit(0)).alias("part_start"))
+    offsets = totals.select("part", F.coalesce(F.sum("total").over(running), F.lit(0)).alias("part_offset"))
+    return tokens.join(F.broadcast(offsets) if totals.count() <= BROADCAST_PARTS else offsets, "part")
 
 
 def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> DataFrame:
@@ -61,8 +70,7 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> Dat
     ids holds the piece's ids as little-endian unsigned 32-bit integers.
     """
     tokens = write_table(tokenize(docs, path, end_id), "tokens", compression="zstd")
-    offsets = offsets_of(tokens.groupBy("part").agg(F.sum("n").alias("total")))
-    placed = tokens.join(offsets, "part").withColumn("g", F.col("part_start") + F.col("before"))
+    placed = with_offsets(tokens, "n").withColumn("g", F.col("part_offset") + F.col("before"))
     w = F.lit(window).cast("long")
 
     def piece(sequence: F.Column) -> F.Column:

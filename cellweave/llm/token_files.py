@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import slices, write_table
-from cellweave.llm.packing import offsets_of
+from cellweave.llm.packing import with_offsets
 from cellweave.llm.pretoken import table
 
 FILES = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -65,9 +65,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, partitions: i
     return write_table(ordered_ids(docs, path, end_id, partitions), "token_files", **WRITER)
 
 
-def starts(files: DataFrame) -> DataFrame:
-    """part -> ids in earlier files, from the metadata columns alone."""
-    return offsets_of(files.groupBy("part").agg(F.sum("n_tokens").alias("total")))
+def with_starts(files: DataFrame) -> DataFrame:
+    """files with start, the ids of all documents before each; the totals come from the metadata columns alone."""
+    return with_offsets(files, "n_tokens").withColumn("start", F.col("part_offset") + F.col("part_start"))
 
 
 def read_digests(files: DataFrame) -> DataFrame:
@@ -81,6 +81,5 @@ def read_digests(files: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)] if len(ends) else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = files.withColumnRenamed("part_start", "before").join(starts(files), "part")
-    placed = placed.select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "n_tokens", "ids")
+    placed = with_starts(files).select("doc_id", "start", "n_tokens", "ids")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
