@@ -47,6 +47,9 @@ def parser() -> argparse.ArgumentParser:
     three.add_argument("--type", choices=["rank", "radius", "distribution", "covariation"], default="rank")
     three.add_argument("--variables", default="")
     three.add_argument("--radius", type=float)
+    three.add_argument("--p", type=float, default=0.05)
+    three.add_argument("--mi", type=float)
+    three.add_argument("--bins", type=int)
     four = commands.add_parser("convert", help="a table from one format to another")
     four.add_argument("input")
     four.add_argument("output")
@@ -73,11 +76,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         elif args.command == "analyze":
             out = patterns.learn_pattern(data, wanted, args.radius, random_state=args.seed)[0]
         elif args.type == "rank":
-            out = viewdata.mi_rank(data, args.radius)[1]
+            out = viewdata.mi_rank(data, args.radius, p_threshold=args.p, mi_threshold=args.mi)[1]
         elif args.type == "radius":
             out = viewdata.mi_by_radius(data, wanted)
         elif args.type == "distribution":
-            out = viewdata.distribution(data, wanted, args.radius)
+            out = viewdata.distribution(data, wanted, args.radius, args.bins)
         else:
             out = data.select("V", "X", "Y", "Ymin", "Ymax")
     write_table(out, args.output)

@@ -6,6 +6,8 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
+
 
 def three(value: Sequence[float]) -> tuple[float, float, float]:
     if len(value) != 3 or any(not math.isfinite(v) for v in value):
@@ -13,20 +15,32 @@ def three(value: Sequence[float]) -> tuple[float, float, float]:
     return tuple(float(v) for v in value)  # type: ignore[return-value]
 
 
+def _inside(radii: Sequence[float], axes: Sequence[np.ndarray]) -> np.ndarray:
+    """Which sites of the axes' lattice lie in the closed ellipsoid."""
+    x, y, z = ((a / r) ** 2 for a, r in zip(axes, radii, strict=True))
+    return np.sqrt(x[:, None, None] + y[None, :, None] + z[None, None, :]) <= 1
+
+
 def ellipsoid_offsets(radii: Sequence[float]) -> list[tuple[int, int, int]]:
     """Lattice offsets inside the closed ellipsoid, in row-major order. Their number depends on the radii alone."""
     r = three(radii)
     if min(r) <= 0:
         raise ValueError("radii must be positive")
-    spans = [range(-math.floor(v), math.floor(v) + 1) for v in r]
-    return [o for o in itertools.product(*spans) if sum((d / v) ** 2 for d, v in zip(o, r, strict=True)) <= 1]
+    reach = [math.floor(v) for v in r]
+    at = np.argwhere(_inside(r, [np.arange(-k, k + 1) for k in reach])) - reach
+    return [tuple(o) for o in at.tolist()]
 
 
 def ellipsoid_volume(lengths: Sequence[float], dims: Sequence[float]) -> int:
-    """Lattice sites of an ellipsoid with the given semi-axes, centred in a block of `dims` sites."""
+    """Lattice sites of an ellipsoid of the given semi-axes in a block of `dims` sites.
+
+    An axis has the diameter 2 r + 1, or the block's side if that is less, with the odd site at its end.
+    """
     r, size = three(lengths), three(dims)
-    reach = [min(math.floor(v), int(d) - 1) for v, d in zip(r, size, strict=True)]
-    return sum(1 for o in itertools.product(*(range(-k, k + 1) for k in reach)) if sum((d / v) ** 2 for d, v in zip(o, r, strict=True)) <= 1)
+    if min(*r, *size) <= 0:
+        raise ValueError("radii and dimensions must be positive")
+    spans = [min(2 * v + 1, d) - 1 for v, d in zip(r, size, strict=True)]
+    return int(np.count_nonzero(_inside(r, [np.arange(-math.floor(s / 2), math.ceil(s / 2) + 1) for s in spans])))
 
 
 def ellipsoid_volumes(lengths: Sequence[Sequence[float]], dims: Sequence[float]) -> list[int]:
@@ -60,8 +74,8 @@ def suggest_radii(target: float | Sequence[float], resolution: Sequence[float])
     if min(res) <= 0:
         raise ValueError("resolutions must be positive")
     targets = [target] if isinstance(target, (int, float)) else list(target)
-    if any(t <= 0 for t in targets):
-        raise ValueError("target radii must be positive")
+    if any(t < 0 or not math.isfinite(t) for t in targets):
+        raise ValueError("target radii must be finite and non-negative")
     return [[max(1, round(t / r)) for r in res] for t in targets]
 
 

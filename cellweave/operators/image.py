@@ -6,6 +6,7 @@ leave background (0) out, scalar maps (S<n>) hold whole numbers from 0 to 255.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -163,8 +164,10 @@ def summarize_images(patches: DataFrame, links: Sequence[tuple[str, str]] = ())
 
 def suggest_number(voxels: DataFrame, coverage: float, semi_axes: Sequence[Sequence[float]], dims: Sequence[int], links: Sequence[tuple[str, str]] = ()) -> list[int]:
     """Seeds that cover the foreground `coverage` times at each radius: ceil(coverage * foreground / ellipsoid volume)."""
-    if coverage <= 0:
-        raise ValueError("coverage must be positive")
+    if not 0 < coverage < float("inf") or not semi_axes:
+        raise ValueError("coverage must be a finite positive number, and radii are needed")
+    if coverage > 5:
+        warnings.warn("Coverage exceeding 5x will yield invalid inference due to pseudo-replication", RuntimeWarning, stacklevel=2)
     seen = voxels.where((F.col("value") != 0) & ~F.col("image").isin(linked_scalars(links))).select(*AXES).distinct().count()
     return [-int(-(coverage * seen) // ellipsoid_volume(s, dims)) for s in semi_axes]
 

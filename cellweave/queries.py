@@ -260,12 +260,21 @@ def patch_components_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patches.patch_sizes(voxels(spark, sf_dir).where("image = 'O1' AND value = 1").select("x", "y", "z"))
 
 
-@query("SELECT unnest([1, 2, 3])::INTEGER AS k, unnest([7, 15, 123])::BIGINT AS volume")
+@query("""WITH r AS (SELECT unnest([1, 2, 3]) AS k, unnest([1.0, 2.0, 3.0])::DOUBLE AS a, unnest([1.0, 1.0, 3.0])::DOUBLE AS c)
+SELECT k::INTEGER AS k, count(*) AS volume FROM r JOIN (SELECT unnest(range(-3, 4)) AS x) ON true JOIN (SELECT unnest(range(-3, 4)) AS y) ON true JOIN (SELECT unnest(range(-2, 3)) AS z) ON true
+WHERE sqrt((x / a)^2 + (y / a)^2 + (z / c)^2) <= 1 GROUP BY k""")
 def ellipsoid_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = volumes.ellipsoid_volumes([[1, 1, 1], [2, 2, 1], [3, 3, 3]], [20, 20, 5])
     return spark.createDataFrame(list(enumerate(found, 1)), "k int, volume long")
 
 
+@query("""SELECT i, count(*) AS volume FROM (SELECT unnest(range(200)) AS i) JOIN (SELECT unnest(range(-12, 13)) AS x) ON true JOIN (SELECT unnest(range(-12, 13)) AS y) ON true JOIN (SELECT unnest(range(-4, 5)) AS z) ON true
+WHERE sqrt((x / (1 + i % 12)::DOUBLE)^2 + (y / (1 + 3 * i % 12)::DOUBLE)^2 + (z / (1 + i % 4)::DOUBLE)^2) <= 1 GROUP BY i""")
+def volumes_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = volumes.ellipsoid_volumes([[1 + i % 12, 1 + 3 * i % 12, 1 + i % 4] for i in range(200)], [100, 100, 20])
+    return spark.createDataFrame(list(enumerate(found)), "i long, volume long")
+
+
 @query("""WITH v AS (SELECT count(*) AS n FROM (SELECT DISTINCT l_quantity, round_even(100 * l_discount, 0), round_even(100 * l_tax, 0) FROM lineitem))
 SELECT ceil(2.0 * n / 7)::BIGINT AS r1, ceil(2.0 * n / 33)::BIGINT AS r2 FROM v""")
 def suggest_number(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -727,13 +736,13 @@ def network_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT n_regionkey AS "Object", avg(c_acctbal) AS a, count(*)::DOUBLE AS b FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey), l AS (SELECT "Object", 'S1' AS component, a AS v FROM p UNION ALL SELECT "Object", 'S2', b FROM p)
 SELECT "Object", component, round(coalesce((v - min(v) OVER (PARTITION BY component)) / nullif(max(v) OVER (PARTITION BY component) - min(v) OVER (PARTITION BY component), 0), 0), 6) AS value FROM l""")
 def profile_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("Object")).agg(F.avg("c_acctbal").alias("S1"), F.count("*").cast("double").alias("S2"))
-    return viewdata.normalize_profiles(rows, "W", "U").withColumn("value", F.round("value", 6))
+    rows = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("Object")).agg(F.avg("c_acctbal").alias("S1"), F.count("*").cast("double").alias("S2"), F.lit(1).alias("Count"))
+    return viewdata.normalize_profiles(rows, "A", "U").withColumn("value", F.round("value", 6))
 
 
 @query()
 def mi_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return viewdata.mi_rank(cismi_table(spark, sf_dir), 1.0)[1]
+    return viewdata.mi_rank(cismi_table(spark, sf_dir), 1.0, p_threshold=1.0, mi_threshold=0.0)[1]
 
 
 @query("""WITH r AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_tax) AS c, max(l_tax) AS d FROM lineitem),

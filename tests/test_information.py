@@ -131,6 +131,8 @@ def test_merging(spark):
     profile = spark.createDataFrame([(1, 10, 1.0, 5.0), (2, 30, 3.0, 1.0), (3, 20, 9.0, 2.0)], "Object long, Count long, S1 double, S2 double")
     got = composition.merge_profile(profile, [[1, 2]]).orderBy("Object").collect()
     assert [tuple(r) for r in got] == [(1, 40, 2.5, 2.0), (2, 20, 9.0, 2.0)]
+    with pytest.raises(ValueError):
+        composition.merge_profile(profile, [[1, 9]])
     codes = spark.createDataFrame([(0,), (1,), (2,), (3,)], "value long")
     assert sorted(values(composition.renumber(codes, "value", [[1, 2]], True), "value")) == [0, 1, 1, 2]
     assert composition.merge_palette(["red", "green", "blue"], [[1, 2]]) == ["red", "blue"]
@@ -297,12 +299,25 @@ def test_joins(spark):
 
 
 def test_view_tables(spark):
-    profile = spark.createDataFrame([(1, 0.0, 5.0), (2, 10.0, 5.0)], "Object int, a double, b double")
-    got = {(r["Object"], r["component"]): r["value"] for r in viewdata.normalize_profiles(profile, "W").collect()}
-    assert got == {(1, "a"): 0, (2, "a"): 1, (1, "b"): 0, (2, "b"): 0}
-    mi_rows = spark.createDataFrame([(10.0, "O1.1", "O1.2", 0.4, 3.0, 0.01, 0.02), (20.0, "O1.1", "O1.2", 0.6, -4.0, 0.001, 0.002)], "radius double, VA string, VB string, CisMI double, Zscore double, Pvalue double, Padjust double")
+    profile = spark.createDataFrame([(1, 1, 0.0, 5.0), (2, 1, 10.0, 5.0)], "Object int, Count int, a double, b double")
+    table = lambda *a: {(r["Object"], r["component"]): r["value"] for r in viewdata.normalize_profiles(profile, *a).collect()}
+    assert table("A", "U") == {(1, "a"): 0, (2, "a"): 1, (1, "b"): 0, (2, "b"): 0}
+    assert table("W", "U") == {(1, "a"): 0, (1, "b"): 1, (2, "a"): 1, (2, "b"): 0}
+    assert abs(table("B", "Z")[(1, "a")] + 5 / np.std([0, 5, 10, 5], ddof=1)) < 1e-12
+    schema = "radius double, VA string, VB string, CisMI double, Zscore double, Pvalue double, Padjust double"
+    mi_rows = spark.createDataFrame([(10.0, "O1.1", "O1.2", 0.4, 3.0, 0.01, 0.02), (20.0, "O1.1", "O1.2", 0.6, -4.0, 0.001, 0.002)], schema)
     by = viewdata.mi_by_radius(mi_rows, ["O1.2", "O1.1"]).collect()
-    assert [r["metric"] for r in by] == [0.4, 0.6] and np.allclose([r["log10_p"] for r in by], [-2, -3])
+    assert [r["metric"] for r in by] == [0.4, 0.6] and np.allclose([r["log10_p"] for r in by], [-2, -3]) and [r["size"] for r in by] == [0.5, 1.5]
+    with pytest.raises(ValueError):
+        viewdata.mi_by_radius(mi_rows, ["O1.3"])
     ranked, variables = viewdata.mi_rank(mi_rows, 20.0)
-    assert ranked.first()["rank"] == 1 and {r["V"]: r["mean_z"] for r in variables.collect()} == {"O1.1": 4.0, "O1.2": 4.0}
-    assert len(set(viewdata.make_palette(12))) == 12
+    assert ranked.first()["rank"] == 1 and {r["V"]: (r["z"], r["size"]) for r in variables.collect()} == {"O1.1": (4.0, 0.5), "O1.2": (4.0, 0.5)}
+    assert viewdata.mi_rank(mi_rows, 20.0, mi_threshold=0.7)[0].isEmpty()
+    zero = spark.createDataFrame([(1.0, f"O1.{k}", None, 0.5, z, p, p) for k, (z, p) in enumerate(((1.0, 1e-1), (2.0, 1e-2), (3.0, 1e-3), (4.0, 0.0)))], schema)
+    got = viewdata.mi_rank(zero, 1.0, p_threshold=1.0)[0].orderBy("rank").first()
+    assert got["z"] == 4.0 and abs(got["log10_p"] + 4) < 1e-6
+    plan = {"hue_offset": 0.0, "hue_order": [1, 0], "saturation": [1.0, 1.0], "value": [1.0, 0.5]}
+    assert viewdata.make_palette(2, plan=plan) == ["#00FFFF", "#800000"] and len(viewdata.make_palette(12)) == 12
+    census = spark.createDataFrame([(float(k % 2), 1.0) for k in range(7)], "`S1.1` double, Radius double")
+    freq = values(viewdata.distribution(census, ["S1.1"], 1.0, 5).orderBy("pos"), "freq")
+    assert np.allclose(freq, [4 / 7, 3 / 7]) and viewdata.distribution(census, ["S1.1"], 1.0).count() == 7

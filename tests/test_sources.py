@@ -153,7 +153,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["census", source, out, "--radii", "1,2", "--variables", "marker", "--object-column", "object_id"], spark) == 0
     assert spark.read.parquet(out).count() == 120
     assert cli.main(["analyze", out, str(tmp_path / "mi.parquet"), "--bootstraps", "2"], spark) == 0
-    assert cli.main(["plot", str(tmp_path / "mi.parquet"), str(tmp_path / "rank.csv"), "--radius", "1"], spark) == 0
+    assert cli.main(["plot", str(tmp_path / "mi.parquet"), str(tmp_path / "rank.csv"), "--radius", "1", "--p", "1", "--mi", "0"], spark) == 0
     assert cli.main(["convert", source, out], spark) == 2 and "error" in capsys.readouterr().err
 
 
