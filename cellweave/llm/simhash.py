@@ -12,8 +12,8 @@ pairs. Buckets beyond `BUCKET` are dealt in pairs of chunks to separate tasks, s
 without losing a pair. Components are closed over the forests.
 
 `near_duplicates` groups texts of similarity >= 0.8 on five-word shingles. A 64-bit fingerprint tells such
-pairs apart only roughly, so it takes 512 bits for the same pivot test and verification, and buckets by
-least shingle hashes (three of them a key, eight keys a text).
+pairs apart only roughly, so it takes 512 bits for the same pivot test, buckets by least shingle hashes
+(three of them a key, eight keys a text), and verifies survivors near the threshold on their shingles.
 
 Nulls: a null text has no words and fingerprint zero, linked like any other; a null doc_id never is a
 component's id unless it is alone. Repeated rows share a component and each get a row. An empty table
@@ -46,6 +46,8 @@ PIVOTS = 12
 NGRAM, SIMILARITY, WORDS64, KEYS, KEY_HASHES = 5, 0.8, 8, 8, 3
 #: Two hashes that stand for a row.
 ROW_KEYS = {"k1": "xxhash64(cast(doc_id as long), text)", "k2": "xxhash64(text, cast(doc_id as long), 7)"}
+#: Around the similarity asked for, pairs are verified on their shingles.
+MARGIN = 0.08
 _U64 = np.uint64
 
 
@@ -123,8 +125,77 @@ def forest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _in_buckets(keyed: DataFrame, limit: int, words: int) -> DataFrame:
-    """Edges (a, b) among the rows (bucket, node, bits) that share a bucket; hot buckets are dealt in chunk pairs."""
+def graded(fps: np.ndarray, sure: int, limit: int) -> list[tuple[int, int, int]]:
+    """Edges (i, j, bits apart): a forest within `sure` bits, then what may join its trees within `limit` bits.
+
+    Of the doubtful pairs between different trees, each row's nearest and a least spanning forest are kept,
+    so their number stays under twice the rows. Pairs are gathered in bounded pieces.
+    """
+    n, words = fps.shape
+    edges = [(i, j, 0) for i, j in forest(fps, sure)]
+    label = np.arange(n)
+
+    def find(k: int) -> int:
+        while label[k] != k:
+            label[k] = label[label[k]]
+            k = int(label[k])
+        return k
+
+    for i, j, _ in edges:
+        a, b = find(i), find(j)
+        label[max(a, b)] = min(a, b)
+    tree = np.asarray([find(k) for k in range(n)])
+    if len(np.unique(tree)) < 2:
+        return edges
+    pivots = mix(np.arange(PIVOTS * words, dtype=_U64), 77).reshape(PIVOTS, words)
+    far = np.stack([np.bitwise_count(fps ^ p).sum(1, dtype=np.int16) for p in pivots], 1)
+    order = np.argsort(far[:, 0], kind="stable")
+    stop = np.searchsorted(far[order, 0], far[order, 0] + limit, "right")
+    pairs: list[tuple[int, int, int]] = []
+    near: dict[int, tuple[int, int]] = {}
+
+    def spanning(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        parent = dict(zip(tree.tolist(), tree.tolist(), strict=True))
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        out = []
+        for d, i, j in sorted(found):
+            a, b = root(int(tree[i])), root(int(tree[j]))
+            if a != b:
+                parent[a] = b
+                out.append((d, i, j))
+        return out
+
+    for k in range(n - 1):
+        i = int(order[k])
+        at = order[k + 1 : stop[k]]
+        at = at[tree[at] != tree[i]]
+        for p in range(1, PIVOTS):
+            if len(at) < 8:
+                break
+            at = at[np.abs(far[at, p] - far[i, p]) <= limit]
+        d = np.bitwise_count(fps[at] ^ fps[i]).sum(1, dtype=np.int16)
+        at, d = at[d <= limit], d[d <= limit]
+        for j, apart in zip(at.tolist(), d.tolist(), strict=True):
+            for x, y in ((i, j), (j, i)):
+                near[x] = min(near.get(x, (apart, y)), (apart, y))
+            pairs.append((apart, i, j))
+        if len(pairs) > 500_000:
+            pairs = spanning(pairs)
+    kept = {(d, min(i, j), max(i, j)) for d, i, j in spanning(pairs)} | {(d, min(i, j), max(i, j)) for i, (d, j) in near.items()}
+    return edges + [(i, j, d) for d, i, j in sorted(kept)]
+
+
+def _in_buckets(keyed: DataFrame, limit: int, words: int, sure: int | None = None) -> DataFrame:
+    """Edges (a, b, d) among the rows (bucket, node, bits) that share a bucket; hot buckets are dealt in chunk pairs.
+
+    With `sure`, d is 0 for the edges within that many bits and the distance of the doubtful others.
+    """
     spark = keyed.sparkSession
     hot = checkpoint(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > BUCKET))
     if not hot.isEmpty():
@@ -147,12 +218,14 @@ def _in_buckets(keyed: DataFrame, limit: int, words: int) -> DataFrame:
             raw = rows.column(2).combine_chunks()
             bits = np.frombuffer(b"".join(raw.to_pylist()), _U64).reshape(-1, words) if pa.types.is_binary(raw.type) else raw.to_numpy(zero_copy_only=False).view(_U64).reshape(-1, 1)
             first = np.flatnonzero(np.append(True, np.any([g[1:] != g[:-1] for g in group], axis=0)))
-            a, b = [], []
+            a, b, d = [], [], []
             for start, end in zip(first.tolist(), np.append(first[1:], len(node)).tolist(), strict=True):
-                for i, j in forest(bits[start:end], limit):
+                own = bits[start:end]
+                for i, j, apart in [(i, j, 0) for i, j in forest(own, limit)] if sure is None else graded(own, sure, limit):
                     a.append(node[start + i])
                     b.append(node[start + j])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    d.append(apart)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], names=["a", "b", "d"])
 
         def last_start(batch: pa.RecordBatch) -> int:
             """Where the last bucket of a batch begins."""
@@ -173,7 +246,7 @@ def _in_buckets(keyed: DataFrame, limit: int, words: int) -> DataFrame:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, d int")
 
 
 def segment_masks(n: int, limit: int = BITS) -> list[int]:
@@ -229,6 +302,28 @@ def wide_limit(similarity: float = SIMILARITY, bits: int = 64 * WORDS64) -> int:
     return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def _verified(docs: DataFrame, rows: DataFrame, edges: DataFrame, similarity: float, ngram: int) -> DataFrame:
+    """The edges (a, b) between nodes whose shingle sets have that Jaccard similarity, counted exactly.
+
+    One document stands for each node; only documents of doubtful edges are shingled again.
+    """
+    edges = checkpoint(edges)
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
+    texts = docs.selectExpr("text", *(f"{e} as {k}" for k, e in ROW_KEYS.items())).join(chosen, ["k1", "k2"]).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                sets = [np.unique(shingle_hashes(t or "", ngram)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
+    sets = checkpoint(texts.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"]))
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int = NGRAM) -> DataFrame:
     """doc_id, k1, k2 (hashes of doc_id and text), root and component_id of each row of docs (doc_id, text).
 
@@ -253,17 +348,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
     distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
     keyed = distinct.select(F.explode("keys").alias("bucket"), "node", "bits")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    edges = _in_buckets(checkpoint(keyed.join(shared, "bucket")), wide_limit(similarity), WORDS64)
+    # Well above the similarity the wide fingerprints decide; about it, the shingles themselves.
+    found = checkpoint(_in_buckets(checkpoint(keyed.join(shared, "bucket")), wide_limit(similarity - MARGIN), WORDS64, wide_limit(similarity + MARGIN)))
+    doubtful = found.where("d > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = found.where("d = 0").select("a", "b").union(_verified(docs, rows, doubtful, similarity, ngram))
     return _closed(rows.select("doc_id", "k1", "k2", "node"), "node", distinct.select("node", "rep"), edges)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int = NGRAM) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the least doc_id."""
     found = checkpoint(near_duplicates(docs, similarity, ngram).select("root", "doc_id", "k1", "k2"))
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("w")).select("w.k1", "w.k2")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("w")).select(F.col("w.k1").alias("__first_k1"), F.col("w.k2").alias("__first_k2"))
     hashed = docs.select("*", *(F.expr(e).alias(f"__cellweave_{k}") for k, e in ROW_KEYS.items()))
     k1, k2 = F.col("__cellweave_k1"), F.col("__cellweave_k2")
-    kept = hashed.join(first, (k1 == F.col("k1")) & (k2 == F.col("k2")), "left_semi")
+    kept = hashed.join(first, (k1 == F.col("__first_k1")) & (k2 == F.col("__first_k2")), "left_semi")
     if not found.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         # Rows repeated with the same doc_id and text: one of them stays.
         kept = kept.dropDuplicates(["__cellweave_k1", "__cellweave_k2"])
