@@ -17,16 +17,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import bounded_labels, slices
+from cellweave.llm.common import bounded_labels, checkpoint, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -82,54 +81,97 @@ class Scorer(dict):
         return -math.expm1(-quiet), [(a, b, 1 / (1 + math.exp(-z))) for a, b, z in held if z >= 0]
 
 
-def train(texts: list[str], toxic: list[int], *, max_features: int = 20_000, min_share: float = 0.012, rounds: int = 300, penalty: float = 1e-4) -> Model:
-    """Noisy-or maximum likelihood by Adam on the features that speak for the label."""
-    rows = list({t: y for t, y in sorted(zip(texts, toxic, strict=True))}.items())
-    y = np.asarray([int(b) for _, b in rows], float)
-    if not len(rows) or y.min() == y.max():
-        return Model({})
-    seen = {0: Counter(), 1: Counter()}
-    for text, label in rows:
-        seen[int(label)].update({f for w in set(_WORD.findall(text.lower())) for f in features_of(w)})
-    n1, n0 = y.sum(), len(y) - y.sum()
-    speak = {f: math.sqrt(a) * math.log((a + 0.5) / (n1 + 1) * (n0 + 1) / (seen[0][f] + 0.5)) for f, a in seen[1].items() if a >= max(3, min_share * n1)}
-    chosen = sorted((f for f, s in speak.items() if s > 0 and (seen[1][f] + 0.5) / (n1 + 1) > 3 * (seen[0][f] + 0.5) / (n0 + 1)), key=lambda f: (-speak[f], f))[:max_features]
-    if not chosen:
-        return Model({})
-    number = {f: k for k, f in enumerate(chosen)}
-    sentence, feature, doc, quiet = [], [], [], np.zeros(len(rows))
-    for d, (text, _) in enumerate(rows):
-        for m in _SENTENCE.finditer(text):
-            own = [number[f] for w in set(_WORD.findall(m[0].lower())) for f in features_of(w) if f in number]
-            if own:
-                sentence += [len(doc)] * len(own)
-                feature += own
-                doc.append(d)
-            else:
-                quiet[d] += 1
-    sentence, feature, doc = (np.asarray(x, np.int64) for x in (sentence, feature, doc))
-    w, m1, m2 = np.zeros(len(chosen)), np.zeros(len(chosen)), np.zeros(len(chosen))
-    balance = np.where(y == 1, n0 / n1, 1.0)
+def seen_in(text: str) -> set[str]:
+    """The features of a text."""
+    return {f for w in set(_WORD.findall(text.lower())) for f in features_of(w)}
+
+
+def instances(text: str, number: dict[str, int]) -> tuple[int, list[list[int]]]:
+    """How many sentences hold no known feature, and the feature numbers of each that does."""
+    quiet, held = 0, []
+    for m in _SENTENCE.finditer(text):
+        own = [number[f] for w in set(_WORD.findall(m[0].lower())) for f in features_of(w) if f in number]
+        if own:
+            held.append(own)
+        else:
+            quiet += 1
+    return quiet, held
+
+
+def association(toxic: Column, clean: Column, n1: float, n0: float) -> Column:
+    """How strongly a feature speaks for the label: its log odds ratio over classes, weighted by the root of its documents."""
+    return F.sqrt(toxic) * F.log((toxic + 0.5) / (n1 + 1) * (n0 + 1) / (clean + 0.5))
+
+
+def optimise(y: np.ndarray, bags: list[tuple[int, list[list[int]]]], n_features: int, *, rounds: int = 300, penalty: float = 1e-4) -> np.ndarray:
+    """Noisy-or maximum likelihood by Adam: the weights of the features."""
+    sentence = np.repeat(np.arange(sum(len(h) for _, h in bags)), [len(own) for _, h in bags for own in h])
+    feature = np.asarray([f for _, h in bags for own in h for f in own], np.int64)
+    doc = np.repeat(np.arange(len(bags)), [len(h) for _, h in bags])
+    quiet = np.asarray([q for q, _ in bags], float)
+    n1 = y.sum()
+    w, m1, m2 = np.zeros(n_features), np.zeros(n_features), np.zeros(n_features)
+    balance = np.where(y == 1, (len(y) - n1) / n1, 1.0)
     silent = np.log1p(np.exp(BIAS))
     for t in range(1, rounds + 1):
         z = BIAS + np.bincount(sentence, w[feature], len(doc))
-        soft = np.logaddexp(0, z)
-        log_clean = -(np.bincount(doc, soft, len(rows)) + quiet * silent)
-        clean = np.exp(log_clean)
+        clean = np.exp(-(np.bincount(doc, np.logaddexp(0, z), len(y)) + quiet * silent))
+        # The share of blame of a toxic document's sentences: q / (1 - q) of the document times s of the sentence.
         pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-12), 1.0) * balance
         slope = pull[doc] / (1 + np.exp(-z))
-        grad = np.bincount(feature, slope[sentence], len(w)) / len(rows) + penalty * w / n1
+        grad = np.bincount(feature, slope[sentence], n_features) / len(y) + penalty * w / n1
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         w -= 0.2 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
-    return Model({f: float(w[k]) for f, k in number.items() if abs(w[k]) > 0.05})
+    return w
+
 
+def fit(docs: DataFrame, labels: DataFrame, *, max_labels: int = 12_000, max_features: int = 20_000, min_share: float = 0.012, **options: float) -> Model:
+    """Train on the rows of docs (doc_id, text) that labels (doc_id, toxic 0/1) marks.
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_labels: int = 12_000, **options: float) -> Model:
-    """Train on the rows of docs (doc_id, text) that labels (doc_id, toxic 0/1) marks."""
+    Features are counted and sentences turned into feature numbers by the executors; the driver receives the
+    chosen features and, of at most about max_labels documents, the sentences that hold some.
+    """
     known = bounded_labels(labels, "toxic", max_labels)
     # At most about max_labels rows of 12 bytes: a proven bound.
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("text", "label").collect()
-    return train([r["text"] for r in rows], [r["label"] for r in rows], **options)
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
+    texts = checkpoint(texts.groupBy(F.md5("text").alias("h")).agg(F.first("text").alias("text"), F.max("label").alias("label")))
+    total = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
+    n1, n0 = float(total["n1"]), float(total["n"] - total["n1"])
+    if not n1 or not n0:
+        return Model({})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], names=["feature", "toxic", "clean"])
+            seen.clear()
+            return batch
+
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for f in seen_in(text):
+                    seen.setdefault(f, [0, 0])[int(label)] += 1
+                if len(seen) > 500_000:
+                    yield out()
+        yield out()
+
+    counted = texts.select("text", "label").mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    speaks = (F.col("toxic") >= max(3, min_share * n1)) & ((F.col("toxic") + 0.5) / (n1 + 1) > 3 * (F.col("clean") + 0.5) / (n0 + 1))
+    chosen = [r["feature"] for r in counted.where(speaks).orderBy(association(F.col("toxic"), F.col("clean"), n1, n0).desc(), "feature").limit(max_features).collect()]
+    if not chosen:
+        return Model({})
+    number = {f: k for k, f in enumerate(chosen)}
+    bags = pa.list_(pa.list_(pa.int32()))
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [instances(t, number) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1).cast(pa.int32()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], bags)], names=["h", "label", "quiet", "held"])
+
+    rows = sorted(texts.select("text", "label", "h").mapInArrow(turn, "h string, label int, quiet long, held array<array<int>>").collect(), key=lambda r: r["h"])
+    w = optimise(np.asarray([r["label"] for r in rows], float), [(r["quiet"], r["held"]) for r in rows], len(chosen), **options)
+    return Model({f: float(w[k]) for f, k in number.items() if abs(w[k]) > 0.05})
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -151,12 +151,15 @@ def test_toxicity_on_held_out_rows(spark, edge, empty):
     scored = queries.op10_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic is not null"), "doc_id").where("held_out").toPandas()
     assert (scored.predicted[scored.toxic == 1]).mean() > 0.9
     assert (scored.predicted[scored.toxic == 0]).mean() < 0.01
-    model = toxicity.train(["you idiot. fine day."] * 1 + [f"you idiot number {k}. fine." for k in range(9)] + [f"fine day {k}. good." for k in range(40)], [1] * 10 + [0] * 40)
+    texts = [f"you idiot number {k}. fine." for k in range(10)] + [f"fine day {k}. good." for k in range(40)]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k < 10)) for k in range(50)], "doc_id long, toxic int")
+    model = toxicity.fit(own, marks)
     score, held = toxicity.Scorer(model).score("A fine day. You idiot number! Good.")
     assert score > 0.5 and [(a, b) for a, b, _ in held] == [(11, 28)]
     out = toxicity.score(edge, model)
     assert out.count() == edge.count() and out.where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.score(empty, model).count() == 0 and toxicity.drop_toxic(edge, model).columns == edge.columns
-    assert toxicity.train([], []).weights == {} and toxicity.train(["a"], [1]).weights == {}
+    assert toxicity.fit(own, marks.where("toxic = 1")).weights == {} and toxicity.fit(empty, marks).weights == {}
 
 
