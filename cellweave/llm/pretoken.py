@@ -11,8 +11,7 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
-from operator import mul
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -24,8 +23,10 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-įı-ɏ
 _BYTE_PATTERN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
 _WORD_PATTERN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+""")
 
-#: Distinct pre-tokens that a worker keeps; beyond it the table is emptied and filled anew.
-CACHE_ENTRIES = 700_000
+#: Distinct pre-tokens that a worker keeps for good: frequent ones come early. Later ones stay until RECENT_ENTRIES of them are held.
+CACHE_ENTRIES, RECENT_ENTRIES = 500_000, 150_000
+#: Longer pieces are not kept.
+LONG_PIECE = 200
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -40,9 +41,7 @@ class PretokenTable(dict):
 
     def __init__(self, path: str, counts_only: bool = False):
         super().__init__()
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = tuple(t["content"] for t in spec["added_tokens"])
@@ -51,7 +50,17 @@ class PretokenTable(dict):
         self.counts_only = counts_only
         self.suffix, self.encode_piece, self.encode_text, self.id_of = b"", None, None, None
         self._ranked(spec["model"])
-        self.clear_rows()
+        self.id_list = self.id_of.tolist() if self.id_of is not None else []
+        self.lengths, self.flat = array("i"), array("i")
+        self.recent: dict[str, int] = {}
+        self.kept = 0, 0
+
+    @cached_property
+    def library(self):  # noqa: ANN201
+        """The file's own tokenizer, loaded when a text or the file needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _ranked(self, model: dict) -> None:
         """A ranks-by-id encoder of the same vocabulary, if the file's merges are in the order of its ids."""
@@ -83,11 +92,7 @@ class PretokenTable(dict):
         self.encode_piece = encoder._encode_single_piece
         self.encode_text = None if end else encoder.encode_to_numpy
 
-    def clear_rows(self) -> None:
-        self.clear()
-        self.lengths, self.flat = array("i"), array("i")
-
-    def add(self, got: list[int] | np.ndarray) -> int:
+    def add(self, got: list[int]) -> int:
         """A new row of the table."""
         self.lengths.append(len(got))
         if not self.counts_only:
@@ -95,48 +100,80 @@ class PretokenTable(dict):
         return len(self.lengths) - 1
 
     def __missing__(self, piece: str) -> int:
-        if self.encode_piece is None:
-            got = self.library.encode(piece, add_special_tokens=False).ids
-        else:
-            got = self.encode_piece(piece.encode() + self.suffix)
-            if not self.counts_only:
-                got = self.id_of[got].tolist()
-        self[piece] = row = self.add(got)
+        row = self.recent.get(piece)
+        if row is None:
+            if self.encode_piece is None:
+                got = self.library.encode(piece, add_special_tokens=False).ids
+            elif len(piece) > LONG_PIECE:
+                return self.add(self.library.encode(piece, add_special_tokens=False).ids)
+            else:
+                got = [r for p in self.pieces(piece) for r in self.encode_piece(p.encode() + self.suffix)]
+                if not self.counts_only:
+                    got = [self.id_list[r] for r in got]
+            row = self.add(got)
+            if len(self) < CACHE_ENTRIES:
+                self[piece] = row
+                self.kept = len(self.lengths), len(self.flat)
+            else:
+                self.recent[piece] = row
         return row
 
+    def pieces(self, key: str) -> list[str]:
+        """The pre-tokens that a row stands for."""
+        return self.pattern.findall(key) if self.lower else [key]
+
+    def room(self) -> None:
+        """Drop the late rows if there are many."""
+        if len(self.recent) > RECENT_ENTRIES:
+            self.recent.clear()
+            self.cut(*self.kept)
+
+    def cut(self, rows: int, ids: int) -> None:
+        del self.lengths[rows:], self.flat[ids:]
+
     def plain(self, text: str) -> bool:
         return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
     def rows(self, text: str) -> np.ndarray:
-        """Table rows of a text's pre-tokens, in order; a text that isn't plain gets one row of its own."""
-        if not text:
-            return np.zeros(0, np.int64)
-        if not self.plain(text):
-            return np.asarray([self.add(self.library.encode(text, add_special_tokens=False).ids)])
-        cut = self.pattern.findall(text.lower() if self.lower else text)
+        """Table rows of a plain text's pre-tokens, in order.
+
+        Where white space only separates, a row stands for all pre-tokens between two spaces: splitting is cheaper than matching.
+        """
+        cut = text.lower().split() if self.lower else self.pattern.findall(text)
         return np.fromiter(map(self.__getitem__, cut), np.int64, len(cut))
 
+    def rows_of(self, texts: list[str]) -> tuple[list[np.ndarray], tuple[int, int]]:
+        """Rows of all texts, a text that isn't plain having one row of its own; and where those rows begin, to be cut off after use."""
+        self.room()
+        plain = [bool(t) and self.plain(t) for t in texts]
+        out = [self.rows(t) if ok else np.zeros(0, np.int64) for t, ok in zip(texts, plain, strict=True)]
+        end = len(self.lengths), len(self.flat)
+        for k, (t, ok) in enumerate(zip(texts, plain, strict=True)):
+            if t and not ok:
+                out[k] = np.asarray([self.add(self.library.encode(t, add_special_tokens=False).ids)])
+        return out, end
+
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after another, and how many each text has."""
         if self.encode_text is not None:
             parts = [(self.id_of[self.encode_text(t)] if self.plain(t) else np.asarray(self.library.encode(t, add_special_tokens=False).ids, np.int32)) if t else np.zeros(0, np.int32) for t in texts]
             return np.concatenate(parts or [np.zeros(0, np.int32)]), np.asarray([len(p) for p in parts], np.int64)
-        if len(self.lengths) > CACHE_ENTRIES:
-            self.clear_rows()
-        rows = [self.rows(t) for t in texts]
+        rows, end = self.rows_of(texts)
         sizes = np.array(self.lengths, np.int64)
         starts = np.cumsum(sizes) - sizes
         every = np.concatenate(rows or [np.zeros(0, np.int64)])
-        return gather(np.array(self.flat, np.int32), starts[every], sizes[every]), np.asarray([int(sizes[r].sum()) for r in rows], np.int64)
+        out = gather(np.array(self.flat, np.int32), starts[every], sizes[every])
+        self.cut(*end)
+        return out, np.asarray([int(sizes[r].sum()) for r in rows], np.int64)
 
     def count_many(self, texts: list[str]) -> list[int]:
         """The number of ids of each text: pre-token frequencies times the size of each distinct pre-token."""
-        if len(self.lengths) > CACHE_ENTRIES:
-            self.clear_rows()
-        out = []
-        for text in texts:
-            rows, times = np.unique(self.rows(text), return_counts=True)
-            out.append(sum(map(mul, map(self.lengths.__getitem__, rows.tolist()), times.tolist())))
+        rows, end = self.rows_of(texts)
+        sizes, out = np.array(self.lengths, np.int64), []
+        for own in rows:
+            piece, times = np.unique(own, return_counts=True)
+            out.append(int(sizes[piece] @ times))
+        self.cut(*end)
         return out
 
 
