@@ -16,7 +16,7 @@ from cellweave.functions.volumes import normalize_radii, normalize_sizes
 from cellweave.names import RESERVED, natural_sort, radius_key
 from cellweave.operators.patches import neighbourhoods, summarize, to_wide
 from cellweave.operators.range_join import AXES, ball_join
-from cellweave.plans.random_plan import sample_by_hash, sample_by_plan, with_row_id
+from cellweave.plans.random_plan import materialize, sample_by_hash, sample_by_plan, with_row_id
 
 
 @dataclass
@@ -117,7 +117,8 @@ def census_table(table: DataFrame, radii: float | Sequence[float], sample_size:
         if seeds is None and sizes[k] is not None and own.count() < sizes[k]:
             raise ValueError("Cannot sample more seed points than eligible objects without replacement.")
         rows = census_of_seeds(own, points, radius, scalars)
-        long = summarize(rows, links)
+        # A row for each seed and variable: read for the names and for the wide rows.
+        long = materialize(summarize(rows, links))
         place = own.select("nbhd", *(F.col(a).alias(a.upper()) for a in AXES), F.lit(radius).alias("Radius"))
         names = natural_sort([r["var"] for r in long.select("var").distinct().collect()])
         one = to_wide(long.drop("radius"), place, ("nbhd",), names)

@@ -16,7 +16,7 @@ from cellweave.functions.volumes import ellipsoid_volume, normalize_radii, norma
 from cellweave.names import image_group
 from cellweave.operators.patches import component_ids, neighbourhoods, summarize, to_wide, variable_names
 from cellweave.operators.range_join import AXES, lattice_join
-from cellweave.plans.random_plan import sample_by_hash, with_row_id
+from cellweave.plans.random_plan import materialize, sample_by_hash, with_row_id
 
 
 def remap_objects(voxels: DataFrame, image: str, mapping: dict[int, int]) -> DataFrame:
@@ -34,22 +34,23 @@ def isodata_thresholds(voxels: DataFrame) -> DataFrame:
     One level: that level. Two levels: the lower one + 1. Else the first t above the lowest non-zero level for
     which the half-even mean of the averages below and above t is t; t - 1 where nothing lies above; 255 at last.
     """
-    counts = voxels.where(F.col("image").startswith("S")).groupBy("image", "c", F.col("value").cast("int").alias("v")).agg(F.count("*").alias("n"))
-    levels = counts.groupBy("image", "c").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"))  # 256 entries at most
-    known = F.transform("h", lambda e: e["v"])
-    mean = lambda part: F.aggregate(part, F.lit(0.0), lambda a, e: a + e["v"] * e["n"]) / F.nullif(F.aggregate(part, F.lit(0.0), lambda a, e: a + e["n"]), F.lit(0.0))
-    positive = F.filter(known, lambda v: v > 0)
-    tries = F.sequence(F.element_at(positive, 1) + 1, F.greatest(F.lit(255), F.element_at(positive, 1) + 1))
-
-    def meets(t):
-        above = F.filter("h", lambda e: e["v"] > t)
-        low = F.coalesce(mean(F.filter("h", lambda e: (e["v"] >= 1) & (e["v"] < t))), F.lit(0.0))
-        return (F.size(above) == 0) | (F.rint((low + mean(above)) / 2) == t)
-
-    first = F.element_at(F.filter(tries, meets), 1)
-    found = F.when(F.size(F.filter("h", lambda e: e["v"] > first)) == 0, first - 1).otherwise(first)
-    chosen = F.when(F.size("h") == 1, F.element_at(known, 1)).when(F.size("h") == 2, F.element_at(known, 1) + 1).otherwise(F.coalesce(found, F.lit(255)))
-    return levels.select("image", "c", chosen.cast("int").alias("threshold"))
+    counts = voxels.where(F.col("image").startswith("S")).groupBy("image", "c", F.col("value").cast("int").alias("t")).agg(F.count("*").alias("n"))
+    # 256 rows for each channel, whatever the image's size.
+    levels = counts.select("image", "c").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(255))))
+    levels = levels.join(counts, ["image", "c", "t"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    own = Window.partitionBy("image", "c")
+    so_far = own.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    lit, mass = F.when(F.col("t") > 0, F.col("n")).otherwise(0), F.col("t") * F.col("n")
+    levels = levels.select("*", F.sum(lit).over(so_far).alias("cn"), F.sum(mass).over(so_far).alias("cm"), F.sum(lit).over(own).alias("an"), F.sum(mass).over(own).alias("am"), F.min(F.when((F.col("t") > 0) & (F.col("n") > 0), F.col("t"))).over(own).alias("p"))
+    low = F.coalesce((F.col("cm") - mass) / F.nullif(F.col("cn") - lit, F.lit(0)), F.lit(0.0))
+    above = F.col("an") - F.col("cn")
+    high = (F.col("am") - F.col("cm")) / F.nullif(above, F.lit(0))
+    meets = (F.col("t") > F.col("p")) & ((above == 0) | (F.rint((low + high) / 2) == F.col("t")))
+    levels = levels.withColumn("try", F.when(meets, F.when(above == 0, F.col("t") - 1).otherwise(F.col("t"))))
+    seen = F.when(F.col("n") > 0, F.col("t"))
+    found = levels.groupBy("image", "c").agg(F.count(seen).alias("kinds"), F.min(seen).alias("least"), F.min_by("try", F.when(F.col("try").isNotNull(), F.col("t"))).alias("first"))
+    chosen = F.when(F.col("kinds") == 1, F.col("least")).when(F.col("kinds") == 2, F.col("least") + 1).otherwise(F.coalesce("first", F.lit(255)))
+    return found.select("image", "c", chosen.cast("int").alias("threshold"))
 
 
 def linked_scalars(links: Sequence[tuple[str, str]]) -> list[str]:
@@ -146,7 +147,7 @@ def census_image(voxels: DataFrame, radii: dict[float, Sequence[float]] | float
             patches = part if patches is None else patches.unionByName(part)
         place = own.select(F.lit(radius).alias("radius"), F.col("nbhd").cast("int").alias("nbhd"), *((F.col(a) + 1).cast("double").alias(a.upper()) for a in AXES))
         rows = place if rows is None else rows.unionByName(place)
-    long = summarize_images(patches, links)
+    long = materialize(summarize_images(patches, links))
     names = variable_names(long)
     wide = to_wide(long, rows, ("radius", "nbhd"), names)
     return wide.select(*(F.col(f"`{n}`") for n in names), *AXES_UP, F.col("radius").alias("Radius")), patches

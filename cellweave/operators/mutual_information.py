@@ -51,23 +51,33 @@ def _ensemble_array(found: Sequence[tuple[int, ...]]) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("ens"), F.array(*map(F.lit, e)).alias("at")) for k, e in enumerate(found)))
 
 
-def binned(rows: DataFrame, bins: int, keys: Sequence[str] = ("radius",)) -> DataFrame:
-    """rows (keys, replicate, v array<double>) with b, the one-based bin of each variable over the range of all replicates."""
-    each = rows.select(*keys, F.posexplode("v").alias("at", "value"))
-    span = each.groupBy(*keys, "at").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    spans = span.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "low", "high"))), lambda s: F.struct(s["low"].alias("low"), s["high"].alias("high"))).alias("span"))
-
-    def one(v: Column, s: Column) -> Column:
-        step = F.rint((v - s["low"]) * (bins - 1) / F.nullif(s["high"] - s["low"], F.lit(0.0)))
+def _spans(rows: DataFrame, width: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, low, high): the ranges of the variables, one row for each key."""
+    low, high = ([f(F.col("v")[k]) for k in range(width)] for f in (F.min, F.max))
+    return rows.groupBy(*keys).agg(F.array(*low).alias("low"), F.array(*high).alias("high"))
+
+
+def binned(rows: DataFrame, bins: int, width: int, keys: Sequence[str] = ("radius",)) -> DataFrame:
+    """(keys, replicate, b, n): how many rows share the one-based bins b of their variables, over the range of all replicates.
+
+    Rows (keys, replicate, v array<double>) are counted by their whole vector of bins before any ensemble is
+    formed: what follows works on distinct vectors, of which there are at most bins^width.
+    """
+    def one(k: int) -> Column:
+        v, low, high = F.col("v")[k], F.col("low")[k], F.col("high")[k]
+        step = F.rint((v - low) * (bins - 1) / F.nullif(high - low, F.lit(0.0)))
         inside = F.greatest(F.least(step, F.lit(float(bins - 1))), F.lit(0.0)) + 1
         # A degenerate range leaves the value, cut to a whole number, as bin.
-        return F.when((s["high"] != s["low"]) & F.lit(bins >= 2), inside).otherwise(v).cast("long")
+        return F.when((high != low) & F.lit(bins >= 2), inside).otherwise(v).cast("long")
 
-    return rows.join(spans, list(keys)).withColumn("b", F.zip_with("v", "span", one)).drop("span")
+    spread = rows.join(_spans(rows, width, keys), list(keys))
+    flat = spread.select(*keys, "replicate", *(one(k).alias(f"b{k}") for k in range(width)))
+    counted = flat.groupBy(*keys, "replicate", *(f"b{k}" for k in range(width))).agg(F.count("*").alias("n"))
+    return counted.select(*keys, "replicate", F.array(*(f"b{k}" for k in range(width))).alias("b"), "n")
 
 
 def entropies(rows: DataFrame, found: Sequence[tuple[int, ...]], bins: int, keys: Sequence[str] = ("radius",)) -> DataFrame:
-    """(keys, replicate, ens, h): entropy in bits of each ensemble's joint bin code.
+    """(keys, replicate, ens, h): entropy in bits of each ensemble's joint bin code, from counted rows (keys, replicate, b, n).
 
     The code is the sum of (bin - 1) bins^k; with one bin all powers are 1, with none only the first counts.
     """
@@ -75,7 +85,7 @@ def entropies(rows: DataFrame, found: Sequence[tuple[int, ...]], bins: int, keys
     coded = rows.withColumn("e", F.explode(_ensemble_array(found)))
     digits = F.zip_with(F.transform("e.at", lambda i: F.get("b", i)), F.slice(power, F.lit(1), F.size("e.at")), lambda b, p: (b - 1) * p)
     code = F.aggregate(digits, F.lit(0).cast("long"), lambda a, x: a + x)
-    counted = coded.select(*keys, "replicate", F.col("e.ens").alias("ens"), code.alias("code")).groupBy(*keys, "replicate", "ens", "code").agg(F.count("*").alias("c"))
+    counted = coded.select(*keys, "replicate", F.col("e.ens").alias("ens"), code.alias("code"), "n").groupBy(*keys, "replicate", "ens", "code").agg(F.sum("n").alias("c"))
     # H = log2 n - sum(c log2 c) / n: one more aggregation instead of a window over the counts.
     return counted.groupBy(*keys, "replicate", "ens").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s")).select(*keys, "replicate", "ens", "n", F.greatest(F.log2("n") - F.col("s") / F.col("n"), F.lit(0.0)).alias("h"))
 
@@ -166,7 +176,7 @@ def measure_cis_mi(census: DataFrame, depth: int, nulls: DataFrame | Sequence[Da
         nulls = every[0]
         for df in every[1:]:
             nulls = nulls.unionByName(df)
-    rows = binned(census_rows(census, names).unionByName(nulls.select("radius", "replicate", "v")), bins)
+    rows = binned(census_rows(census, names).unionByName(nulls.select("radius", "replicate", "v")), bins, len(names))
     # Depth-1 entropies carry b / (1.5 n) in observed and null alike: it cancels in all results of size 1.
     mi = information(entropies(rows, found, bins), found)
     per = mi.groupBy("radius", "ens").agg(F.max(F.when(F.col("replicate") == 0, F.col("mi"))).alias("o"), F.avg(F.when(F.col("replicate") > 0, F.col("mi"))).alias("m"), F.coalesce(F.stddev_samp(F.when(F.col("replicate") > 0, F.col("mi"))), F.lit(0.0)).alias("sd"))
@@ -195,18 +205,20 @@ def smoothed(rows: DataFrame, names: Sequence[str], found: Sequence[tuple[int, .
     stands in all its bins.
     """
     keys = ["specimen", "radius"]
-    each = rows.select(*keys, F.posexplode("v").alias("at", "value")).groupBy(*keys, "at").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    spans = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "low", "high"))), lambda s: F.struct(s["low"].alias("low"), s["high"].alias("high"))).alias("span"))
-    top = float(bins - 1)
+    width, top = len(names), float(bins - 1)
+    spans = _spans(rows, width, keys)
 
-    def index(v: Column, s: Column) -> Column:
+    def index(k: int) -> Column:
         # -1 marks a constant variable.
-        step = F.greatest(F.least(F.rint((v - s["low"]) * top / F.nullif(s["high"] - s["low"], F.lit(0.0))), F.lit(top)), F.lit(0.0))
+        v, low, high = F.col("v")[k], F.col("low")[k], F.col("high")[k]
+        step = F.greatest(F.least(F.rint((v - low) * top / F.nullif(high - low, F.lit(0.0))), F.lit(top)), F.lit(0.0))
         return F.coalesce(step, F.lit(-1.0)).cast("long")
 
-    coded = rows.join(spans, keys).withColumn("b", F.zip_with("v", "span", index)).select(*keys, "b", F.explode(_ensemble_array(found)).alias("e"))
+    flat = rows.join(spans, keys).select(*keys, *(index(k).alias(f"b{k}") for k in range(width)))
+    vectors = flat.groupBy(*keys, *(f"b{k}" for k in range(width))).agg(F.count("*").alias("n"))
+    coded = vectors.select(*keys, "n", F.array(*(f"b{k}" for k in range(width))).alias("b"), F.explode(_ensemble_array(found)).alias("e"))
     at = F.transform("e.at", lambda i: F.get("b", i))
-    counted = coded.select(*keys, F.col("e.ens").alias("ens"), at.alias("b")).groupBy(*keys, "ens", "b").agg(F.count("*").alias("freq"))
+    counted = coded.select(*keys, "n", F.col("e.ens").alias("ens"), at.alias("b")).groupBy(*keys, "ens", "b").agg(F.sum("n").alias("freq"))
     # Spread the mass of constant variables over all bins of their axis.
     axes = F.transform("b", lambda x: F.when(x < 0, F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).otherwise(F.array(x)))
     start = F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.lit(1).cast("long").alias("step")))
@@ -222,10 +234,10 @@ def smoothed(rows: DataFrame, names: Sequence[str], found: Sequence[tuple[int, .
             if len(members) > 1:
                 total = F.lit(0.0)
                 for j in members:
-                    s = F.col("span")[found[k][j]]
-                    total = total + s["low"] + F.pmod(F.floor(F.col("pos") / F.lit(bins**j)), F.lit(bins)) * ((s["high"] - s["low"]) / max(1.0, top))
+                    low, high = F.col("low")[found[k][j]], F.col("high")[found[k][j]]
+                    total = total + low + F.pmod(F.floor(F.col("pos") / F.lit(bins**j)), F.lit(bins)) * ((high - low) / max(1.0, top))
                 invalid = invalid | ((F.col("ens") == k) & (total > 100))
-    full = full.where(~invalid).drop("span")
+    full = full.where(~invalid).drop("low", "high")
     cells = full.join(observed, [*keys, "ens", "pos"], "left").withColumn("freq", F.coalesce("freq", F.lit(0)).cast("double"))
     own = Window.partitionBy(*keys, "ens")
     cells = cells.withColumn("total", F.sum("freq").over(own)).withColumn("zeros", F.sum((F.col("freq") == 0).cast("long")).over(own))

@@ -361,7 +361,7 @@ def _h(columns: str) -> str:
 def entropy_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["S1.1", "S1.2", "S1.3"]
     found = mi.ensembles(names, 2)
-    rows = mi.binned(mi.census_rows(_mi_census(spark, sf_dir), names), 6)
+    rows = mi.binned(mi.census_rows(_mi_census(spark, sf_dir), names), 6, len(names))
     return mi.entropies(rows, found, 6).select("ens", F.round("h", 6).alias("h"))
 
 
@@ -370,7 +370,7 @@ SELECT unnest([0, 1, 2, 3, 4, 5, 6])::INTEGER AS ens, round(unnest([a, b, c, a +
 def mi_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["S1.1", "S1.2", "S1.3"]
     found = mi.ensembles(names, 3)
-    rows = mi.binned(mi.census_rows(_mi_census(spark, sf_dir), names), 6)
+    rows = mi.binned(mi.census_rows(_mi_census(spark, sf_dir), names), 6, len(names))
     return mi.information(mi.entropies(rows, found, 6), found).select("ens", (F.round("mi", 5) + 0.0).alias("mi"))
 
 

@@ -43,7 +43,7 @@ def test_dist_and_smoothing(spark):
 
 
 def test_entropy_of_pairs(spark):
-    rows = spark.createDataFrame([(1.0, 0, [a, b]) for a, b in ((1, 1), (1, 2), (2, 1), (2, 2), (2, 2))], "radius double, replicate int, b array<long>")
+    rows = spark.createDataFrame([(1.0, 0, [a, b], n) for a, b, n in ((1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 2))], "radius double, replicate int, b array<long>, n long")
     got = mi.entropies(rows, [(0, 1)], 2).first()["h"]
     assert abs(got - 1.92192809488736) < 1e-12
 
