@@ -46,6 +46,8 @@ PIVOTS = 12
 NGRAM, SIMILARITY, WORDS64, KEYS, KEY_HASHES = 5, 0.8, 8, 8, 3
 #: Two hashes that stand for a row.
 ROW_KEYS = {"k1": "xxhash64(cast(doc_id as long), text)", "k2": "xxhash64(text, cast(doc_id as long), 7)"}
+#: Rows of one key from which on it is joined by broadcast, as long as such keys are not too many.
+HOT_COPIES, BROADCAST_KEYS = 1000, 100_000
 #: Around the similarity asked for, pairs are verified on their shingles.
 MARGIN = 0.08
 _U64 = np.uint64
@@ -269,22 +271,30 @@ def link(fps: DataFrame, limit: int = BITS) -> DataFrame:
 def classes(docs: DataFrame, ngram: int = 4, limit: int = BITS) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable) of each row of docs (doc_id, text)."""
     rows = write_table(fingerprints(docs, ngram), "fingerprints")
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     return _closed(rows, "fp", distinct, link(distinct.select("fp"), limit))
 
 
 def _closed(rows: DataFrame, key: str, distinct: DataFrame, edges: DataFrame) -> DataFrame:
     """rows with root (the least key of the component) and component_id (its least doc_id).
 
-    distinct has each key once, with its least doc_id `rep`; edges joins keys. Only linked keys are grouped.
+    distinct has each key once, with its least doc_id `rep` and number of rows `copies`; edges joins keys.
+    Only linked keys are grouped.
     """
     roots = components(edges)
     member = distinct.join(roots.withColumnRenamed("node", key), key)
     least = member.groupBy("root").agg(F.min("rep").alias("least"))
     linked = member.join(least, "root").select(key, "root", "least")
     every = distinct.join(linked, key, "left")
-    every = every.select(key, F.coalesce("root", key).alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
-    return rows.join(every, key)
+    every = every.select(key, F.coalesce("root", key).alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"), "copies")
+    # Keys of many copies, at most a thousandth of the rows, join without a shuffle; the rest have few rows a key.
+    hot = checkpoint(every.where(F.col("copies") > HOT_COPIES))
+    n_hot = hot.count()
+    if not n_hot or n_hot > BROADCAST_KEYS:
+        return rows.join(every.drop("copies"), key)
+    often = rows.join(F.broadcast(hot.drop("copies")), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(every.where(F.col("copies") <= HOT_COPIES).drop("copies"), key)
+    return often.unionByName(rest)
 
 
 def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
@@ -345,14 +355,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
     keyed_docs = docs.selectExpr("cast(doc_id as long) doc_id", "text", *(f"{e} as {k}" for k, e in ROW_KEYS.items()))
     rows = write_table(keyed_docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, bits binary, keys array<long>"), "sketches")
     # node stands for the set of shingles: copies are collapsed before any bucket is made.
-    distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
+    distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
     keyed = distinct.select(F.explode("keys").alias("bucket"), "node", "bits")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     # Well above the similarity the wide fingerprints decide; about it, the shingles themselves.
     found = checkpoint(_in_buckets(checkpoint(keyed.join(shared, "bucket")), wide_limit(similarity - MARGIN), WORDS64, wide_limit(similarity + MARGIN)))
     doubtful = found.where("d > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = found.where("d = 0").select("a", "b").union(_verified(docs, rows, doubtful, similarity, ngram))
-    return _closed(rows.select("doc_id", "k1", "k2", "node"), "node", distinct.select("node", "rep"), edges)
+    return _closed(rows.select("doc_id", "k1", "k2", "node"), "node", distinct.select("node", "rep", "copies"), edges)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int = NGRAM) -> DataFrame:

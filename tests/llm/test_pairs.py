@@ -60,6 +60,15 @@ def test_classes(name, request):
     assert got == expected
 
 
+def test_hot_copies_join_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_COPIES", 5)
+    texts = ["one two three four five"] * 20 + [f"w{k} x{k} y{k} z{k}" for k in range(20)] + [None] * 7
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(df).collect()}
+    assert len(got) == 47 and {got[k] for k in range(20)} == {0} and {got[k] for k in range(40, 47)} == {40}
+    assert all(got[k] <= k for k in got)
+
+
 def test_query_writes_hex(spark, sf_dir):
     row = op6_simhash(spark, sf_dir).where("doc_id = 3").first()
     text = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id = 3").first()["text"]
