@@ -130,8 +130,8 @@ def forest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
 def graded(fps: np.ndarray, sure: int, limit: int) -> list[tuple[int, int, int]]:
     """Edges (i, j, bits apart): a forest within `sure` bits, then what may join its trees within `limit` bits.
 
-    Of the doubtful pairs between different trees, each row's nearest and a least spanning forest are kept,
-    so their number stays under twice the rows. Pairs are gathered in bounded pieces.
+    Of the doubtful pairs between different trees all are kept while they are few (eight a row); else each row's
+    nearest and a least spanning forest. Pairs are gathered in bounded pieces.
     """
     n, words = fps.shape
     edges = [(i, j, 0) for i, j in forest(fps, sure)]
@@ -155,6 +155,7 @@ def graded(fps: np.ndarray, sure: int, limit: int) -> list[tuple[int, int, int]]
     stop = np.searchsorted(far[order, 0], far[order, 0] + limit, "right")
     pairs: list[tuple[int, int, int]] = []
     near: dict[int, tuple[int, int]] = {}
+    whole = True
 
     def spanning(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         parent = dict(zip(tree.tolist(), tree.tolist(), strict=True))
@@ -188,8 +189,9 @@ def graded(fps: np.ndarray, sure: int, limit: int) -> list[tuple[int, int, int]]
                 near[x] = min(near.get(x, (apart, y)), (apart, y))
             pairs.append((apart, i, j))
         if len(pairs) > 500_000:
-            pairs = spanning(pairs)
-    kept = {(d, min(i, j), max(i, j)) for d, i, j in spanning(pairs)} | {(d, min(i, j), max(i, j)) for i, (d, j) in near.items()}
+            pairs, whole = spanning(pairs), False
+    chosen = pairs if whole and len(pairs) <= 8 * n else spanning(pairs)
+    kept = {(d, min(i, j), max(i, j)) for d, i, j in chosen} | {(d, min(i, j), max(i, j)) for i, (d, j) in near.items()}
     return edges + [(i, j, d) for d, i, j in sorted(kept)]
 
 
@@ -247,7 +249,7 @@ def _in_buckets(keyed: DataFrame, limit: int, words: int, sure: int | None = Non
             yield link(pa.Table.from_batches(held))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    dealt = keyed.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
     return dealt.mapInArrow(run, "a long, b long, d int")
 
 
