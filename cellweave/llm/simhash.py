@@ -23,11 +23,12 @@ gives an empty result. Further columns of the input are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,7 +132,8 @@ def graded(fps: np.ndarray, sure: int, limit: int) -> list[tuple[int, int, int]]
     """Edges (i, j, bits apart): a forest within `sure` bits, then what may join its trees within `limit` bits.
 
     Of the doubtful pairs between different trees all are kept while they are few (eight a row); else each row's
-    nearest and a least spanning forest. Pairs are gathered in bounded pieces.
+    nearest and a least spanning forest. Pairs are gathered in bounded pieces. These edges only come first: what
+    they leave apart `exact_forest` compares.
     """
     n, words = fps.shape
     edges = [(i, j, 0) for i, j in forest(fps, sure)]
@@ -195,10 +197,40 @@ def graded(fps: np.ndarray, sure: int, limit: int) -> list[tuple[int, int, int]]
     return edges + [(i, j, d) for d, i, j in sorted(kept)]
 
 
-def _in_buckets(keyed: DataFrame, limit: int, words: int, sure: int | None = None) -> DataFrame:
-    """Edges (a, b, d) among the rows (bucket, node, bits) that share a bucket; hot buckets are dealt in chunk pairs.
+def exact_forest(shingles: np.ndarray, stops: np.ndarray, tree: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges (i, j) that connect all sets of that Jaccard similarity, counted exactly, where trees already hold together.
 
-    With `sure`, d is 0 for the edges within that many bits and the distance of the doubtful others.
+    Set i is shingles[stops[i] : stops[i + 1]]. Every pair between two trees is compared, except by size if it alone
+    tells them apart.
+    """
+    n, size = len(tree), np.diff(stops)
+    label = np.unique(tree, return_inverse=True)[1]
+    if n < 2 or label.max() == 0:
+        return []
+    names, flat = np.unique(shingles, return_inverse=True)
+    ids = np.split(flat, stops[1:-1])
+    held = np.zeros(len(names), bool)
+    edges = []
+    for i in range(n - 1):
+        at = np.arange(i + 1, n)
+        at = at[(label[at] != label[i]) & (np.minimum(size[at], size[i]) >= similarity * np.maximum(size[at], size[i])) & (size[at] > 0)]
+        if not len(at):
+            continue
+        held[ids[i]] = True
+        for part in np.array_split(at, -(-len(at) // 256)):
+            common = np.add.reduceat(held[np.concatenate([ids[j] for j in part])], np.append(0, np.cumsum(size[part])[:-1]), dtype=np.int64)
+            for j in part[common >= similarity * (size[part] + size[i] - common)].tolist():
+                if label[j] != label[i]:
+                    edges.append((i, j))
+                    label[label == label[j]] = label[i]
+        held[ids[i]] = False
+    return edges
+
+
+def _in_buckets(keyed: DataFrame, find: Callable[[pa.Array], list[tuple[int, int]]]) -> DataFrame:
+    """Edges (a, b) that `find` sees among the rows (bucket, node, bits) of a bucket; hot buckets are dealt in chunk pairs.
+
+    find takes the bits of the rows that meet and gives pairs of their positions.
     """
     spark = keyed.sparkSession
     hot = checkpoint(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > BUCKET))
@@ -219,17 +251,14 @@ def _in_buckets(keyed: DataFrame, limit: int, words: int, sure: int | None = Non
         def link(rows: pa.Table) -> pa.RecordBatch:
             group = [rows.column(k).to_numpy() for k in (0, 3, 4)]
             node = rows.column(1).to_numpy()
-            raw = rows.column(2).combine_chunks()
-            bits = np.frombuffer(b"".join(raw.to_pylist()), _U64).reshape(-1, words) if pa.types.is_binary(raw.type) else raw.to_numpy(zero_copy_only=False).view(_U64).reshape(-1, 1)
+            bits = pa.concat_arrays(rows.column(2).chunks)
             first = np.flatnonzero(np.append(True, np.any([g[1:] != g[:-1] for g in group], axis=0)))
-            a, b, d = [], [], []
+            a, b = [], []
             for start, end in zip(first.tolist(), np.append(first[1:], len(node)).tolist(), strict=True):
-                own = bits[start:end]
-                for i, j, apart in [(i, j, 0) for i, j in forest(own, limit)] if sure is None else graded(own, sure, limit):
+                for i, j in find(bits.slice(start, end - start)):
                     a.append(node[start + i])
                     b.append(node[start + j])
-                    d.append(apart)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], names=["a", "b", "d"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         def last_start(batch: pa.RecordBatch) -> int:
             """Where the last bucket of a batch begins."""
@@ -250,7 +279,7 @@ def _in_buckets(keyed: DataFrame, limit: int, words: int, sure: int | None = Non
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
-    return dealt.mapInArrow(run, "a long, b long, d int")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def segment_masks(n: int, limit: int = BITS) -> list[int]:
@@ -267,7 +296,7 @@ def link(fps: DataFrame, limit: int = BITS) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints fps (fp) within `limit` bits."""
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in segment_masks(fps.count(), limit)]
     buckets = F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed))))
-    return _in_buckets(fps.select(buckets.alias("bucket"), F.col("fp").alias("node"), F.col("fp").alias("bits")), limit, 1)
+    return _in_buckets(fps.select(buckets.alias("bucket"), F.col("fp").alias("node"), F.col("fp").alias("bits")), lambda bits: forest(bits.to_numpy(zero_copy_only=False).view(_U64).reshape(-1, 1), limit))
 
 
 def classes(docs: DataFrame, ngram: int = 4, limit: int = BITS) -> DataFrame:
@@ -314,13 +343,8 @@ def wide_limit(similarity: float = SIMILARITY, bits: int = 64 * WORDS64) -> int:
     return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def _verified(docs: DataFrame, rows: DataFrame, edges: DataFrame, similarity: float, ngram: int) -> DataFrame:
-    """The edges (a, b) between nodes whose shingle sets have that Jaccard similarity, counted exactly.
-
-    One document stands for each node; only documents of doubtful edges are shingled again.
-    """
-    edges = checkpoint(edges)
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, ngram: int) -> DataFrame:
+    """node, s: the shingle set of each of the nodes. One document stands for each, and only those are shingled again."""
     chosen = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
     texts = docs.selectExpr("text", *(f"{e} as {k}" for k, e in ROW_KEYS.items())).join(chosen, ["k1", "k2"]).select("node", "text")
 
@@ -330,12 +354,26 @@ def _verified(docs: DataFrame, rows: DataFrame, edges: DataFrame, similarity: fl
                 sets = [np.unique(shingle_hashes(t or "", ngram)).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
-    sets = checkpoint(texts.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"]))
+    return checkpoint(texts.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"]))
+
+
+def _verified(docs: DataFrame, rows: DataFrame, edges: DataFrame, similarity: float, ngram: int) -> DataFrame:
+    """The edges (a, b) between nodes whose shingle sets have that Jaccard similarity, counted exactly."""
+    edges = checkpoint(edges)
+    sets = _sets(docs, rows, edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), ngram)
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _between_trees(keyed: DataFrame, edges: DataFrame) -> DataFrame:
+    """keyed (bucket, node, ...) with tree (the component of node over edges), of the buckets that hold two trees."""
+    treed = keyed.join(components(edges).withColumnRenamed("root", "tree"), "node", "left").withColumn("tree", F.coalesce("tree", "node"))
+    treed = checkpoint(treed)
+    several = checkpoint(treed.groupBy("bucket").agg(F.min("tree").alias("x"), F.max("tree").alias("y")).where("x < y").select("bucket"))
+    return treed.join(F.broadcast(several) if several.count() <= BROADCAST_KEYS else several, "bucket")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int = NGRAM) -> DataFrame:
     """doc_id, k1, k2 (hashes of doc_id and text), root and component_id of each row of docs (doc_id, text).
 
@@ -360,10 +398,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
     distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
     keyed = distinct.select(F.explode("keys").alias("bucket"), "node", "bits")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    # Well above the similarity the wide fingerprints decide; about it, the shingles themselves.
-    found = checkpoint(_in_buckets(checkpoint(keyed.join(shared, "bucket")), wide_limit(similarity - MARGIN), WORDS64, wide_limit(similarity + MARGIN)))
-    doubtful = found.where("d > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = found.where("d = 0").select("a", "b").union(_verified(docs, rows, doubtful, similarity, ngram))
+    # The wide fingerprints only propose; the shingles decide, first on likely pairs, then on all between the trees.
+    keyed = checkpoint(keyed.join(shared, "bucket"))
+    sure, limit = wide_limit(similarity + MARGIN), wide_limit(similarity - MARGIN)
+
+    def likely(bits: pa.Array) -> list[tuple[int, int]]:
+        return [(i, j) for i, j, _ in graded(np.frombuffer(b"".join(bits.to_pylist()), _U64).reshape(-1, WORDS64), sure, limit)]
+
+    found = _in_buckets(keyed, likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = checkpoint(_verified(docs, rows, found, similarity, ngram))
+    apart = checkpoint(_between_trees(keyed.select("bucket", "node"), edges))
+    sets = _sets(docs, rows, apart.select("node").distinct(), ngram)
+
+    def compare(held: pa.Array) -> list[tuple[int, int]]:
+        tree, own = (pc.struct_field(held, k) for k in (0, 1))
+        stops = np.append(0, np.cumsum(pc.list_value_length(own).to_numpy()))
+        return exact_forest(own.flatten().to_numpy(), stops, tree.to_numpy(), similarity)
+
+    edges = checkpoint(edges.union(_in_buckets(apart.join(sets, "node").select("bucket", "node", F.struct("tree", "s").alias("bits")), compare)))
     return _closed(rows.select("doc_id", "k1", "k2", "node"), "node", distinct.select("node", "rep", "copies"), edges)
 
 

@@ -181,6 +181,35 @@ def test_graded_edges_join_what_is_near():
     assert len({sets.find(k) for k in range(120)}) == 40
 
 
+def family(rng, n, words, changes, name):
+    base = [f"{name}{k}" for k in range(words)]
+    for c in range(n):
+        copy = list(base)
+        for at in rng.sample(range(words), changes):
+            copy[at] = f"{name}x{c}x{at}"
+        yield " ".join(copy)
+
+
+def assert_closure(spark, texts):
+    """near_duplicates gives the components of all pairs at 0.8 or more."""
+    sets = Sets()
+    for i, a in enumerate(texts):
+        sets.find(i)
+        for j in range(i):
+            if jaccard(a, texts[j]) >= 0.8:
+                sets.join(i, j)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert got == {i: sets.find(i) for i in range(len(texts))}
+    return len(set(got.values()))
+
+
+def test_families_about_the_threshold_are_linked_whole(spark):
+    rng = random.Random(8)
+    texts = [t for k in range(4) for t in family(rng, 60, 400, 5, f"f{k}w")]
+    assert assert_closure(spark, texts) == 4
+
+
 def test_drop_near_duplicates_edges(edge, empty):
     kept = simhash.drop_near_duplicates(edge)
     ids = [r["doc_id"] for r in kept.collect()]
