@@ -11,9 +11,10 @@ survivors are verified. Pairs already connected are skipped and each bucket emit
 pairs. Buckets beyond `BUCKET` are dealt in pairs of chunks to separate tasks, so a hot bucket is split
 without losing a pair. Components are closed over the forests.
 
-`near_duplicates` groups texts of similarity >= 0.8 on five-word shingles. A 64-bit fingerprint tells such
-pairs apart only roughly, so it takes 512 bits for the same pivot test, buckets by least shingle hashes
-(three of them a key, eight keys a text), and verifies survivors near the threshold on their shingles.
+`near_duplicates` groups texts of similarity >= 0.8 on five-word shingles. All links are counted exactly on
+shingle sets, in three steps: likely pairs by 512 bits inside buckets of least shingle hashes (three of them a
+key, eight keys a text); all pairs between different trees of those buckets; and, for texts that share no key,
+all pairs between trees that share a shingle of their prefixes, which no pair at the similarity can avoid.
 
 Nulls: a null text has no words and fingerprint zero, linked like any other; a null doc_id never is a
 component's id unless it is alone. Repeated rows share a component and each get a row. An empty table
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import checkpoint, slices, write_table
@@ -49,8 +50,10 @@ NGRAM, SIMILARITY, WORDS64, KEYS, KEY_HASHES = 5, 0.8, 8, 8, 3
 ROW_KEYS = {"k1": "xxhash64(cast(doc_id as long), text)", "k2": "xxhash64(text, cast(doc_id as long), 7)"}
 #: Rows of one key from which on it is joined by broadcast, as long as such keys are not too many.
 HOT_COPIES, BROADCAST_KEYS = 1000, 100_000
-#: Around the similarity asked for, pairs are verified on their shingles.
+#: Around the similarity asked for, pairs within so much by their bits are compared first.
 MARGIN = 0.08
+#: Documents whose shingles are counted for the order in prefixes, and how many frequent shingles are kept.
+SAMPLE, OFTEN = 4000, 200_000
 _U64 = np.uint64
 
 
@@ -227,6 +230,30 @@ def exact_forest(shingles: np.ndarray, stops: np.ndarray, tree: np.ndarray, simi
     return edges
 
 
+def prefix(hashes: np.ndarray, similarity: float, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles (sorted, distinct) of which two sets of that Jaccard similarity share one.
+
+    They are the first n - ceil(similarity n) + 1 by count among `often` (0 for others), then hash. Any order that all
+    sets keep loses no pair; this one leaves out what is in many documents.
+    """
+    count = np.zeros(len(hashes), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        count = np.where(often[at] == hashes, counts[at], 0)
+    kept = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    return hashes[np.argsort(count, kind="stable")[:kept]]
+
+
+def partners(size: np.ndarray, tree: np.ndarray, keys: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """All pairs (i, j) between trees but those whose sizes differ too much or that share a key, so were compared."""
+    out = []
+    for i in range(len(size) - 1):
+        at = np.arange(i + 1, len(size))
+        at = at[(tree[at] != tree[i]) & (np.minimum(size[at], size[i]) >= similarity * np.maximum(size[at], size[i]))]
+        out += [(i, j) for j in at[~(keys[at] == keys[i]).any(1)].tolist()]
+    return out
+
+
 def _in_buckets(keyed: DataFrame, find: Callable[[pa.Array], list[tuple[int, int]]]) -> DataFrame:
     """Edges (a, b) that `find` sees among the rows (bucket, node, bits) of a bucket; hot buckets are dealt in chunk pairs.
 
@@ -366,6 +393,24 @@ def _verified(docs: DataFrame, rows: DataFrame, edges: DataFrame, similarity: fl
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _often(docs: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several documents of a bounded sample, sorted, and their counts there. They only steer the order."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.expr(ROW_KEYS["k1"]), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                found = [np.unique(shingle_hashes(t or "", ngram)) for t in part.column(0).to_pylist()]
+                h, k = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k)], names=["h", "k"])
+
+    top = some.mapInArrow(run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).where("k > 2").orderBy(F.desc("k"), "h").limit(OFTEN).toArrow()
+    h, k = top.column(0).to_numpy().view(_U64), top.column(1).to_numpy()
+    order = np.argsort(h)
+    return h[order], k[order]
+
+
 def _between_trees(keyed: DataFrame, edges: DataFrame) -> DataFrame:
     """keyed (bucket, node, ...) with tree (the component of node over edges), of the buckets that hold two trees."""
     treed = keyed.join(components(edges).withColumnRenamed("root", "tree"), "node", "left").withColumn("tree", F.coalesce("tree", "node"))
@@ -377,9 +422,10 @@ def _between_trees(keyed: DataFrame, edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int = NGRAM) -> DataFrame:
     """doc_id, k1, k2 (hashes of doc_id and text), root and component_id of each row of docs (doc_id, text).
 
-    Texts of about `similarity` or more on `ngram`-word shingles are linked; component_id is the least
+    Texts of `similarity` or more on `ngram`-word shingles are linked; component_id is the least
     doc_id of the group. Texts without words form a group of their own.
     """
+    often, counts = _often(docs, ngram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,15 +433,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
                 found = []
                 for t in part.column(1).to_pylist():
                     hashes = np.unique(shingle_hashes(t or "", ngram))
-                    found.append((xxhash.xxh64_intdigest(hashes.tobytes(), SEED), *sketch(hashes)))
+                    found.append((xxhash.xxh64_intdigest(hashes.tobytes(), SEED), *sketch(hashes), len(hashes), prefix(hashes, similarity, often, counts).view(np.int64)))
                 node = np.asarray([f[0] for f in found], _U64).view(np.int64)
                 bits, keys = pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(node), bits, keys], names=["doc_id", "k1", "k2", "node", "bits", "keys"])
+                size, first = pa.array([f[3] for f in found], pa.int32()), pa.array([f[4] for f in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(node), bits, keys, size, first], names=["doc_id", "k1", "k2", "node", "bits", "keys", "size", "prefix"])
 
     keyed_docs = docs.selectExpr("cast(doc_id as long) doc_id", "text", *(f"{e} as {k}" for k, e in ROW_KEYS.items()))
-    rows = write_table(keyed_docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, bits binary, keys array<long>"), "sketches")
+    rows = write_table(keyed_docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, bits binary, keys array<long>, size int, prefix array<long>"), "sketches")
     # node stands for the set of shingles: copies are collapsed before any bucket is made.
-    distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
+    distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("bits", "keys", "size", "prefix"))))
     keyed = distinct.select(F.explode("keys").alias("bucket"), "node", "bits")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     # The wide fingerprints only propose; the shingles decide, first on likely pairs, then on all between the trees.
@@ -416,6 +463,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
         return exact_forest(own.flatten().to_numpy(), stops, tree.to_numpy(), similarity)
 
     edges = checkpoint(edges.union(_in_buckets(apart.join(sets, "node").select("bucket", "node", F.struct("tree", "s").alias("bits")), compare)))
+    # Pairs that share no key: what shares a shingle of both prefixes and is still apart.
+    firsts = distinct.select(F.explode("prefix").alias("bucket"), "node").withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
+    apart = _between_trees(checkpoint(firsts.where("n > 1").drop("n")), edges)
+    apart = apart.join(distinct.select("node", "size", "keys"), "node").select("bucket", "node", F.struct("tree", "size", "keys").alias("bits"))
+
+    def pair(held: pa.Array) -> list[tuple[int, int]]:
+        tree, size, keys = (pc.struct_field(held, k) for k in (0, 1, 2))
+        return partners(size.to_numpy(), tree.to_numpy(), keys.flatten().to_numpy().reshape(-1, KEYS), similarity)
+
+    # Beyond both prefixes two sets share no more than the longer rest, so with what they share inside most are too few.
+    found = _in_buckets(apart, pair).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("common"))
+    for k in ("a", "b"):
+        found = found.join(distinct.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), (F.col("size") - F.size("prefix")).alias(f"rest_{k}")), k)
+    enough = F.col("common") + F.greatest("rest_a", "rest_b") >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
+    found = found.where(enough).select("a", "b")
+    edges = edges.union(_verified(docs, rows, found, similarity, ngram))
     return _closed(rows.select("doc_id", "k1", "k2", "node"), "node", distinct.select("node", "rep", "copies"), edges)
 
 

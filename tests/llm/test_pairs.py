@@ -210,6 +210,31 @@ def test_families_about_the_threshold_are_linked_whole(spark):
     assert assert_closure(spark, texts) == 4
 
 
+def test_pairs_that_share_no_key_are_linked(spark, monkeypatch):
+    sketch = simhash.sketch
+
+    def apart(hashes):  # no two texts share a key
+        wide, keys = sketch(hashes)
+        return wide, [int(hashes.sum() % 2**61) + k for k in range(len(keys))]
+
+    monkeypatch.setattr(simhash, "sketch", apart)
+    rng = random.Random(9)
+    texts = [t for k in range(30) for t in family(rng, 2, 100 + 8 * k, 1 + k % 3, f"f{k}w")]
+    assert 30 <= assert_closure(spark, texts) < 60
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(6)
+    often = np.arange(0, 400, 3, dtype=np.uint64)
+    counts = rng.integers(3, 9, len(often))
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        a = rng.choice(1000, n, replace=False)
+        b = a[: int(np.ceil(0.8 * n))]
+        firsts = [set(simhash.prefix(np.unique(x).astype(np.uint64), 0.8, often, counts).tolist()) for x in (a, b)]
+        assert firsts[0] & firsts[1]
+
+
 def test_drop_near_duplicates_edges(edge, empty):
     kept = simhash.drop_near_duplicates(edge)
     ids = [r["doc_id"] for r in kept.collect()]
