@@ -1,25 +1,26 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms around them.
 
 All of it is DataFrame expressions. Base spans (email, ip, card, phone) come from four patterns and their
-checks. Each distinct value found is a protected entity. A term (a word of four letters or more) within
-`REACH` characters of an entity reveals it as far as the corpus says so:
+checks. Each distinct value found is a protected entity. A term (a word of four letters or more), wherever it
+stands in a text that holds an entity, reveals it as far as the corpus says so:
 
-    PMI(t; e) / IC(e) = log2(N n(t,e) / (n(t) n(e))) / log2(N / n(e))
+    PMI(t; e) / IC(e) = log2(p(e | t) / p(e)) / log2(1 / p(e))
 
-in document counts over the whole corpus, 1 if the term occurs nowhere else. A term at or over
-`generalise_at` is generalised in the contexts of that entity, at or over `remove_at` removed. It needs
-`support` different contexts of the entity first, so copies of one passage are no evidence, and texts
-without an entity are never touched.
+A term at or over `generalise_at` is generalised in all texts of that entity, at or over `remove_at` removed.
+Counts are of distinct texts, those with one context of the entity (`REACH` characters about it) as one, so copies
+of a text or passage are no evidence. Small counts weigh less: of n texts with the term, k of them with the entity,
+p(e | t) = (k - 1 + p(e)) / n, since the text that brings a pair up says nothing for it. One text alone gives
+at most p(e), two that no other text speaks against about a half. Texts without an entity are never touched.
 
 Offsets are code points, ends exclusive. Kinds in `spans`: email, ip, card, phone, term.
 
 Nulls: a null text is empty and has no spans; a null doc_id is passed through. Repeated rows each get a
-row (their contexts count once). Empty input gives an empty result. Further columns are not read.
+row (their text counts once). Empty input gives an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import checkpoint
@@ -36,6 +37,7 @@ PATTERNS = {
 # What a text must hold for a pattern to match at all.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 _IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+TERM = r"(?<!\p{L})\p{L}{4,}+"
 REACH = 80
 #: Sanitising terms of up to so many rows are broadcast (about 60 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -105,48 +107,70 @@ def with_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("base", base_spans(F.col("text")))
 
 
-def contexts(docs: DataFrame) -> DataFrame:
-    """text_key, entity, context, term, start, end: the terms around each entity of each distinct text."""
-    held = with_spans(docs.select("text").where(F.col("text").rlike("|".join(f"(?:{h})" for h in HINTS.values())))).where(F.size("base") > 0)
-    held = held.select(F.md5("text").alias("text_key"), "text", "base", F.explode("base").alias("s"))
-    start = F.greatest(F.col("s.start") - REACH, F.lit(0))
-    held = held.withColumn("from", start).withColumn("context", F.substring(F.col("text"), start + 1, F.col("s.end") + REACH - start))
-    held = held.withColumn("entity", F.concat_ws(":", F.col("s.kind").cast("string"), F.lower(F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")))))
-    cut_left, cut_right = F.col("from") > 0, F.col("from") + F.char_length("context") < F.char_length("text")
-    held = held.select("text_key", "entity", "base", "from", "context", cut_left.alias("cut_left"), cut_right.alias("cut_right"))
-    held = held.withColumn("m", F.explode(matches(F.col("context"), r"(?<!\p{L})\p{L}{4,}+")))
-    at, end = F.col("m.start"), F.col("m.start") + F.char_length("m.hit")
-    whole = (~F.col("cut_left") | (at > 0)) & (~F.col("cut_right") | (end < F.char_length("context")))
-    held = held.where(whole).select("text_key", "entity", "base", F.xxhash64("context").alias("context"), F.lower("m.hit").alias("term"), (F.col("from") + at).alias("start"), (F.col("from") + end).alias("end"))
-    return held.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).drop("base")
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def revealing(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float = 0.95, support: int = 3) -> DataFrame:
+def entities(held: DataFrame) -> DataFrame:
+    """entity, text_key, context: what each text of held (text_key, text, base) protects, and the text around it."""
+    own = held.select("text_key", "text", F.explode("base").alias("s"))
+    start, end = F.col("s.start"), F.col("s.end")
+    value = F.concat_ws(":", F.col("s.kind").cast("string"), F.lower(F.substring(F.col("text"), start + 1, end - start)))
+    first = F.greatest(start - REACH, F.lit(0))
+    return own.select(value.alias("entity"), "text_key", F.xxhash64(F.substring(F.col("text"), first + 1, end + REACH - first)).alias("context")).distinct()
+
+
+def term_places(held: DataFrame) -> DataFrame:
+    """text_key, term, start, end of the terms of held (text_key, text, base) outside its base spans."""
+    steps = F.arrays_zip(F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)).alias("hit"))
+    rows = held.select("text_key", "base", F.posexplode(steps).alias("at", "step"))
+    hit = F.coalesce(F.char_length("step.hit"), F.lit(0))
+    before = Window.partitionBy("text_key").orderBy("at")
+    rows = rows.select("text_key", "base", F.lower("step.hit").alias("term"), F.sum(F.char_length("step.gap") + hit).over(before).cast("int").alias("end"), hit.alias("n"))
+    rows = rows.where("term is not null").withColumn("start", F.col("end") - F.col("n"))
+    return rows.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).select("text_key", "term", "start", "end")
+
+
+def revealing(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """text_key, extra: the term spans (start, end, removed) of the texts in which terms reveal an entity."""
     spark = docs.sparkSession
-    near = checkpoint(contexts(docs))
-    pairs = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
+
+    def small(df: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+    texts = docs.select("text").where("text is not null").withColumn("text_key", F.md5("text"))
+    held = with_spans(texts.where(F.col("text").rlike("|".join(f"(?:{h})" for h in HINTS.values())))).where(F.size("base") > 0)
+    held = checkpoint(held.dropDuplicates(["text_key"]))
+    own = checkpoint(entities(held))
+    counted = [F.countDistinct("text_key").alias("texts"), F.countDistinct("context").alias("contexts")]
+    # With a single text or context no term can be over p(e).
+    entity = checkpoint(own.groupBy("entity").agg(*counted).select("entity", F.least("texts", "contexts").alias("n_e")).where("n_e > 1"))
+    n_entity = entity.count()
+    own = checkpoint(own.join(small(entity, n_entity), "entity"))
+    words = held.join(own.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode(terms_of(F.col("text"))).alias("term"))
+    pairs = own.join(words, "text_key").groupBy("entity", "n_e", "term").agg(*counted).withColumn("k", F.least("texts", "contexts")).where("k > 1")
     pairs = checkpoint(pairs)
     n_pairs = pairs.count()
     if not n_pairs:
         return spark.createDataFrame([], "text_key string, extra array<struct<start:int,end:int,removed:boolean>>")
-    small = (lambda df: F.broadcast(df)) if n_pairs <= BROADCAST_ROWS else (lambda df: df)
-    # Document counts: copies of a text weigh as the documents they are.
-    texts = near.select("text_key").distinct()
-    weight = docs.where("text is not null").groupBy(F.md5("text").alias("text_key")).agg(F.count("*").alias("docs")).join(texts, "text_key", "left_semi")
-    # An entity or a pair counts a document once, however often it stands there.
-    entity = near.select("entity", "text_key").distinct().join(weight, "text_key").groupBy("entity").agg(F.sum("docs").alias("n_e"))
-    both = near.join(small(pairs.select("entity", "term")), ["entity", "term"], "left_semi").select("entity", "term", "text_key").distinct()
-    both = both.join(weight, "text_key").groupBy("entity", "term").agg(F.sum("docs").alias("n_te"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    terms = pairs.select("term").distinct()
+    # Each of the copies of a text counts its share, so the texts need not be shuffled to count them once.
+    every = texts.groupBy("text_key").agg(F.count("*").alias("copies"))
+    copied = checkpoint(every.where("copies > 1"))
+    n = F.lit(float(every.count()))
+    shared = texts.join(small(copied, copied.count()), "text_key", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
     # Every word is counted before the join: what meets the sought terms is one row a word, not one a use.
-    term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
-    n = F.lit(float(docs.count()))
-    ratio = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log2(n / F.col("n_e")), F.lit(1e-9))
-    known = both.join(entity, "entity").join(term, "term").withColumn("ratio", ratio).where((F.col("ratio") >= generalise_at) & (F.col("n_e") < n))
-    known = checkpoint(known.select("entity", "term", (F.col("ratio") >= remove_at).alias("removed")))
-    found = near.join(small(known), ["entity", "term"]).groupBy("text_key", "start", "end").agg(F.max("removed").alias("removed"))
+    term = shared.select("share", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.round(F.sum("share")).alias("n_t"))
+    term = term.join(small(pairs.select("term").distinct(), n_pairs), "term", "left_semi")
+    known = pairs.join(term, "term")
+    base_rate = F.col("n_e") / n
+    given = (F.col("k") - 1 + base_rate) / (F.col("n_t") - F.col("texts") + F.col("k"))
+    known = known.withColumn("ratio", F.log2(given / base_rate) / F.greatest(-F.log2(base_rate), F.lit(1e-9)))
+    known = checkpoint(known.where((F.col("ratio") >= generalise_at) & (F.col("n_e") < n)).select("entity", "term", (F.col("ratio") >= remove_at).alias("removed")))
+    wanted = own.select("entity", "text_key").distinct().join(small(known, known.count()), "entity").groupBy("text_key", "term").agg(F.max("removed").alias("removed"))
+    wanted = checkpoint(wanted)
+    marked = held.join(wanted.select("text_key").distinct(), "text_key", "left_semi")
+    found = term_places(marked).join(wanted, ["text_key", "term"])
     extra = found.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("extra"))
     return checkpoint(extra)
 

@@ -120,6 +120,19 @@ def test_terms_that_reveal_an_entity_go(spark):
     assert all(found[100 + k]["clean"] == found[100 + k]["text"] for k in range(300))
 
 
+def test_terms_far_from_a_rare_entity_go(spark):
+    far = "plain words of no account " * 40
+    rows = [(k, f"Zorblax{k} Zorblax opens number{k} {far} and mail kim@corp.example in week {'abc'[k]}{'xyz'[k]}") for k in range(2)]
+    rows += [(10 + k, f"single Quuxfoo{k} {far} mail once{k}@corp.example") for k in range(1)]
+    rows += [(100 + k, f"{far} opens single number{k} and mail in week {k}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.find(df).select("doc_id", "text", "extra", pii.sanitised().alias("clean")).collect()}
+    for k in range(2):
+        assert {found[k]["text"][e["start"] : e["end"]] for e in found[k]["extra"]} == {"Zorblax"} and len(found[k]["extra"]) == 2
+        assert "Zorblax" not in found[k]["clean"]
+    assert not found[10]["extra"] and all(not found[100 + k]["extra"] for k in range(400))
+
+
 def test_pii_edges(edge, empty):
     found = pii.sanitise(edge)
     assert found.columns == edge.columns and found.count() == edge.count()
