@@ -223,6 +223,13 @@ def test_pairs_that_share_no_key_are_linked(spark, monkeypatch):
     assert 30 <= assert_closure(spark, texts) < 60
 
 
+def test_pairs_near_by_bits_but_under_the_threshold_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MARGIN", 0.0)  # many pairs under the threshold are within the sure bits
+    rng = random.Random(12)
+    texts = [t for k in range(40) for t in family(rng, 2, 60, 1, f"f{k}w")]
+    assert 40 < assert_closure(spark, texts) <= 80
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(6)
     often = np.arange(0, 400, 3, dtype=np.uint64)
