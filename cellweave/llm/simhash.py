@@ -411,6 +411,11 @@ def _often(docs: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], k[order]
 
 
+def _release(df: DataFrame) -> None:
+    """Have the shuffle files of finished steps removed: they go when the JVM collects what made them."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _between_trees(keyed: DataFrame, edges: DataFrame) -> DataFrame:
     """keyed (bucket, node, ...) with tree (the component of node over edges), of the buckets that hold two trees."""
     treed = keyed.join(components(edges).withColumnRenamed("root", "tree"), "node", "left").withColumn("tree", F.coalesce("tree", "node"))
@@ -443,6 +448,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
     rows = write_table(keyed_docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, bits binary, keys array<long>, size int, prefix array<long>"), "sketches")
     # node stands for the set of shingles: copies are collapsed before any bucket is made.
     distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("bits", "keys", "size", "prefix"))))
+    _release(docs)
     keyed = distinct.select(F.explode("keys").alias("bucket"), "node", "bits")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     # The wide fingerprints only propose; the shingles decide, first on likely pairs, then on all between the trees.
@@ -454,6 +460,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
 
     found = _in_buckets(keyed, likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = checkpoint(_verified(docs, rows, found, similarity, ngram))
+    _release(docs)
     apart = checkpoint(_between_trees(keyed.select("bucket", "node"), edges))
     sets = _sets(docs, rows, apart.select("node").distinct(), ngram)
 
@@ -463,9 +470,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
         return exact_forest(own.flatten().to_numpy(), stops, tree.to_numpy(), similarity)
 
     edges = checkpoint(edges.union(_in_buckets(apart.join(sets, "node").select("bucket", "node", F.struct("tree", "s").alias("bits")), compare)))
+    _release(docs)
     # Pairs that share no key: what shares a shingle of both prefixes and is still apart.
     firsts = distinct.select(F.explode("prefix").alias("bucket"), "node").withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
-    apart = _between_trees(checkpoint(firsts.where("n > 1").drop("n")), edges)
+    firsts = checkpoint(firsts.where("n > 1").drop("n"))
+    _release(docs)
+    apart = _between_trees(firsts, edges)
     apart = apart.join(distinct.select("node", "size", "keys"), "node").select("bucket", "node", F.struct("tree", "size", "keys").alias("bits"))
 
     def pair(held: pa.Array) -> list[tuple[int, int]]:
