@@ -159,9 +159,14 @@ def revealing(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float =
     copied = checkpoint(every.where("copies > 1"))
     n = F.lit(float(every.count()))
     shared = texts.join(small(copied, copied.count()), "text_key", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
-    # Every word is counted before the join: what meets the sought terms is one row a word, not one a use.
-    term = shared.select("share", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.round(F.sum("share")).alias("n_t"))
-    term = term.join(small(pairs.select("term").distinct(), n_pairs), "term", "left_semi")
+    # A hot term is one row a task either way: few sought terms are met before the shuffle, many after the count.
+    sought = pairs.select("term").distinct()
+    words = shared.select("share", F.explode(terms_of(F.col("text"))).alias("term"))
+    if n_pairs <= BROADCAST_ROWS:
+        words, sought = words.join(F.broadcast(sought), "term", "left_semi"), None
+    term = words.groupBy("term").agg(F.round(F.sum("share")).alias("n_t"))
+    if sought is not None:
+        term = term.join(sought, "term", "left_semi")
     known = pairs.join(term, "term")
     base_rate = F.col("n_e") / n
     given = (F.col("k") - 1 + base_rate) / (F.col("n_t") - F.col("texts") + F.col("k"))
