@@ -6,15 +6,16 @@ that the 64 bits are cut into (pigeonhole), so pairs are searched only among fin
 segments; m grows with their number so that a bucket stays small in expectation, and no pair is lost.
 
 Inside a bucket the Hamming distances to fixed reference fingerprints (pivots) are tabulated. A pair whose
-coordinates differ by more than `bits` anywhere cannot link (triangle inequality) and is discarded; the
-survivors are verified. Pairs already connected are skipped and each bucket emits a forest, never all its
-pairs. Buckets beyond `BUCKET` are dealt in pairs of chunks to separate tasks, so a hot bucket is split
-without losing a pair. Components are closed over the forests.
+coordinates differ by more than `bits` anywhere cannot link (triangle inequality) and is discarded by its
+maximum coordinate difference; the survivors are verified. Pairs already connected are skipped and each bucket
+emits a forest, never all its pairs. Buckets beyond `BUCKET` are dealt in pairs of chunks to separate tasks, so
+a hot bucket is split without losing a pair. Components are closed over the forests.
 
 `near_duplicates` groups texts of similarity >= 0.8 on five-word shingles. All links are counted exactly on
-shingle sets, in three steps: likely pairs by 512 bits inside buckets of least shingle hashes (three of them a
-key, eight keys a text); all pairs between different trees of those buckets; and, for texts that share no key,
-all pairs between trees that share a shingle of their prefixes, which no pair at the similarity can avoid.
+shingle sets, in three steps: each text with the nearest one by fingerprint, found by pivots inside buckets of
+least shingle hashes (three of them a key, eight keys a text); all pairs between different trees of those buckets;
+and, for texts that share no key, all pairs between trees that share a shingle of their prefixes, which no pair at
+the similarity can avoid. So fingerprints and keys only set the order of work: no link depends on them.
 
 Nulls: a null text has no words and fingerprint zero, linked like any other; a null doc_id never is a
 component's id unless it is alone. Repeated rows share a component and each get a row. An empty table
@@ -23,6 +24,7 @@ gives an empty result. Further columns of the input are not read.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
@@ -31,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import checkpoint, slices, write_table
@@ -44,14 +46,16 @@ BUCKET = 4096
 #: Fingerprints expected in a bucket at most.
 EXPECTED = 1000
 PIVOTS = 12
-#: The near-duplicate search: words a shingle, similarity, words of 64 bits, keys, hashes a key.
-NGRAM, SIMILARITY, WORDS64, KEYS, KEY_HASHES = 5, 0.8, 8, 8, 3
+#: The near-duplicate search: words a shingle, similarity, keys, hashes a key, bits between likely partners.
+NGRAM, SIMILARITY, KEYS, KEY_HASHES, LIKELY = 5, 0.8, 8, 3, 13
 #: Two hashes that stand for a row.
 ROW_KEYS = {"k1": "xxhash64(cast(doc_id as long), text)", "k2": "xxhash64(text, cast(doc_id as long), 7)"}
-#: Rows of one key from which on it is joined by broadcast, as long as such keys are not too many.
-HOT_COPIES, BROADCAST_KEYS = 1000, 100_000
-#: Around the similarity asked for, pairs within so much by their bits are compared first.
-MARGIN = 0.08
+#: Rows of one key from which on it is joined by broadcast, while such keys are not too many; else they are salted.
+HOT_COPIES, BROADCAST_KEYS, SALTS = 50, 100_000, 8
+#: Rows that one task of a dealt table gets at most, in expectation.
+TASK_ROWS = 500_000
+#: Distinct words whose hash a worker keeps.
+WORDS_KEPT = 500_000
 #: Documents whose shingles are counted for the order in prefixes, and how many frequent shingles are kept.
 SAMPLE, OFTEN = 4000, 200_000
 _U64 = np.uint64
@@ -99,105 +103,48 @@ def fingerprints(docs: DataFrame, ngram: int = 4) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def forest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Edges (i, j) that connect all rows of fps (n x words of 64 bits) within `limit` bits, n - 1 at most.
+def survivors(fps: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """i, the rows j that follow it in the pivot table and are within `limit` bits of it, and how many bits apart.
 
-    Rows are ordered by their distance to the first pivot, so a row's partners lie in a window of it.
+    The table is sorted by the distance to the first pivot, so a row's partners lie in a window of it; of the window
+    all rows with a larger coordinate difference anywhere are discarded, and the rest is verified.
     """
-    n, words = fps.shape
-    if n < 2:
-        return []
-    pivots = mix(np.arange(PIVOTS * words, dtype=_U64), 77).reshape(PIVOTS, words)
-    far = np.stack([np.bitwise_count(fps ^ p).sum(1, dtype=np.int16) for p in pivots], 1)
+    pivots = mix(np.arange(PIVOTS, dtype=_U64), 77)
+    far = np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
     order = np.argsort(far[:, 0], kind="stable")
     fps, far = fps[order], far[order]
-    label = np.arange(n)
     stop = np.searchsorted(far[:, 0], far[:, 0] + limit, "right")
+    for i in range(len(fps) - 1):
+        near = np.flatnonzero(np.abs(far[i + 1 : stop[i]] - far[i]).max(1, initial=0) <= limit) + i + 1
+        apart = np.bitwise_count(fps[near] ^ fps[i])
+        held = apart <= limit
+        if held.any():
+            yield int(order[i]), order[near[held]], apart[held]
+
+
+def forest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Edges (i, j) that connect all of the fingerprints within `limit` bits, n - 1 at most."""
+    label = np.arange(len(fps))
     edges = []
-    for i in range(n - 1):
-        at = np.arange(i + 1, stop[i])
-        at = at[label[at] != label[i]]
-        for k in range(1, PIVOTS):
-            if len(at) < 8:
-                break
-            at = at[np.abs(far[at, k] - far[i, k]) <= limit]
-        if not len(at):
-            continue
-        at = at[np.bitwise_count(fps[at] ^ fps[i]).sum(1, dtype=np.int16) <= limit]
-        for j in at.tolist():
+    for i, near, _ in survivors(fps, limit):
+        for j in near.tolist():
             if label[j] != label[i]:
-                edges.append((int(order[i]), int(order[j])))
+                edges.append((i, j))
                 label[label == label[j]] = label[i]
     return edges
 
 
-def graded(fps: np.ndarray, sure: int, limit: int) -> list[tuple[int, int, int]]:
-    """Edges (i, j, bits apart): a forest within `sure` bits, then what may join its trees within `limit` bits.
-
-    Of the doubtful pairs between different trees all are kept while they are few (eight a row); else each row's
-    nearest and a least spanning forest. Pairs are gathered in bounded pieces. These edges only come first: what
-    they leave apart `exact_forest` compares.
-    """
-    n, words = fps.shape
-    edges = [(i, j, 0) for i, j in forest(fps, sure)]
-    label = np.arange(n)
-
-    def find(k: int) -> int:
-        while label[k] != k:
-            label[k] = label[label[k]]
-            k = int(label[k])
-        return k
-
-    for i, j, _ in edges:
-        a, b = find(i), find(j)
-        label[max(a, b)] = min(a, b)
-    tree = np.asarray([find(k) for k in range(n)])
-    if len(np.unique(tree)) < 2:
-        return edges
-    pivots = mix(np.arange(PIVOTS * words, dtype=_U64), 77).reshape(PIVOTS, words)
-    far = np.stack([np.bitwise_count(fps ^ p).sum(1, dtype=np.int16) for p in pivots], 1)
-    order = np.argsort(far[:, 0], kind="stable")
-    stop = np.searchsorted(far[order, 0], far[order, 0] + limit, "right")
-    pairs: list[tuple[int, int, int]] = []
-    near: dict[int, tuple[int, int]] = {}
-    whole = True
-
-    def spanning(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        parent = dict(zip(tree.tolist(), tree.tolist(), strict=True))
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        out = []
-        for d, i, j in sorted(found):
-            a, b = root(int(tree[i])), root(int(tree[j]))
-            if a != b:
-                parent[a] = b
-                out.append((d, i, j))
-        return out
-
-    for k in range(n - 1):
-        i = int(order[k])
-        at = order[k + 1 : stop[k]]
-        at = at[tree[at] != tree[i]]
-        for p in range(1, PIVOTS):
-            if len(at) < 8:
-                break
-            at = at[np.abs(far[at, p] - far[i, p]) <= limit]
-        d = np.bitwise_count(fps[at] ^ fps[i]).sum(1, dtype=np.int16)
-        at, d = at[d <= limit], d[d <= limit]
-        for j, apart in zip(at.tolist(), d.tolist(), strict=True):
-            for x, y in ((i, j), (j, i)):
-                near[x] = min(near.get(x, (apart, y)), (apart, y))
-            pairs.append((apart, i, j))
-        if len(pairs) > 500_000:
-            pairs, whole = spanning(pairs), False
-    chosen = pairs if whole and len(pairs) <= 8 * n else spanning(pairs)
-    kept = {(d, min(i, j), max(i, j)) for d, i, j in chosen} | {(d, min(i, j), max(i, j)) for i, (d, j) in near.items()}
-    return edges + [(i, j, d) for d, i, j in sorted(kept)]
+def nearest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Edges (i, j) of each row to the fingerprint nearest to it within `limit` bits, n at most."""
+    least = np.full(len(fps), limit + 1)
+    partner = np.full(len(fps), -1)
+    for i, near, apart in survivors(fps, limit):
+        k = int(np.argmin(apart))
+        if apart[k] < least[i]:
+            least[i], partner[i] = apart[k], near[k]
+        better = apart < least[near]
+        least[near[better]], partner[near[better]] = apart[better], i
+    return sorted({(min(i, j), max(i, j)) for i, j in enumerate(partner.tolist()) if j >= 0})
 
 
 def exact_forest(shingles: np.ndarray, stops: np.ndarray, tree: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -254,12 +201,17 @@ def partners(size: np.ndarray, tree: np.ndarray, keys: np.ndarray, similarity: f
     return out
 
 
+def parts_of(spark: SparkSession, rows: int) -> int:
+    """Tasks that a table of so many rows is dealt to: those of the session, more if a task would get too many rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def _in_buckets(keyed: DataFrame, find: Callable[[pa.Array], list[tuple[int, int]]]) -> DataFrame:
     """Edges (a, b) that `find` sees among the rows (bucket, node, bits) of a bucket; hot buckets are dealt in chunk pairs.
 
     find takes the bits of the rows that meet and gives pairs of their positions.
     """
-    spark = keyed.sparkSession
+    spark, rows = keyed.sparkSession, keyed.count()
     hot = checkpoint(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > BUCKET))
     if not hot.isEmpty():
         chunks = F.ceil(F.col("size") / F.lit(BUCKET // 2)).cast("int")
@@ -304,8 +256,7 @@ def _in_buckets(keyed: DataFrame, find: Callable[[pa.Array], list[tuple[int, int
         if held:
             yield link(pa.Table.from_batches(held))
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
+    dealt = keyed.repartition(parts_of(spark, rows), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -323,7 +274,7 @@ def link(fps: DataFrame, limit: int = BITS) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints fps (fp) within `limit` bits."""
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in segment_masks(fps.count(), limit)]
     buckets = F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed))))
-    return _in_buckets(fps.select(buckets.alias("bucket"), F.col("fp").alias("node"), F.col("fp").alias("bits")), lambda bits: forest(bits.to_numpy(zero_copy_only=False).view(_U64).reshape(-1, 1), limit))
+    return _in_buckets(fps.select(buckets.alias("bucket"), F.col("fp").alias("node"), F.col("fp").alias("bits")), lambda bits: forest(bits.to_numpy(zero_copy_only=False).view(_U64), limit))
 
 
 def classes(docs: DataFrame, ngram: int = 4, limit: int = BITS) -> DataFrame:
@@ -345,49 +296,85 @@ def _closed(rows: DataFrame, key: str, distinct: DataFrame, edges: DataFrame) ->
     linked = member.join(least, "root").select(key, "root", "least")
     every = distinct.join(linked, key, "left")
     every = every.select(key, F.coalesce("root", key).alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"), "copies")
-    # Keys of many copies, at most a thousandth of the rows, join without a shuffle; the rest have few rows a key.
-    hot = checkpoint(every.where(F.col("copies") > HOT_COPIES))
+    # Keys of many copies join without a shuffle; the rest have few rows a key.
+    every = checkpoint(every)
+    hot = every.where(F.col("copies") > HOT_COPIES).drop("copies")
     n_hot = hot.count()
-    if not n_hot or n_hot > BROADCAST_KEYS:
+    if not n_hot:
         return rows.join(every.drop("copies"), key)
-    often = rows.join(F.broadcast(hot.drop("copies")), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(every.where(F.col("copies") <= HOT_COPIES).drop("copies"), key)
-    return often.unionByName(rest)
+    if n_hot <= BROADCAST_KEYS:
+        often = rows.join(F.broadcast(hot), key)
+        rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(every.where(F.col("copies") <= HOT_COPIES).drop("copies"), key)
+        return often.unionByName(rest)
+    # Too many to broadcast: every key is joined in as many pieces as there are salts.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    spread = every.drop("copies").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(spread, [key, "salt"]).drop("salt")
+
+
+class WordHashes(dict):
+    """Word -> its hash, computed once."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
 
-def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
-    """The wide fingerprint and the bucket keys of a set of shingle hashes."""
+
+def shingle_set(text: str, ngram: int, known: WordHashes) -> np.ndarray:
+    """Sorted distinct 64-bit codes of the word shingles of a text, A-Z lower-cased: hashes of the words, folded in order."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, _U64)
+    h = np.fromiter(map(known.__getitem__, words), _U64, len(words))
+    n = min(ngram, len(words))
+    code = np.zeros(len(h) - n + 1, _U64)
+    for k in range(n):
+        code = code * _U64(0xD6E8FEB86659FD93) + h[k : len(h) - n + 1 + k]
+    return np.unique(mix(code, n))
+
+
+def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """The fingerprint and the bucket keys of a sorted set of shingle hashes.
+
+    A key joins least hashes: the range of hashes is cut into equal parts, the least of a part (or of the next that has
+    one) stands for it, and three parts make a key.
+    """
     if not len(hashes):
-        return bytes(8 * WORDS64), []
-    wide = np.asarray([majority(mix(hashes, 100 + k)) for k in range(WORDS64)], _U64).tobytes()
-    least = [int(mix(hashes, k).min()) for k in range(KEYS * KEY_HASHES)]
-    keys = [xxhash.xxh64_intdigest(repr((k, least[k * KEY_HASHES : (k + 1) * KEY_HASHES])), SEED) for k in range(KEYS)]
-    return wide, [k - (1 << 64) if k >= 1 << 63 else k for k in keys]
+        return 0, np.zeros(0, np.int64)
+    parts = KEYS * KEY_HASHES
+    starts = np.asarray([(k << 64) // parts for k in range(parts)], _U64)
+    least = hashes[np.searchsorted(hashes, starts) % len(hashes)].reshape(KEYS, KEY_HASHES)
+    key = mix(np.arange(KEYS, dtype=_U64), 5)
+    for k in range(KEY_HASHES):
+        key = mix(key ^ least[:, k], k)
+    return majority(hashes), key.view(np.int64)
 
 
-def wide_limit(similarity: float = SIMILARITY, bits: int = 64 * WORDS64) -> int:
-    """Differing bits to expect at a Jaccard similarity: the angle of two sets with cosine 2 j / (1 + j)."""
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def _small(df: DataFrame, n: int | None = None) -> DataFrame:
+    """df (checkpointed) for a broadcast if its rows are few, else as it is."""
+    return F.broadcast(df) if (df.count() if n is None else n) <= BROADCAST_KEYS else df
 
 
-def _sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, ngram: int) -> DataFrame:
-    """node, s: the shingle set of each of the nodes. One document stands for each, and only those are shingled again."""
-    chosen = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"))
-    texts = docs.selectExpr("text", *(f"{e} as {k}" for k, e in ROW_KEYS.items())).join(chosen, ["k1", "k2"]).select("node", "text")
+def _sets(docs: DataFrame, chosen: DataFrame, ngram: int) -> DataFrame:
+    """node, s: the shingle set of each of the chosen (node, k1, k2): the document that stands for it is shingled again."""
+    chosen = checkpoint(chosen)
+    texts = docs.selectExpr("text", *(f"{e} as {k}" for k, e in ROW_KEYS.items())).join(_small(chosen), ["k1", "k2"]).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             for part in slices(batch, 1):
-                sets = [np.unique(shingle_hashes(t or "", ngram)).view(np.int64) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t or "", ngram, known).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
+    # A row that is repeated with its doc_id stands there several times.
     return checkpoint(texts.mapInArrow(run, "node long, s array<long>").dropDuplicates(["node"]))
 
 
-def _verified(docs: DataFrame, rows: DataFrame, edges: DataFrame, similarity: float, ngram: int) -> DataFrame:
+def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The edges (a, b) between nodes whose shingle sets have that Jaccard similarity, counted exactly."""
-    edges = checkpoint(edges)
-    sets = _sets(docs, rows, edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), ngram)
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
@@ -399,9 +386,10 @@ def _often(docs: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
     some = docs.where(F.pmod(F.expr(ROW_KEYS["k1"]), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             for part in slices(batch, 0):
-                found = [np.unique(shingle_hashes(t or "", ngram)) for t in part.column(0).to_pylist()]
+                found = [shingle_set(t or "", ngram, known) for t in part.column(0).to_pylist()]
                 h, k = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k)], names=["h", "k"])
 
@@ -412,16 +400,22 @@ def _often(docs: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _release(df: DataFrame) -> None:
-    """Have the shuffle files of finished steps removed: they go when the JVM collects what made them."""
+    """Have the shuffle files and checkpoints of finished steps removed: they go when the JVM collects what made them."""
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _between_trees(keyed: DataFrame, edges: DataFrame) -> DataFrame:
-    """keyed (bucket, node, ...) with tree (the component of node over edges), of the buckets that hold two trees."""
-    treed = keyed.join(components(edges).withColumnRenamed("root", "tree"), "node", "left").withColumn("tree", F.coalesce("tree", "node"))
-    treed = checkpoint(treed)
-    several = checkpoint(treed.groupBy("bucket").agg(F.min("tree").alias("x"), F.max("tree").alias("y")).where("x < y").select("bucket"))
-    return treed.join(F.broadcast(several) if several.count() <= BROADCAST_KEYS else several, "bucket")
+def _between_trees(keyed: DataFrame, edges: DataFrame, explode: str | None = None) -> DataFrame:
+    """keyed (bucket, node, ...) with tree (the component of node over edges), of the buckets that hold two trees.
+
+    `explode` names a column of many buckets that becomes bucket after the trees are joined.
+    """
+    trees = checkpoint(components(edges))
+    treed = keyed.join(_small(trees.select("node", F.col("root").alias("tree"))), "node", "left").withColumn("tree", F.coalesce("tree", "node"))
+    if explode:
+        treed = treed.select(F.explode(explode).alias("bucket"), "node", "tree")
+    whole = Window.partitionBy("bucket")
+    return checkpoint(treed.withColumn("x", F.min("tree").over(whole)).withColumn("y", F.max("tree").over(whole)).where("x < y").drop("x", "y"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int = NGRAM) -> DataFrame:
@@ -433,36 +427,37 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
     often, counts = _often(docs, ngram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             for part in slices(batch, 1):
-                found = []
-                for t in part.column(1).to_pylist():
-                    hashes = np.unique(shingle_hashes(t or "", ngram))
-                    found.append((xxhash.xxh64_intdigest(hashes.tobytes(), SEED), *sketch(hashes), len(hashes), prefix(hashes, similarity, often, counts).view(np.int64)))
-                node = np.asarray([f[0] for f in found], _U64).view(np.int64)
-                bits, keys = pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.list_(pa.int64()))
-                size, first = pa.array([f[3] for f in found], pa.int32()), pa.array([f[4] for f in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(node), bits, keys, size, first], names=["doc_id", "k1", "k2", "node", "bits", "keys", "size", "prefix"])
+                sets = [shingle_set(t or "", ngram, known) for t in part.column(1).to_pylist()]
+                found = [sketch(s) for s in sets]
+                node = np.asarray([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], _U64).view(np.int64)
+                fp = np.asarray([f[0] for f in found], _U64).view(np.int64)
+                keys, size = pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32())
+                first = pa.array([prefix(s, similarity, often, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(node), pa.array(fp), keys, size, first], names=["doc_id", "k1", "k2", "node", "fp", "keys", "size", "prefix"])
 
     keyed_docs = docs.selectExpr("cast(doc_id as long) doc_id", "text", *(f"{e} as {k}" for k, e in ROW_KEYS.items()))
-    rows = write_table(keyed_docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, bits binary, keys array<long>, size int, prefix array<long>"), "sketches")
-    # node stands for the set of shingles: copies are collapsed before any bucket is made.
-    distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("bits", "keys", "size", "prefix"))))
-    _release(docs)
-    keyed = distinct.select(F.explode("keys").alias("bucket"), "node", "bits")
+    # The prefixes, a fifth of the shingles, are the one large column: it is written once and read once.
+    rows = write_table(keyed_docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, fp long, keys array<long>, size int, prefix array<long>"), "sketches")
+    # node stands for the set of shingles: copies are collapsed, one of them standing for all, before any bucket is made.
+    stands = F.min(F.struct("k1", "k2")).alias("stands")
+    distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), stands, *(F.first(c).alias(c) for c in ("fp", "keys", "size"))))
+    chosen = distinct.select("node", "stands.k1", "stands.k2")
+    keyed = distinct.select(F.explode("keys").alias("bucket"), "node", "fp")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    # The wide fingerprints only propose; the shingles decide, first on likely pairs, then on all between the trees.
     keyed = checkpoint(keyed.join(shared, "bucket"))
-    sure, limit = wide_limit(similarity + MARGIN), wide_limit(similarity - MARGIN)
+    sets = _sets(docs, chosen.join(keyed.select("node").distinct(), "node"), ngram)
+    _release(docs)
 
-    def likely(bits: pa.Array) -> list[tuple[int, int]]:
-        return [(i, j) for i, j, _ in graded(np.frombuffer(b"".join(bits.to_pylist()), _U64).reshape(-1, WORDS64), sure, limit)]
+    def likely(fps: pa.Array) -> list[tuple[int, int]]:
+        return nearest(fps.to_numpy(zero_copy_only=False).view(_U64), LIKELY)
 
-    found = _in_buckets(keyed, likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = checkpoint(_verified(docs, rows, found, similarity, ngram))
-    _release(docs)
-    apart = checkpoint(_between_trees(keyed.select("bucket", "node"), edges))
-    sets = _sets(docs, rows, apart.select("node").distinct(), ngram)
+    # The fingerprints propose each node's partner; the shingles decide, first on those, then on all pairs between trees.
+    found = _in_buckets(keyed.withColumnRenamed("fp", "bits"), likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = checkpoint(_verified(found.distinct(), sets, similarity))
+    apart = _between_trees(keyed.select("bucket", "node"), edges)
 
     def compare(held: pa.Array) -> list[tuple[int, int]]:
         tree, own = (pc.struct_field(held, k) for k in (0, 1))
@@ -470,12 +465,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
         return exact_forest(own.flatten().to_numpy(), stops, tree.to_numpy(), similarity)
 
     edges = checkpoint(edges.union(_in_buckets(apart.join(sets, "node").select("bucket", "node", F.struct("tree", "s").alias("bits")), compare)))
+    del sets, apart, found
     _release(docs)
     # Pairs that share no key: what shares a shingle of both prefixes and is still apart.
-    firsts = distinct.select(F.explode("prefix").alias("bucket"), "node").withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
-    firsts = checkpoint(firsts.where("n > 1").drop("n"))
+    copied = distinct.where("copies > 1").select("node")
+    n_copied = copied.count()
+    if n_copied <= BROADCAST_KEYS:
+        firsts = rows.select("node", "prefix").join(F.broadcast(copied), "node", "left_anti")
+        firsts = firsts.unionByName(rows.select("node", "prefix").join(F.broadcast(copied), "node", "left_semi").groupBy("node").agg(F.first("prefix").alias("prefix")))
+    else:
+        firsts = rows.groupBy("node").agg(F.first("prefix").alias("prefix"))
+    apart = _between_trees(firsts, edges, "prefix")
     _release(docs)
-    apart = _between_trees(firsts, edges)
     apart = apart.join(distinct.select("node", "size", "keys"), "node").select("bucket", "node", F.struct("tree", "size", "keys").alias("bits"))
 
     def pair(held: pa.Array) -> list[tuple[int, int]]:
@@ -484,21 +485,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
 
     # Beyond both prefixes two sets share no more than the longer rest, so with what they share inside most are too few.
     found = _in_buckets(apart, pair).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("common"))
+    rest = F.ceil(similarity * F.col("size") - 1e-9) - 1
     for k in ("a", "b"):
-        found = found.join(distinct.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), (F.col("size") - F.size("prefix")).alias(f"rest_{k}")), k)
+        found = found.join(distinct.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), rest.alias(f"rest_{k}")), k)
     enough = F.col("common") + F.greatest("rest_a", "rest_b") >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
-    found = found.where(enough).select("a", "b")
-    edges = edges.union(_verified(docs, rows, found, similarity, ngram))
+    found = checkpoint(found.where(enough).select("a", "b"))
+    sets = _sets(docs, chosen.join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), ngram)
+    edges = checkpoint(edges.union(_verified(found, sets, similarity)))
     return _closed(rows.select("doc_id", "k1", "k2", "node"), "node", distinct.select("node", "rep", "copies"), edges)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int = NGRAM) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the least doc_id."""
     found = checkpoint(near_duplicates(docs, similarity, ngram).select("root", "doc_id", "k1", "k2"))
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("w")).select(F.col("w.k1").alias("__first_k1"), F.col("w.k2").alias("__first_k2"))
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("w")).select(F.col("w.k1").alias("k1"), F.col("w.k2").alias("k2"))
+    # The rows that go are fewer than those that stay: only they are looked for.
+    gone = checkpoint(found.select("k1", "k2").distinct().join(first, ["k1", "k2"], "left_anti").select(F.col("k1").alias("__gone_k1"), F.col("k2").alias("__gone_k2")))
     hashed = docs.select("*", *(F.expr(e).alias(f"__cellweave_{k}") for k, e in ROW_KEYS.items()))
     k1, k2 = F.col("__cellweave_k1"), F.col("__cellweave_k2")
-    kept = hashed.join(first, (k1 == F.col("__first_k1")) & (k2 == F.col("__first_k2")), "left_semi")
+    kept = hashed.join(_small(gone), (k1 == F.col("__gone_k1")) & (k2 == F.col("__gone_k2")), "left_anti")
     if not found.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         # Rows repeated with the same doc_id and text: one of them stays.
         kept = kept.dropDuplicates(["__cellweave_k1", "__cellweave_k2"])

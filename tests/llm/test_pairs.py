@@ -91,7 +91,7 @@ def test_forest_connects_what_brute_force_connects():
     sets = Sets()
     for i in range(len(fps)):
         sets.find(i)
-    edges = simhash.forest(np.asarray(fps, np.uint64).reshape(-1, 1), 4)
+    edges = simhash.forest(np.asarray(fps, np.uint64), 4)
     for a, b in edges:
         assert bin(fps[a] ^ fps[b]).count("1") <= 4
         sets.join(a, b)
@@ -164,21 +164,18 @@ def test_near_duplicates_are_found_and_others_stay(spark):
     assert sum(2000 + k in kept for k in close) <= 0.03 * len(close) and len(close) > 30 and all(2000 + k in kept for k in apart)
 
 
-def test_graded_edges_join_what_is_near():
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, (40, 8), dtype=np.uint64)
-    fps = np.concatenate([base, base.copy(), base.copy()])
-    for k in range(40, 120):
-        for bit in rng.choice(512, 30 if k < 80 else 80, replace=False):
-            fps[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-    edges = simhash.graded(fps, 50, 95)
-    apart = lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum())
-    assert all(apart(i, j) <= 50 if d == 0 else apart(i, j) == d and 50 < d <= 95 for i, j, d in edges)
-    sets = Sets()
-    for i, j, _ in edges:
-        sets.join(i, j)
-    assert all(sets.find(k) == sets.find(k + 40) == sets.find(k + 80) == k for k in range(40))
-    assert len({sets.find(k) for k in range(120)}) == 40
+def test_nearest_gives_each_row_its_partner():
+    fps = np.asarray(near_fps(300), np.uint64)
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(int) + 99 * np.eye(len(fps), dtype=int)
+    edges = simhash.nearest(fps, 6)
+    assert all(apart[i, j] <= 6 and (apart[i, j] == apart[i].min() or apart[i, j] == apart[j].min()) for i, j in edges)
+    assert {k for e in edges for k in e} == set(np.flatnonzero(apart.min(1) <= 6).tolist())
+
+
+def test_survivors_are_all_pairs_within_the_limit():
+    fps = np.asarray(near_fps(300), np.uint64)
+    got = {(min(i, j), max(i, j)) for i, near, _ in simhash.survivors(fps, 5) for j in near.tolist()}
+    assert got == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if bin(int(fps[i] ^ fps[j])).count("1") <= 5}
 
 
 def family(rng, n, words, changes, name):
@@ -214,8 +211,8 @@ def test_pairs_that_share_no_key_are_linked(spark, monkeypatch):
     sketch = simhash.sketch
 
     def apart(hashes):  # no two texts share a key
-        wide, keys = sketch(hashes)
-        return wide, [int(hashes.sum() % 2**61) + k for k in range(len(keys))]
+        fp, keys = sketch(hashes)
+        return fp, np.asarray([int(hashes.sum() % 2**61) + k for k in range(len(keys))], np.int64)
 
     monkeypatch.setattr(simhash, "sketch", apart)
     rng = random.Random(9)
@@ -223,8 +220,14 @@ def test_pairs_that_share_no_key_are_linked(spark, monkeypatch):
     assert 30 <= assert_closure(spark, texts) < 60
 
 
+def test_links_do_not_depend_on_the_likely_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LIKELY", -1)  # no pair is likely
+    rng = random.Random(4)
+    assert assert_closure(spark, [t for k in range(5) for t in family(rng, 20, 200, 2, f"f{k}w")]) >= 5
+
+
 def test_pairs_near_by_bits_but_under_the_threshold_stay_apart(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "MARGIN", 0.0)  # many pairs under the threshold are within the sure bits
+    monkeypatch.setattr(simhash, "LIKELY", 30)  # many pairs under the threshold are likely
     rng = random.Random(12)
     texts = [t for k in range(40) for t in family(rng, 2, 60, 1, f"f{k}w")]
     assert 40 < assert_closure(spark, texts) <= 80
