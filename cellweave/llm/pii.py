@@ -7,20 +7,31 @@ stands in a text that holds an entity, reveals it as far as the corpus says so:
     PMI(t; e) / IC(e) = log2(p(e | t) / p(e)) / log2(1 / p(e))
 
 A term at or over `generalise_at` is generalised in all texts of that entity, at or over `remove_at` removed.
-Counts are of distinct texts, those with one context of the entity (`REACH` characters about it) as one, so copies
-of a text or passage are no evidence. Small counts weigh less: of n texts with the term, k of them with the entity,
-p(e | t) = (k - 1 + p(e)) / n, since the text that brings a pair up says nothing for it. One text alone gives
-at most p(e), two that no other text speaks against about a half. Texts without an entity are never touched.
+Counts are of distinct texts, over the whole corpus. Of the texts that show an entity in the same surroundings (up to
+`REACH` characters on each side, no further than the next match of the kind) only one is evidence, so copies of a text
+or passage prove nothing. Small counts weigh less: n_e texts are evidence for the entity, k of them hold the term, and
+of n_t texts with the term those with the entity that are no evidence do not count; then
+
+    p(e) = n_e / n        p(e | t) = (k - 1 + p(e)) / (n_t - others)
+
+since the text that brings a pair up says nothing for it. One text alone gives at most p(e), two that no other text
+speaks against about a half. Texts without an entity are never touched.
+
+A term can be at `generalise_at` g only if n_t - others <= n_e / p(e) ** (1 - g); words of all other frequencies are
+left out before any pair is made.
 
 Offsets are code points, ends exclusive. Kinds in `spans`: email, ip, card, phone, term.
 
 Nulls: a null text is empty and has no spans; a null doc_id is passed through. Repeated rows each get a
-row (their text counts once). Empty input gives an empty result. Further columns are not read.
+row (their text counts once). Empty input gives an empty result. Further columns are not read. Work on one text is
+in proportion to its length and its matches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import checkpoint
@@ -42,20 +53,49 @@ REACH = 80
 #: Sanitising terms of up to so many rows are broadcast (about 60 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+EXTRA = "array<struct<start:int,end:int,removed:boolean>>"
+#: Entries that one fold goes over: longer arrays are folded in blocks, so that what a fold copies stays small.
+BLOCK = 128
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def in_blocks(entries: Column, width: Callable[[Column], Column], fold: Callable[[Column, Column], Column]) -> Column:
+    """fold(block, sum of the widths before it) of each block of entries, one after another."""
+    def use(own: Column) -> Column:
+        count = F.ceil(F.size(own) / F.lit(float(BLOCK))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), count), lambda b: F.slice(own, (b - 1) * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(count > 0, bound(blocks, placed)).otherwise(F.array())
+
+    def placed(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        total = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + width(x))
+        starts = F.aggregate(blocks, zero, lambda acc, block: F.struct((acc["at"] + total(block)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.zip_with(blocks, starts, fold)
+
+    return bound(entries, use)
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, hit>> of the matches of pattern, from the gaps between them and the matches themselves."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(gaps, hits, lambda g, h: F.struct(F.char_length(g).alias("gap"), h.alias("hit")))
-    none = F.array().cast("array<struct<start:int,hit:string>>")
+    """array<struct<start, hit, around>> of the matches of pattern; around is a hash of what is beside a match."""
+    def use(gaps: Column) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        after = F.slice(gaps, F.lit(2), F.size(gaps))
+        sides = F.zip_with(gaps, after, lambda g, h: F.struct(F.char_length(g).alias("gap"), F.xxhash64(F.right(g, F.lit(REACH)), F.left(h, F.lit(REACH))).alias("around")))
+        return F.zip_with(F.slice(sides, F.lit(1), F.size(hits)), hits, lambda x, h: F.struct(x["gap"].alias("gap"), h.alias("hit"), x["around"].alias("around")))
+
+    def fold(block: Column, start: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            at = acc["at"] + x["gap"]
+            return F.struct((at + F.char_length(x["hit"])).alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), x["hit"].alias("hit"), x["around"].alias("around")))).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["hit"].alias("hit"))))
-        return F.struct((start + F.coalesce(F.char_length(x["hit"]), F.lit(0))).alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(more).alias("out"))
+        none = F.array().cast("array<struct<start:int,hit:string,around:bigint>>")
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("out")), step)["out"]
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    return F.flatten(in_blocks(bound(F.split(text, pattern, -1), use), lambda x: x["gap"] + F.char_length(x["hit"]), fold))
 
 
 def _digits(hit: Column) -> Column:
@@ -85,15 +125,24 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _of_kinds(text: Column, make: Callable[[int, Column], Column], kind_of_array: str) -> Column:
+    """make(kind's number, match) of all valid matches of all kinds."""
+    def of(k: int, kind: str) -> Column:
+        found = F.transform(F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["hit"])), lambda m: make(k, m))
+        return F.when(text.rlike(HINTS[kind]), found.cast(kind_of_array)).otherwise(F.array().cast(kind_of_array))
+
+    return F.concat(*(of(k, kind) for k, kind in enumerate(KINDS[:4])))
+
+
 def base_spans(text: Column) -> Column:
     """The base spans of a text, by start, then kind."""
-    def of(k: int, kind: str) -> Column:
-        held = F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["hit"]))
-        spans = F.transform(held, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), (m["start"] + F.char_length(m["hit"])).alias("end")))
-        return F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(SPAN))
+    return F.array_sort(_of_kinds(text, lambda k, m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), (m["start"] + F.char_length(m["hit"])).alias("end")), SPAN))
+
 
-    every = [of(k, kind) for k, kind in enumerate(KINDS[:4])]
-    return F.array_sort(F.concat(*every))
+def protected(text: Column) -> Column:
+    """The distinct entities of a text, as hashes of kind and value, each with a hash of what is beside it."""
+    make = lambda k, m: F.struct(F.xxhash64(F.lit(k), F.lower(m["hit"])).alias("entity"), m["around"].alias("around"))
+    return F.array_distinct(_of_kinds(text, make, "array<struct<entity:bigint,around:bigint>>"))
 
 
 def written(spans: Column) -> Column:
@@ -107,85 +156,90 @@ def with_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("base", base_spans(F.col("text")))
 
 
+def _term(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
 def terms_of(text: Column) -> Column:
-    """The distinct terms of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
-
-
-def entities(held: DataFrame) -> DataFrame:
-    """entity, text_key, context: what each text of held (text_key, text, base) protects, and the text around it."""
-    own = held.select("text_key", "text", F.explode("base").alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    value = F.concat_ws(":", F.col("s.kind").cast("string"), F.lower(F.substring(F.col("text"), start + 1, end - start)))
-    first = F.greatest(start - REACH, F.lit(0))
-    return own.select(value.alias("entity"), "text_key", F.xxhash64(F.substring(F.col("text"), first + 1, end + REACH - first)).alias("context")).distinct()
-
-
-def term_places(held: DataFrame) -> DataFrame:
-    """text_key, term, start, end of the terms of held (text_key, text, base) outside its base spans."""
-    steps = F.arrays_zip(F.split("text", TERM, -1).alias("gap"), F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0)).alias("hit"))
-    rows = held.select("text_key", "base", F.posexplode(steps).alias("at", "step"))
-    hit = F.coalesce(F.char_length("step.hit"), F.lit(0))
-    before = Window.partitionBy("text_key").orderBy("at")
-    rows = rows.select("text_key", "base", F.lower("step.hit").alias("term"), F.sum(F.char_length("step.gap") + hit).over(before).cast("int").alias("end"), hit.alias("n"))
-    rows = rows.where("term is not null").withColumn("start", F.col("end") - F.col("n"))
-    return rows.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).select("text_key", "term", "start", "end")
-
-
-def revealing(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
-    """text_key, extra: the term spans (start, end, removed) of the texts in which terms reveal an entity."""
-    spark = docs.sparkSession
-
-    def small(df: DataFrame, n: int) -> DataFrame:
-        return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-    texts = docs.select("text").where("text is not null").withColumn("text_key", F.md5("text"))
-    held = with_spans(texts.where(F.col("text").rlike("|".join(f"(?:{h})" for h in HINTS.values())))).where(F.size("base") > 0)
-    held = checkpoint(held.dropDuplicates(["text_key"]))
-    own = checkpoint(entities(held))
-    counted = [F.countDistinct("text_key").alias("texts"), F.countDistinct("context").alias("contexts")]
-    # With a single text or context no term can be over p(e).
-    entity = checkpoint(own.groupBy("entity").agg(*counted).select("entity", F.least("texts", "contexts").alias("n_e")).where("n_e > 1"))
-    n_entity = entity.count()
-    own = checkpoint(own.join(small(entity, n_entity), "entity"))
-    words = held.join(own.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode(terms_of(F.col("text"))).alias("term"))
-    pairs = own.join(words, "text_key").groupBy("entity", "n_e", "term").agg(*counted).withColumn("k", F.least("texts", "contexts")).where("k > 1")
-    pairs = checkpoint(pairs)
-    n_pairs = pairs.count()
-    if not n_pairs:
-        return spark.createDataFrame([], "text_key string, extra array<struct<start:int,end:int,removed:boolean>>")
+    """The distinct terms of a text, as hashes."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), _term))
+
+
+def term_places(text: Column, base: Column, wanted: Column) -> Column:
+    """The spans of the wanted terms (array<struct<term, removed>>) in a text, outside its base spans."""
+    gaps, hits = F.split(text, TERM, -1), F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+
+    def use(keys: Column) -> Column:
+        def fold(block: Column, start: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                at = acc["at"] + x["gap"]
+                end = at + F.char_length(x["hit"])
+                found = F.array(F.struct(at.alias("start"), end.alias("end"), F.array_position(keys, x["term"]).alias("nth")))
+                return F.struct(end.alias("at"), F.when(F.array_contains(keys, x["term"]), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+
+            none = F.array().cast("array<struct<start:int,end:int,nth:bigint>>")
+            return F.aggregate(block, F.struct(start.alias("at"), none.alias("out")), step)["out"]
+
+        return F.flatten(in_blocks(steps, lambda x: x["gap"] + F.char_length(x["hit"]), fold))
+
+    words = F.zip_with(gaps, hits, lambda g, h: F.struct(F.char_length(g).alias("gap"), h.alias("hit"), _term(h).alias("term")))
+    steps = F.filter(words, lambda x: x["hit"].isNotNull())
+    places = F.filter(bound(F.transform(wanted, lambda w: w["term"]), use), lambda p: ~F.exists(base, lambda b: (b["start"] < p["end"]) & (b["end"] > p["start"])))
+    return F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.element_at(wanted, p["nth"].cast("int"))["removed"].alias("removed"))).cast(EXTRA)
+
+
+def revealing(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame | None:
+    """text_key, extra: the term spans (start, end, removed) of the texts in which terms reveal an entity; None without any."""
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    texts = docs.select("text").where("text is not null").withColumn("text_key", F.unhex(F.md5("text")))
+    hinted = texts.where(F.col("text").rlike("|".join(f"(?:{h})" for h in HINTS.values())))
+    held = checkpoint(hinted.withColumn("found", protected(F.col("text"))).where(F.size("found") > 0).dropDuplicates(["text_key"]))
+    own = held.select("text_key", F.explode("found").alias("f")).select("text_key", "f.entity", "f.around")
+    # One text stands for each surroundings of an entity.
+    stands = own.groupBy("entity", "around").agg(F.min("text_key").alias("text_key")).select("entity", "text_key").distinct()
+    entity = checkpoint(stands.groupBy("entity").agg(F.count("*").alias("n_e")).where("n_e > 1"))
+    most = entity.agg(F.max("n_e")).first()[0]
+    if not most:
+        return None
+    own = own.select("entity", "text_key").distinct().join(small(entity), "entity")
+    own = checkpoint(own.join(stands.withColumn("counts", F.lit(1)), ["entity", "text_key"], "left").withColumn("counts", F.coalesce("counts", F.lit(0))))
     # Each of the copies of a text counts its share, so the texts need not be shuffled to count them once.
     every = texts.groupBy("text_key").agg(F.count("*").alias("copies"))
     copied = checkpoint(every.where("copies > 1"))
-    n = F.lit(float(every.count()))
-    shared = texts.join(small(copied, copied.count()), "text_key", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
-    # A hot term is one row a task either way: few sought terms are met before the shuffle, many after the count.
-    sought = pairs.select("term").distinct()
-    words = shared.select("share", F.explode(terms_of(F.col("text"))).alias("term"))
-    if n_pairs <= BROADCAST_ROWS:
-        words, sought = words.join(F.broadcast(sought), "term", "left_semi"), None
-    term = words.groupBy("term").agg(F.round(F.sum("share")).alias("n_t"))
-    if sought is not None:
-        term = term.join(sought, "term", "left_semi")
-    known = pairs.join(term, "term")
-    base_rate = F.col("n_e") / n
-    given = (F.col("k") - 1 + base_rate) / (F.col("n_t") - F.col("texts") + F.col("k"))
-    known = known.withColumn("ratio", F.log2(given / base_rate) / F.greatest(-F.log2(base_rate), F.lit(1e-9)))
-    known = checkpoint(known.where((F.col("ratio") >= generalise_at) & (F.col("n_e") < n)).select("entity", "term", (F.col("ratio") >= remove_at).alias("removed")))
-    wanted = own.select("entity", "text_key").distinct().join(small(known, known.count()), "entity").groupBy("text_key", "term").agg(F.max("removed").alias("removed"))
-    wanted = checkpoint(wanted)
-    marked = held.join(wanted.select("text_key").distinct(), "text_key", "left_semi")
-    found = term_places(marked).join(wanted, ["text_key", "term"])
-    extra = found.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("extra"))
-    return checkpoint(extra)
+    n = texts.count() - (copied.agg(F.sum("copies") - F.count("*")).first()[0] or 0)
+    shared = texts.join(small(copied), "text_key", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    # A hot term is one row a task.
+    counted = shared.select("share", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_t"))
+    words = held.join(own.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode(terms_of(F.col("text"))).alias("term"))
+    words = words.join(counted.where("n_t > 1"), "term")
+    base_rate = F.col("n_e") / F.lit(float(n))
+    limit = F.col("n_e") / F.pow(base_rate, F.lit(1 - generalise_at))
+    pairs = own.join(words, "text_key").groupBy("entity", "n_e", "term", "n_t").agg(F.count("*").alias("both"), F.sum("counts").alias("k")).where("k > 1")
+    pairs = pairs.withColumn("with_term", F.col("n_t") - F.col("both") + F.col("k")).where((F.col("with_term") <= limit * (1 + 1e-9)) & (F.col("n_e") < n))
+    given = (F.col("k") - 1 + base_rate) / F.col("with_term")
+    known = pairs.withColumn("ratio", F.log2(given / base_rate) / F.greatest(-F.log2(base_rate), F.lit(1e-9)))
+    known = checkpoint(known.where(F.col("ratio") >= generalise_at).select("entity", "term", (F.col("ratio") >= remove_at).alias("removed")))
+    if known.isEmpty():
+        return None
+    # Only terms that stand in the text: an entity's terms are not in all of its texts.
+    wanted = own.select("entity", "text_key").join(small(known), "entity").groupBy("text_key", "term").agg(F.max("removed").alias("removed"))
+    wanted = wanted.join(words.select("text_key", "term"), ["text_key", "term"], "left_semi")
+    wanted = checkpoint(wanted.groupBy("text_key").agg(F.collect_list(F.struct("term", "removed")).alias("wanted")))
+    marked = with_spans(held.select("text_key", "text").join(small(wanted), "text_key"))
+    return checkpoint(marked.select("text_key", term_places(F.col("text"), F.col("base"), F.col("wanted")).alias("extra")).where(F.size("extra") > 0))
 
 
 def find(docs: DataFrame, **options: float) -> DataFrame:
     """docs (doc_id, text, ...) with base (pattern spans) and extra (revealing term spans); a null text becomes empty."""
     extra = revealing(docs, **options)
-    keyed = with_spans(docs).withColumn("text_key", F.md5("text"))
+    none = F.array().cast(EXTRA)
+    if extra is None:
+        return with_spans(docs).withColumn("extra", none)
+    keyed = with_spans(docs).withColumn("text_key", F.unhex(F.md5("text")))
     small = extra.count() <= BROADCAST_ROWS // 10
-    none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
     return keyed.join(F.broadcast(extra) if small else extra, "text_key", "left").withColumn("extra", F.coalesce("extra", none)).drop("text_key")
 
 
@@ -205,13 +259,32 @@ def sanitised() -> Column:
     extra = F.transform("extra", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], F.lit("")).otherwise(F.get(names, F.lit(4))).alias("by")))
     text = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.concat(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], s["by"]).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(kept)).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(F.array_sort(F.concat(base, extra)), zero, step)
-    return F.when(F.size("base") + F.size("extra") == 0, text).otherwise(F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.char_length(text))))
+    def reach(spans: Column) -> Column:
+        """For each block of spans, where the last of the spans before it ends."""
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        last = lambda block: F.array_max(F.transform(block, lambda s: s["end"]))
+        return F.aggregate(spans, zero, lambda acc, block: F.struct(F.greatest(acc["at"], last(block)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def block_text(block: Column, before: Column) -> Column:
+        """What takes the place of the text from the end of earlier spans to the end of these."""
+        def step(acc: Column, s: Column) -> Column:
+            at = acc["at"]
+            kept = F.concat(F.substring(acc["own"], at - before + 1, F.greatest(s["start"] - at, F.lit(0))), F.when(s["start"] >= at, s["by"]).otherwise(F.lit("")))
+            return F.struct(F.greatest(at, s["end"]).alias("at"), acc["own"].alias("own"), F.concat(acc["out"], F.array(kept)).alias("out"))
+
+        stop = F.array_max(F.transform(block, lambda s: s["end"]))
+        own = F.substring(text, before + 1, F.greatest(stop - before, F.lit(0)))
+        zero = F.struct(before.alias("at"), own.alias("own"), F.array().cast("array<string>").alias("out"))
+        return F.array_join(F.aggregate(block, zero, step)["out"], "")
+
+    def rebuilt(spans: Column) -> Column:
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        count = F.ceil(F.size(spans) / F.lit(float(BLOCK))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), count), lambda b: F.slice(spans, (b - 1) * BLOCK + 1, F.lit(BLOCK)))
+        done = bound(blocks, lambda own: F.zip_with(own, reach(own), block_text))
+        return F.concat(F.array_join(done, ""), F.substring(text, end + 1, F.char_length(text)))
+
+    return F.when(F.size("base") + F.size("extra") == 0, text).otherwise(bound(F.array_sort(F.concat(base, extra)), rebuilt))
 
 
 def count_of(kind: str) -> Column:

@@ -1,7 +1,9 @@
 """Text operators against brute force and held-out rows."""
 
+import hashlib
+import random
 import re
-
+import time
 from collections import Counter
 
 import numpy as np
@@ -133,6 +135,86 @@ def test_terms_far_from_a_rare_entity_go(spark):
     assert not found[10]["extra"] and all(not found[100 + k]["extra"] for k in range(400))
 
 
+def brute_terms(rows, generalise_at=0.8, remove_at=0.95):
+    """The term spans of each distinct text, by the definitions in the module's docstring."""
+    texts = sorted({t for _, t in rows if t is not None})
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    checks = [(EMAIL, lambda m: True), (IP, lambda m: all(int(p) <= 255 for p in m[0].split("."))), (CARD, lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))), (PHONE, lambda m: 10 <= len(digits(m)) <= 15)]
+    holders, around = {}, {}
+    for t in texts:
+        for k, (p, ok) in enumerate(checks):
+            every = list(p.finditer(t))
+            for i, m in enumerate(every):
+                if ok(m):
+                    left = t[every[i - 1].end() if i else 0 : m.start()][-pii.REACH :]
+                    right = t[m.end() : every[i + 1].start() if i + 1 < len(every) else None][: pii.REACH]
+                    e = (k, m[0].lower())
+                    holders.setdefault(e, set()).add(t)
+                    key = (e, left, right)
+                    md5 = hashlib.md5(t.encode()).digest()
+                    around[key] = min(around.get(key, (md5, t)), (md5, t))
+    terms = {t: {w.lower() for w in re.findall(r"[^\W\d_]{4,}", t)} for t in texts}
+    n_t = Counter(w for t in texts for w in terms[t])
+    wanted = {}
+    for e, own in holders.items():
+        stands = {t for (x, _, _), (_, t) in around.items() if x == e}
+        base = len(stands) / len(texts)
+        if len(stands) < 2 or base == 1:
+            continue
+        for w in set().union(*(terms[t] for t in own)):
+            k, both = sum(w in terms[t] for t in stands), sum(w in terms[t] for t in own)
+            if k > 1:
+                ratio = np.log2((k - 1 + base) / (n_t[w] - both + k) / base) / -np.log2(base)
+                if ratio >= generalise_at:
+                    for t in own:
+                        if w in terms[t]:
+                            wanted.setdefault(t, {})
+                            wanted[t][w] = wanted[t].get(w, False) or bool(ratio >= remove_at)
+    out = {}
+    for t, own in wanted.items():
+        spans = brute_spans(t)
+        places = [(m.start(), m.end(), own[m[0].lower()]) for m in re.finditer(r"[^\W\d_]{4,}", t) if m[0].lower() in own]
+        places = [p for p in places if not any(a < p[1] and b > p[0] for a, _, b in spans)]
+        if places:
+            out[t] = places
+    return out
+
+
+def found_terms(df):
+    got = {r["text"]: [(e["start"], e["end"], e["removed"]) for e in r["extra"]] for r in pii.find(df.select("doc_id", "text")).select("text", "extra").collect()}
+    return {t: v for t, v in got.items() if v}
+
+
+def test_terms_equal_brute_force(spark, docs):
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}" for a in ("alpha", "Beta", "gamma", "delta", "omega") for b in "abcdefghijklmnopqrst"]
+    entities = [f"u{k}@host{k}.org" for k in range(12)] + ["+1 212 555 0100", "10.2.3.4", "4111 1111 1111 1111"]
+    rows = []
+    for k in range(260):
+        words = rng.choices(vocabulary, k=rng.randint(5, 30))
+        for e in rng.sample(range(len(entities)), rng.choice([0, 0, 1, 1, 2])):
+            words.insert(rng.randint(0, len(words)), entities[e])
+            words += [vocabulary[7 * e % 100]] * rng.randint(0, 1) + [f"name{'abcdefghijklmno'[e]}"] * rng.randint(0, 1)
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, t) for k, (_, t) in enumerate(rows[:40])] + [(2000 + k, f"{k} ".join(["tail", rows[k][1]])) for k in range(40)] + [(3000, None), (3001, "")]
+    expected = brute_terms(rows)
+    assert len(expected) > 20 and {r for v in expected.values() for _, _, r in v} == {True, False}
+    assert found_terms(spark.createDataFrame(rows, "doc_id long, text string")) == expected
+    # In the drawn prose personal data stand anywhere: no term reveals any.
+    assert found_terms(docs) == brute_terms([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    took = []
+    for m in (2500, 10_000):
+        rows = [(k, f"Zorblax {k} " + " ".join(f"m{i}@x{i}.org word{'abcdefghij'[i % 10]}" for i in range(m))) for k in range(2)]
+        start = time.perf_counter()
+        got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select(F.size("base").alias("n"), F.length(pii.sanitised()).alias("left"), F.size("extra").alias("terms")).collect()
+        took.append(time.perf_counter() - start)
+        assert [r["n"] for r in got] == [m, m] and all(0 < r["left"] < 30 * m for r in got)
+    assert took[1] < 8 * took[0] + 5
+
+
 def test_pii_edges(edge, empty):
     found = pii.sanitise(edge)
     assert found.columns == edge.columns and found.count() == edge.count()
