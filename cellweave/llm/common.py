@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step holds at a time.
 CHUNK_BYTES = 4 << 20
+#: Bytes of files that one part of a dealt table gets at most.
+PART_BYTES = 256 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,9 +23,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or "/tmp/cellweave-checkpoints"
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/cellweave-checkpoints"
+
+
+def parts_for(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """Parts to deal df to: those of the session, more if its files are too large for them."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Without statistics Spark takes a size beyond any real one.
+    known = size if size < 1 << 60 else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // part_bytes))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

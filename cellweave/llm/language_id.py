@@ -6,8 +6,9 @@ blank at each end). A text's own list is compared by out-of-place distance: the
 the first language in alphabetical order; score is 1 - nearest / (the distance of a text that shares
 nothing).
 
-Profiles are learned from at most about `max_docs` rows with a language, chosen by a hash of the id and
-counted in a distributed way (only languages x size rows reach the driver). Every text is judged as a whole.
+Profiles are learned from at most about `max_docs` rows of each language, chosen by a hash of the id (all rows of a rare
+language teach) and counted in a distributed way (only languages x size rows reach the driver). Every text is judged
+as a whole.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; rows with a null language do not
 teach. Repeated rows each get a row; an empty table gives an empty result; without profiles every text is
@@ -24,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import slices
+from cellweave.llm.common import checkpoint, slices
 
 SIZE = 300
+#: Languages up to which their shares (a name and a double each) are broadcast.
+BROADCAST_LANGUAGES = 10_000
 #: 21 bits hold any code point.
 _SHIFT = 21
 
@@ -78,12 +81,13 @@ def top(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return codes[np.lexsort((codes, -counts))][:size]
 
 
-def fit(docs: DataFrame, *, size: int = SIZE, max_docs: int = 20_000) -> dict[str, np.ndarray]:
+def fit(docs: DataFrame, *, size: int = SIZE, max_docs: int = 5000) -> dict[str, np.ndarray]:
     """Language -> codes by falling frequency, from docs (doc_id, text, lang)."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text", "cast(lang as string) lang").where("lang is not null and text is not null")
-    n = rows.count()
-    if n > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
+    share = checkpoint(rows.groupBy("lang").agg((F.lit(1_000_000.0) * max_docs / F.count("*")).alias("share")))
+    if share.count() <= BROADCAST_LANGUAGES:
+        share = F.broadcast(share)
+    rows = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, dict[int, int]] = {}

@@ -1,8 +1,9 @@
 """Pre-token caches over public tokenizer files.
 
 A text made only of characters on which every regular-expression library agrees ("plain") is cut by
-``re`` and each distinct pre-token is encoded once; any other text, or one that holds a special
-string, is encoded whole by the tokenizers library. Both ways give the library's ids.
+``re`` and each distinct pre-token is encoded once. Any other text, or one that holds a special string, is
+cut by the file's own normalizer and pre-tokenizer where counts are asked for, and encoded whole by the
+tokenizers library where ids are. All ways give the library's ids.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import json
 import os
 import re
 from array import array
+from collections import Counter
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -36,6 +38,26 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class OddSizes(dict):
+    """Pre-token as the file's own pre-tokenizer writes it -> how many ids it has."""
+
+    def __init__(self, library):  # noqa: ANN001
+        super().__init__()
+        self.library = library
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        self[piece] = n = len(self.library.model.tokenize(piece))
+        return n
+
+    def count(self, part: str) -> int:
+        """Ids of a text without special strings: frequencies of its pre-tokens times the size of each distinct one."""
+        normal = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
+        times = Counter(piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)) if normal else {}
+        return sum(n * self[piece] for piece, n in times.items())
+
+
 class PretokenTable(dict):
     """Pre-token -> row of a growing table of ids (or of id counts only)."""
 
@@ -62,6 +84,16 @@ class PretokenTable(dict):
 
         return Tokenizer.from_file(self.path)
 
+    @cached_property
+    def odd(self) -> OddSizes:
+        """Sizes of the pre-tokens of texts that aren't plain."""
+        return OddSizes(self.library)
+
+    def odd_count(self, text: str) -> int:
+        """Ids of any text: a special string is one id, what lies between them is counted by pre-tokens."""
+        parts = re.split("|".join(map(re.escape, self.special)), text) if self.special else [text]
+        return len(parts) - 1 + sum(self.odd.count(p) for p in parts if p)
+
     def _ranked(self, model: dict) -> None:
         """A ranks-by-id encoder of the same vocabulary, if the file's merges are in the order of its ids."""
         import public_tokenizers
@@ -168,12 +200,16 @@ class PretokenTable(dict):
 
     def count_many(self, texts: list[str]) -> list[int]:
         """The number of ids of each text: pre-token frequencies times the size of each distinct pre-token."""
-        rows, end = self.rows_of(texts)
+        self.room()
+        plain = [self.plain(t) for t in texts]
+        rows = [self.rows(t) if ok else None for t, ok in zip(texts, plain, strict=True)]
         sizes, out = np.array(self.lengths, np.int64), []
-        for own in rows:
-            piece, times = np.unique(own, return_counts=True)
-            out.append(int(sizes[piece] @ times))
-        self.cut(*end)
+        for text, own in zip(texts, rows, strict=True):
+            if own is None:
+                out.append(self.odd_count(text))
+            else:
+                piece, times = np.unique(own, return_counts=True)
+                out.append(int(sizes[piece] @ times))
         return out
 
 

@@ -9,7 +9,7 @@ Words are runs of characters other than space and U+0009-000D. The learner reads
 `max_labels` labelled rows, chosen by a hash of doc_id; statistics and rules cover every row.
 
 Nulls: a null text has no words; a null or unlabelled doc_id does not take part in learning. Copies of a
-label count once, the least label wins. Without labels of both kinds there are no rules. Repeated rows
+label count once, the least label wins; of several texts under one doc_id the one of the least statistics teaches. Without labels of both kinds there are no rules. Repeated rows
 each get a row; an empty table gives an empty result; further columns of the input are not read.
 """
 
@@ -202,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labels: int = 20_000, **optio
     known = bounded_labels(labels, "quality", max_labels)
     # At most about max_labels rows of 12 bytes: a proven bound.
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
-    stats = text_stats(texts.select("doc_id", "text")).dropDuplicates(["doc_id"])
+    # Of several texts under one doc_id the one of the least statistics teaches.
+    stats = text_stats(texts.select("doc_id", "text")).groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("s")).select("doc_id", "s.*")
     rows = stats.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", *(v.alias("f_" + k) for k, v in features().items())).toPandas().sort_values("doc_id")
     if not len(rows):
         return []

@@ -1,7 +1,7 @@
 """Token counts without materialised ids.
 
 Each distinct pre-token is counted once by a worker; a document's count is the sum over its
-pre-token frequencies. The frequency table of one document lives in one task and is joined to the
+pre-token frequencies, whatever the script; no list of a document's ids is made. The frequency table of one document lives in one task and is joined to the
 worker's piece-count table there, so nothing is shuffled and no hot word meets in one place.
 
 Nulls: a null text counts as empty (0 bytes, 0 tokens), a null doc_id is passed through. Repeated

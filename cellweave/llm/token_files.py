@@ -8,7 +8,8 @@ written, so readers fetch metadata columns alone, or the pages of a doc_id range
 
 Documents are dealt by ranges of (doc_id, hash of the text), so copies of one doc_id still split.
 Nulls: null doc_ids come first; a null text is empty and holds only the end id. Repeated rows are
-separate documents, in no set order among equals. An empty table writes files without rows.
+separate documents; equal doc_ids are ordered by a hash of the text, then the text, so the files are the same
+on every run. An empty table writes files without rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import slices, write_table
+from cellweave.llm.common import parts_for, slices, write_table
 from cellweave.llm.packing import with_offsets
 from cellweave.llm.pretoken import table
 
@@ -56,12 +57,12 @@ def ordered_ids(docs: DataFrame, path: str, end_id: int, partitions: int) -> Dat
                 before += int(stops[-1])
 
     dealt = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) h").repartitionByRange(partitions, "doc_id", "h")
-    return dealt.sortWithinPartitions("doc_id").select("doc_id", "text").mapInArrow(run, FILES)
+    return dealt.sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(run, FILES)
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int = 1, partitions: int | None = None) -> DataFrame:
     """Write the files in the shared folder and return them as a DataFrame (doc_id, part, part_start, n_tokens, ids)."""
-    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or parts_for(docs)
     return write_table(ordered_ids(docs, path, end_id, partitions), "token_files", **WRITER)
 
 
@@ -70,6 +71,16 @@ def with_starts(files: DataFrame) -> DataFrame:
     return with_offsets(files, "n_tokens").withColumn("start", F.col("part_offset") + F.col("part_start"))
 
 
+def metadata(files: DataFrame) -> DataFrame:
+    """doc_id and n_tokens of all documents: no page of ids is read."""
+    return files.select("doc_id", "n_tokens")
+
+
+def ids_between(files: DataFrame, low: int, high: int) -> DataFrame:
+    """doc_id and ids of the documents of a range of doc_ids (ends included): other row groups and pages are passed over."""
+    return files.where(F.col("doc_id").between(low, high)).select("doc_id", "ids")
+
+
 def read_digests(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the ids' crc32 as read back from the files."""
 

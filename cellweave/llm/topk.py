@@ -136,15 +136,18 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     queries = rows.where(F.col("vec_id") % every == 0).select("uid", "vec_id", "v", "norm").mapInPandas(first_floor, "uid long, vec_id long, v array<long>, norm double, floor double")
     blocks = max(1, -(-shape["queries"] // BLOCK))
     queries = write_table(queries.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int")), "queries")
-    # One row for 8,192 vectors and one for 1,024 queries: both lists are short enough for the driver at any size.
+    # One row for 8,192 vectors and one for 1,024 queries, 16 bytes each, are compared on the driver: 2 MB for a thousand million vectors.
     strip_rows = rows.groupBy("strip").agg(F.max("norm").alias("longest")).toPandas().sort_values("strip")
-    strip_list, lengths = strip_rows["strip"].tolist(), np.maximum.accumulate(strip_rows["longest"].to_numpy()[::-1])[::-1]
+    strip_list, lengths = strip_rows["strip"].to_numpy(), np.maximum.accumulate(strip_rows["longest"].to_numpy()[::-1])[::-1]
     reach = F.when(F.col("norm") > 0, F.col("floor") * (1 - 1e-9) / F.col("norm")).otherwise(F.when(F.col("floor") > 0, float("inf")).otherwise(float("-inf")))
     least = queries.groupBy("block").agg(F.min(reach).alias("least")).toPandas()
-    last = [int(np.searchsorted(-lengths, -x, "right")) for x in least["least"]]
-    strip_ids = F.array(*map(F.lit, strip_list))
-    meet = spark.createDataFrame([(int(b), s) for b, s in zip(least["block"], last, strict=True) if s], "block int, strips int")
-    meet = meet.select("block", F.explode(F.slice(strip_ids, F.lit(1), F.col("strips"))).alias("strip"))
+    least["strips"] = np.searchsorted(-lengths, -least["least"].to_numpy(), "right")
+    least = least[least["strips"] > 0]
+    if not len(least):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # Strips are numbered by falling length: a block meets the first ones, up to its last.
+    meet = spark.createDataFrame(pd.DataFrame({"block": least["block"].astype("int32"), "last": strip_list[least["strips"] - 1].astype("int32")}), "block int, last int")
+    meet = meet.select("block", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("strip"))
     left = queries.join(meet, "block")
     right = rows.join(meet, "strip")
 

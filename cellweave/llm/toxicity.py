@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence scores sigmoid(bias + weights of its distinct words' features); the
-document scores noisy-or, 1 - prod(1 - s). Only document labels are known: the gradient of the document's
-loss shares the blame among its sentences, which then can be located. Features are lower-case words and
-word beginnings of 4 and 5 letters, so that unseen forms of a known stem count.
+A document is a bag of the sentences that hold a feature. A sentence scores s = sigmoid(bias + weights of its distinct
+words' features); the document scores noisy-or, 1 - (1 - sigmoid(bias)) * prod(1 - s): the bias stands once for all that
+holds no feature, and a sentence under `FLOOR` counts as clean, so no length of clean text makes a document toxic. Only
+document labels are known: the gradient of the document's loss shares the blame among its sentences, which then can be
+located. Features are lower-case words and word beginnings of 4 and 5 letters, so that unseen forms of a known stem count.
 
 The model is trained on at most about `max_labels` labelled rows (a documented bound, chosen by a hash of
 doc_id) with up to `max_features` features of the strongest association; every whole text is scored.
@@ -29,8 +30,10 @@ from cellweave.llm.common import bounded_labels, checkpoint, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
-#: A sentence without any feature scores sigmoid of this: thousands of them stay far below the threshold.
+#: A document without any feature scores sigmoid of this; a sentence starts from it.
 BIAS = -10.0
+#: Sentences that score less are clean: they have no part in a document's score.
+FLOOR = 0.01
 #: Distinct words whose weight a worker keeps.
 CACHE_WORDS = 500_000
 
@@ -52,6 +55,7 @@ class Scorer(dict):
         super().__init__()
         self.model = model
         self.silent = math.log1p(math.exp(model.bias))
+        self.least = math.log(FLOOR / (1 - FLOOR))
 
     def __missing__(self, word: str) -> float:
         get = self.model.weights.get
@@ -73,11 +77,9 @@ class Scorer(dict):
         """The document's score, and its sentences of 0.5 or more."""
         if not text or not self.model.weights:
             return 0.0, []
-        n = len(_SENTENCE.findall(text))
-        if not any(map(self.__getitem__, _WORD.findall(text.lower()))):
-            return -math.expm1(-n * self.silent), []
-        held = self.sentences(text)
-        quiet = (n - len(held)) * self.silent + sum(z if z > 30 else math.log1p(math.exp(z)) for _, _, z in held)
+        # Most texts hold no feature: one look at their words is enough.
+        held = self.sentences(text) if any(map(self.__getitem__, _WORD.findall(text.lower()))) else []
+        quiet = self.silent + sum(z if z > 30 else math.log1p(math.exp(z)) for _, _, z in held if z >= self.least)
         return -math.expm1(-quiet), [(a, b, 1 / (1 + math.exp(-z))) for a, b, z in held if z >= 0]
 
 
@@ -86,16 +88,10 @@ def seen_in(text: str) -> set[str]:
     return {f for w in set(_WORD.findall(text.lower())) for f in features_of(w)}
 
 
-def instances(text: str, number: dict[str, int]) -> tuple[int, list[list[int]]]:
-    """How many sentences hold no known feature, and the feature numbers of each that does."""
-    quiet, held = 0, []
-    for m in _SENTENCE.finditer(text):
-        own = [number[f] for w in set(_WORD.findall(m[0].lower())) for f in features_of(w) if f in number]
-        if own:
-            held.append(own)
-        else:
-            quiet += 1
-    return quiet, held
+def instances(text: str, number: dict[str, int]) -> list[list[int]]:
+    """The feature numbers of each sentence that holds a known feature."""
+    held = ([number[f] for w in set(_WORD.findall(m[0].lower())) for f in features_of(w) if f in number] for m in _SENTENCE.finditer(text))
+    return [own for own in held if own]
 
 
 def association(toxic: Column, clean: Column, n1: float, n0: float) -> Column:
@@ -103,23 +99,34 @@ def association(toxic: Column, clean: Column, n1: float, n0: float) -> Column:
     return F.sqrt(toxic) * F.log((toxic + 0.5) / (n1 + 1) * (n0 + 1) / (clean + 0.5))
 
 
-def optimise(y: np.ndarray, bags: list[tuple[int, list[list[int]]]], n_features: int, *, rounds: int = 300, penalty: float = 1e-4) -> np.ndarray:
+class Bags:
+    """Labelled documents as flat arrays: the sentence of each feature, the document of each sentence."""
+
+    def __init__(self, y: np.ndarray, bags: list[list[list[int]]], n_features: int):
+        self.y, self.n_features = y, n_features
+        self.sentence = np.repeat(np.arange(sum(map(len, bags))), [len(own) for held in bags for own in held])
+        self.feature = np.asarray([f for held in bags for own in held for f in own], np.int64)
+        self.doc = np.repeat(np.arange(len(bags)), [len(held) for held in bags])
+        self.balance = np.where(y == 1, (len(y) - y.sum()) / y.sum(), 1.0)
+
+    def loss(self, w: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+        """The mean loss of the noisy-or scores, toxic documents weighing as much as clean ones, and its gradient."""
+        y, n1 = self.y, self.y.sum()
+        z = BIAS + np.bincount(self.sentence, w[self.feature], len(self.doc))
+        log_clean = -(np.bincount(self.doc, np.logaddexp(0, z), len(y)) + np.log1p(np.exp(BIAS)))
+        toxic = np.maximum(-np.expm1(log_clean), 1e-12)
+        value = (self.balance * np.where(y == 1, -np.log(toxic), -log_clean)).sum() / len(y) + 0.5 * penalty * (w @ w) / n1
+        # The share of blame of a toxic document's sentences: q / (1 - q) of the document times s of the sentence.
+        pull = np.where(y == 1, -np.exp(log_clean) / toxic, 1.0) * self.balance
+        slope = pull[self.doc] / (1 + np.exp(-z))
+        return float(value), np.bincount(self.feature, slope[self.sentence], self.n_features) / len(y) + penalty * w / n1
+
+
+def optimise(bags: Bags, *, rounds: int = 300, penalty: float = 1e-4) -> np.ndarray:
     """Noisy-or maximum likelihood by Adam: the weights of the features."""
-    sentence = np.repeat(np.arange(sum(len(h) for _, h in bags)), [len(own) for _, h in bags for own in h])
-    feature = np.asarray([f for _, h in bags for own in h for f in own], np.int64)
-    doc = np.repeat(np.arange(len(bags)), [len(h) for _, h in bags])
-    quiet = np.asarray([q for q, _ in bags], float)
-    n1 = y.sum()
-    w, m1, m2 = np.zeros(n_features), np.zeros(n_features), np.zeros(n_features)
-    balance = np.where(y == 1, (len(y) - n1) / n1, 1.0)
-    silent = np.log1p(np.exp(BIAS))
+    w, m1, m2 = np.zeros(bags.n_features), np.zeros(bags.n_features), np.zeros(bags.n_features)
     for t in range(1, rounds + 1):
-        z = BIAS + np.bincount(sentence, w[feature], len(doc))
-        clean = np.exp(-(np.bincount(doc, np.logaddexp(0, z), len(y)) + quiet * silent))
-        # The share of blame of a toxic document's sentences: q / (1 - q) of the document times s of the sentence.
-        pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-12), 1.0) * balance
-        slope = pull[doc] / (1 + np.exp(-z))
-        grad = np.bincount(feature, slope[sentence], n_features) / len(y) + penalty * w / n1
+        grad = bags.loss(w, penalty)[1]
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         w -= 0.2 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
     return w
@@ -167,10 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labels: int = 12_000, max_fea
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [instances(t, number) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1).cast(pa.int32()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], bags)], names=["h", "label", "quiet", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1).cast(pa.int32()), pa.array(got, bags)], names=["h", "label", "held"])
 
-    rows = sorted(texts.select("text", "label", "h").mapInArrow(turn, "h string, label int, quiet long, held array<array<int>>").collect(), key=lambda r: r["h"])
-    w = optimise(np.asarray([r["label"] for r in rows], float), [(r["quiet"], r["held"]) for r in rows], len(chosen), **options)
+    rows = sorted(texts.select("text", "label", "h").mapInArrow(turn, "h string, label int, held array<array<int>>").collect(), key=lambda r: r["h"])
+    w = optimise(Bags(np.asarray([r["label"] for r in rows], float), [r["held"] for r in rows], len(chosen)), **options)
     return Model({f: float(w[k]) for f, k in number.items() if abs(w[k]) > 0.05})
 
 

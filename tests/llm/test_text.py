@@ -258,3 +258,59 @@ def test_toxicity_on_held_out_rows(spark, edge, empty):
     assert toxicity.fit(own, marks.where("toxic = 1")).weights == {} and toxicity.fit(empty, marks).weights == {}
 
 
+def brute_score(text, weights, bias):
+    """Noisy-or of the sentences over the floor, and the bias once."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    clean = 1 - sigmoid(bias)
+    for sentence in re.split(r"[.!?\n]", text):
+        total = 0.0
+        for w in set(re.findall(r"[^\W\d_]+", sentence.lower())):
+            total += weights.get(w, 0.0) + sum(weights.get(w[:n] + "*", 0.0) for n in (4, 5) if len(w) > n)
+        if total and sigmoid(bias + total) >= toxicity.FLOOR:
+            clean *= 1 - sigmoid(bias + total)
+    return 1 - clean
+
+
+def test_toxicity_scores_are_noisy_or():
+    rng = random.Random(6)
+    words = [f"w{a}rd{b}" for a in "aeiou" for b in "xyz"] + ["bad", "worse", "awful", "awfully"]
+    weights = {"bad": 6.0, "worse": 9.5, "awfu*": 7.0, "awful*": 3.0, "waxx": -2.0, "ward*": -1.0}
+    model = toxicity.Model(weights)
+    scorer = toxicity.Scorer(model)
+    for _ in range(300):
+        text = "".join(f"{rng.choice(words)}{rng.choice([' ', ' ', ' ', '. ', '! ', chr(10)])}" for _ in range(rng.randint(1, 60)))
+        assert abs(scorer.score(text)[0] - brute_score(text, weights, model.bias)) < 1e-9
+
+
+def test_toxicity_does_not_grow_with_clean_text():
+    scorer = toxicity.Scorer(toxicity.Model({"idiot": 14.0, "rather": 3.0}))
+    clean = "It was a rather fine day. All is well!  ... ? " * 50_000
+    assert scorer.score(clean)[0] < 1e-3
+    score, held = scorer.score(clean + "You idiot.")
+    assert score > 0.9 and len(held) == 1 and (clean + "You idiot.")[held[0][0] : held[0][1]].strip() == "You idiot"
+
+
+def test_toxicity_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(2)
+    bags = [[rng.integers(0, 12, rng.integers(1, 5)).tolist() for _ in range(rng.integers(0, 6))] for _ in range(60)]
+    own = toxicity.Bags((rng.random(60) < 0.3).astype(float), bags, 12)
+    w = rng.normal(5, 3, 12)
+    grad = own.loss(w, 1e-3)[1]
+    for k in range(12):
+        step = np.eye(12)[k] * 1e-5
+        assert abs((own.loss(w + step, 1e-3)[0] - own.loss(w - step, 1e-3)[0]) / 2e-5 - grad[k]) < 1e-5
+
+
+def test_languages_of_few_rows_are_learned(spark):
+    rows = [(k, f"the words of this english text number {k}", "en") for k in range(600)] + [(9000 + k, "żółta łódź płynie świtem", "pl") for k in range(3)]
+    profiles = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=50)
+    assert set(profiles) == {"en", "pl"}
+
+
+def test_repeated_doc_ids_teach_the_same_rules(spark):
+    rows = [(k, "# * % " * 9 if k % 3 == 0 else "plain words of a text that is fine and long enough") for k in range(300)] + [(k, f"{k} other words of a longer text " * 9) for k in range(300)]
+    marks = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(300)], "doc_id long, quality int")
+    fits = [quality_rules.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(n), marks) for x, n in ((rows, 2), (rows[::-1], 5))]
+    assert fits[0] == fits[1] and fits[0]
+
+

@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cellweave.llm import packing, sentencepiece_bpe, token_counts, token_files
+from cellweave.llm.common import parts_for
 from cellweave.llm.pretoken import PretokenTable
 from cellweave.llm.queries import vocabulary
 
@@ -31,7 +32,10 @@ def test_pretoken_tables_give_the_librarys_ids(path):
     cases = texts()
     flat, sizes = table.encode_many(cases)
     assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in cases]
-    assert PretokenTable(path, counts_only=True).count_many(cases) == sizes.tolist()
+    counting = PretokenTable(path, counts_only=True)
+    assert counting.count_many(cases) == sizes.tolist()
+    # By pre-tokens alone, for every text: no text is encoded whole.
+    assert [counting.odd_count(t) for t in cases] == sizes.tolist()
 
 
 def test_merge_rounds_give_the_librarys_ids():
@@ -128,6 +132,32 @@ def test_token_files_have_page_indexes_and_dictionaries(docs, tmp_path):
     assert any("DELTA" in e for e in columns["n_tokens"].encodings)
 
 
+def test_token_files_are_the_same_on_every_run(spark):
+    rows = [(k % 3, f"text {k * 7919 % 100}") for k in range(90)] + [(1, None), (1, None)]
+    runs = []
+    for parts in (5, 2):
+        df = spark.createDataFrame(rows[::-1] if parts == 2 else rows, "doc_id long, text string").repartition(parts)
+        files = token_files.write_token_files(df, WORD, partitions=3)
+        runs.append(sorted(tuple(r) for r in token_files.read_digests(files).collect()))
+    assert runs[0] == runs[1]
+
+
+def test_selective_reads_of_token_files(spark, docs):
+    library = Tokenizer.from_file(WORD)
+    files = token_files.write_token_files(docs, WORD, partitions=2)
+    plan = token_files.metadata(files)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan
+    some = token_files.ids_between(files, 20, 29)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,20), LessThanOrEqual(doc_id,29)" in plan
+    assert {r["doc_id"]: r["ids"] for r in some.collect()} == {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in pairs(docs) if i is not None and 20 <= i <= 29}
+    assert dict(map(tuple, token_files.metadata(files).collect())) == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in pairs(docs)}
+
+
+def test_parts_follow_the_size_of_the_files(docs):
+    assert parts_for(docs) == 4 and parts_for(docs, part_bytes=10_000) > 4
+
+
 def test_empty_tables(empty):
     assert token_counts.token_counts(empty, BYTE).count() == 0
     assert sentencepiece_bpe.digests(empty, PIECE).count() == 0
