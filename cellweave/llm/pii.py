@@ -8,9 +8,12 @@ stands in a text that holds an entity, reveals it as far as the corpus says so:
 
 A term at or over `generalise_at` is generalised in all texts of that entity, at or over `remove_at` removed.
 Counts are of distinct texts, over the whole corpus. Of the texts that show an entity in the same surroundings (up to
-`REACH` characters on each side, no further than the next match of the kind) only one is evidence, so copies of a text
-or passage prove nothing. Small counts weigh less: n_e texts are evidence for the entity, k of them hold the term, and
-of n_t texts with the term those with the entity that are no evidence do not count; then
+`REACH` characters on each side, no further than the next match of the kind) only one is a witness, the least by key; of
+those, for each of `WITNESS` hashes in turn, only the least of the texts whose rare terms (of sqrt(n) texts at most) agree
+in their least hash. Copies of a passage so prove nothing, and near copies of a text hardly ever do: two texts that
+share a part j of their rare terms are two witnesses with a chance of (1 - j) ** WITNESS. Small counts weigh less: n_e
+texts witness the entity, k of them hold the term, and of n_t texts with the term those with the entity that are no
+witnesses do not count; then
 
     p(e) = n_e / n        p(e | t) = (k - 1 + p(e)) / (n_t - others)
 
@@ -29,6 +32,7 @@ in proportion to its length and its matches.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -49,7 +53,7 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 _IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 TERM = r"(?<!\p{L})\p{L}{4,}+"
-REACH = 80
+REACH, WITNESS = 80, 8
 #: Sanitising terms of up to so many rows are broadcast (about 60 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -174,17 +178,17 @@ def term_places(text: Column, base: Column, wanted: Column) -> Column:
             def step(acc: Column, x: Column) -> Column:
                 at = acc["at"] + x["gap"]
                 end = at + F.char_length(x["hit"])
-                found = F.array(F.struct(at.alias("start"), end.alias("end"), F.array_position(keys, x["term"]).alias("nth")))
-                return F.struct(end.alias("at"), F.when(F.array_contains(keys, x["term"]), F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+                found = F.array(F.struct(at.alias("start"), end.alias("end"), x["nth"].alias("nth")))
+                return F.struct(end.alias("at"), F.when(x["nth"] > 0, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
             none = F.array().cast("array<struct<start:int,end:int,nth:bigint>>")
             return F.aggregate(block, F.struct(start.alias("at"), none.alias("out")), step)["out"]
 
-        return F.flatten(in_blocks(steps, lambda x: x["gap"] + F.char_length(x["hit"]), fold))
+        words = F.zip_with(gaps, hits, lambda g, h: F.struct(F.char_length(g).alias("gap"), h.alias("hit"), F.array_position(keys, _term(h)).alias("nth")))
+        return F.flatten(in_blocks(F.filter(words, lambda x: x["hit"].isNotNull()), lambda x: x["gap"] + F.char_length(x["hit"]), fold))
 
-    words = F.zip_with(gaps, hits, lambda g, h: F.struct(F.char_length(g).alias("gap"), h.alias("hit"), _term(h).alias("term")))
-    steps = F.filter(words, lambda x: x["hit"].isNotNull())
-    places = F.filter(bound(F.transform(wanted, lambda w: w["term"]), use), lambda p: ~F.exists(base, lambda b: (b["start"] < p["end"]) & (b["end"] > p["start"])))
+    outside = lambda spans: F.filter(bound(F.transform(wanted, lambda w: w["term"]), use), lambda p: ~F.exists(spans, lambda b: (b["start"] < p["end"]) & (b["end"] > p["start"])))
+    places = bound(base, outside)
     return F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.element_at(wanted, p["nth"].cast("int"))["removed"].alias("removed"))).cast(EXTRA)
 
 
@@ -196,16 +200,13 @@ def revealing(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float =
 
     texts = docs.select("text").where("text is not null").withColumn("text_key", F.unhex(F.md5("text")))
     hinted = texts.where(F.col("text").rlike("|".join(f"(?:{h})" for h in HINTS.values())))
-    held = checkpoint(hinted.withColumn("found", protected(F.col("text"))).where(F.size("found") > 0).dropDuplicates(["text_key"]))
-    own = held.select("text_key", F.explode("found").alias("f")).select("text_key", "f.entity", "f.around")
-    # One text stands for each surroundings of an entity.
-    stands = own.groupBy("entity", "around").agg(F.min("text_key").alias("text_key")).select("entity", "text_key").distinct()
-    entity = checkpoint(stands.groupBy("entity").agg(F.count("*").alias("n_e")).where("n_e > 1"))
-    most = entity.agg(F.max("n_e")).first()[0]
-    if not most:
+    held = hinted.withColumn("found", protected(F.col("text"))).where(F.size("found") > 0).dropDuplicates(["text_key"])
+    held = checkpoint(held.withColumn("terms", terms_of(F.col("text"))))
+    own = held.select("text_key", F.explode("found").alias("f")).select("text_key", "f.entity", "f.around").distinct()
+    several = own.groupBy("entity").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.min("around").alias("c"), F.max("around").alias("d")).where("a < b and c < d")
+    own = checkpoint(own.join(small(checkpoint(several.select("entity"))), "entity"))
+    if own.isEmpty():
         return None
-    own = own.select("entity", "text_key").distinct().join(small(entity), "entity")
-    own = checkpoint(own.join(stands.withColumn("counts", F.lit(1)), ["entity", "text_key"], "left").withColumn("counts", F.coalesce("counts", F.lit(0))))
     # Each of the copies of a text counts its share, so the texts need not be shuffled to count them once.
     every = texts.groupBy("text_key").agg(F.count("*").alias("copies"))
     copied = checkpoint(every.where("copies > 1"))
@@ -213,8 +214,20 @@ def revealing(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float =
     shared = texts.join(small(copied), "text_key", "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
     # A hot term is one row a task.
     counted = shared.select("share", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_t"))
-    words = held.join(own.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode(terms_of(F.col("text"))).alias("term"))
-    words = words.join(counted.where("n_t > 1"), "term")
+    words = held.join(own.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.explode("terms").alias("term"))
+    words = checkpoint(words.join(counted, "term"))
+    leasts = [f"least{k}" for k in range(WITNESS)]
+    rare = words.where(F.col("n_t") <= math.sqrt(n)).groupBy("text_key").agg(*(F.min(F.xxhash64("term", F.lit(k))).alias(c) for k, c in enumerate(leasts)))
+    # One text stands for those that share an entity's surroundings or a least hash.
+    one = F.min(F.struct("text_key", *leasts)).alias("s")
+    stands = own.join(rare, "text_key", "left").groupBy("entity", "around").agg(one).select("entity", "s.*").distinct()
+    for c in leasts:
+        stands = stands.groupBy("entity", c).agg(one).select("entity", "s.*")
+    stands = checkpoint(stands.select("entity", "text_key"))
+    entity = checkpoint(stands.groupBy("entity").agg(F.count("*").alias("n_e")).where("n_e > 1"))
+    own = own.select("entity", "text_key").distinct().join(small(entity), "entity")
+    own = checkpoint(own.join(stands.withColumn("counts", F.lit(1)), ["entity", "text_key"], "left").withColumn("counts", F.coalesce("counts", F.lit(0))))
+    words = words.where("n_t > 1")
     base_rate = F.col("n_e") / F.lit(float(n))
     limit = F.col("n_e") / F.pow(base_rate, F.lit(1 - generalise_at))
     pairs = own.join(words, "text_key").groupBy("entity", "n_e", "term", "n_t").agg(F.count("*").alias("both"), F.sum("counts").alias("k")).where("k > 1")
