@@ -15,7 +15,7 @@ a hot bucket is split without losing a pair. Components are closed over the fore
 shingle sets, in three steps: each text with the nearest one by fingerprint, found by pivots inside buckets of
 least shingle hashes (three of them a key, eight keys a text); all pairs between different trees of those buckets;
 and, for texts that share no key, all pairs between trees that share a shingle of their prefixes, which no pair at
-the similarity can avoid. So fingerprints and keys only set the order of work: no link depends on them.
+the similarity can avoid, unless their parity cells differ in more places than the sets could. So fingerprints and keys only set the order of work: no link depends on them.
 
 Nulls: a null text has no words and fingerprint zero, linked like any other; a null doc_id never is a
 component's id unless it is alone. Repeated rows share a component and each get a row. An empty table
@@ -191,13 +191,42 @@ def prefix(hashes: np.ndarray, similarity: float, often: np.ndarray, counts: np.
     return hashes[np.argsort(count, kind="stable")[:kept]]
 
 
-def partners(size: np.ndarray, tree: np.ndarray, keys: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """All pairs (i, j) between trees but those whose sizes differ too much or that share a key, so were compared."""
+def parity(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of the hashes falls into each of so many cells, two or more for each hash.
+
+    Two sets differ in at least as many hashes as their cells differ. The cells of a smaller table are those of a
+    larger one folded.
+    """
+    bits = 64 << max(0, math.ceil(math.log2(max(1, len(hashes)) / 32)))
+    counts = np.bincount((hashes & _U64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def partners(size: np.ndarray, tree: np.ndarray, keys: np.ndarray, cells: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Pairs (i, j) between trees that may have the similarity: but for those that share a key, so were compared already,
+    and those whose sizes or cells differ too much for it."""
+    width = np.asarray([len(c) // 8 for c in cells])
+    tables: dict[int, np.ndarray] = {}
+    place = {}
+    for w in np.unique(width).tolist():
+        for level in {w, max(1, w // 2)}:
+            own = np.flatnonzero(width == w)
+            rows = np.frombuffer(b"".join(cells[k] for k in own.tolist()), _U64).reshape(len(own), w)
+            rows = rows if level == w else rows[:, :level] ^ rows[:, level:]
+            at = place.setdefault(level, np.full(len(size), -1))
+            before = tables.get(level, np.zeros((0, level), _U64))
+            at[own] = len(before) + np.arange(len(own))
+            tables[level] = np.concatenate([before, rows])
     out = []
     for i in range(len(size) - 1):
         at = np.arange(i + 1, len(size))
         at = at[(tree[at] != tree[i]) & (np.minimum(size[at], size[i]) >= similarity * np.maximum(size[at], size[i]))]
-        out += [(i, j) for j in at[~(keys[at] == keys[i]).any(1)].tolist()]
+        at = at[~(keys[at] == keys[i]).any(1)]
+        for level in {int(width[i]), max(1, int(width[i]) // 2)} if len(at) else ():
+            near = at[np.minimum(width[at], width[i]) == level]
+            table, where = tables[level], place[level]
+            apart = np.bitwise_count(table[where[near]] ^ table[where[i]]).sum(1, dtype=np.int64)
+            out += [(i, j) for j in near[apart <= (1 - similarity) / (1 + similarity) * (size[near] + size[i]) + 1e-6].tolist()]
     return out
 
 
@@ -414,6 +443,11 @@ def _between_trees(keyed: DataFrame, edges: DataFrame, explode: str | None = Non
     treed = keyed.join(_small(trees.select("node", F.col("root").alias("tree"))), "node", "left").withColumn("tree", F.coalesce("tree", "node"))
     if explode:
         treed = treed.select(F.explode(explode).alias("bucket"), "node", "tree")
+    else:
+        # Counted before the shuffle, so a hot bucket of one tree is a few rows.
+        treed = checkpoint(treed)
+        several = checkpoint(treed.groupBy("bucket").agg(F.min("tree").alias("x"), F.max("tree").alias("y")).where("x < y").select("bucket"))
+        return treed.join(_small(several), "bucket")
     whole = Window.partitionBy("bucket")
     return checkpoint(treed.withColumn("x", F.min("tree").over(whole)).withColumn("y", F.max("tree").over(whole)).where("x < y").drop("x", "y"))
 
@@ -435,15 +469,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
                 node = np.asarray([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], _U64).view(np.int64)
                 fp = np.asarray([f[0] for f in found], _U64).view(np.int64)
                 keys, size = pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32())
+                cells = pa.array([parity(s) for s in sets], pa.binary())
                 first = pa.array([prefix(s, similarity, often, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(node), pa.array(fp), keys, size, first], names=["doc_id", "k1", "k2", "node", "fp", "keys", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(node), pa.array(fp), keys, size, cells, first], names=["doc_id", "k1", "k2", "node", "fp", "keys", "size", "cells", "prefix"])
 
     keyed_docs = docs.selectExpr("cast(doc_id as long) doc_id", "text", *(f"{e} as {k}" for k, e in ROW_KEYS.items()))
     # The prefixes, a fifth of the shingles, are the one large column: it is written once and read once.
-    rows = write_table(keyed_docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, fp long, keys array<long>, size int, prefix array<long>"), "sketches")
+    rows = write_table(keyed_docs.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, fp long, keys array<long>, size int, cells binary, prefix array<long>"), "sketches")
     # node stands for the set of shingles: copies are collapsed, one of them standing for all, before any bucket is made.
     stands = F.min(F.struct("k1", "k2")).alias("stands")
-    distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), stands, *(F.first(c).alias(c) for c in ("fp", "keys", "size"))))
+    distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), stands, *(F.first(c).alias(c) for c in ("fp", "keys", "size", "cells"))))
     chosen = distinct.select("node", "stands.k1", "stands.k2")
     keyed = distinct.select(F.explode("keys").alias("bucket"), "node", "fp")
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
@@ -477,11 +512,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, ngram: int
         firsts = rows.groupBy("node").agg(F.first("prefix").alias("prefix"))
     apart = _between_trees(firsts, edges, "prefix")
     _release(docs)
-    apart = apart.join(distinct.select("node", "size", "keys"), "node").select("bucket", "node", F.struct("tree", "size", "keys").alias("bits"))
+    apart = apart.join(distinct.select("node", "size", "keys", "cells"), "node").select("bucket", "node", F.struct("tree", "size", "keys", "cells").alias("bits"))
 
     def pair(held: pa.Array) -> list[tuple[int, int]]:
-        tree, size, keys = (pc.struct_field(held, k) for k in (0, 1, 2))
-        return partners(size.to_numpy(), tree.to_numpy(), keys.flatten().to_numpy().reshape(-1, KEYS), similarity)
+        tree, size, keys, cells = (pc.struct_field(held, k) for k in range(4))
+        return partners(size.to_numpy(), tree.to_numpy(), keys.flatten().to_numpy().reshape(-1, KEYS), cells.to_pylist(), similarity)
 
     # Beyond both prefixes two sets share no more than the longer rest, so with what they share inside most are too few.
     found = _in_buckets(apart, pair).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("common"))

@@ -245,6 +245,20 @@ def test_prefixes_of_similar_sets_meet():
         assert firsts[0] & firsts[1]
 
 
+def test_partners_leave_out_only_what_cannot_be_similar():
+    rng = np.random.default_rng(9)
+    sets = []
+    for k in range(60):
+        own = rng.integers(0, 2**63, int(rng.choice([5, 40, 60, 70, 300, 2000])), dtype=np.uint64)
+        sets += [np.unique(own), np.unique(np.concatenate([own[: int(len(own) * rng.uniform(0.75, 1))], rng.integers(0, 2**63, int(len(own) * rng.uniform(0, 0.2)), dtype=np.uint64)]))]
+    size, tree = np.asarray([len(x) for x in sets]), np.arange(len(sets))
+    got = set(simhash.partners(size, tree, np.arange(len(sets))[:, None], [simhash.parity(x) for x in sets], 0.8))
+    held = [set(x.tolist()) for x in sets]
+    similar = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(held[i] & held[j]) >= 0.8 * len(held[i] | held[j])}
+    assert len(similar) > 10 and similar <= got and len(got) < 4 * len(similar)
+    assert not simhash.partners(size, np.zeros(len(sets)), np.arange(len(sets))[:, None], [simhash.parity(x) for x in sets], 0.8)
+
+
 def test_drop_near_duplicates_edges(edge, empty):
     kept = simhash.drop_near_duplicates(edge)
     ids = [r["doc_id"] for r in kept.collect()]
