@@ -52,7 +52,7 @@ def p_value(z: Column, alternative: str = "two-sided") -> Column:
         return two_sided(z)
     if alternative in {"greater", "less"}:
         return normal_sf(z if alternative == "greater" else -z)
-    raise ValueError("alternative must be two-sided, greater or less")
+    raise ValueError(f"no alternative {alternative!r}")
 
 
 def similarity(distance: Column, transform: str, scale: float = 1.0) -> Column:
@@ -63,7 +63,7 @@ def similarity(distance: Column, transform: str, scale: float = 1.0) -> Column:
         return F.exp(-distance / scale)
     if transform == "complement":
         return scale - distance
-    raise ValueError("similarity_transform must be inverse, negative_exp, or complement")
+    raise ValueError(f"no transform {transform!r}")
 
 
 def hex_color(r: Column, g: Column, b: Column) -> Column:

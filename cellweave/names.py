@@ -33,7 +33,7 @@ def radius_key(radius: float) -> str:
 def image_group(name: str) -> tuple[str, int]:
     """("O", 12) of "O12"."""
     if not (m := re.fullmatch(r"([OS])(\d+)", name)):
-        raise ValueError(f"Image names must be O<n> or S<n>, not {name!r}")
+        raise ValueError(f"{name!r} is neither O<n> nor S<n>")
     return m[1], int(m[2])
 
 

@@ -41,11 +41,11 @@ def object_points(table: DataFrame, order: Sequence[str] | None = None) -> DataF
     """points (row_id, x, y, z, object, s) of an object table X, Y, Z, Object and scalar columns after it."""
     missing = [c for c in ("X", "Y", "Z", "Object") if c not in table.columns]
     if missing:
-        raise ValueError("Object table must be a data frame with at least X, Y, Z, and Object columns.")
+        raise ValueError("an object table starts with X, Y, Z and Object")
     scalars = [c for c in table.columns if c not in ("X", "Y", "Z", "Object", "row_id")]
     wrong = [c for c, kind in table.dtypes if c in scalars and kind not in ("int", "bigint", "smallint", "tinyint", "float", "double") and not kind.startswith("decimal")]
     if wrong:
-        raise ValueError("Scalar columns after Object must be numeric")
+        raise ValueError("scalars of an object table are numbers")
     numbered = table if "row_id" in table.columns else with_row_id(table, *(order or table.columns))
     values = F.array(*(F.col(f"`{c}`").cast("double") for c in scalars)) if scalars else F.array().cast("array<double>")
     return numbered.select("row_id", *(F.col(a.upper()).cast("double").alias(a) for a in AXES), F.col("Object").cast("long").alias("object"), values.alias("s"))
@@ -54,7 +54,7 @@ def object_points(table: DataFrame, order: Sequence[str] | None = None) -> DataF
 def check_finite(points: DataFrame, axes: Sequence[str] = AXES) -> None:
     bad = points.where(" OR ".join(f"`{a}` IS NULL OR isnan(`{a}`) OR abs(`{a}`) = double('infinity')" for a in axes))
     if not bad.isEmpty():
-        raise ValueError("X, Y, and Z must contain only finite values")
+        raise ValueError("a coordinate is null or not finite")
 
 
 def eligible(points: DataFrame, objects: Sequence[int] | dict | None) -> DataFrame:
@@ -108,14 +108,14 @@ def census_table(table: DataFrame, radii: float | Sequence[float], sample_size:
         elif sample_indices is not None:
             plan = sample_indices[k] if sample_indices and isinstance(sample_indices[0], (list, tuple)) else sample_indices
             if sizes[k] is not None and len(plan) < sizes[k]:
-                raise ValueError("Explicit sample_indices does not contain enough rows")
+                raise ValueError("the plan names fewer seeds than are asked for")
             own = sample_by_plan(pool, list(plan)[: sizes[k]]).select("nbhd", *AXES)
         else:
             if sizes[k] is None:
-                raise ValueError("sample_size is required without a plan.")
+                raise ValueError("without a plan of seeds their number is needed")
             own = sample_by_hash(pool, sizes[k], f"{random_state}-{k}").select(F.col("nbhd").cast("int").alias("nbhd"), *AXES)
         if seeds is None and sizes[k] is not None and own.count() < sizes[k]:
-            raise ValueError("Cannot sample more seed points than eligible objects without replacement.")
+            raise ValueError("there are fewer objects than the seeds asked for")
         rows = census_of_seeds(own, points, radius, scalars)
         # A row for each seed and variable: read for the names and for the wide rows.
         long = materialize(summarize(rows, links))

@@ -48,7 +48,7 @@ def beta_diversity(parts: DataFrame, weights: DataFrame, ids: int | None = None)
     p = filled(share.withColumn("p", F.col("percent") / 100), "p", ["parent"]).join(filled(mean, "q", []), "id")
     beta = p.agg(F.sum(F.col("w") * F.col("p") * F.log2(F.col("p") / F.col("q")))).first()[0]
     if beta is None:
-        raise ValueError("No parent object contains a measured constituent variable")
+        raise ValueError("no parent holds any of the constituents")
     return rows, float(beta)
 
 
@@ -76,12 +76,12 @@ def merge_profile(profile: DataFrame, groups: Sequence[Sequence[int]]) -> DataFr
     parts = [c for c in profile.columns if c not in ("Object", "Count")]
     inside = remaining_and_selected(profile, groups)[1].agg(F.count("*").alias("n")).first()["n"]
     if inside != len(merge_map(groups)):
-        raise ValueError("prof_table is missing object IDs of the groups")
+        raise ValueError("the profile lacks an object that is to be merged")
     rows = profile.withColumn("__g", _target(F.col("Object"), groups)).groupBy("__g")
     kinds = dict(profile.dtypes)
     mean = lambda c: F.coalesce(F.sum(col(c) * F.col("Count")) / F.nullif(F.sum("Count"), F.lit(0)), F.avg(col(c))).cast(kinds[c])
     if not rows.agg(F.sum("Count").alias("n")).where(F.col("__g").isin(sorted(set(merge_map(groups).values()))) & (F.col("n") == 0)).isEmpty():
-        raise ValueError("Cannot merge profiles whose total Count is zero")
+        raise ValueError("objects without any count have no weighted mean")
     merged = rows.agg(F.sum("Count").cast(kinds["Count"]).alias("Count"), *(mean(c).alias(c) for c in parts))
     number = F.row_number().over(Window.orderBy("__g"))
     return merged.select(number.cast(kinds["Object"]).alias("Object"), "Count", *map(col, parts))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.scalar import round_to_bins
 from cellweave.names import col, object_group
+from cellweave.plans.random_plan import running, with_row_id
 
 
 def bin_columns(census: DataFrame, ranges: dict[str, tuple[float, float]], bins: int, values: bool = True) -> DataFrame:
@@ -24,7 +25,7 @@ def ranges_of(census: DataFrame, names: Sequence[str]) -> dict[str, tuple[float,
 def build_dist(census: DataFrame, names: Sequence[str], focal: str | Sequence[str] = "all") -> DataFrame | None:
     """Count of each combination of names (nulls are a value), as freq; None if no focal variable is among them."""
     if not names:
-        raise ValueError("vars cannot be empty")
+        raise ValueError("name one variable at least")
     if focal != "all" and not any(n in focal for n in names):
         return None
     columns = [c for c in census.columns if c in names]
@@ -38,7 +39,7 @@ def grid(census: DataFrame, names: Sequence[str], bins: int | Sequence[int], ran
     """
     counts = [bins] * len(names) if isinstance(bins, int) else list(bins)
     if len(counts) != len(names) or min(counts) < 1:
-        raise ValueError("bins must give at least one bin per variable")
+        raise ValueError("every variable needs a bin")
     total, step, out = 1, 1, []
     for c in counts:
         total *= c
@@ -98,8 +99,17 @@ def smooth_dist(dist: DataFrame, names: Sequence[str], bins: int | Sequence[int]
 
 
 def benjamini_hochberg(df: DataFrame, p: str, keys: Sequence[str] = (), out: str = "Padjust", tests: Column | None = None) -> DataFrame:
-    """Adjusted p-values: running minimum of p n / rank from the largest down, 1 at most."""
-    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    """Adjusted p-values: running minimum of p n / rank from the largest down, 1 at most.
+
+    With keys each family is a window; without, ranks and minima come from range partitions. A null p stays null there.
+    """
+    if not keys:
+        known = with_row_id(df.where(F.col(p).isNotNull()), F.col(p).asc(), name="__r")
+        total = tests if tests is not None else F.lit(df.where(F.col(p).isNotNull()).count())
+        down = running(known, F.col(p) * total / (F.col("__r") + 1), out, [], F.desc("__r"), least=True)
+        adjusted = down.withColumn(out, F.least(out, F.lit(1.0))).drop("__r")
+        return adjusted.unionByName(df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    own = Window.partitionBy(*keys)
     rank = F.row_number().over(own.orderBy(F.col(p).asc()))
     n = tests if tests is not None else F.count(F.col(p)).over(own)
     ranked = df.withColumn("__r", rank).withColumn("__v", F.col(p) * n / F.col("__r"))

@@ -129,7 +129,7 @@ def census_image(voxels: DataFrame, radii: dict[float, Sequence[float]] | float
             seeds = sample_by_plan(pool, seed_indices).select("nbhd", *AXES)
         else:
             if any(s is None for s in sizes):
-                raise ValueError("sample_size is required without seeds")
+                raise ValueError("without seeds their number is needed")
             seeds = sample_by_hash(pool, max(sizes), random_state, row="position").select("nbhd", *AXES)
     images = sorted(r["image"] for r in voxels.select("image").distinct().collect())
     object_maps, scalar_maps = ([i for i in images if image_group(i)[0] == k] for k in "OS")
@@ -166,7 +166,7 @@ def summarize_images(patches: DataFrame, links: Sequence[tuple[str, str]] = ())
 def suggest_number(voxels: DataFrame, coverage: float, semi_axes: Sequence[Sequence[float]], dims: Sequence[int], links: Sequence[tuple[str, str]] = ()) -> list[int]:
     """Seeds that cover the foreground `coverage` times at each radius: ceil(coverage * foreground / ellipsoid volume)."""
     if not 0 < coverage < float("inf") or not semi_axes:
-        raise ValueError("coverage must be a finite positive number, and radii are needed")
+        raise ValueError("name radii and a positive coverage")
     if coverage > 5:
         warnings.warn("Coverage exceeding 5x will yield invalid inference due to pseudo-replication", RuntimeWarning, stacklevel=2)
     seen = voxels.where((F.col("value") != 0) & ~F.col("image").isin(linked_scalars(links))).select(*AXES).distinct().count()

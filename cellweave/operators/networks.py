@@ -1,22 +1,26 @@
 """Sample networks: building, communities, modularity, topology.
 
-Vertices are samples, of which a study has tens to thousands; construction, degrees, components and
-triangles are DataFrame plans for any size. Modularity optimisation and path centralities run on one task
-over the collected edges of a sample network, as the methods are sequential.
+Construction, degrees, components and triangles are DataFrame plans for any size. Modularity optimisation and path
+centralities are sequential: they run on the driver over the collected edges of a sample network, whose number is
+checked (`MAX_EDGES`), and raise beyond it.
 """
 
 from __future__ import annotations
 
 import random
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalar import similarity
-from cellweave.plans.random_plan import materialize
+from cellweave.plans.random_plan import materialize, with_row_id
+
+#: Edges that a sequential method takes at most.
+MAX_EDGES = 5_000_000
 
 
 @dataclass
@@ -25,18 +29,22 @@ class Network:
 
     vertices: DataFrame
     edges: DataFrame
-    topology: dict = field(default_factory=dict)
     results: dict = field(default_factory=dict)
 
+    @cached_property
+    def topology(self) -> dict:
+        """Counted when it is first asked for."""
+        return topology(self)
+
 
 def check_distances(d: DataFrame) -> None:
     """d (i, j, d): finite or null, not negative, symmetric, zero on the diagonal."""
     row = d.agg(F.count_if((F.col("d") < 0) | (F.abs("d") == float("inf"))).alias("bad"), F.count_if((F.col("i") == F.col("j")) & (F.coalesce("d", F.lit(0.0)) != 0)).alias("diagonal")).first()
     if row["bad"] or row["diagonal"]:
-        raise ValueError("distances must be finite, non-negative and zero on the diagonal")
+        raise ValueError("a distance is negative or infinite, or not 0 from a sample to itself")
     pairs = d.where("i <> j").groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
     if not pairs.where("n <> 2 OR abs(high - low) > 1e-8").isEmpty():
-        raise ValueError("distances must be symmetric")
+        raise ValueError("a pair of samples has two distances")
 
 
 def cutoff_of(s: DataFrame, method: str, value: float, min_edges: int) -> float:
@@ -44,9 +52,9 @@ def cutoff_of(s: DataFrame, method: str, value: float, min_edges: int) -> float:
     if method == "fixed":
         return float(value)
     if method not in ("adaptive", "percentile"):
-        raise ValueError("threshold_method must be adaptive, percentile, or fixed")
+        raise ValueError(f"no way {method!r} to a cutoff: adaptive, percentile or fixed")
     if not 0 <= value <= 100:
-        raise ValueError("threshold_percentile must be between 0 and 100")
+        raise ValueError(f"{value} is no percentile")
     n, level = s.agg(F.count("s"), F.percentile("s", F.lit(value / 100))).first()
     if not n:
         return float("inf")
@@ -59,13 +67,14 @@ def cutoff_of(s: DataFrame, method: str, value: float, min_edges: int) -> float:
 def build(d: DataFrame, names: Sequence[str] | None = None, groups: Sequence[str] | None = None, *, method: str = "adaptive", value: float = 75.0, min_edges: int = 10, weighted: bool = True, transform: str = "inverse") -> Network:
     """The network of a symmetric distance table d (i, j, d)."""
     if min_edges < 0:
-        raise ValueError("min_edges cannot be negative")
+        raise ValueError("fewer than 0 edges")
+    d = materialize(d)
     check_distances(d)
-    ids = d.select(F.col("i").alias("id")).union(d.select("j")).distinct()
+    ids = with_row_id(d.select(F.col("i").cast("long").alias("id")).union(d.select(F.col("j").cast("long"))).distinct(), "id")
     n = ids.count()
-    for given, what in ((names, "sample_names"), (groups, "group_labels")):
+    for given, what in ((names, "names"), (groups, "groups")):
         if given is not None and len(given) != n:
-            raise ValueError(f"{what} length must match the distance matrix")
+            raise ValueError(f"{what}: {len(given)} for {n} samples")
     pairs = d.where("i < j AND d IS NOT NULL AND NOT isnan(d)").select("i", "j", F.col("d").cast("double").alias("d"))
     scale = 1.0
     if transform == "negative_exp":
@@ -74,12 +83,12 @@ def build(d: DataFrame, names: Sequence[str] | None = None, groups: Sequence[str
         scale = pairs.agg(F.max("d")).first()[0] or 0.0
     scored = pairs.withColumn("s", similarity(F.col("d"), transform, scale))
     edges = scored.where(F.col("s") >= cutoff_of(scored, method, value, min_edges)).select("i", "j", F.col("d").alias("distance"), *([F.col("s").alias("weight")] if weighted else []))
-    order = sorted(r["id"] for r in ids.collect())
-    rows = [(i, (names or [f"sample_{k}" for k in range(n)])[k], groups[k] if groups else None) for k, i in enumerate(order)]
-    vertices = d.sparkSession.createDataFrame(rows, "id long, name string, group string")
-    out = Network(vertices, edges)
-    out.topology = topology(out)
-    return out
+    vertices = ids.select("row_id", "id", F.concat(F.lit("sample_"), F.col("row_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("group"))
+    for column, given in (("name", names), ("group", groups)):
+        if given is not None:
+            told = d.sparkSession.createDataFrame([(k, str(x)) for k, x in enumerate(given)], f"row_id long, {column} string")
+            vertices = vertices.drop(column).join(told, "row_id")
+    return Network(materialize(vertices.select("id", "name", "group")), materialize(edges))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -97,6 +106,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = jump.select("id", "component")
 
 
+def component_sizes(labelled: DataFrame) -> dict:
+    """num_components and component_sizes, (size, how many) from the largest down: of n nodes at most sqrt(2 n) such pairs."""
+    sizes = labelled.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()
+    return {"num_components": sum(r["n"] for r in sizes), "component_sizes": [(r["size"], r["n"]) for r in sizes]}
+
+
 def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, degree, triangles, clustering): each wedge is opened at its end of the lowest degree, so hubs make few."""
     both = edges.select("i", "j").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j")))
@@ -113,14 +128,16 @@ def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def topology(net: Network) -> dict:
     n, m = net.vertices.count(), net.edges.count()
-    sizes = sorted((r["count"] for r in components(net.vertices.select("id"), net.edges).groupBy("component").count().collect()), reverse=True)
-    return {"num_nodes": n, "num_edges": m, "density": 2 * m / (n * (n - 1)) if n > 1 else 0.0, "is_connected": len(sizes) == 1, "num_components": len(sizes), "component_sizes": sizes, "average_degree": 2 * m / n if n else 0.0}
+    sizes = component_sizes(components(net.vertices.select("id"), net.edges))
+    return {"num_nodes": n, "num_edges": m, "density": 2 * m / (n * (n - 1)) if n > 1 else 0.0, "is_connected": sizes["num_components"] == 1, **sizes, "average_degree": 2 * m / n if n else 0.0}
 
 
 Graph = dict[int, dict[int, float]]
 
 
 def _graph(net: Network) -> Graph:
+    if (size := net.vertices.count() + net.edges.count()) > MAX_EDGES:
+        raise ValueError(f"a network of {size} vertices and edges is too large for a sequential method")
     out: Graph = {r["id"]: {} for r in net.vertices.select("id").orderBy("id").collect()}
     weight = "weight" if "weight" in net.edges.columns else None
     for r in net.edges.collect():
@@ -206,6 +223,30 @@ def _label_propagation(graph: Graph, rng: random.Random) -> dict[int, int]:
     return label
 
 
+def _by_package(graph: Graph, algorithm: str, resolution: float, seed: int) -> dict[int, int]:
+    """Leiden or Infomap by their own packages, which are no dependencies: ImportError without them."""
+    order = list(graph)
+    place = {i: k for k, i in enumerate(order)}
+    edges = [(place[i], place[j], w) for i, near in graph.items() for j, w in near.items() if i < j]
+    if algorithm == "leiden":
+        import igraph
+        import leidenalg
+
+        drawn = igraph.Graph(n=len(order), edges=[e[:2] for e in edges])
+        parts = leidenalg.find_partition(drawn, leidenalg.RBConfigurationVertexPartition, weights=[e[2] for e in edges], resolution_parameter=resolution, seed=seed)
+        return dict(zip(order, parts.membership, strict=True))
+    from infomap import Infomap
+
+    walk = Infomap(silent=True, two_level=True, seed=seed + 1)
+    for k in range(len(order)):
+        walk.add_node(k)
+    for a, b, w in edges:
+        walk.add_link(a, b, w)
+    walk.run()
+    found = walk.get_modules()
+    return {i: found[place[i]] for i in order}
+
+
 def _canonical(label: dict[int, int]) -> dict[int, int]:
     """Communities numbered from the largest down, ties by least member."""
     groups = defaultdict(list)
@@ -216,9 +257,11 @@ def _canonical(label: dict[int, int]) -> dict[int, int]:
 
 
 def _agreement(a: dict[int, int], b: dict[int, int]) -> float:
-    nodes = sorted(a)
-    pairs = [(i, j) for k, i in enumerate(nodes) for j in nodes[k + 1 :]]
-    return sum((a[i] == a[j]) == (b[i] == b[j]) for i, j in pairs) / len(pairs) if pairs else 1.0
+    """The share of pairs that both partitions treat alike, from the counts of their parts."""
+    two = lambda counts: sum(k * (k - 1) // 2 for k in counts.values())
+    every = len(a) * (len(a) - 1) // 2
+    together = two(Counter((a[i], b[i]) for i in a))
+    return (every + 2 * together - two(Counter(a.values())) - two(Counter(b.values()))) / every if every else 1.0
 
 
 def silhouette(distances: DataFrame, label: DataFrame) -> float:
@@ -234,17 +277,19 @@ def silhouette(distances: DataFrame, label: DataFrame) -> float:
 
 def detect_communities(net: Network, algorithm: str = "louvain", *, resolution: float = 1.0, random_state: int = 0, iterations: int = 10, distances: DataFrame | None = None) -> dict:
     """The partition of the highest modularity among `iterations` seeds (the first of equals), and how stable they are."""
-    if algorithm in ("leiden", "infomap"):
-        raise ImportError(f"{algorithm} needs a package that is not a dependency")
-    if algorithm not in ("louvain", "label_propagation"):
-        raise ValueError(f"Unknown algorithm: {algorithm}")
+    if algorithm not in ("louvain", "label_propagation", "leiden", "infomap"):
+        raise ValueError(f"no algorithm {algorithm!r}")
     if iterations <= 0:
-        raise ValueError("num_iterations must be positive")
+        raise ValueError("one run at least is needed")
     graph = _graph(net)
     runs = []
     for k in range(iterations):
         rng = random.Random(random_state + k)
-        runs.append(_canonical(_louvain(graph, resolution, rng) if algorithm == "louvain" else _label_propagation(graph, rng)))
+        if algorithm in ("leiden", "infomap"):
+            label = _by_package(graph, algorithm, resolution, random_state + k)
+        else:
+            label = _louvain(graph, resolution, rng) if algorithm == "louvain" else _label_propagation(graph, rng)
+        runs.append(_canonical(label))
     scores = [partition_modularity(graph, r, resolution) for r in runs]
     best = scores.index(max(scores))
     pairs = [_agreement(runs[a], runs[b]) for a in range(len(runs)) for b in range(a)]
@@ -260,9 +305,9 @@ def group_modularity(net: Network, *, nulls: int = 100, plan: Sequence[Sequence[
     """Modularity of the vertices' groups against permutations of their labels (a plan of them, or seeded ones)."""
     rows = net.vertices.orderBy("id").collect()
     if any(r["group"] is None for r in rows):
-        raise ValueError("the network must have one group label per node")
+        raise ValueError("a sample has no group")
     if plan is None and nulls <= 0:
-        raise ValueError("num_null_networks must be positive")
+        raise ValueError("one null network at least is needed")
     graph, labels = _graph(net), [r["group"] for r in rows]
     ids = [r["id"] for r in rows]
     observed = partition_modularity(graph, dict(zip(ids, labels, strict=True)), resolution)
@@ -337,8 +382,7 @@ def analyze(net: Network, measures: Sequence[str] | None = None) -> dict:
     measures = list(measures or ["degree", "betweenness", "closeness"])
     unknown = sorted(set(measures) - {"degree", "betweenness", "closeness", "pagerank"})
     if unknown:
-        raise ValueError(f"Unsupported centrality measures: {unknown}")
-    net.topology = topology(net)
+        raise ValueError(f"no centralities {unknown}")
     out = net.vertices.select("id")
     spark = out.sparkSession
     n = net.topology["num_nodes"]

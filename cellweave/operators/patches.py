@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cellweave.names import natural_sort
 from cellweave.operators.range_join import interval_join
+from cellweave.plans.random_plan import materialize, running, with_row_id
 
 PATCH = "radius double, grp string, nbhd int, patch_id long, area long, object long, s array<double>"
 
@@ -82,8 +83,8 @@ def random_census(patches: DataFrame, order: Column | str, links: Sequence[tuple
     # Zero-area neighbourhoods share their end with an earlier one; ends count once.
     ends = extents.groupBy(*keys, "grp", "ne").agg(F.min("ns").alias("ns"))
     ends = ends.withColumn("nbhd", F.row_number().over(Window.partitionBy(*keys, "grp").orderBy("ne")).cast("int"))
-    by_order = Window.partitionBy(*keys, "grp").orderBy(order, "patch_id")
-    line = patches.where("area > 0").withColumn("pe", F.sum("area").over(by_order).cast("double")).withColumn("ps", F.col("pe") - F.col("area"))
+    line = running(patches.where("area > 0"), "area", "pe", [*keys, "grp"], order, "patch_id")
+    line = line.withColumn("pe", F.col("pe").cast("double")).withColumn("ps", F.col("pe") - F.col("area"))
     line = line.select(*keys, "grp", "patch_id", "area", "object", "s", "ps", "pe")
     if block is None:
         block = float(extents.agg(F.greatest(F.max("total"), F.lit(1))).first()[0])
@@ -136,11 +137,27 @@ def component_ids(members: DataFrame, keys: Sequence[str]) -> DataFrame:
     return members.groupBy(*keys).applyInPandas(label, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in members.schema) + ", component long").select(*columns, "component")
 
 
+def wide_components(members: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """members (keys, x, y, z) with component: the number of its first voxel in row-major order.
+
+    For masks of any size: neighbours meet in an equi-join on shifted places and components are closed over the
+    edges, so no task holds a whole mask.
+    """
+    from cellweave.operators.networks import components
+
+    at = ("x", "y", "z")
+    numbered = materialize(with_row_id(members.distinct(), *keys, *at, name="id"))
+    earlier = F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) < (0, 0, 0)))
+    moved = numbered.withColumn("o", F.explode(earlier)).select(*keys, *((F.col(a) + F.col(f"o.{a}")).alias(a) for a in at), F.col("id").alias("j"))
+    edges = materialize(numbered.join(moved, [*keys, *at]).select(F.col("id").alias("i"), "j"))
+    return numbered.join(components(numbered.select("id"), edges), "id").drop("id")
+
+
 def patch_sizes(members: DataFrame) -> DataFrame:
     """(x, y, z, size, rank) of a mask's voxels: components ranked by size, the largest first, ties by first voxel."""
-    labelled = component_ids(members.withColumn("__one", F.lit(1)), ["__one"]).drop("__one")
+    labelled = wide_components(members.select("x", "y", "z"))
     sizes = labelled.groupBy("component").agg(F.count("*").alias("size"))
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "component")).cast("int"))
+    ranked = with_row_id(sizes, F.desc("size"), "component", name="__rank").withColumn("rank", (F.col("__rank") + 1).cast("int")).drop("__rank")
     return labelled.join(ranked, "component").drop("component")
 
 

@@ -8,12 +8,13 @@ execution splits hot cells, as the join is an ordinary shuffled one.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.functions.volumes import ellipsoid_offsets
+from cellweave.functions.volumes import three
 from cellweave.plans.random_plan import materialize
 
 AXES = ("x", "y", "z")
@@ -38,9 +39,13 @@ def ball_join(centers: DataFrame, points: DataFrame, radius: float, axes: Sequen
 
 def lattice_join(centers: DataFrame, voxels: DataFrame, radii: Sequence[float], prefix: str = "p_") -> DataFrame:
     """Every (center, voxel) with the voxel in the center's closed ellipsoid, both on the integer lattice x, y, z."""
-    offsets = F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit(c).alias("z")) for a, b, c in ellipsoid_offsets(radii)))
-    left = centers.withColumn("__o", F.explode(offsets))
-    left = left.select(*centers.columns, *((F.col(a) + F.col(f"__o.{a}")).cast("long").alias(prefix + a) for a in AXES))
+    reach = three(radii)
+    left = centers
+    for a, r in zip(AXES, reach, strict=True):
+        left = left.withColumn(f"__d{a}", F.explode(F.sequence(F.lit(-math.floor(r)), F.lit(math.floor(r)))))
+    # The offsets are made row by row, so a plan does not grow with the ellipsoid.
+    square = sum(((F.col(f"__d{a}") / F.lit(float(r))) * (F.col(f"__d{a}") / F.lit(float(r))) for a, r in zip(AXES, reach, strict=True)), F.lit(0.0))
+    left = left.where(F.sqrt(square) <= 1).select(*centers.columns, *((F.col(a) + F.col(f"__d{a}")).cast("long").alias(prefix + a) for a in AXES))
     right = voxels.select(*(F.col(c).cast("long").alias(prefix + c) if c in AXES else F.col(c).alias(prefix + c) for c in voxels.columns))
     return left.join(right, [prefix + a for a in AXES])
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.scalar import p_value, two_sided
 from cellweave.operators.distribution import benjamini_hochberg
 from cellweave.operators.range_join import ball_join, knn
-from cellweave.plans.random_plan import shuffle_key
+from cellweave.plans.random_plan import materialize, shuffle_key, with_row_id
 
 EPS = 2.220446049250313e-16
 RULES = ("knn", "rook", "queen", "distance_band", "inverse_distance", "kernel")
@@ -27,7 +27,7 @@ def default_threshold(points: DataFrame, axes: Sequence[str] = ("x", "y"), chang
     places = places.withColumn("row_id", F.xxhash64(*axes))
     n = places.count()
     if n < 2:
-        raise ValueError("At least two distinct coordinate locations are required")
+        raise ValueError("all points stand at one place")
     if changed is None:
         return float(knn(places, 1, axes).agg(F.max("d2")).first()[0]) ** 0.5
     box = places.agg(*(F.max(a) - F.min(a) for a in axes)).first()
@@ -41,7 +41,7 @@ def default_threshold(points: DataFrame, axes: Sequence[str] = ("x", "y"), chang
         open_ = open_.join(near.select("row_id"), "row_id", "left_anti")
         if radius > 2 * sum(float(b) for b in box) + 1 or open_.isEmpty():
             if not seen:
-                raise ValueError("No coordinate pairs satisfy the requested 3D connectivity")
+                raise ValueError("no two points are connected so")
             return best**0.5
         radius *= 2
 
@@ -61,14 +61,14 @@ def standardize_rows(edges: DataFrame) -> DataFrame:
 def weights(points: DataFrame, rule: str = "queen", *, k: int = 8, threshold: float | None = None, bandwidth: float | None = None, row_standardize: bool = True, include_self: bool = False, binary: bool = False) -> DataFrame:
     """(i, j, w) of points (row_id, x, y) by one rule; the diagonal is 1 or absent whatever the rule says."""
     if rule not in RULES:
-        raise ValueError(f"Unsupported 2D weight type: {rule}")
+        raise ValueError(f"no rule {rule!r} for weights; there are {RULES}")
     axes = ("x", "y")
     if threshold is None and rule != "knn":
         threshold = default_threshold(points, axes)
     if threshold is not None and not 0 < threshold < float("inf"):
-        raise ValueError("distance_threshold must be finite and positive")
+        raise ValueError(f"no pair lies within a threshold of {threshold}")
     if bandwidth is not None and not 0 < bandwidth < float("inf"):
-        raise ValueError("kernel_bandwidth must be finite and positive")
+        raise ValueError(f"a kernel cannot be {bandwidth} wide")
     if rule == "knn":
         one = knn(points, k, axes).where("i <> j").select("i", "j")
         edges = one.union(one.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().withColumn("w", F.lit(1.0))
@@ -107,12 +107,12 @@ def weights_3d(points: DataFrame, connectivity: int = 26, *, threshold: float |
 def connectivity_edges(points: DataFrame, connectivity: int = 26, threshold: float | None = None) -> DataFrame:
     """(i, j, d2, dx, dy, dz) both ways of the pairs that differ on 1, 2 or 3 axes within the threshold."""
     if connectivity not in (6, 18, 26):
-        raise ValueError("connectivity_type must be 6, 18, or 26")
+        raise ValueError(f"a voxel has 6, 18 or 26 neighbours, not {connectivity}")
     axes, most = ("x", "y", "z"), {6: 1, 18: 2, 26: 3}[connectivity]
     if threshold is None:
         threshold = default_threshold(points, axes, most)
     if not 0 < threshold < float("inf"):
-        raise ValueError("distance_threshold must be finite and positive")
+        raise ValueError(f"no pair lies within a threshold of {threshold}")
     pairs = _changed(ball_join(points.select("row_id", *axes), points.select("row_id", *axes), threshold, axes), axes, most)
     return pairs.select(F.col("row_id").alias("i"), F.col("p_row_id").alias("j"), "d2", *(F.abs(F.col(a) - F.col(f"p_{a}")).alias(f"d{a}") for a in axes))
 
@@ -145,7 +145,7 @@ def morans_i(values: DataFrame, edges: DataFrame, *, level: float = 0.05, altern
     """One row: observed, expected, variance (randomisation), z, p, one-sided p, interpretation of Moran's I."""
     m = _moments(values)
     if not m["n"] or not m["m2"]:
-        raise ValueError("Moran's I is undefined for constant values")
+        raise ValueError("values without spread have no autocorrelation")
     n = float(m["n"])
     joined = _pairs(values, edges)
     mean = F.lit(m["mean"])
@@ -194,7 +194,7 @@ def lisa(values: DataFrame, edges: DataFrame, *, level: float = 0.05) -> DataFra
     """row_id, local (z times lag), z, p, lag, quadrant (HH, LL, HL, LH), significant, hotspot, coldspot."""
     m = _moments(values)
     if not m["m2"]:
-        raise ValueError("local statistics are undefined for constant values")
+        raise ValueError("values without spread have no local statistics")
     mean, sd = F.lit(m["mean"]), F.lit(m["sd"])
     lagged = _lags(values, edges).withColumn("s", (F.col("value") - mean) / sd).withColumn("lag", (F.col("wv") - mean * F.col("w1")) / sd)
     local = F.col("s") * F.col("lag")
@@ -222,10 +222,10 @@ def fdr_correction(p_values: DataFrame, *, method: str = "spatial_benjamini_hoch
     Effective tests are max(1, floor(n (1 - I / 2))) for a positive Moran's I of the p-values over k nearest neighbours.
     """
     if method not in ("spatial_benjamini_hochberg", "spatial_bonferroni"):
-        raise ValueError(f"Unknown spatial correction method: {method}")
+        raise ValueError(f"no correction {method!r}")
     stats = p_values.agg(F.count("*").alias("n"), F.stddev_pop("p").alias("sd"), F.min("p").alias("a"), F.max("p").alias("b")).first()
     if stats["n"] and (stats["a"] < 0 or stats["b"] > 1):
-        raise ValueError("p_values must provide one probability per coordinate")
+        raise ValueError("a p-value lies outside 0 to 1")
     i = 0.0
     if stats["n"] >= 4 and stats["sd"]:
         i = float(morans_i(p_values.select("row_id", F.col("p").alias("value")), weights(p_values, "knn", k=k)).first()["observed"])
@@ -247,17 +247,7 @@ def permutation_test(points: DataFrame, statistic: Callable[..., float], *, perm
     axes = list(alternative_columns)
     columns = ["row_id", "value", *axes]
     held = points.select(*columns, *([F.col(blocks).alias("block")] if blocks else []))
-    if plan is None:
-        steps = held.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-        own = ["step", "block"] if blocks else ["step"]
-        key = shuffle_key(F.concat_ws("-", F.lit(str(seed)), F.col("step").cast("string")), "row_id")
-        here = steps.withColumn("r", F.row_number().over(Window.partitionBy(*own).orderBy("row_id")))
-        moved = steps.select(*own, "value", F.row_number().over(Window.partitionBy(*own).orderBy(key, "row_id")).alias("r"))
-        mixed = here.drop("value").join(moved, [*own, "r"]).select("step", *columns)
-    else:
-        permutations = plan.select("step").distinct().count()
-        source = held.select(F.col("row_id").alias("src"), "value")
-        mixed = plan.join(source, "src").join(held.select(F.col("row_id").alias("pos"), *axes), "pos").select("step", F.col("pos").alias("row_id"), "value", *axes)
+    mixed = permuted(held, permutations, plan, seed, "block" if blocks else None).join(held.select("row_id", *axes), "row_id").select("step", *columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_id")
@@ -265,35 +255,97 @@ def permutation_test(points: DataFrame, statistic: Callable[..., float], *, perm
 
     null = mixed.groupBy("step").applyInPandas(run, "step int, value double")
     observed = held.select("row_id", "value", *axes).withColumn("step", F.lit(-1)).groupBy("step").applyInPandas(run, "step int, value double").first()["value"]
+    return null_summary(observed, null, confidence), null
+
+
+def permuted(points: DataFrame, permutations: int, plan: DataFrame | None, seed: int | str, block: str | None) -> DataFrame:
+    """(step, row_id, value): values of points moved over places by a plan (step, pos, src), or in md5 order (inside blocks)."""
+    if plan is not None:
+        return plan.join(points.select(F.col("row_id").alias("src"), "value"), "src").select("step", F.col("pos").alias("row_id"), "value")
+    own = ["step", block] if block else ["step"]
+    steps = points.select("row_id", "value", *([block] if block else [])).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    key = shuffle_key(F.concat_ws("-", F.lit(str(seed)), F.col("step").cast("string")), "row_id")
+    here = with_row_id(steps.drop("value"), *own, "row_id", name="__r")
+    moved = with_row_id(steps.withColumn("__key", key), *own, "__key", "row_id", name="__r").select("__r", "value")
+    return here.join(moved, "__r").select("step", "row_id", "value")
+
+
+def null_summary(observed: float, null: DataFrame, confidence: float) -> dict:
+    """Observed value, p-values, effect size and interval against null (step, value)."""
     low, high = (1 - confidence) / 2, 1 - (1 - confidence) / 2
-    s = null.agg(F.count_if(F.abs("value") >= abs(observed)).alias("two"), F.count_if(F.col("value") >= observed).alias("one"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.lit(low)).alias("low"), F.percentile("value", F.lit(high)).alias("high")).first()
-    out = {"observed": observed, "p_value": (1 + s["two"]) / (permutations + 1), "p_one_sided": (1 + s["one"]) / (permutations + 1), "effect_size": (observed - s["mean"]) / s["sd"] if s["sd"] else 0.0, "interval": (s["low"], s["high"]), "permutations": permutations}
-    return out, null
+    s = null.agg(F.count("*").alias("n"), F.count_if(F.abs("value") >= abs(observed)).alias("two"), F.count_if(F.col("value") >= observed).alias("one"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.lit(low)).alias("low"), F.percentile("value", F.lit(high)).alias("high")).first()
+    return {"observed": observed, "p_value": (1 + s["two"]) / (s["n"] + 1), "p_one_sided": (1 + s["one"]) / (s["n"] + 1), "effect_size": (observed - s["mean"]) / s["sd"] if s["sd"] else 0.0, "interval": (s["low"], s["high"]), "permutations": s["n"]}
 
 
 def volume_blocks(points: DataFrame, volume: str = "volume") -> DataFrame:
     """points with block: near-equal blocks of similar volume, min(10, max(1, n div 5)) of them, larger blocks first."""
     n = points.count()
     k = min(10, max(1, n // 5))
-    return points.withColumn("block", F.ntile(k).over(Window.orderBy(volume, "row_id")))
+    # The first n mod k blocks hold one point more.
+    size, longer = n // k, n % k
+    at = F.col("__at")
+    block = F.when(at < longer * (size + 1), F.floor(at / (size + 1))).otherwise(longer + F.floor((at - longer * (size + 1)) / max(1, size)))
+    return with_row_id(points, volume, "row_id", name="__at").withColumn("block", (block + 1).cast("int")).drop("__at")
+
+
+def morans_i_3d(points: DataFrame, *, volume: str | None = None, connectivity: int = 26, threshold: float | None = None, level: float = 0.05, alternative: str = "two-sided") -> tuple[DataFrame, DataFrame]:
+    """Moran's I of points (row_id, x, y, z, value[, volume]) over connected pairs, weighted by volume if named, and the local values."""
+    edges = materialize(weights_3d(points, connectivity, threshold=threshold, volume=volume))
+    values = points.select("row_id", "value")
+    whole = morans_i(values, edges, level=level, alternative=alternative)
+    told = F.concat(F.lit(f"3D ({connectivity}-connectivity): "), F.col("interpretation"))
+    return whole.withColumn("interpretation", told), lisa(values, edges, level=level)
+
+
+def permutation_test_3d(points: DataFrame, statistic: Callable[..., float] | None = None, *, volume: str | None = None, connectivity: int = 26, threshold: float | None = None, preserve_volumes: bool = True, permutations: int = 999, plan: DataFrame | None = None, seed: int | str = 0, confidence: float = 0.95) -> tuple[dict, DataFrame]:
+    """As permutation_test, over points (row_id, value, x, y, z[, volume]): values move within blocks of like volume, if volumes are named.
+
+    statistic(values, coordinates, volumes) runs in one task a step. Without one it is Moran's I over the connected pairs,
+    whose weights stay the same in all steps: each is an aggregation over the edges, and no task holds the points.
+    """
+    named = volume is not None
+    held = points.select("row_id", F.col("value").cast("double").alias("value"), *("x", "y", "z"), *([F.col(volume).cast("double").alias("volume")] if named else []))
+    if named and not held.where("volume IS NULL OR volume <= 0").isEmpty():
+        raise ValueError("a volume is missing or not positive")
+    blocks = "block" if named and preserve_volumes and plan is None else None
+    if blocks:
+        held = volume_blocks(held)
+    how = "explicit" if plan is not None else "3d_volume_preserving" if blocks else "unrestricted"
+    if statistic is not None:
+        own = (lambda v, at: statistic(v, at[:, :3], at[:, 3])) if named else (lambda v, at: statistic(v, at, None))
+        out, null = permutation_test(held, own, permutations=permutations, plan=plan, seed=seed, confidence=confidence, blocks=blocks, alternative_columns=["x", "y", "z", *(["volume"] if named else [])])
+        return out | {"method": how}, null
+    held = materialize(held)
+    edges = weights_3d(held, connectivity, threshold=threshold, volume="volume" if named else None)
+    total = edges.agg(F.sum("w")).first()[0]
+    m = _moments(held)
+    if not m["m2"] or not total:
+        raise ValueError("values without spread, or points without connections, have no autocorrelation")
+    edges = materialize(edges)
+    mixed = materialize(permuted(held, permutations, plan, seed, blocks).unionByName(held.select(F.lit(-1).alias("step"), "row_id", "value")))
+    d = mixed.select("step", "row_id", (F.col("value") - F.lit(m["mean"])).alias("d"))
+    crossed = edges.join(d.select("step", F.col("row_id").alias("i"), F.col("d").alias("di")), "i").join(d.select("step", F.col("row_id").alias("j"), F.col("d").alias("dj")), ["step", "j"])
+    scale = float(m["n"]) / float(total) / float(m["m2"])
+    every = materialize(crossed.groupBy("step").agg((F.lit(scale) * F.sum(F.col("w") * F.col("di") * F.col("dj"))).alias("value")))
+    null = every.where("step >= 0")
+    return null_summary(every.where("step < 0").first()["value"], null, confidence) | {"method": how}, null
 
 
 def connectivity_summary(points: DataFrame, connectivity: int = 26, threshold: float | None = None, clustering: bool = True) -> dict:
     """Points, edges, degrees, density, components, clustering and axis ranges of the unweighted 3-D graph."""
-    from cellweave.operators.networks import components, triangles
+    from cellweave.operators.networks import component_sizes, components, triangles
 
     if threshold is None:
         threshold = default_threshold(points, ("x", "y", "z"), {6: 1, 18: 2, 26: 3}.get(connectivity, 3))
-    edges = connectivity_edges(points, connectivity, threshold).cache()
+    edges = materialize(connectivity_edges(points, connectivity, threshold))
     nodes = points.select(F.col("row_id").alias("id"))
     n, m = nodes.count(), edges.count() // 2
-    sizes = sorted((r["count"] for r in components(nodes, edges.where("i < j").select("i", "j")).groupBy("component").count().collect()), reverse=True)
-    out = {"num_points": n, "num_edges": m, "mean_degree": 2 * m / n if n else 0.0, "density": 2 * m / (n * (n - 1)) if n > 1 else 0.0, "num_components": len(sizes), "component_sizes": sizes, "connectivity_type": connectivity, "distance_threshold": threshold}
+    sizes = component_sizes(components(nodes, edges.where("i < j").select("i", "j")))
+    out = {"num_points": n, "num_edges": m, "mean_degree": 2 * m / n if n else 0.0, "density": 2 * m / (n * (n - 1)) if n > 1 else 0.0, **sizes, "connectivity_type": connectivity, "distance_threshold": threshold}
     if clustering:
         out["mean_clustering_coefficient"] = float(triangles(nodes, edges.where("i < j").select("i", "j")).agg(F.avg("clustering")).first()[0] or 0.0)
     for a in ("x", "y", "z"):
         out[f"{a}_connectivity_range"] = float(edges.where(F.col(f"d{a}") > 0).agg(F.avg(f"d{a}")).first()[0] or 0.0)
-    edges.unpersist()
     return out
 
 

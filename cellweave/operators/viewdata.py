@@ -44,7 +44,7 @@ def estimated_log10_p(mi: DataFrame, z: str, p: str) -> tuple[float, float, floa
     rows = mi.where((F.col(p) > 0) & F.col(z).isNotNull() & (F.abs(z) < float("inf")))
     s = rows.agg(*(F.sum(x**k).alias(f"s{k}") for k in range(5)), *(F.sum(y * x**k).alias(f"t{k}") for k in range(3))).first()
     if not s["s0"] or s["s0"] < 3:
-        raise ValueError("At least three finite probabilities are required to estimate an exact zero P value")
+        raise ValueError("a p-value of 0 is estimated from three positive ones at least")
     a = np.array([[s[f"s{i + j}"] for j in range(3)] for i in range(3)], float)
     return tuple(np.linalg.lstsq(a, np.array([s[f"t{i}"] for i in range(3)], float), rcond=None)[0])  # type: ignore[return-value]
 
@@ -75,7 +75,7 @@ def mi_by_radius(mi: DataFrame, ensemble: Sequence[str], *, adjusted: bool = Fal
     counts = own.groupBy("radius").count()
     radii = mi.select("radius").distinct()
     if not counts.where("count <> 1").isEmpty() or not radii.join(counts, "radius", "left_anti").isEmpty():
-        raise ValueError(f"Exactly one ensemble row must match {list(ensemble)}")
+        raise ValueError(f"{list(ensemble)} should be one row at each radius")
     out = None
     for r in sorted(x["radius"] for x in radii.collect()):
         table = mi.where(F.col("radius") == r)
@@ -89,9 +89,9 @@ def mi_rank(mi: DataFrame, radius: float, *, depth: Sequence[int] | None = None,
     """Significant result rows at a radius by falling |z| with their size, and per variable the |z| and size of its rows over all rows."""
     metric, z, p = _metric(mi, group), _stat(mi, "Zscore", group), _stat(mi, "Padjust" if adjusted else "Pvalue", group)
     if depth is not None and (not depth or min(depth) <= 0):
-        raise ValueError("depth must contain positive integers")
+        raise ValueError("depths start at 1")
     if len(all_of) + bool(any_of) > min(depth or [1]):
-        raise ValueError("The number of required variables exceeds ensemble depth")
+        raise ValueError("more variables are asked for than an ensemble holds")
     own = mi.where(F.col("radius") == float(radius)).withColumn("members", members(mi)).withColumn("depth", F.size("members"))
     for given, test in ((all_of, lambda a: F.size(F.array_except(a, F.col("members"))) == 0), (any_of, lambda a: F.arrays_overlap("members", a)), (not_of, lambda a: ~F.arrays_overlap("members", a))):
         if given:
@@ -118,12 +118,12 @@ def distribution(census: DataFrame, ensemble: Sequence[str], radius: float, bins
     """
     source = nulls if nulls is not None else census.where(F.col("Radius") == float(radius))
     if not ensemble or any(v not in source.columns for v in ensemble):
-        raise ValueError("unknown ensemble variables")
+        raise ValueError("the census lacks some of these variables")
     own = source.select(*map(col, ensemble))
     if len(ensemble) > 2 or bins is None:
         return own
     if bins < 1:
-        raise ValueError("bin_num must be positive")
+        raise ValueError("one bin at least is needed")
     ranges = ranges_of(own, ensemble)
     kinds = own.agg(*(F.count_distinct(col(v)).alias(f"k{k}") for k, v in enumerate(ensemble))).first()
     counts = [min(bins, kinds[f"k{k}"]) for k in range(len(ensemble))]
@@ -139,10 +139,10 @@ def normalize_profiles(profile: DataFrame, compare: str = "A", normalize: str =
     U to 0..1 (without range 0, within objects 0.5), Z to sample deviations (0 without any).
     """
     if compare not in ("A", "W", "B") or normalize not in ("U", "Z"):
-        raise ValueError("compare must be A/W/B and normalize must be U/Z")
+        raise ValueError(f"compare is A, W or B and normalize U or Z, not {compare} and {normalize}")
     names = [c for c in profile.columns if c not in ("Object", "Count")]
     if not {"Object", "Count"} <= set(profile.columns) or not names:
-        raise ValueError("prof_table requires Object, Count, and component columns")
+        raise ValueError("a profile has Object, Count and columns of components")
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("component"), col(c).cast("double").alias("v")) for c in names)))
     long = profile.select("Object", pairs.alias("e")).select("Object", "e.component", "e.v")
     own = Window.partitionBy({"A": F.col("component"), "W": F.col("Object"), "B": F.lit(0)}[compare])
@@ -176,12 +176,12 @@ def scalar_pixels(voxels: DataFrame, palette: Sequence[str], z: int | None = Non
 def make_palette(n: int, random_state: int = 0, plan: dict[str, Sequence[float] | float] | None = None) -> list[str]:
     """n colours of evenly spaced hues; a plan gives hue_offset, hue_order, saturation and value."""
     if not isinstance(n, int) or n <= 0:
-        raise ValueError("num_cols must be a positive integer")
+        raise ValueError("a palette has one colour at least")
     if plan is None:
         rng = random.Random(random_state)
         plan = {"hue_offset": rng.uniform(0, 1 / n), "hue_order": rng.sample(range(n), n), "saturation": [rng.betavariate(1.5, 1) for _ in range(n)], "value": [rng.betavariate(4.5, 1) for _ in range(n)]}
     if any(len(plan[k]) != n for k in ("hue_order", "saturation", "value")) or sorted(plan["hue_order"]) != list(range(n)):
-        raise ValueError("the plan's lists must have num_cols entries, hue_order being a permutation")
+        raise ValueError(f"the plan needs {n} hues in some order, saturations and values")
     out = []
     for h, s, v in zip(plan["hue_order"], plan["saturation"], plan["value"], strict=True):
         r, g, b = colorsys.hsv_to_rgb((h / n + plan["hue_offset"]) % 1, s, v)

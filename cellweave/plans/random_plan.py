@@ -6,6 +6,8 @@ engine that has md5.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,11 +20,25 @@ def shuffle_key(seed: Column | int | str, row: Column | str) -> Column:
     return F.md5(F.concat(seed.cast("string"), F.lit("|"), (row if isinstance(row, Column) else F.col(row)).cast("string")))
 
 
+#: Rows of a block that one task sums along; blocks are then summed among themselves.
+BLOCK_ROWS = 200_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/cellweave-checkpoints"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df as it is now, for plans that read it twice: a reliable checkpoint in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/cellweave-checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -44,12 +60,30 @@ def with_row_id(df: DataFrame, *order: Column | str, name: str = "row_id") -> Da
     return numbered.join(starts, "__part").withColumn(name, F.col("__start") + F.col("__pos")).drop("__part", "__pos", "__start")
 
 
+def running(df: DataFrame, value: Column | str, out: str, keys: Sequence[str], *order: Column | str, least: bool = False) -> DataFrame:
+    """df with out, the sum (or least) of value over the rows of the same keys up to each row, in `order`.
+
+    Rows are numbered by range partitions and cut into blocks of `BLOCK_ROWS`; a block is summed in one task, and what
+    comes before it is the sum over the totals of earlier blocks, one small row each.
+    """
+    over, start = (F.min, F.lit(None)) if least else (F.sum, F.lit(0))
+    numbered = with_row_id(df.withColumn("__v", value if isinstance(value, Column) else F.col(value)), *keys, *order, name="__at")
+    numbered = numbered.withColumn("__block", F.floor(F.col("__at") / BLOCK_ROWS))
+    inside = numbered.withColumn(out, over("__v").over(Window.partitionBy(*keys, "__block").orderBy("__at")))
+    totals = numbered.groupBy(*keys, "__block").agg(over("__v").alias("__total"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "__block", F.coalesce(over("__total").over(before), start).alias("__start"))
+    joined = inside.join(starts, [*keys, "__block"])
+    both = F.least(out, "__start") if least else F.col(out) + F.col("__start")
+    return joined.withColumn(out, both).drop("__v", "__at", "__block", "__start")
+
+
 def permutation_plan(spark: SparkSession, steps: Sequence[Sequence[int]]) -> DataFrame:
     """(step, pos, src) of explicit permutations: position pos of a step takes the row src."""
     rows = []
     for step, order in enumerate(steps):
         if sorted(order) != list(range(len(order))):
-            raise ValueError("each step of a plan must be a permutation of zero-based positions")
+            raise ValueError("a step of the plan leaves out or repeats a position")
         rows += [(step, pos, int(src)) for pos, src in enumerate(order)]
     return spark.createDataFrame(rows, "step int, pos long, src long")
 
@@ -66,20 +100,22 @@ def composed(steps: Sequence[Sequence[int]]) -> list[list[int]]:
 def md5_permutations(positions: DataFrame, steps: int, seed: int | str, pos: str = "pos") -> DataFrame:
     """(step, pos, src): for each step a permutation of the positions in the order of md5(seed-step | position).
 
-    Ranks are counted inside a step, so steps run in parallel; a step's sort spills like any other.
+    All steps are numbered together by range partitions, so a step may be larger than a task.
     """
     each = positions.select(F.col(pos).alias("src")).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
     key = shuffle_key(F.concat(F.lit(f"{seed}-"), F.col("step").cast("string")), "src")
-    shuffled = each.withColumn("pos", F.row_number().over(Window.partitionBy("step").orderBy(key, "src")) - 1)
+    ranked = materialize(with_row_id(positions.select(F.col(pos).alias("at")), "at", name="pos"))
+    # Every step has as many rows as there are positions, so its k-th row stands at step * n + k.
+    n = ranked.count()
+    shuffled = with_row_id(each.withColumn("__key", key), "step", "__key", "src", name="__at").withColumn("pos", F.col("__at") % max(1, n))
     # Positions need not be 0 .. n - 1: the k-th of them takes the k-th of the shuffled order.
-    ranked = positions.select(F.col(pos).alias("at"), (F.row_number().over(Window.orderBy(pos)) - 1).alias("pos"))
     return shuffled.join(ranked, "pos").select("step", F.col("at").alias("pos"), "src")
 
 
 def sample_by_plan(rows: DataFrame, indices: Sequence[int], position: str = "position") -> DataFrame:
     """Rows at the plan's zero-based positions, numbered from 1 in the plan's order as nbhd."""
     if len(set(indices)) != len(indices) or any(i < 0 for i in indices):
-        raise ValueError("sample_indices must be unique valid zero-based indices into eligible rows")
+        raise ValueError("the plan names a seed twice, or a negative one")
     plan = rows.sparkSession.createDataFrame([(k + 1, int(i)) for k, i in enumerate(indices)], f"nbhd int, {position} long")
     return rows.join(F.broadcast(plan), position) if len(indices) <= 100_000 else rows.join(plan, position)
 

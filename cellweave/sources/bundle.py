@@ -75,7 +75,7 @@ def load_result(spark: SparkSession, source: str) -> Any:
         raise FileNotFoundError(f"{source} is not a result bundle")
     manifest = json.loads((top / "manifest.json").read_text())
     if manifest.get("schema") != SCHEMA or manifest.get("version") != VERSION:
-        raise ValueError("Unsupported bundle schema or version")
+        raise ValueError("the bundle is of another kind or version")
 
     def back(value: Any) -> Any:
         if isinstance(value, list):
@@ -134,4 +134,4 @@ def save_data(data: Any, path: str, kind: str = "bundle") -> None:
 
         write_table(data, path if path.endswith(f".{kind}") else f"{path}.{kind}")
     else:
-        raise ValueError(f"Unsupported format: {kind}")
+        raise ValueError(f"no writer for {kind!r}")

@@ -148,7 +148,7 @@ def decode(raw: bytes, kind: str) -> list[np.ndarray]:
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, page, x, y, s array<int>, most): the pixels of image files, x being the row and y the column."""
     if suffix(path) not in (".tif", ".tiff", ".png", ".jpg", ".jpeg", ""):
-        raise ValueError(f"Unsupported image format: {suffix(path)}")
+        raise ValueError(f"no reader for images of kind {suffix(path)!r}")
     if not exists(spark, path):
         raise FileNotFoundError(path)
 
@@ -177,14 +177,14 @@ def load_object_image(spark: SparkSession, path: str, image: str = "O1", backgro
 def load_scalar_image(spark: SparkSession, path: str, channels: int, image: str = "S1", keep: Sequence[int] | None = None) -> DataFrame:
     """Voxels of a gray TIFF whose pages go through the channels of one z after another; keep lists one-based channels, renumbered."""
     if channels <= 0:
-        raise ValueError("num_chs must be positive")
+        raise ValueError("an image has one channel at least")
     rows = pages(spark, path)
     z, c = F.floor(F.col("page") / channels).cast("long"), (F.col("page") % channels + 1).cast("int")
     voxels = rows.select(F.lit(image).alias("image"), "x", "y", z.alias("z"), c.alias("c"), as_uint8(F.get("s", F.lit(0)), F.col("most").cast("double")).cast("double").alias("value"))
     if keep is None:
         return voxels
     if any(not 1 <= k <= channels for k in keep):
-        raise ValueError("keep_chs must be one-based channel numbers")
+        raise ValueError("channels are counted from 1")
     number = F.create_map(*(F.lit(x) for pair in zip(keep, range(1, len(keep) + 1), strict=True) for x in pair))
     return voxels.where(F.col("c").isin(list(keep))).withColumn("c", number[F.col("c")])
 
@@ -197,9 +197,9 @@ def array_voxels(spark: SparkSession, image: str, array: np.ndarray) -> DataFram
     elif a.ndim == 3:
         a = a[:, :, :, None] if image.startswith("O") else a[:, :, None, :]
     if a.ndim != 4:
-        raise ValueError("images must have two, three or four dimensions")
+        raise ValueError("an array of these dimensions is no image")
     if image.startswith("O") and a.shape[3] != 1:
-        raise ValueError("object maps have one channel")
+        raise ValueError("an object map is one channel")
     at = np.argwhere(a != 0) if image.startswith("O") else np.argwhere(np.ones(a.shape, bool))
     frame = pd.DataFrame(at, columns=["x", "y", "z", "c"]).assign(image=image, value=a[tuple(at.T)])
     frame["c"] += 1

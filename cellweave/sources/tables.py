@@ -27,7 +27,7 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     """A table by its suffix; csv and tab files have a header, and without a schema their types are inferred."""
     kind = READERS.get(suffix(path))
     if kind is None:
-        raise ValueError(f"Unsupported table format: {suffix(path) or path}")
+        raise ValueError(f"no reader for tables of kind {suffix(path) or path!r}")
     if not exists(spark, path):
         raise FileNotFoundError(path)
     if kind == "parquet":
@@ -54,7 +54,7 @@ def write_table(df: DataFrame, path: str) -> None:
     elif kind in (".csv", ".tsv", ".txt"):
         writer.option("header", True).option("sep", "," if kind == ".csv" else "\t").csv(path)
     else:
-        raise ValueError(f"Unsupported output format: {kind or path}")
+        raise ValueError(f"no writer for tables of kind {kind or path!r}")
 
 
 def link_pairs(table: DataFrame, index: str | None = None) -> list[tuple[str, str]]:
@@ -87,17 +87,17 @@ def profile_by_counts(profile: DataFrame, labels: DataFrame) -> DataFrame:
     """Profile rows renumbered by matching their unique Count to the voxels of a label, or to its pieces if the counts are fewer."""
     live = labels.where("value <> 0")
     if profile.select("Count").distinct().count() != profile.count():
-        raise ValueError("Profile counts must be unique to match an image")
+        raise ValueError("objects of equal counts cannot be told apart by them")
     if profile.agg(F.sum("Count")).first()[0] < live.count():
-        from cellweave.operators.patches import component_ids
+        from cellweave.operators.patches import wide_components
 
-        pieces = component_ids(live.select("x", "y", "z", F.col("value").cast("long").alias("value")), ["value"]).select("value", "component").distinct()
+        pieces = wide_components(live.select("x", "y", "z", F.col("value").cast("long").alias("value")), ["value"]).select("value", "component").distinct()
         sizes = pieces.groupBy(F.col("value").alias("__label")).agg(F.count("*").alias("Count"))
     else:
         sizes = live.groupBy(F.col("value").cast("long").alias("__label")).agg(F.count("*").alias("Count"))
     out = profile.withColumn("Count", F.col("Count").cast("long")).join(sizes, "Count")
     if out.count() != profile.count():
-        raise ValueError("Profile counts do not match the image")
+        raise ValueError("an object of the image has no such count in the profile")
     return out.withColumn("Object", F.col("__label")).select(*profile.columns).orderBy("Object")
 
 
@@ -126,7 +126,7 @@ def load_coordinate_table(spark: SparkSession, path: str) -> DataFrame:
     axes = coordinate_columns(table.columns)
     kinds = dict(table.dtypes)
     if any(kinds[a] not in ("int", "bigint", "float", "double") for a in axes) or not table.where(" OR ".join(f"`{a}` IS NULL" for a in axes)).isEmpty():
-        raise ValueError("Coordinates must be numeric and complete")
+        raise ValueError("a coordinate is missing or no number")
     return table
 
 

@@ -223,7 +223,8 @@ def test_som(spark):
     data = np.array([[float(k % 5), float(k // 5)] for k in range(15)])
     initial = np.array([[0.0, 0.0], [2.0, 1.0], [4.0, 2.0]])
     orders = [list(range(15)), list(range(14, -1, -1))]
-    som = patterns.SelfOrganizingMap(grid_size=3, rounds=2).fit(data, initial, orders)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "row_id long, v array<double>")
+    som = patterns.fit_map(rows.repartition(3), plan=patterns.MapPlan(nodes=3, rounds=2), start=initial, orders=orders)
     w = initial.copy()
     for t in range(2):
         rate, radius = 0.05 * math.exp(-t / 2 * math.log(5)), max(1.0 * (1 - t / 2), 1.0)
@@ -231,9 +232,28 @@ def test_som(spark):
             best = int(((data[k] - w) ** 2).sum(1).argmin())
             w += rate * np.exp(-((np.arange(3) - best) ** 2) / (2 * radius**2))[:, None] * (data[k] - w)
     assert np.allclose(som.weights, w)
-    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "row_id long, v array<double>")
+    far = ((data[:, None] - som.weights) ** 2).sum(2)
     got = {r["row_id"]: r["node"] for r in range_join.nearest(rows, som.weights.tolist(), "v").collect()}
-    assert [got[k] for k in range(15)] == som.assign(data)[0].tolist()
+    assert [got[k] for k in range(15)] == far.argmin(1).tolist()
+    assert som.history["round"].tolist() == [0, 1] and np.isclose(som.history["error"].iloc[-1], np.sqrt(far.min(1)).mean())
+    both = patterns.fit_maps(rows.withColumn("map", F.explode(F.array(F.lit("a"), F.lit("b")))), patterns.MapPlan(nodes=3, rounds=2), start=initial, orders=orders)
+    assert {(r["map"], r["at"]): r["v"] for r in both.where("part = 'node'").collect()} == {(m, k): w.tolist() for m in "ab" for k, w in enumerate(som.weights)}
+    with pytest.raises(ValueError, match="every row once"):
+        patterns.train(data, patterns.MapPlan(nodes=3, rounds=1), initial, [[0] * 15])
+
+
+def test_ring_and_bounds_of_a_map(monkeypatch, spark):
+    assert patterns.MapPlan(ring=True).apart(5)[0].tolist() == [0, 1, 2, 2, 1] and patterns.MapPlan().apart(3)[2].tolist() == [2, 1, 0]
+    monkeypatch.setattr(patterns, "MAX_ROWS", 3)
+    with pytest.raises(ValueError, match="sample"):
+        patterns.fit_map(spark.range(5).selectExpr("id row_id", "array(double(id)) v"))
+
+
+def test_rolling_in_blocks_equals_one_window(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id pos", "int(id div 30) node", "double(id * 37 % 101) y")
+    whole = patterns._rolling(df, "y", "Y", 5, [], 300, 0.9, "s", True).orderBy("pos").collect()
+    monkeypatch.setattr(patterns, "BLOCK_ROWS", 7)
+    assert patterns._rolling(df, "y", "Y", 5, [], 300, 0.9, "s", True).orderBy("pos").collect() == whole and len(whole) == 300
 
 
 def test_learned_pattern(spark):
