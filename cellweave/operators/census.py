@@ -101,7 +101,7 @@ def census_table(table: DataFrame, radii: float | Sequence[float], sample_size:
     check_finite(points)
     scalars = len([c for c in table.columns if c not in ("X", "Y", "Z", "Object", "row_id")])
     pool = None if seeds is not None else eligible(points, seed_objects)
-    patches, wide, every_seed, longs = None, None, None, None
+    patches, every_seed, longs = None, None, None
     for k, radius in enumerate(radii):
         if seeds is not None:
             own = seeds.select(F.col("nbhd").cast("int").alias("nbhd"), *(F.col(a).cast("double").alias(a) for a in AXES))
@@ -116,21 +116,25 @@ def census_table(table: DataFrame, radii: float | Sequence[float], sample_size:
             own = sample_by_hash(pool, sizes[k], f"{random_state}-{k}").select(F.col("nbhd").cast("int").alias("nbhd"), *AXES)
         if seeds is None and sizes[k] is not None and own.count() < sizes[k]:
             raise ValueError("there are fewer objects than the seeds asked for")
-        rows = census_of_seeds(own, points, radius, scalars)
-        # A row for each seed and variable: read for the names and for the wide rows.
-        long = materialize(summarize(rows, links))
-        place = own.select("nbhd", *(F.col(a).alias(a.upper()) for a in AXES), F.lit(radius).alias("Radius"))
-        names = natural_sort([r["var"] for r in long.select("var").distinct().collect()])
-        one = to_wide(long.drop("radius"), place, ("nbhd",), names)
-        one = one.select("nbhd", *(F.col(f"`{n}`") for n in names), "X", "Y", "Z", "Radius")
+        long = summarize(census_of_seeds(own, points, radius, scalars), links)
         # Lazy: only the null model reads the members one by one.
         units = member_patches(own, points, radius)
         patches = units if patches is None else patches.unionByName(units)
         longs = long if longs is None else longs.unionByName(long)
-        wide = one if wide is None else wide.unionByName(one, allowMissingColumns=True)
         tagged = own.withColumn("radius", F.lit(radius))
         every_seed = tagged if every_seed is None else every_seed.unionByName(tagged)
-    return CensusResult(wide.drop("nbhd"), longs, patches, every_seed, {"radii": radii, "radius_keys": [radius_key(r) for r in radii], "sample_size": sizes, "links": list(links), "explicit_plan": sample_indices is not None or seeds is not None})
+    # A row for each radius, seed and variable, of all radii at once: read for the names and for the wide rows.
+    longs = materialize(longs)
+    seen: dict[str, set[float]] = {}
+    for r in longs.select("radius", "var").distinct().collect():
+        seen.setdefault(r["var"], set()).add(r["radius"])
+    names = natural_sort(list(seen))
+    place = every_seed.select("radius", "nbhd", *(F.col(a).alias(a.upper()) for a in AXES))
+    wide = to_wide(longs, place, ("radius", "nbhd"), names)
+    # A variable that a radius lacks is null there, and not 0.
+    known = lambda n: F.col(f"`{n}`") if len(seen[n]) == len(set(radii)) else F.when(F.col("radius").isin(list(seen[n])), F.col(f"`{n}`")).alias(n)
+    wide = wide.select(*(known(n) for n in names), "X", "Y", "Z", F.col("radius").alias("Radius"))
+    return CensusResult(wide, longs, patches, every_seed, {"radii": radii, "radius_keys": [radius_key(r) for r in radii], "sample_size": sizes, "links": list(links), "explicit_plan": sample_indices is not None or seeds is not None})
 
 
 def coordinate_columns(columns: Sequence[str], requested: Sequence[str] | None = None) -> list[str]:

@@ -6,12 +6,13 @@ import colorsys
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalar import rgb
 from cellweave.names import col
 from cellweave.operators.distribution import bin_columns, build_dist, ranges_of, smooth_dist
+from cellweave.operators.range_join import asof
 
 
 def _letters(mi: DataFrame) -> list[str]:
@@ -173,6 +174,22 @@ def scalar_pixels(voxels: DataFrame, palette: Sequence[str], z: int | None = Non
     return parts.groupBy("x", "y", "z").agg(*(F.least(F.rint(F.sum(F.coalesce("s", F.lit(0.0)) * F.col(f"t.{a}"))), F.lit(255.0)).cast("int").alias(a) for a in "rgb"))
 
 
+def spatial_map(points: DataFrame, value: str = "value", classes: Sequence[tuple[float, str]] = ()) -> DataFrame:
+    """points with shade (the value from 0 to 1 over all points; 0.5 without spread) and class, the last of `classes` (from, name) at or below it."""
+    low, high = points.agg(F.min(value), F.max(value)).first()
+    shade = F.lit(0.5) if low is None or low == high else (F.col(value) - F.lit(float(low))) / F.lit(float(high) - float(low))
+    return points.withColumn("shade", shade).withColumn("class", asof(F.col("shade"), sorted(classes)).cast("string") if classes else F.lit(None).cast("string"))
+
+
+def palette_table(spark: SparkSession, palette: Sequence[str], labels: Sequence[str] | None = None) -> DataFrame:
+    """(label, name, color, r, g, b): a legend's rows."""
+    if labels is not None and len(labels) != len(palette):
+        raise ValueError(f"{len(palette)} colours need as many names, not {len(labels)}")
+    rows = [(k, labels[k - 1] if labels else str(k), c) for k, c in enumerate(palette, 1)]
+    legend = spark.createDataFrame(rows, "label int, name string, color string")
+    return legend.withColumn("c", rgb(F.col("color"))).select("label", "name", "color", "c.*")
+
+
 def make_palette(n: int, random_state: int = 0, plan: dict[str, Sequence[float] | float] | None = None) -> list[str]:
     """n colours of evenly spaced hues; a plan gives hue_offset, hue_order, saturation and value."""
     if not isinstance(n, int) or n <= 0:

@@ -192,3 +192,15 @@ def test_plans(spark):
     for step in range(3):
         own = rows(got.where(F.col("step") == step), "pos", "src")
         assert sorted(p for p, _ in own) == sorted(s for _, s in own) == list(range(20))
+
+
+def test_components_of_any_size_equal_flood_fill(spark):
+    rng = np.random.default_rng(4)
+    masks = {k: rng.random((6, 7, 5)) < 0.2 for k in (1, 2)}
+    members = [(k, *map(int, p)) for k, m in masks.items() for p in np.argwhere(m)]
+    df = spark.createDataFrame(members, "k long, x long, y long, z long")
+    got = {(r["k"], r["x"], r["y"], r["z"]): r["component"] for r in patches.component_ids(df, ["k"]).collect()}
+    assert got == {m: int(patches.label_components(masks[m[0]])[m[1:]]) for m in members}
+    sizes = {(r["x"], r["y"], r["z"]): r["size"] for r in patches.patch_sizes(df.where("k = 1").drop("k")).collect()}
+    labels = patches.label_components(masks[1])
+    assert sizes == {m[1:]: int((labels == labels[m[1:]]).sum()) for m in members if m[0] == 1}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.scalar import normal_sf, round_to_bins
 from cellweave.operators import composition, distribution, networks, patterns, range_join, spatial, viewdata
 from cellweave.operators import mutual_information as mi
+from cellweave.plans import random_plan
 from cellweave.plans.random_plan import permutation_plan
 
 
@@ -341,3 +342,80 @@ def test_view_tables(spark):
     census = spark.createDataFrame([(float(k % 2), 1.0) for k in range(7)], "`S1.1` double, Radius double")
     freq = values(viewdata.distribution(census, ["S1.1"], 1.0, 5).orderBy("pos"), "freq")
     assert np.allclose(freq, [4 / 7, 3 / 7]) and viewdata.distribution(census, ["S1.1"], 1.0).count() == 7
+
+
+def test_benjamini_hochberg_in_blocks_equals_one_window(spark, monkeypatch):
+    monkeypatch.setattr(random_plan, "BLOCK_ROWS", 7)
+    p = [None if k % 11 == 0 else (k * 37 % 101) / 101 for k in range(120)]
+    got = distribution.benjamini_hochberg(spark.createDataFrame(list(enumerate(p)), "k long, p double"), "p").collect()
+    known = sorted(v for v in p if v is not None)
+    expected = {v: min(1.0, min(known[j] * len(known) / (j + 1) for j in range(len(known)) if known[j] >= v)) for v in known}
+    assert len(got) == 120 and all((r["Padjust"] is None) if r["p"] is None else abs(r["Padjust"] - expected[r["p"]]) < 1e-12 for r in got)
+
+
+def test_running_sums_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(random_plan, "BLOCK_ROWS", 5)
+    df = spark.range(60).selectExpr("id", "id % 3 as k", "id * id % 17 as v")
+    got = {r["id"]: r["s"] for r in random_plan.running(df, "v", "s", ["k"], F.desc("id")).collect()}
+    assert got == {i: sum(j * j % 17 for j in range(i, 60, 3)) for i in range(60)}
+    blocks = spatial.volume_blocks(spark.range(53).selectExpr("id row_id", "double(id * 7 % 53) volume"))
+    assert [r["count"] for r in blocks.groupBy("block").count().orderBy("block").collect()] == [6, 6, 6] + [5] * 7
+
+
+def points_3d():
+    rng = np.random.default_rng(3)
+    at = [(x, y, z) for x in range(4) for y in range(4) for z in range(2)]
+    return [(k, *map(float, p), float(rng.normal() + p[0]), float(rng.integers(1, 9))) for k, p in enumerate(at)]
+
+
+def dense_weights(rows, volumes):
+    xyz, v = np.array([r[1:4] for r in rows]), np.array([r[5] for r in rows])
+    d = np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(2))
+    w = np.where((d > 0) & (d <= 1.5), 1 / np.where(d > 0, d, 1), 0) * (np.sqrt(v[:, None] * v[None]) if volumes else 1)
+    return w / w.sum(1, keepdims=True)
+
+
+def test_3d_moran_and_permutations(spark):
+    rows = points_3d()
+    points = spark.createDataFrame(rows, "row_id long, x double, y double, z double, value double, volume double")
+    x = np.array([r[4] for r in rows])
+    dense = lambda v, w: len(v) / w.sum() * ((v - v.mean()) @ w @ (v - v.mean())) / ((v - v.mean()) ** 2).sum()
+    for volume in (None, "volume"):
+        w = dense_weights(rows, volume)
+        whole, local = spatial.morans_i_3d(points, volume=volume, threshold=1.5)
+        assert abs(whole.first()["observed"] - dense(x, w)) < 1e-12 and local.count() == len(rows) and whole.first()["interpretation"].startswith("3D (26")
+        steps = [list(np.random.default_rng(k).permutation(len(rows))) for k in range(4)]
+        out, null = spatial.permutation_test_3d(points, volume=volume, threshold=1.5, plan=permutation_plan(spark, steps))
+        assert np.allclose(sorted(values(null, "value")), sorted(dense(x[s], w) for s in steps)) and out["method"] == "explicit" and abs(out["observed"] - dense(x, w)) < 1e-12
+    out, null = spatial.permutation_test_3d(points, lambda v, at, size: float(v @ size), volume="volume", permutations=6)
+    assert out["method"] == "3d_volume_preserving" and out["permutations"] == 6 and abs(out["observed"] - sum(r[4] * r[5] for r in rows)) < 1e-9
+    # Values stay inside blocks of like volume.
+    blocked = spatial.volume_blocks(points)
+    moved = spatial.permuted(blocked, 2, None, 0, "block").join(blocked.select("row_id", "block"), "row_id")
+    own = {b: sorted(values(blocked.where(F.col("block") == b), "value")) for b in set(values(blocked, "block"))}
+    assert all(sorted(values(moved.where((F.col("block") == b) & (F.col("step") == 1)), "value")) == v for b, v in own.items())
+    with pytest.raises(ValueError, match="volume"):
+        spatial.permutation_test_3d(points.withColumn("volume", F.lit(0.0)), volume="volume", permutations=1)
+
+
+def test_networks_of_named_samples_and_limits(spark, monkeypatch):
+    d = spark.createDataFrame([(i, j, 0.1 if i // 2 == j // 2 else 2.0) for i in range(6) for j in range(6) if i != j], "i long, j long, d double")
+    net = networks.build(d, names=list("abcdef"), groups=list("xxyyzz"), method="fixed", value=0.5)
+    assert {(r["name"], r["group"]) for r in net.vertices.collect()} == set(zip("abcdef", "xxyyzz", strict=True))
+    assert net.topology["num_components"] == 3 and net.topology["component_sizes"] == [(2, 3)]
+    assert networks._agreement({0: 0, 1: 0, 2: 1}, {0: 0, 1: 1, 2: 1}) == 1 / 3
+    told = networks.group_modularity(net, nulls=3)
+    assert abs(told["observed"] - 2 / 3) < 1e-12
+    for package in ("leiden", "infomap"):
+        with pytest.raises(ImportError):
+            networks.detect_communities(net, package, iterations=1)
+    monkeypatch.setattr(networks, "MAX_EDGES", 2)
+    with pytest.raises(ValueError, match="too large"):
+        networks.detect_communities(net)
+
+
+def test_map_tables(spark):
+    got = viewdata.spatial_map(spark.createDataFrame([(0, 1.0), (1, 3.0), (2, 5.0)], "row_id long, value double"), classes=[(0.5, "high"), (0.0, "low")]).orderBy("row_id").collect()
+    assert [(r["shade"], r["class"]) for r in got] == [(0.0, "low"), (0.5, "high"), (1.0, "high")]
+    legend = viewdata.palette_table(spark, ["#FF0000", "#00FF10"], ["a", "b"]).collect()
+    assert [(r["label"], r["name"], r["r"], r["g"], r["b"]) for r in legend] == [(1, "a", 255, 0, 0), (2, "b", 0, 255, 16)]
