@@ -87,9 +87,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op9_top_k": """
             WITH v AS (
-                SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS e
+                SELECT row_number() OVER () AS uid, vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS e
                 FROM embeddings
-                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
             ),
             s AS (
                 SELECT q.uid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
