@@ -575,6 +575,12 @@ STAT = f"""{LAT}, e0 AS (SELECT a.i, b.i AS j FROM p a JOIN p b ON a.i <> b.i AN
  t AS (SELECT e.i, e.j, w, a.v AS vi, b.v AS vj FROM e JOIN p a ON e.i = a.i JOIN p b ON e.j = b.i)"""
 
 
+def _upper_sql(z: str) -> str:
+    """The upper normal tail by Simpson's rule over 600 steps: SQL here has no error function."""
+    terms = f"list_sum([(CASE WHEN q IN (0, 600) THEN 1 WHEN q % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * ({z} * q / 600.0::DOUBLE)^2) for q in range(601)])"
+    return f"(0.5 - {z} * {terms} / 1800 / sqrt(2 * pi()))"
+
+
 def _stat_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = _lattice(spark, sf_dir)
     return rows, spatial.weights(rows, "queen", threshold=1.0)
@@ -584,15 +590,17 @@ def _stat_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
  s2 AS (SELECT sum(s * s) AS s2 FROM (SELECT i, sum(w) AS s FROM (SELECT i, w FROM e UNION ALL SELECT j, w FROM e) GROUP BY i)),
  f AS (SELECT n / w * x / m2 AS o, -1 / (n - 1) AS x0, n, w, s1, s2, n * m4 / (m2 * m2) AS b2 FROM m, u, g, s1, s2),
  v AS (SELECT o, x0, (n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * w * w) - b2 * ((n * n - n) * s1 - 2 * n * s2 + 6 * w * w)) / ((n - 1) * (n - 2) * (n - 3) * w * w) - x0 * x0 AS var FROM f)
-SELECT round(o, 8) AS observed, round(x0, 8) AS expected, round(var, 8) AS variance, round((o - x0) / sqrt(var), 5) AS z FROM v""")
+SELECT round(o, 8) AS observed, round(x0, 8) AS expected, round(var, 8) AS variance, round((o - x0) / sqrt(var), 5) AS z, round(2 * {_upper_sql("abs((o - x0) / sqrt(var))")}, 7) + 0.0 AS p FROM v""")
 def morans_i(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = spatial.morans_i(*_stat_edges(spark, sf_dir))
-    return got.select(F.round("observed", 8).alias("observed"), F.round("expected", 8).alias("expected"), F.round("variance", 8).alias("variance"), F.round("z", 5).alias("z"))
+    return got.select(F.round("observed", 8).alias("observed"), F.round("expected", 8).alias("expected"), F.round("variance", 8).alias("variance"), F.round("z", 5).alias("z"), (F.round("p", 7) + 0.0).alias("p"))
 
 
-@query(f"WITH {STAT} SELECT round((n - 1) * sum(w * (vi - vj)^2) / (2 * sum(w) * max(m2)), 8) AS observed FROM t, m, u GROUP BY n")
+@query(f"""WITH {STAT}, g AS (SELECT n, (n - 1) * sum(w * (vi - vj)^2) / (2 * sum(w) * max(m2)) AS o FROM t, m, u GROUP BY n), z AS (SELECT o, 1 / (n - 1) AS var, (o - 1) / sqrt(1 / (n - 1)) AS z FROM g)
+SELECT round(o, 8) AS observed, 1.0::DOUBLE AS expected, round(var, 8) AS variance, round(z, 6) AS z, round(2 * {_upper_sql("abs(z)")}, 7) + 0.0 AS p FROM z""")
 def gearys_c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.gearys_c(*_stat_edges(spark, sf_dir)).select(F.round("observed", 8).alias("observed"))
+    got = spatial.gearys_c(*_stat_edges(spark, sf_dir))
+    return got.select(F.round("observed", 8).alias("observed"), "expected", F.round("variance", 8).alias("variance"), F.round("z", 6).alias("z"), (F.round("p", 7) + 0.0).alias("p"))
 
 
 @query(f"""WITH {STAT}, l AS (SELECT i, (max(vi) - max(mean)) / max(sd) AS s, (sum(w * vj) - max(mean) * sum(w)) / max(sd) AS lag, sum(w * w) AS w2 FROM t, m GROUP BY i)
@@ -607,15 +615,20 @@ def getis_ord(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.getis_ord(*_stat_edges(spark, sf_dir)).select("row_id", F.round("g", 4).alias("g"), r6(F.col("z")).alias("z"))
 
 
-@query()
+@query(f"""WITH {STAT}, l AS (SELECT i, (max(vi) - max(mean)) / max(sd) * (sum(w * vj) - max(mean) * sum(w)) / max(sd) / sqrt(sum(w * w)) AS z FROM t, m GROUP BY i)
+SELECT i AS row_id, round(2 * {_upper_sql("abs(z)")}, 7) + 0.0 AS p, round({_upper_sql("z")}, 7) + 0.0 AS upper FROM l""")
 def p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.lisa(*_stat_edges(spark, sf_dir)).select("row_id", "p", normal_sf("z").alias("upper"))
+    return spatial.lisa(*_stat_edges(spark, sf_dir)).select("row_id", (F.round("p", 7) + 0.0).alias("p"), (F.round(normal_sf("z"), 7) + 0.0).alias("upper"))
 
 
-@query()
+@query(f"""WITH {LAT}, v AS (SELECT i, x, y, (i * 37 % 101 / 101.0::DOUBLE)::DOUBLE AS v FROM p), o AS (SELECT a.i, b.i AS j, row_number() OVER (PARTITION BY a.i ORDER BY {D2}, b.i) - 1 AS r FROM v a JOIN v b ON true),
+ k AS (SELECT i, j FROM o WHERE r BETWEEN 1 AND 8 AND i <> j), e0 AS (SELECT i, j FROM k UNION SELECT j, i FROM k), e AS (SELECT i, j, 1.0::DOUBLE / count(*) OVER (PARTITION BY i) AS w FROM e0),
+ m AS (SELECT count(*)::DOUBLE AS n, avg(v) AS mean FROM v), cr AS (SELECT sum(w) AS w, sum(w * (a.v - mean) * (b.v - mean)) AS x FROM e JOIN v a ON e.i = a.i JOIN v b ON e.j = b.i, m),
+ f AS (SELECT greatest(1, floor(n * (1 - 0.5 * greatest(0, n / w * x / (SELECT sum((v - mean)^2) FROM v, m)))))::DOUBLE AS tests FROM m, cr), r AS (SELECT i, v, row_number() OVER (ORDER BY v) AS r FROM v),
+ ad AS (SELECT i, least(1.0, min(v * tests / r) OVER (ORDER BY r DESC)) AS corrected FROM r, f) SELECT i AS row_id, round(corrected, 9) AS corrected, corrected < 0.05 AS rejected FROM ad""")
 def spatial_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lattice(spark, sf_dir).withColumn("p", (F.col("row_id") * 37 % 101 / 101).cast("double"))
-    return spatial.fdr_correction(rows)[0].select("row_id", "corrected", "rejected")
+    return spatial.fdr_correction(rows)[0].select("row_id", F.round("corrected", 9).alias("corrected"), "rejected")
 
 
 @query(f"""WITH {LAT}, s AS (SELECT unnest(range(20)) AS step), a AS (SELECT step, v, row_number() OVER (PARTITION BY step ORDER BY md5('3-' || step || '|' || i), i) AS r FROM p, s)
