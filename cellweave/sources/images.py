@@ -1,7 +1,8 @@
 """Images as voxel rows. Files are read by Spark (binaryFile) and decoded in the task that holds them.
 
-TIFF: baseline, uncompressed, PackBits or deflate, any number of pages, 8 or 16 bits, gray, RGB(A) or palette-free.
-PNG: 8 or 16 bits without interlace. Other formats need Pillow.
+TIFF: strips or tiles, chunky or planar, uncompressed, LZW, PackBits or deflate, any number of pages, whole numbers of 8 to
+32 bits or shares of 1 as floats, gray, RGB(A) or palette. PNG: all depths and colour types, interlaced or not. Other
+formats need Pillow.
 """
 
 from __future__ import annotations
@@ -35,6 +36,65 @@ def _packbits(raw: bytes) -> bytes:
     return bytes(out)
 
 
+def _lzw(raw: bytes) -> bytes:
+    """Codes of 9 to 12 bits, the first bit first; a code widens one entry early."""
+    words: list[bytes] = [*(bytes([k]) for k in range(256)), b"", b""]
+    out, last, held, bits, width = bytearray(), b"", 0, 0, 9
+    for byte in raw:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            del words[258:]
+            last, width = b"", 9
+            continue
+        word = words[code] if code < len(words) else last + last[:1]
+        out += word
+        if last:
+            words.append(last + word[:1])
+        last = word
+        width = min(12, max(9, (len(words) + 1).bit_length()))
+    return bytes(out)
+
+
+def _tiff_page(raw: bytes, end: str, tags: dict[int, tuple]) -> np.ndarray:
+    """One page from its tags: blocks are unpacked and put in their places."""
+    one = lambda tag, default: tags.get(tag, (default,))[0]
+    width, height, samples, bits = one(256, 0), one(257, 0), one(277, 1), one(258, 1)
+    form = {1: "u", 3: "f"}.get(one(339, 1))
+    unpack = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}.get(one(259, 1))
+    if unpack is None or form is None or (form, bits) not in {("u", 8), ("u", 16), ("u", 32), ("f", 32), ("f", 64)}:
+        raise ValueError(f"no reader for TIFF pages of {bits} bits, sample format {one(339, 1)} and compression {one(259, 1)}")
+    kind = np.dtype(f"{end}{form}{bits // 8}")
+    tiled, planar = 322 in tags, one(284, 1) == 2
+    wide, high = (one(322, 0), one(323, 0)) if tiled else (width, min(height, one(278, height)))
+    across, down, depth = -(-width // wide), -(-height // high), 1 if planar else samples
+    page = np.zeros((down * high, across * wide, samples), kind.newbyteorder("="))
+    for k, (place, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
+        plane, at = divmod(k, across * down)
+        y, x = divmod(at, across)
+        block = np.frombuffer(unpack(raw[place : place + size]), kind)
+        block = block[: len(block) // (wide * depth) * wide * depth].reshape(-1, wide, depth)[:high]
+        if one(317, 1) == 2:  # differences along a row
+            block = np.cumsum(block, axis=1, dtype=page.dtype)
+        page[y * high : y * high + len(block), x * wide : (x + 1) * wide, plane : plane + depth] = block
+    page = page[:height, :width]
+    if one(262, 1) == 3 and 320 in tags:
+        colors = np.asarray(tags[320], np.uint16).reshape(3, -1).T
+        page = (colors >> 8).astype(np.uint8)[page[:, :, 0]]
+    elif form == "f":
+        if not (np.isfinite(page).all() and page.min(initial=0) >= 0 and page.max(initial=0) <= 1):
+            raise ValueError("floats of an image are shares between 0 and 1")
+        page = np.rint(page * 255).astype(np.uint8)
+    elif bits == 32:
+        page = np.rint(page / (2**32 - 1) * 255).astype(np.uint8)
+    return page if page.shape[2] > 1 else page[:, :, 0]
+
+
 def tiff_pages(raw: bytes) -> list[np.ndarray]:
     """Pages of a TIFF, rows x columns [x samples]."""
     end = {b"II": "<", b"MM": ">"}.get(raw[:2])
@@ -53,16 +113,7 @@ def tiff_pages(raw: bytes) -> list[np.ndarray]:
                 if size > 4:
                     place = struct.unpack(end + "I", raw[place : place + 4])[0]
                 tags[tag] = struct.unpack(f"{end}{count}{kinds[kind]}", raw[place : place + size])
-        width, height, samples = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
-        bits = tags.get(258, (8,))[0]
-        if bits not in (8, 16) or tags.get(284, (1,))[0] != 1:
-            raise ValueError("only chunky 8- and 16-bit TIFF pages can be read")
-        unpack = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}.get(tags.get(259, (1,))[0])
-        if unpack is None:
-            raise ValueError("this TIFF compression cannot be read")
-        strips = b"".join(unpack(raw[o : o + c]) for o, c in zip(tags[273], tags[279], strict=True))
-        page = np.frombuffer(strips, np.dtype("u1" if bits == 8 else end + "u2"))[: width * height * samples]
-        pages.append(page.reshape((height, width, samples) if samples > 1 else (height, width)))
+        pages.append(_tiff_page(raw, end, tags))
         at = struct.unpack(end + "I", raw[at + 2 + 12 * n : at + 6 + 12 * n])[0]
     return pages
 
@@ -103,31 +154,55 @@ def png_array(raw: bytes) -> np.ndarray:
         elif kind == b"IDAT":
             body += part
         k += 12 + n
-    if interlace or bits not in (8, 16):
-        raise ValueError("only 8- and 16-bit PNG files without interlace can be read")
     samples = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    step = samples * bits // 8
-    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * step)
-    out = np.zeros((height, width * step), np.uint8)
-    above = np.zeros(width * step, np.int64)
-    for y in range(height):
-        line, now = lines[y, 1:].astype(np.int64), np.zeros(width * step, np.int64)
-        method = lines[y, 0]
+    raw_lines = zlib.decompress(body)
+    # First column and row and the steps of the seven passes of an interlaced file.
+    passes = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)] if interlace else [(0, 0, 1, 1)]
+    image = np.zeros((height, width, samples), np.uint16 if bits == 16 else np.uint8)
+    at = 0
+    for x, y, dx, dy in passes:
+        w, h = -(-(width - x) // dx), -(-(height - y) // dy)
+        if w <= 0 or h <= 0:
+            continue
+        length = -(-w * samples * bits // 8)
+        lines = np.frombuffer(raw_lines, np.uint8, h * (1 + length), at).reshape(h, 1 + length)
+        at += lines.size
+        image[y::dy, x::dx] = _png_samples(_png_lines(lines, max(1, samples * bits // 8)), w * samples, bits).reshape(h, w, samples)
+    if palette is not None:
+        return palette[image[:, :, 0]]
+    if bits < 8:
+        image = image * (255 // (2**bits - 1))
+    return image if samples > 1 else image[:, :, 0]
+
+
+def _png_lines(lines: np.ndarray, step: int) -> np.ndarray:
+    """Lines without their filters; step is the bytes from a pixel to the next."""
+    out = np.zeros((len(lines), lines.shape[1] - 1), np.uint8)
+    above = np.zeros(out.shape[1], np.int64)
+    for y, (method, *_) in enumerate(lines):
+        line = lines[y, 1:].astype(np.int64)
         if method in (0, 2):
             now = (line + (above if method == 2 else 0)) & 255
         else:
-            for x in range(width * step):
+            now = np.zeros(len(line), np.int64)
+            for x in range(len(line)):
                 a = now[x - step] if x >= step else 0
                 c = above[x - step] if x >= step else 0
                 b = above[x]
                 near = a if method == 1 else (a + b) // 2 if method == 3 else min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
                 now[x] = (line[x] + near) & 255
         out[y], above = now, now
-    image = out.view(">u2").astype(np.uint16) if bits == 16 else out
-    image = image.reshape(height, width, samples)
-    if palette is not None:
-        return palette[image[:, :, 0]]
-    return image if samples > 1 else image[:, :, 0]
+    return out
+
+
+def _png_samples(lines: np.ndarray, count: int, bits: int) -> np.ndarray:
+    """The first `count` samples of each line."""
+    if bits == 16:
+        return np.ascontiguousarray(lines).view(">u2").astype(np.uint16)[:, :count]
+    if bits == 8:
+        return lines[:, :count]
+    shifts = np.arange(8 - bits, -1, -bits)
+    return ((lines[:, :, None] >> shifts) & (2**bits - 1)).reshape(len(lines), -1)[:, :count].astype(np.uint8)
 
 
 def decode(raw: bytes, kind: str) -> list[np.ndarray]:

@@ -94,6 +94,100 @@ def test_png():
     assert images._packbits(bytes([2, 1, 2, 3, 254, 9, 128])) == bytes([1, 2, 3, 9, 9, 9])
 
 
+def tiff(blocks, tags, end="<"):
+    """A one-page TIFF: blocks of bytes, and tags {tag: (type, values)} besides their places."""
+    out, places = bytearray((b"II*\0" if end == "<" else b"MM\0*") + b"\0" * 4), []
+    for block in blocks:
+        places.append(len(out))
+        out += block
+    tiled = 322 in tags
+    tags = tags | {324 if tiled else 273: (4, places), 325 if tiled else 279: (4, [len(b) for b in blocks])}
+    fields = b""
+    for tag, (kind, values) in sorted(tags.items()):
+        body = struct.pack(f"{end}{len(values)}{'BHI'[[1, 3, 4].index(kind)]}", *values)
+        if len(body) > 4:
+            body, place = struct.pack(end + "I", len(out)), body
+            out += place
+        fields += struct.pack(end + "HHI", tag, kind, len(values)) + body.ljust(4, b"\0")
+    struct.pack_into(end + "I", out, 4, len(out))
+    return bytes(out + struct.pack(end + "H", len(tags)) + fields + b"\0" * 4)
+
+
+def lzw(raw):
+    codes, width, bits = {bytes([k]): k for k in range(256)}, 9, ""
+    put = lambda c: format(c, f"0{width}b")
+    bits += put(256)
+    size, word = 258, b""
+    for k in range(len(raw)):
+        longer = word + raw[k : k + 1]
+        if longer in codes:
+            word = longer
+            continue
+        bits += put(codes[word])
+        codes[longer], size = size, size + 1
+        width = min(12, max(9, size.bit_length()))
+        if size == 4095:
+            bits += put(256)
+            codes, width, size = {bytes([j]): j for j in range(256)}, 9, 258
+        word = raw[k : k + 1]
+    bits += put(codes[word]) + format(257, f"0{min(12, max(9, (size + 1).bit_length()))}b")
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+@pytest.mark.parametrize("end", ["<", ">"])
+def test_tiff_layouts(end):
+    rng = np.random.default_rng(5)
+    rgb, gray = rng.integers(0, 256, (37, 21, 3)).astype(np.uint8), (rng.integers(0, 3, (150, 90)) * 100).astype(f"{end}u2")
+    base = lambda a, bits: {256: (4, [a.shape[1]]), 257: (4, [a.shape[0]]), 258: (3, [bits]), 277: (3, [1 if a.ndim == 2 else a.shape[2]])}
+    read = lambda *a: images.tiff_pages(tiff(*a, end))[0]
+    strips = [rgb[k : k + 10].tobytes() for k in range(0, 37, 10)]
+    assert (read(strips, base(rgb, 8) | {278: (4, [10])}) == rgb).all()
+    planes = [rgb[:, :, c].tobytes() for c in range(3)]
+    assert (read(planes, base(rgb, 8) | {284: (3, [2])}) == rgb).all()
+    padded = np.zeros((48, 32, 3), np.uint8)
+    padded[:37, :21] = rgb
+    tiles = [padded[y : y + 16, x : x + 16].tobytes() for y in range(0, 48, 16) for x in range(0, 32, 16)]
+    assert (read(tiles, base(rgb, 8) | {322: (4, [16]), 323: (4, [16])}) == rgb).all()
+    assert (read([lzw(gray.tobytes())], base(gray, 16) | {259: (3, [5])}) == gray).all()
+    steps = np.diff(rgb, axis=1, prepend=np.zeros((37, 1, 3), np.uint8)).astype(np.uint8)
+    assert (read([zlib.compress(steps.tobytes())], base(rgb, 8) | {259: (3, [8]), 317: (3, [2])}) == rgb).all()
+    share = rng.random((5, 4)).astype(f"{end}f4")
+    assert (read([share.tobytes()], base(share, 32) | {339: (3, [3])}) == np.rint(share * 255)).all()
+    with pytest.raises(ValueError, match="shares"):
+        read([(share * 9).tobytes()], base(share, 32) | {339: (3, [3])})
+    colors = rng.integers(0, 256, (256, 3)) * 257
+    at = rng.integers(0, 256, (6, 5)).astype(np.uint8)
+    assert (read([at.tobytes()], base(at, 8) | {262: (3, [3]), 320: (3, colors.T.ravel().tolist())}) == (colors >> 8)[at]).all()
+    with pytest.raises(ValueError, match="compression 7"):
+        read([b""], base(at, 8) | {259: (3, [7])})
+
+
+def png_of(rows, width, height, bits, color, interlace=0, extra=b""):
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, height, bits, color, 0, 0, interlace)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + extra + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + chunk(b"IEND", b"")
+
+
+def packed(line, bits):
+    text = "".join(format(v, f"0{bits}b") for v in line)
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4, 8, 16])
+def test_png_depths_and_passes(bits):
+    array = np.random.default_rng(bits).integers(0, 2**bits, (13, 11))
+    scale = 1 if bits >= 8 else 255 // (2**bits - 1)
+    assert (images.png_array(png_of([packed(r, bits) for r in array], 11, 13, bits, 0)) == array * scale).all()
+    rows = []
+    for x, y, dx, dy in ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)):
+        rows += [packed(r, bits) for r in array[y::dy, x::dx]]
+    assert (images.png_array(png_of(rows, 11, 13, bits, 0, 1)) == array * scale).all()
+    if bits <= 4:
+        colors = np.random.default_rng(9).integers(0, 256, (2**bits, 3)).astype(np.uint8)
+        plte = struct.pack(">I", colors.size) + b"PLTE" + colors.tobytes() + b"\0" * 4
+        assert (images.png_array(png_of([packed(r, bits) for r in array], 11, 13, bits, 3, extra=plte)) == colors[array]).all()
+
+
 def test_bundles(spark, tmp_path):
     result = {"table": example_census(spark), "array": np.arange(6.0).reshape(2, 3), "nan": float("nan"), "pair": (1, "a")}
     bundle.save_result(result, str(tmp_path / "b"))
