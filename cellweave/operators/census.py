@@ -137,6 +137,10 @@ def census_table(table: DataFrame, radii: float | Sequence[float], sample_size:
     return CensusResult(wide, longs, patches, every_seed, {"radii": radii, "radius_keys": [radius_key(r) for r in radii], "sample_size": sizes, "links": list(links), "explicit_plan": sample_indices is not None or seeds is not None})
 
 
+#: Distinct objects that a census of a coordinate table has columns for.
+MAX_OBJECTS = 10_000
+
+
 def coordinate_columns(columns: Sequence[str], requested: Sequence[str] | None = None) -> list[str]:
     """x, y and z if there is one, by any case."""
     if requested:
@@ -166,7 +170,9 @@ def census_coordinates(table: DataFrame, radii: float | Sequence[float], variabl
     points = numbered.select(*fields, *(F.col(f"`{v}`").cast("double").alias(f"v{k}") for k, v in enumerate(variables)))
     used = AXES[: len(axes)]
     check_finite(points, used)
-    values = sorted(r[0] for r in points.select("object").distinct().collect()) if object_column else []
+    values = sorted(r[0] for r in points.select("object").distinct().limit(MAX_OBJECTS + 1).collect()) if object_column else []
+    if len(values) > MAX_OBJECTS:
+        raise ValueError(f"a wide census has a column for each object: more than {MAX_OBJECTS} are too many")
     out = None
     for radius, size in zip(radii, sizes, strict=True):
         if seeds is not None:

@@ -263,3 +263,26 @@ def test_registry(spark, sf_dir):
         expected = con.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({sql[name]})").fetchall()
         assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, expected)), name
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_cli_images_maps_and_several_tables(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    label = rng.integers(0, 3, (12, 10))
+    colors = np.array([[0, 0, 0], [255, 0, 0], [0, 0, 255]], np.uint8)
+    objects, scalars = str(tmp_path / "o.tif"), str(tmp_path / "s.tif")
+    (tmp_path / "o.tif").write_bytes(images.write_tiff([colors[label]]))
+    (tmp_path / "s.tif").write_bytes(images.write_tiff([rng.integers(0, 256, (12, 10)), rng.integers(0, 256, (12, 10))]))
+    out = str(tmp_path / "census.parquet")
+    assert cli.main(["image", f"O1={objects}", f"S1={scalars}:2", out, "--radii", "1,2", "--sample-size", "9", "--links", "O1.1:S1.1"], spark) == 0
+    census = spark.read.parquet(out)
+    assert census.count() == 18 and {"O1.1", "O1.2", "O1.1_S1.1", "X", "Radius"} <= set(census.columns)
+    path = str(tmp_path / "path.csv")
+    tables.write_table(spark.createDataFrame([(float(x), float(x), "O1.1") for x in (0, 50, 100)], "X double, Y double, V string"), path)
+    mapped = str(tmp_path / "map.parquet")
+    assert cli.main(["map", path, mapped, "--census", out, "--image", objects, "--bounds", "0:40,60:100", "--radius", "2", "--axes", "2,2,1", "--palette", "#FF0000,#00FF00"], spark) == 0
+    assert spark.read.parquet(mapped).count() == (label > 0).sum()
+    for k in range(3):
+        tables.write_table(spark.range(60).selectExpr(f"double(id * {k + 3} % 7) as `S1.1`", f"double(id % {k + 2}) as `S1.2`", "1.0D as Radius"), str(tmp_path / f"c{k}.parquet"))
+    three = ",".join(str(tmp_path / f"c{k}.parquet") for k in range(3))
+    assert cli.main(["analyze", three, str(tmp_path / "trans.parquet"), "--type", "transmi", "--groups", "a,b,a", "--bootstraps", "3"], spark) == 0
+    assert "TransMI" in spark.read.parquet(str(tmp_path / "trans.parquet")).columns
