@@ -121,9 +121,12 @@ def permuted_nulls(census: DataFrame, names: Sequence[str], replicates: int, see
     numbered = census if "row_id" in census.columns else with_row_id(census, *map(col, census.columns))
     long = numbered.select("row_id", F.col("Radius").cast("double").alias("radius"), F.posexplode(F.array(*(col(n).cast("double") for n in names))).alias("at", "value"))
     each = long.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    own = Window.partitionBy("radius", "replicate", "at")
+    own = ["radius", "replicate", "at"]
     key = shuffle_key(F.concat_ws("-", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("at").cast("string")), "row_id")
-    moved = each.withColumn("pos", F.row_number().over(own.orderBy(key, "row_id")))
+    # All replicates and variables are numbered together: none needs to fit a task.
+    moved = with_row_id(each.withColumn("__key", key), *own, "__key", "row_id", name="__at")
+    first = moved.groupBy(*own).agg(F.min("__at").alias("__first"))
+    moved = moved.join(first, own).withColumn("pos", F.col("__at") - F.col("__first"))
     return moved.groupBy("radius", "replicate", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("l")).select("radius", "replicate", F.transform("l", lambda s: s["value"]).alias("v"))
 
 

@@ -45,6 +45,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 # ---------------------------------------------------------------- inputs
 
+def _upper_sql(z: str) -> str:
+    """The upper normal tail by Simpson's rule over 600 steps: SQL here has no error function."""
+    terms = f"list_sum([(CASE WHEN q IN (0, 600) THEN 1 WHEN q % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * ({z} * q / 600.0::DOUBLE)^2) for q in range(601)])"
+    return f"(0.5 - {z} * {terms} / 1800 / sqrt(2 * pi()))"
+
 PTS = """pts AS (SELECT l_quantity AS x, round_even(100 * l_discount, 0) AS y, round_even(100 * l_tax, 0) AS z,
  CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS object, l_extendedprice AS s FROM lineitem)"""
 SITES = PTS + ", sites AS (SELECT x, y, z, object, count(*) AS area, sum(s) AS s FROM pts GROUP BY ALL)"
@@ -409,8 +414,28 @@ def cismi_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mi.measure_cis_mi(got.census, 2, patches=got.patches, bootstraps=5, max_bins=5)
 
 
-@query()
+CIS3 = f"""o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, floor(o_totalprice / 50000)::BIGINT AS a, (o_custkey % 7)::BIGINT AS b, (o_orderkey % 3)::BIGINT AS c FROM orders), s AS (SELECT unnest(range(1, 11)) AS k),
+ pa AS (SELECT k, a, row_number() OVER (PARTITION BY k ORDER BY md5('0-' || k || '-0|' || i), i) AS p FROM o, s), pb AS (SELECT k, b, row_number() OVER (PARTITION BY k ORDER BY md5('0-' || k || '-1|' || i), i) AS p FROM o, s),
+ pc AS (SELECT k, c, row_number() OVER (PARTITION BY k ORDER BY md5('0-' || k || '-2|' || i), i) AS p FROM o, s),
+ q AS (SELECT 0 AS k, a, b, c FROM o UNION ALL SELECT pa.k, a, b, c FROM pa JOIN pb ON pa.k = pb.k AND pa.p = pb.p JOIN pc ON pa.k = pc.k AND pa.p = pc.p),
+ n AS (SELECT count(*)::DOUBLE AS n, least(100, floor(sqrt((count(*) + 1) / 10.0::DOUBLE) + 1e-12)) - 1 AS top FROM o), r AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(c) AS c0, max(c) AS c1 FROM o),
+ d AS (SELECT k, round_even((a - a0) * top / (a1 - a0)::DOUBLE, 0) AS a, round_even((b - b0) * top / (b1 - b0)::DOUBLE, 0) AS b, round_even((c - c0) * top / (c1 - c0)::DOUBLE, 0) AS c FROM q, r, n),
+ h AS ({" UNION ALL ".join(f"SELECT k, '{e}' AS e, -sum(m / n * log2(m / n)) AS h FROM (SELECT k, count(*) AS m FROM d GROUP BY k, {', '.join(e)}), n GROUP BY k" for e in ("a", "b", "c", "ab", "ac", "bc"))}),
+ mi AS (SELECT k, e, h AS v FROM h WHERE length(e) = 1 UNION ALL SELECT x.k, x.e, y.h + z.h - x.h FROM h x JOIN h y ON y.k = x.k AND y.e = x.e[1] JOIN h z ON z.k = x.k AND z.e = x.e[2] WHERE length(x.e) = 2),
+ t AS (SELECT e, max(v) FILTER (k = 0) - avg(v) FILTER (k > 0) AS v, stddev_samp(v) FILTER (k > 0) AS sd FROM mi GROUP BY e),
+ w AS (SELECT e, CASE WHEN abs(v) < 1e-12 THEN 0 ELSE v END AS v, CASE WHEN abs(v) < 1e-12 THEN 0 ELSE v / sd END AS z FROM t),
+ u AS (SELECT e, v, z, 2 * {_upper_sql("abs(z)")} AS p FROM w), v AS (SELECT *, row_number() OVER (ORDER BY p, e) AS rank FROM u),
+ f AS (SELECT e, v, z, p, least(1.0, min(p * 6 / rank) OVER (ORDER BY rank DESC)) AS padj FROM v)"""
+_VARIABLE = "CASE {} WHEN 'a' THEN 'S1.1' WHEN 'b' THEN 'S1.2' WHEN 'c' THEN 'S1.3' END"
+
+
+@query(f"""WITH {CIS3} SELECT 1.0::DOUBLE AS radius, {_VARIABLE.format("e[1]")} AS "VA", {_VARIABLE.format("e[2]")} AS "VB", round(v, 6) + 0.0 AS "CisMI", round(z, 3) + 0.0 AS "Zscore", round(p, 6) + 0.0 AS "Pvalue", round(padj, 6) + 0.0 AS "Padjust" FROM f""")
 def cismi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _cismi(spark, sf_dir)
+    return got.select("radius", "VA", "VB", *((F.round(c, k) + 0.0).alias(c) for c, k in (("CisMI", 6), ("Zscore", 3), ("Pvalue", 6), ("Padjust", 6))))
+
+
+def _cismi(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = random_plan.with_row_id(read(spark, sf_dir, "orders"), "o_orderkey")
     rows = rows.select("row_id", F.floor(F.col("o_totalprice") / 50000).cast("double").alias("S1.1"), (F.col("o_custkey") % 7).cast("double").alias("S1.2"), (F.col("o_orderkey") % 3).cast("double").alias("S1.3"), F.lit(1.0).alias("Radius"))
     return mi.measure_cis_mi(rows, 2, bootstraps=10, allow_permutation=True)
@@ -446,9 +471,28 @@ def transmi_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.select(r6(mi.modularity(F.col("d"), ["a", "b", "a", "b"], pairs)).alias("q"))
 
 
-@query()
+def _trans_sql(code: str, ens: int) -> str:
+    """(ens, nth, d): the divergences of the six pairs of specimens over one ensemble's bins."""
+    return f"""SELECT {ens} AS ens, nth, coalesce(d, 0) AS d FROM pairs LEFT JOIN (SELECT x.g AS i, y.g AS j, sum(0.5 * (x.p - y.p) * log2(x.p / y.p)) AS d FROM (SELECT g, {code} AS pos, count(*)::DOUBLE / max(n) AS p FROM b JOIN sizes USING (g) GROUP BY ALL) x
+ JOIN (SELECT g, {code} AS pos, count(*)::DOUBLE / max(n) AS p FROM b JOIN sizes USING (g) GROUP BY ALL) y ON x.pos = y.pos AND x.g < y.g GROUP BY ALL) USING (i, j)"""
+
+
+# The steps of the plan one after another, composed by hand.
+@query(f"""WITH v AS (SELECT l_suppkey % 4 AS g, l_quantity AS a, (l_partkey % 11)::DOUBLE AS b FROM lineitem), r AS (SELECT g, min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1 FROM v GROUP BY g), sizes AS (SELECT g, count(*) AS n FROM v GROUP BY g),
+ b AS (SELECT v.g, round_even((a - a0) * 2 / (a1 - a0), 0)::BIGINT AS a, round_even((b - b0) * 2 / (b1 - b0), 0)::BIGINT AS b FROM v JOIN r USING (g)),
+ pairs AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS nth, unnest([0, 0, 0, 1, 1, 2]) AS i, unnest([1, 2, 3, 2, 3, 3]) AS j),
+ d AS ({_trans_sql("a", 0)} UNION ALL {_trans_sql("b", 1)} UNION ALL {_trans_sql("a + 3 * b", 2)}),
+ steps AS (SELECT unnest([0, 1, 2, 3, 4]) AS step, unnest([[0, 1, 2, 3, 4, 5], [0, 3, 2, 5, 1, 4], [2, 3, 4, 5, 0, 1], [1, 0, 5, 4, 3, 2], [0, 1, 4, 5, 2, 3]]) AS src),
+ s AS (SELECT step, d.ens, p.i, p.j, 1 - d / max(d) OVER (PARTITION BY step, d.ens) AS s FROM steps, pairs p, d WHERE d.nth = src[p.nth + 1]),
+ w AS (SELECT step, ens, i, j, s FROM s UNION ALL SELECT step, ens, j, i, s FROM s UNION ALL SELECT DISTINCT step, ens, i, i, 1.0 FROM s UNION ALL SELECT DISTINCT step, ens, 3, 3, 1.0 FROM s),
+ o AS (SELECT step, ens, i % 2 AS c, sum(s) AS o, sum(s) FILTER (i % 2 = j % 2) AS n FROM w GROUP BY ALL), q AS (SELECT step, ens, sum(n / t - (o / t)^2) AS q FROM o JOIN (SELECT step, ens, sum(s) AS t FROM w GROUP BY ALL) USING (step, ens) GROUP BY ALL),
+ k AS (SELECT ens, max(q) FILTER (step = 0) AS o, avg(q) FILTER (step > 0) AS m, stddev_samp(q) FILTER (step > 0) AS sd FROM q GROUP BY ens), z AS (SELECT ens, o, CASE WHEN sd > 1e-14 THEN (o - m) / sd ELSE 0 END AS z FROM k),
+ u AS (SELECT ens, o, z, {_upper_sql("z")} AS p FROM z), n AS (SELECT *, row_number() OVER (ORDER BY p, ens) AS rank FROM u)
+SELECT 1.0::DOUBLE AS radius, CASE WHEN ens = 1 THEN 'S1.2' ELSE 'S1.1' END AS "VA", CASE WHEN ens = 2 THEN 'S1.2' END AS "VB", round(o, 6) + 0.0 AS "TransMI", round(z, 4) + 0.0 AS "Zscore", round(p, 6) + 0.0 AS "Pvalue", round(least(1.0, min(p * 3 / rank) OVER (ORDER BY rank DESC)), 6) + 0.0 AS "Padjust" FROM n""")
 def transmi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mi.measure_trans_mi(_specimens(spark, sf_dir), {"Status": ["A", "B", "A", "B"]}, 2, bootstraps=20, max_bins=3)
+    plan = [[0, 3, 2, 5, 1, 4], [2, 1, 5, 3, 0, 4], [5, 4, 3, 2, 1, 0], [1, 0, 3, 2, 5, 4]]
+    got = mi.measure_trans_mi(_specimens(spark, sf_dir), {"Status": ["A", "B", "A", "B"]}, 2, max_bins=3, plan=plan)
+    return got.select("radius", "VA", "VB", *((F.round(c, k) + 0.0).alias(c) for c, k in (("TransMI", 6), ("Zscore", 4), ("Pvalue", 6), ("Padjust", 6))))
 
 
 @query("""WITH p AS (SELECT (o_custkey % 40 + 1)::INTEGER AS nbhd, o_orderkey AS id, (1 + o_orderkey % 4)::BIGINT AS area, (o_orderkey % 3 + 1)::BIGINT AS object FROM orders),
@@ -575,12 +619,6 @@ STAT = f"""{LAT}, e0 AS (SELECT a.i, b.i AS j FROM p a JOIN p b ON a.i <> b.i AN
  t AS (SELECT e.i, e.j, w, a.v AS vi, b.v AS vj FROM e JOIN p a ON e.i = a.i JOIN p b ON e.j = b.i)"""
 
 
-def _upper_sql(z: str) -> str:
-    """The upper normal tail by Simpson's rule over 600 steps: SQL here has no error function."""
-    terms = f"list_sum([(CASE WHEN q IN (0, 600) THEN 1 WHEN q % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * ({z} * q / 600.0::DOUBLE)^2) for q in range(601)])"
-    return f"(0.5 - {z} * {terms} / 1800 / sqrt(2 * pi()))"
-
-
 def _stat_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = _lattice(spark, sf_dir)
     return rows, spatial.weights(rows, "queen", threshold=1.0)
@@ -793,9 +831,21 @@ def network_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return networks.detect_communities(networks.build(d), iterations=3, distances=d)["communities"]
 
 
-@query()
+@query(f"""WITH RECURSIVE {NET}, q AS (SELECT least(quantile_cont(s, 0.75), (SELECT min(s) FROM (SELECT s FROM s ORDER BY s DESC LIMIT 10))) AS c FROM s), e AS (SELECT i, j FROM s, q WHERE s >= c), v AS (SELECT DISTINCT label FROM embeddings), n AS (SELECT count(*)::DOUBLE AS n FROM v),
+ b AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e), paths AS (SELECT label AS s, label AS t, [label] AS p FROM v UNION ALL SELECT s, b.j, list_append(p, b.j) FROM paths JOIN b ON b.i = paths.t WHERE NOT list_contains(p, b.j)),
+ short AS (SELECT s, t, p, len(p) - 1 AS d, count(*) OVER (PARTITION BY s, t) AS k FROM (SELECT *, min(len(p)) OVER (PARTITION BY s, t) AS least FROM paths) WHERE len(p) = least),
+ near AS (SELECT s, count(DISTINCT t) - 1.0::DOUBLE AS reached, sum(d / k::DOUBLE) AS total FROM short GROUP BY s), inner_nodes AS (SELECT unnest(p[2:len(p) - 1]) AS id, 1.0::DOUBLE / k AS share FROM short WHERE len(p) > 2),
+ passed AS (SELECT id, sum(share) AS x FROM inner_nodes GROUP BY id), deg AS (SELECT i AS id, count(*) AS k FROM b GROUP BY i)
+SELECT label::BIGINT AS id, round(coalesce(deg.k, 0) / (n - 1), 8) AS degree, round(coalesce(x, 0) / ((n - 1) * (n - 2)), 8) + 0.0 AS betweenness, round(CASE WHEN total > 0 THEN reached / total * reached / (n - 1) ELSE 0 END, 8) AS closeness
+FROM v CROSS JOIN n LEFT JOIN near ON near.s = label LEFT JOIN passed ON passed.id = label LEFT JOIN deg ON deg.id = label""")
 def network_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return networks.analyze(networks.build(_distances(spark, sf_dir)), ["degree", "betweenness", "closeness", "pagerank"])["centrality"]
+    got = networks.analyze(networks.build(_distances(spark, sf_dir)))["centrality"]
+    return got.select("id", *(F.round(c, 8).alias(c) for c in ("degree", "betweenness", "closeness")))
+
+
+@query()
+def network_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return networks.pagerank(networks.build(_distances(spark, sf_dir)))
 
 
 @query("""WITH RECURSIVE p AS (SELECT s_suppkey AS i, s_suppkey % 50 AS x, s_nationkey AS y FROM supplier), e AS (SELECT a.i, b.i AS j FROM p a JOIN p b ON abs(a.x - b.x) + abs(a.y - b.y) = 1), r(a, b) AS (SELECT i, i FROM p UNION SELECT r.a, e.j FROM r JOIN e ON r.b = e.i)
@@ -815,9 +865,12 @@ def profile_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viewdata.normalize_profiles(rows, "A", "U").withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(f"""WITH {CIS3}, g AS (SELECT e, abs(z) AS z, coalesce((abs(v) - min(abs(v)) OVER g) / nullif(max(abs(v)) OVER g - min(abs(v)) OVER g, 0) + 0.1, 0.5) AS size FROM f WINDOW g AS (PARTITION BY length(e))),
+ x AS (SELECT unnest(['a', 'b', 'c']) AS x), y AS (SELECT x, sum(z) / 6 AS z, sum(size) / 6 AS size FROM x JOIN g ON contains(e, x) GROUP BY x)
+SELECT {_VARIABLE.format("x")} AS "V", round(z, 3) + 0.0 AS z, round(coalesce((size - min(size) OVER ()) / nullif(max(size) OVER () - min(size) OVER (), 0) + 0.1, 0.5), 5) AS size FROM y""")
 def mi_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return viewdata.mi_rank(cismi_table(spark, sf_dir), 1.0, p_threshold=1.0, mi_threshold=0.0)[1]
+    got = viewdata.mi_rank(_cismi(spark, sf_dir), 1.0, p_threshold=1.0, mi_threshold=0.0)[1]
+    return got.select("V", (F.round("z", 3) + 0.0).alias("z"), F.round("size", 5).alias("size"))
 
 
 @query("""WITH r AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_tax) AS c, max(l_tax) AS d FROM lineitem),
