@@ -144,9 +144,9 @@ def base_spans(text: Column) -> Column:
 
 
 def protected(text: Column) -> Column:
-    """The distinct entities of a text, as hashes of kind and value, each with a hash of what is beside it."""
+    """The entities of a text, as hashes of kind and value, each with a hash of what is beside it; repeats included."""
     make = lambda k, m: F.struct(F.xxhash64(F.lit(k), F.lower(m["hit"])).alias("entity"), m["around"].alias("around"))
-    return F.array_distinct(_of_kinds(text, make, "array<struct<entity:bigint,around:bigint>>"))
+    return _of_kinds(text, make, "array<struct<entity:bigint,around:bigint>>")
 
 
 def written(spans: Column) -> Column:
