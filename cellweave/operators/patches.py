@@ -76,6 +76,9 @@ def random_census(patches: DataFrame, order: Column | str, links: Sequence[tuple
     neighbourhoods end. A patch gives each neighbourhood its share of area and of scalar mass. Neighbourhoods
     without area, but for a leading one, drop out and later ones move up, as in the original method.
     """
+    if not links:
+        # Without links the channels of objects count nowhere: they need not be sorted along.
+        patches = patches.withColumn("s", F.when(F.col("object").isNull(), F.col("s")))
     extents = patches.groupBy(*keys, "grp", "nbhd").agg(F.sum("area").alias("total"))
     by_nbhd = Window.partitionBy(*keys, "grp").orderBy("nbhd")
     extents = extents.withColumn("ne", F.sum("total").over(by_nbhd).cast("double")).withColumn("ns", F.col("ne") - F.col("total"))
