@@ -173,6 +173,8 @@ def census_coordinates(table: DataFrame, radii: float | Sequence[float], variabl
     values = sorted(r[0] for r in points.select("object").distinct().limit(MAX_OBJECTS + 1).collect()) if object_column else []
     if len(values) > MAX_OBJECTS:
         raise ValueError(f"a wide census has a column for each object: more than {MAX_OBJECTS} are too many")
+    parts = [f(f"v{k}").alias(f"{name}{k}") for k in range(len(variables)) for f, name in ((F.sum, "t"), (F.count, "c"))]
+    places = points.groupBy(*used, *(["object"] if object_column else [])).agg(F.count("*").alias("n"), *parts)
     out = None
     for radius, size in zip(radii, sizes, strict=True):
         if seeds is not None:
@@ -181,11 +183,12 @@ def census_coordinates(table: DataFrame, radii: float | Sequence[float], variabl
             own = points.select((F.col("row_id") + 1).alias("nbhd"), *used)
         else:
             own = sample_by_hash(points, size, random_state).select("nbhd", *used)
-        joined = ball_join(own, points, radius, used)
-        share = [(100 * F.count_if(F.col("p_object") == v) / F.count("*")).alias(f"O1.{v}") for v in values]
-        means = [F.avg(f"p_v{k}").alias(v) for k, v in enumerate(variables)]
+        # Rows of one place have the same neighbourhood: places are summed before they meet, and each row takes its place's.
+        joined = ball_join(own.select(*used).distinct(), places, radius, used)
+        share = [(100 * F.sum(F.when(F.col("p_object") == v, F.col("p_n")).otherwise(0)) / F.sum("p_n")).alias(f"O1.{v}") for v in values]
+        means = [(F.sum(f"p_t{k}") / F.nullif(F.sum(f"p_c{k}"), F.lit(0))).alias(v) for k, v in enumerate(variables)]
         z = [] if len(used) == 3 else [F.lit(0.0).alias("Z")]
-        rows = joined.groupBy("nbhd", *used).agg(*share, *means, F.count("*").alias("__n"))
+        rows = joined.groupBy(*used).agg(F.sum("p_n").alias("__n"), *share, *means).join(own.withColumnsRenamed({a: f"__s{a}" for a in used}), [F.col(a) == F.col(f"__s{a}") for a in used])
         one = rows.select("nbhd", *(F.col(f"`{n}`") for n in [*(f"O1.{v}" for v in values), *variables]), *(F.col(a).alias(a.upper()) for a in used), *z, F.lit(radius).alias("Radius"))
         out = one if out is None else out.unionByName(one)
     return out

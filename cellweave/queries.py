@@ -129,10 +129,12 @@ def neighborhood_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.i + 1 AS nbhd, a.x AS "X", a.y AS "Y", 0.0::DOUBLE AS "Z", 1.5::DOUBLE AS "Radius", round(avg(b.v) + 0.0000013, 4) AS price, count(*) AS n
 FROM p a JOIN p b ON (a.x - b.x)^2 + (a.y - b.y)^2 <= 2.25 GROUP BY a.i, a.x, a.y""")
 def coord_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = random_plan.with_row_id(read(spark, sf_dir, "part"), "p_partkey").select("row_id", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 50).cast("double").alias("y"), F.col("p_retailprice").alias("price"), F.lit(1.0).alias("one"))
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    table = random_plan.with_row_id(part, "p_partkey").select("row_id", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 50).cast("double").alias("y"), F.col("p_retailprice").alias("price"))
     got = census.census_coordinates(table, 1.5, ["price"])
-    n = range_join.ball_join(table.select((F.col("row_id") + 1).alias("nbhd"), "x", "y"), table.select("x", "y"), 1.5, ("x", "y")).groupBy("nbhd").agg(F.count("*").alias("n"))
-    return got.join(n, "nbhd").select("nbhd", "X", "Y", "Z", "Radius", F.round(F.col("price") + 0.0000013, 4).alias("price"), "n")
+    places = table.groupBy("x", "y").agg(F.count("*").alias("c"))
+    n = range_join.ball_join(places.select("x", "y"), places, 1.5, ("x", "y")).groupBy(F.col("x").alias("X"), F.col("y").alias("Y")).agg(F.sum("p_c").alias("n"))
+    return got.join(n, ["X", "Y"]).select("nbhd", "X", "Y", "Z", "Radius", F.round(F.col("price") + 0.0000013, 4).alias("price"), "n")
 
 
 @query("""WITH p AS (SELECT p_size::DOUBLE AS x, (p_partkey % 50)::DOUBLE AS y, p_brand AS o, row_number() OVER (ORDER BY p_partkey) AS nbhd FROM part),

@@ -204,3 +204,21 @@ def test_components_of_any_size_equal_flood_fill(spark):
     sizes = {(r["x"], r["y"], r["z"]): r["size"] for r in patches.patch_sizes(df.where("k = 1").drop("k")).collect()}
     labels = patches.label_components(masks[1])
     assert sizes == {m[1:]: int((labels == labels[m[1:]]).sum()) for m in members if m[0] == 1}
+
+
+def test_coordinate_census_joins_places_and_not_rows(spark, monkeypatch):
+    from cellweave.operators import range_join
+
+    # 2,000 rows on four places: their pairs are 4 million, those of places and objects at most 32.
+    data = [(k, float(k % 2), float(k // 2 % 2), "ab"[k % 3 == 0], None if k % 5 == 0 else float(k)) for k in range(2000)]
+    table = spark.createDataFrame(data, "row_id long, x double, y double, o string, v double")
+    made = []
+    monkeypatch.setattr(census, "ball_join", lambda *a, **k: made.append(range_join.ball_join(*a, **k)) or made[-1])
+    got = {r["nbhd"]: r for r in census.census_coordinates(table, 1.0, ["v"], object_column="o").collect()}
+    assert made[0].count() <= 32 and len(got) == 2000
+    for nbhd in (1, 2, 3, 2000):
+        own = data[nbhd - 1]
+        near = [d for d in data if (d[1] - own[1]) ** 2 + (d[2] - own[2]) ** 2 <= 1]
+        known = [d[4] for d in near if d[4] is not None]
+        assert abs(got[nbhd]["O1.b"] - 100 * sum(d[3] == "b" for d in near) / len(near)) < 1e-9
+        assert abs(got[nbhd]["v"] - sum(known) / len(known)) < 1e-9 and (got[nbhd]["X"], got[nbhd]["Y"]) == own[1:3]
