@@ -222,3 +222,20 @@ def test_coordinate_census_joins_places_and_not_rows(spark, monkeypatch):
         known = [d[4] for d in near if d[4] is not None]
         assert abs(got[nbhd]["O1.b"] - 100 * sum(d[3] == "b" for d in near) / len(near)) < 1e-9
         assert abs(got[nbhd]["v"] - sum(known) / len(known)) < 1e-9 and (got[nbhd]["X"], got[nbhd]["Y"]) == own[1:3]
+
+
+def test_object_census_of_repeated_parts(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from cellweave import queries
+    from cellweave.operators import range_join
+
+    # 3,000 parts of three sizes and keys of one place: 1 million pairs of rows a place, but six of places and brands.
+    rows_ = [(50 * k, k % 3 * 10, f"Brand#{k % 2}") for k in range(3000)]
+    spark.createDataFrame(rows_, "p_partkey long, p_size int, p_brand string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = []
+    monkeypatch.setattr(census, "ball_join", lambda *a, **k: made.append(range_join.ball_join(*a, **k)) or made[-1])
+    got = {tuple(r) for r in queries.coord_census_objects(spark, str(tmp_path)).collect()}
+    assert made[0].count() == 6
+    sql = queries.SQL["coord_census_objects"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert got == set(duckdb.sql(sql).fetchall()) and len(got) == 6000
