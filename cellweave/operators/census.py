@@ -82,10 +82,20 @@ def census_of_seeds(seeds: DataFrame, points: DataFrame, radius: float, scalars:
     return rows.select(F.lit(float(radius)).alias("radius"), F.lit("O1").alias("grp"), F.col("nbhd").cast("int").alias("nbhd"), F.col("object").alias("patch_id"), F.col("area").cast("long").alias("area"), "object", "s")
 
 
+#: Points of one place and object that meet seeds as one row.
+PACK_ROWS = 4096
+
+
 def member_patches(seeds: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """Patch rows of area 1, one for each neighbourhood and point in it: what the null model shuffles."""
-    joined = ball_join(seeds.select("nbhd", *AXES), points, radius)
-    return joined.select(F.lit(float(radius)).alias("radius"), F.lit("O1").alias("grp"), F.col("nbhd").cast("int").alias("nbhd"), F.col("p_row_id").alias("patch_id"), F.lit(1).cast("long").alias("area"), F.col("p_object").alias("object"), F.col("p_s").alias("s"))
+    """Patch rows of area 1, one for each neighbourhood and point in it: what the null model shuffles.
+
+    Points of a place meet seeds in packs, so it is cheap to make the rows again and they need not be stored.
+    """
+    pack = F.floor(F.col("row_id") / PACK_ROWS).alias("pack")
+    packs = points.groupBy(*AXES, "object", pack).agg(F.collect_list("row_id").alias("ids"), F.collect_list("s").alias("s")).drop("pack")
+    joined = ball_join(seeds.select("nbhd", *AXES), packs, radius)
+    each = joined.select("nbhd", "p_object", "p_s", F.posexplode("p_ids").alias("at", "row_id"))
+    return each.select(F.lit(float(radius)).alias("radius"), F.lit("O1").alias("grp"), F.col("nbhd").cast("int").alias("nbhd"), F.col("row_id").alias("patch_id"), F.lit(1).cast("long").alias("area"), F.col("p_object").alias("object"), F.col("p_s")[F.col("at")].alias("s"))
 
 
 def census_table(table: DataFrame, radii: float | Sequence[float], sample_size: int | Sequence[int] | None, links: Sequence[tuple[str, str]] = (), seed_objects: Sequence[int] | dict | None = None, *, sample_indices: Sequence | None = None, seeds: DataFrame | None = None, order: Sequence[str] | None = None, random_state: int | str = 0) -> CensusResult:

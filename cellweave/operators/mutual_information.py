@@ -132,21 +132,25 @@ def permuted_nulls(census: DataFrame, names: Sequence[str], replicates: int, see
 
 def patch_nulls(patches: DataFrame, names: Sequence[str], replicates: int, seed: int | str, links: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """(radius, replicate, v) of censuses whose patches were shuffled; replicates are keys of one plan."""
-    from cellweave.operators.patches import neighbourhoods, random_census
-    from cellweave.plans.random_plan import materialize, shuffle_key
+    from cellweave.operators.patches import neighbourhoods, random_census, shuffled_objects
+    from cellweave.plans.random_plan import materialize, shuffle_key, stored
 
     keys = ["radius", "replicate"]
     # Patch ids repeat between neighbourhoods: number them by all that tells them apart.
     numbered = patches.withColumn("patch_id", F.xxhash64("radius", "grp", "nbhd", "patch_id"))
-    if not links:
-        numbered = numbered.withColumn("s", F.when(F.col("object").isNull(), F.col("s")))
-    # Patches come from a join, which extents, range borders, the dealing and the neighbourhoods would each make again.
-    each = materialize(numbered).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    order = shuffle_key(F.concat_ws("-", F.lit(str(seed)), F.col("replicate").cast("string")), F.col("patch_id"))
-    # A column and no expression: a sort evaluates expressions anew in every comparison.
-    long = random_census(each.withColumn("__order", order), "__order", links, keys)
+    areas = stored(patches.groupBy("radius", "grp", "nbhd", "object").agg(F.sum("area").alias("area")))
+    replicate = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
+    long = None if links else shuffled_objects(numbered, areas, replicates, seed)
+    if long is None:
+        if not links:
+            numbered = numbered.withColumn("s", F.when(F.col("object").isNull(), F.col("s")))
+        # Patches come from a join, which range borders and the dealing would each make again.
+        each = materialize(numbered).withColumn("replicate", replicate)
+        order = shuffle_key(F.concat_ws("-", F.lit(str(seed)), F.col("replicate").cast("string")), F.col("patch_id"))
+        # A column and no expression: a sort evaluates expressions anew in every comparison.
+        long = random_census(each.withColumn("__order", order), "__order", links, keys)
     values = long.groupBy(*keys, "nbhd").agg(F.map_from_entries(F.collect_list(F.struct("var", "value"))).alias("m"))
-    rows = neighbourhoods(each, keys).join(values, [*keys, "nbhd"], "left")
+    rows = neighbourhoods(areas.withColumn("replicate", replicate), keys).join(values, [*keys, "nbhd"], "left")
     return rows.select(*keys, F.array(*(F.coalesce(F.try_element_at("m", F.lit(n)), F.lit(0.0)) for n in names)).alias("v"))
 
 

@@ -7,15 +7,17 @@ scalar-only group, `s` holds the sums of the group's channels. Censuses stay lon
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.names import natural_sort
 from cellweave.operators.range_join import interval_join
-from cellweave.plans.random_plan import materialize, running, with_row_id
+from cellweave.plans.random_plan import key_heads, materialize, running, shuffle_key, stored, with_row_id
 
 PATCH = "radius double, grp string, nbhd int, patch_id long, area long, object long, s array<double>"
 
@@ -69,6 +71,15 @@ def to_wide(long: DataFrame, rows: DataFrame, keys: Sequence[str] = ("radius", "
     return out.select(*rows.columns, *(F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names))
 
 
+def _ends(extents: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, grp, ne, ns, nbhd): where neighbourhoods (keys, grp, nbhd, total) start and end on the line."""
+    by_nbhd = Window.partitionBy(*keys, "grp").orderBy("nbhd")
+    extents = extents.withColumn("ne", F.sum("total").over(by_nbhd).cast("double")).withColumn("ns", F.col("ne") - F.col("total"))
+    # Zero-area neighbourhoods share their end with an earlier one; ends count once.
+    ends = extents.groupBy(*keys, "grp", "ne").agg(F.min("ns").alias("ns"))
+    return ends.withColumn("nbhd", F.row_number().over(Window.partitionBy(*keys, "grp").orderBy("ne")).cast("int"))
+
+
 def random_census(patches: DataFrame, order: Column | str, links: Sequence[tuple[str, str]] = (), keys: Sequence[str] = ("radius",), block: float | None = None) -> DataFrame:
     """(keys, nbhd, var, value) of a census of shuffled patches.
 
@@ -80,23 +91,126 @@ def random_census(patches: DataFrame, order: Column | str, links: Sequence[tuple
         # Without links the channels of objects count nowhere: they need not be sorted along.
         patches = patches.withColumn("s", F.when(F.col("object").isNull(), F.col("s")))
     extents = patches.groupBy(*keys, "grp", "nbhd").agg(F.sum("area").alias("total"))
-    by_nbhd = Window.partitionBy(*keys, "grp").orderBy("nbhd")
-    extents = extents.withColumn("ne", F.sum("total").over(by_nbhd).cast("double")).withColumn("ns", F.col("ne") - F.col("total"))
-    # Zero-area neighbourhoods share their end with an earlier one; ends count once.
-    ends = extents.groupBy(*keys, "grp", "ne").agg(F.min("ns").alias("ns"))
-    ends = ends.withColumn("nbhd", F.row_number().over(Window.partitionBy(*keys, "grp").orderBy("ne")).cast("int"))
+    ends = _ends(extents, keys)
     line = running(patches.where("area > 0"), "area", "pe", [*keys, "grp"], order, "patch_id")
     line = line.withColumn("pe", F.col("pe").cast("double")).withColumn("ps", F.col("pe") - F.col("area"))
     line = line.select(*keys, "grp", "patch_id", "area", "object", "s", "ps", "pe")
     if block is None:
         block = float(extents.agg(F.greatest(F.max("total"), F.lit(1))).first()[0])
-    cut = interval_join(line, ends.drop("total") if "total" in ends.columns else ends, [*keys, "grp"], ("ps", "pe"), ("ns", "ne"), block)
+    cut = interval_join(line, ends, [*keys, "grp"], ("ps", "pe"), ("ns", "ne"), block)
     share = F.col("overlap_end") - F.col("overlap_start")
     cut = cut.withColumn("part", share / F.col("area")).withColumn("s", F.transform("s", lambda v: v * F.col("part")))
     pieces = cut.select(*keys, "grp", "nbhd", "patch_id", share.alias("area"), "object", "s")
     return summarize(pieces, links, keys)
 
 
+#: Ends of neighbourhoods, over all replicates, that are sent to every task.
+MAX_ENDS = 500_000
+#: Sums that a task holds: bins of all replicates and objects.
+MAX_SUMS = 1 << 24
+#: Patches for each end, from which summing by bins is less than putting all in order.
+BIN_ROWS = 100
+#: Bins that are summed up as one row.
+CHUNK_BINS = 1 << 10
+
+
+def shuffled_objects(patches: DataFrame, areas: DataFrame, replicates: int, seed: int | str) -> DataFrame | None:
+    """(radius, replicate, nbhd, var, value) as `random_census` of patches in md5 order, for each replicate; None if it does not apply.
+
+    The first bits of the md5 keys cut the line into bins. A bin inside one neighbourhood is summed by object where its
+    patches are made; only patches of bins with an end of a neighbourhood are dealt out and put in order. For patches of
+    objects alone, many to each end; areas (radius, grp, nbhd, object, area) are theirs.
+    """
+    cells = [tuple(r) for r in areas.select("radius", "grp", "object").distinct().limit((MAX_SUMS >> 8) + 1).collect()]
+    extents = areas.groupBy("radius", "grp", "nbhd").agg(F.sum("area").alias("total"))
+    size = extents.groupBy("radius", "grp").agg(F.sum("total").alias("n"), F.count("*").alias("k")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.max("k").alias("most"), F.max("n").alias("line")).first()
+    if not 0 < len(cells) <= MAX_SUMS >> 8 or any(c[2] is None for c in cells) or size["k"] * replicates > MAX_ENDS or size["n"] < BIN_ROWS * size["k"] or size["line"] >= 1 << 53:
+        return None
+    bits = (MAX_SUMS // (len(cells) * replicates)).bit_length() - 1
+    if 1 << max(0, bits) < max(8 * size["most"], CHUNK_BINS):
+        return None
+    spark, shift, bins = patches.sparkSession, np.uint64(64 - bits), 1 << bits
+    groups = sorted({c[:2] for c in cells})
+    group = np.array([groups.index(c[:2]) for c in cells])
+    ends: dict[int, list[float]] = {g: [] for g in range(len(groups))}
+    for r in _ends(extents, ["radius"]).orderBy("radius", "grp", "ne").collect():
+        ends[groups.index((r["radius"], r["grp"]))].append(r["ne"])
+    names = F.broadcast(spark.createDataFrame([(*c, k, int(group[k])) for k, c in enumerate(cells)], "radius double, grp string, object long, cell int, g int"))
+    each = patches.where("area > 0").join(names, ["radius", "grp", "object"]).select("patch_id", "area", "cell")
+
+    def keyed(frames):
+        for f in frames:
+            rows = [b"%d" % i for i in f["patch_id"].tolist()]
+            for step in range(replicates):
+                yield f, step, (key_heads(f"{seed}-{step + 1}", rows) >> shift).astype(np.int64)
+
+    def summed(frames):
+        sums = np.zeros((replicates, len(cells) * bins), np.int64)
+        for f, step, at in keyed(frames):
+            np.add.at(sums[step], f["cell"].to_numpy(np.int64) * bins + at, f["area"].to_numpy(np.int64))
+        for step in range(replicates):
+            for cell in range(len(cells)):
+                parts = sums[step, cell * bins : (cell + 1) * bins].reshape(-1, CHUNK_BINS)
+                found = np.flatnonzero(parts.any(axis=1))
+                if len(found):
+                    yield pd.DataFrame({"g": int(group[cell]), "replicate": step + 1, "chunk": found, "cell": cell, "total": parts[found].sum(axis=1), "sums": [_packed(parts[k]) for k in found]})
+
+    def merged(f):
+        out = [(cell, sum(map(_unpacked, own["sums"]))) for cell, own in f.groupby("cell")]
+        return pd.DataFrame([(f["g"][0], f["replicate"][0], f["chunk"][0], cell, x.sum(), _packed(x)) for cell, x in out], columns=["g", "replicate", "chunk", "cell", "total", "sums"])
+
+    def placed(f):
+        own = {c: _unpacked(x) for c, x in zip(f["cell"], f["sums"], strict=True)}
+        area, ne = sum(own.values()), np.array(ends[int(f["g"][0])])
+        stop = f["start"][0] + np.cumsum(area)
+        first, last = np.searchsorted(ne, stop - area, "right"), np.searchsorted(ne, stop, "left")
+        cut = np.flatnonzero((area > 0) & (first < last))
+        out = [(-1, None, int(f["chunk"][0]) * CHUNK_BINS + k, float(stop[k] - area[k])) for k in cut.tolist()]
+        for cell, x in own.items():
+            x[cut] = 0
+            live = np.flatnonzero(x)
+            to, at = np.unique(first[live], return_inverse=True)
+            out += [(cell, n + 1, None, v) for n, v in zip(to.tolist(), np.bincount(at, x[live], len(to)).tolist(), strict=True)]
+        return pd.DataFrame([(f["g"][0], f["replicate"][0], *x) for x in out], columns=["g", "replicate", "cell", "nbhd", "bin", "value"]).astype({"nbhd": "Int64", "bin": "Int64"})
+
+    counted = "g int, replicate int, chunk long, cell int, total long, sums binary"
+    own = stored(each.mapInPandas(summed, counted).groupBy("g", "replicate", "chunk").applyInPandas(merged, counted))
+    before = Window.partitionBy("g", "replicate").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.groupBy("g", "replicate", "chunk").agg(F.sum("total").alias("total")).withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0)).cast("double")).drop("total")
+    told = stored(own.join(starts, ["g", "replicate", "chunk"]).groupBy("g", "replicate", "chunk").applyInPandas(placed, "g int, replicate int, cell int, nbhd long, bin long, value double"))
+    near = told.where("cell < 0").select("g", "replicate", "bin", F.col("value").alias("start"))
+    marks = [(r["g"], r["replicate"], r["bin"]) for r in near.select("g", "replicate", "bin").collect()]
+
+    def beside_ends(frames):
+        hit = np.zeros((replicates, len(groups), bins), bool)
+        for g, step, k in marks:
+            hit[step - 1, g, k] = True
+        for f, step, at in keyed(frames):
+            keep = hit[step, group[f["cell"].to_numpy(np.int64)], at]
+            yield f[keep].assign(replicate=step + 1, bin=at[keep])
+
+    dealt = each.mapInPandas(beside_ends, "patch_id long, area long, cell int, replicate int, bin long")
+    dealt = dealt.join(names.select("cell", "g"), "cell").repartition("g", "replicate", "bin").withColumn("__order", shuffle_key(F.concat_ws("-", F.lit(str(seed)), F.col("replicate").cast("string")), F.col("patch_id")))
+    inner = Window.partitionBy("g", "replicate", "bin").orderBy("__order", "patch_id").rowsBetween(Window.unboundedPreceding, 0)
+    line = dealt.withColumn("pe", F.sum("area").over(inner)).join(near, ["g", "replicate", "bin"])
+    line = line.select("g", "replicate", "cell", (F.col("start") + F.col("pe") - F.col("area")).alias("ps"), (F.col("start") + F.col("pe")).alias("pe"))
+    block = float(extents.agg(F.greatest(F.max("total"), F.lit(1))).first()[0])
+    where = _ends(extents, ["radius"]).join(names.select("radius", "grp", "g").distinct(), ["radius", "grp"]).select("g", "nbhd", "ns", "ne")
+    cut = interval_join(line, where, ["g"], ("ps", "pe"), ("ns", "ne"), block).select("replicate", "cell", "nbhd", (F.col("overlap_end") - F.col("overlap_start")).alias("value"))
+    pieces = told.where("cell >= 0").select("replicate", "cell", F.col("nbhd").cast("int").alias("nbhd"), "value").unionByName(cut)
+    pieces = stored(pieces.groupBy("replicate", "cell", "nbhd").agg(F.sum("value").alias("area")).join(names, "cell"))
+    return summarize(pieces.withColumn("s", F.lit(None).cast("array<double>")), (), ["radius", "replicate"])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    kind = next(k for k in ("u1", "u2", "u4", "i8") if k == "i8" or x.max() <= np.iinfo(k).max)
+    return kind.encode() + zlib.compress(x.astype(kind).tobytes(), 1)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x[2:]), x[:2].decode()).astype(np.int64)
+
+
 def label_components(mask: np.ndarray) -> np.ndarray:
     """Labels 1.. of the 26-connected components of a 3-D mask, in row-major order of their first voxel; 0 outside."""
     at = np.argwhere(mask)

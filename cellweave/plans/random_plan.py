@@ -6,10 +6,13 @@ engine that has md5.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,12 @@ def shuffle_key(seed: Column | int | str, row: Column | str) -> Column:
     return F.md5(F.concat(seed.cast("string"), F.lit("|"), (row if isinstance(row, Column) else F.col(row)).cast("string")))
 
 
+def key_heads(prefix: str, rows: Sequence[bytes]) -> np.ndarray:
+    """The first 64 bits of the keys of `shuffle_key`, which order them but for ties of these bits; rows are numbers as text."""
+    start, md5 = f"{prefix}|".encode(), hashlib.md5
+    return np.frombuffer(b"".join([md5(start + r).digest() for r in rows]), ">u8")[::2].astype(np.uint64)
+
+
 #: Rows of a block that one task sums along; blocks are then summed among themselves.
 BLOCK_ROWS = 200_000
 
@@ -42,17 +51,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as it is now, like `materialize`, but in compressed columns: Parquet in the shared folder, removed when the JVM ends."""
+    spark = df.sparkSession
+    top = f"{shared_folder(spark).rstrip('/')}/cellweave-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{top}/rows")
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(f"{top}/rows")
+
+
 def with_row_id(df: DataFrame, *order: Column | str, name: str = "row_id") -> DataFrame:
     """Zero-based positions in the order of `order`, without a single-partition sort.
 
     Rows are dealt by ranges of the order; a running count inside each range is added to the rows of earlier
-    ranges, of which there is one small row each. The dealt rows are checkpointed, as the borders of ranges come
+    ranges, of which there is one small row each. The dealt rows are stored, as the borders of ranges come
     from a sample and would differ between two readings.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # The upper 31 bits of the id are the partition, the lower 33 the position in it.
-    numbered = materialize(dealt.withColumn("__id", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("__id", F.monotonically_increasing_id())
+    plain = all(re.fullmatch(r"(tinyint|smallint|int|bigint|float|double|string|boolean|date|timestamp|decimal.*|array<(int|bigint|double|string)>)", kind) for _, kind in dealt.dtypes)
+    numbered = stored(dealt) if plain and len(set(map(str.lower, dealt.columns))) == len(dealt.columns) else materialize(dealt)
     numbered = numbered.withColumn("__part", F.shiftright("__id", 33)).withColumn("__pos", F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
     sizes = numbered.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

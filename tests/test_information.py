@@ -419,3 +419,28 @@ def test_map_tables(spark):
     assert [(r["shade"], r["class"]) for r in got] == [(0.0, "low"), (0.5, "high"), (1.0, "high")]
     legend = viewdata.palette_table(spark, ["#FF0000", "#00FF10"], ["a", "b"]).collect()
     assert [(r["label"], r["name"], r["r"], r["g"], r["b"]) for r in legend] == [(1, "a", 255, 0, 0), (2, "b", 0, 255, 16)]
+
+
+def test_patch_nulls_sum_bins_and_sort_only_near_ends(spark, monkeypatch):
+    from cellweave.operators import patches
+
+    rng = np.random.default_rng(2)
+    rows = [(r, "O1", n, k, int(rng.integers(0, 4)), int(rng.integers(1, 4)), [1.0]) for r in (1.0, 2.0) for n in (1, 2, 4) for k in range(500)]
+    df = spark.createDataFrame(rows, patches.PATCH)
+    names = ["O1.1", "O1.2", "O1.3"]
+    known = lambda: sorted((r["radius"], r["replicate"], [round(x, 9) for x in r["v"]]) for r in mi.patch_nulls(df, names, 3, 7).collect())
+    sorted_rows = []
+    monkeypatch.setattr(patches, "running", lambda df, *a: sorted_rows.append(df.count()) or random_plan.running(df, *a))
+    monkeypatch.setattr(patches, "BIN_ROWS", 10**9)
+    whole = known()
+    assert len(whole) == 24 and sorted_rows
+    # By bins nothing but their edges is put in order, and coarser bins change nothing.
+    sorted_rows.clear()
+    monkeypatch.setattr(patches, "BIN_ROWS", 1)
+    assert known() == whole and not sorted_rows
+    monkeypatch.setattr(patches, "CHUNK_BINS", 4)
+    monkeypatch.setattr(patches, "MAX_SUMS", 1 << 12)
+    assert known() == whole and not sorted_rows
+    # More objects than a task has sums for are put in order as a whole.
+    monkeypatch.setattr(patches, "MAX_SUMS", 1 << 10)
+    assert known() == whole and sorted_rows
