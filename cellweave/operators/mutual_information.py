@@ -57,11 +57,12 @@ def _spans(rows: DataFrame, width: int, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array(*low).alias("low"), F.array(*high).alias("high"))
 
 
-def binned(rows: DataFrame, bins: int, width: int, keys: Sequence[str] = ("radius",)) -> DataFrame:
+def binned(rows: DataFrame, bins: int, width: int, keys: Sequence[str] = ("radius",), ranged: DataFrame | None = None) -> DataFrame:
     """(keys, replicate, b, n): how many rows share the one-based bins b of their variables, over the range of all replicates.
 
     Rows (keys, replicate, v array<double>) are counted by their whole vector of bins before any ensemble is
-    formed: what follows works on distinct vectors, of which there are at most bins^width.
+    formed: what follows works on distinct vectors, of which there are at most bins^width. A column n says how often
+    a row stands; `ranged` are rows that hold the ranges, if all others are permutations of them.
     """
     def one(k: int) -> Column:
         v, low, high = F.col("v")[k], F.col("low")[k], F.col("high")[k]
@@ -70,9 +71,10 @@ def binned(rows: DataFrame, bins: int, width: int, keys: Sequence[str] = ("radiu
         # A degenerate range leaves the value, cut to a whole number, as bin.
         return F.when((high != low) & F.lit(bins >= 2), inside).otherwise(v).cast("long")
 
-    spread = rows.join(_spans(rows, width, keys), list(keys))
-    flat = spread.select(*keys, "replicate", *(one(k).alias(f"b{k}") for k in range(width)))
-    counted = flat.groupBy(*keys, "replicate", *(f"b{k}" for k in range(width))).agg(F.count("*").alias("n"))
+    spans = _spans(rows, width, keys) if ranged is None else F.broadcast(_spans(ranged, width, keys))
+    spread = (rows if "n" in rows.columns else rows.withColumn("n", F.lit(1).cast("long"))).join(spans, list(keys))
+    flat = spread.select(*keys, "replicate", "n", *(one(k).alias(f"b{k}") for k in range(width)))
+    counted = flat.groupBy(*keys, "replicate", *(f"b{k}" for k in range(width))).agg(F.sum("n").alias("n"))
     return counted.select(*keys, "replicate", F.array(*(f"b{k}" for k in range(width))).alias("b"), "n")
 
 
@@ -119,6 +121,9 @@ def permuted_nulls(census: DataFrame, names: Sequence[str], replicates: int, see
     from cellweave.plans.random_plan import shuffle_key, with_row_id
 
     numbered = census if "row_id" in census.columns else with_row_id(census, *map(col, census.columns))
+    counts = permuted_counts(numbered, names, replicates, seed)
+    if counts is not None:
+        return counts.select("radius", "replicate", "v", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("radius", "replicate", "v")
     long = numbered.select("row_id", F.col("Radius").cast("double").alias("radius"), F.posexplode(F.array(*(col(n).cast("double") for n in names))).alias("at", "value"))
     each = long.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     own = ["radius", "replicate", "at"]
@@ -130,6 +135,16 @@ def permuted_nulls(census: DataFrame, names: Sequence[str], replicates: int, see
     return moved.groupBy("radius", "replicate", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("l")).select("radius", "replicate", F.transform("l", lambda s: s["value"]).alias("v"))
 
 
+def permuted_counts(numbered: DataFrame, names: Sequence[str], replicates: int, seed: int | str) -> DataFrame | None:
+    """permuted_nulls of a census with row_id as (radius, replicate, v, n), n times each; None if its rows need the plain way."""
+    from cellweave.plans.random_plan import permuted_columns
+
+    if dict(numbered.dtypes)["row_id"] not in ("bigint", "int"):
+        return None
+    rows = numbered.select(F.col("row_id").cast("long").alias("row_id"), F.col("Radius").cast("double").alias("radius"), F.array(*(col(n).cast("double") for n in names)).alias("v"))
+    return permuted_columns(rows, len(names), replicates, seed)
+
+
 def patch_nulls(patches: DataFrame, names: Sequence[str], replicates: int, seed: int | str, links: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """(radius, replicate, v) of censuses whose patches were shuffled; replicates are keys of one plan."""
     from cellweave.operators.patches import neighbourhoods, random_census, shuffled_objects
@@ -179,17 +194,33 @@ def measure_cis_mi(census: DataFrame, depth: int, nulls: DataFrame | Sequence[Da
         if least is None:
             raise ValueError("census has no rows at the requested radii")
         bins = bins_for(least, depth, max_bins)
+    drawn, ranged = nulls is None, None
     if nulls is None:
         null_provenance(patches is not None, allow_permutation)
-        nulls = patch_nulls(patches, names, bootstraps, random_state, links) if patches is not None else permuted_nulls(census, names, bootstraps, random_state)
+        if patches is not None:
+            nulls = patch_nulls(patches, names, bootstraps, random_state, links)
+        else:
+            from cellweave.plans.random_plan import with_row_id
+
+            census = census if "row_id" in census.columns else with_row_id(census, *map(col, census.columns))
+            counts = permuted_counts(census, names, bootstraps, random_state)
+            nulls = counts if counts is not None else permuted_nulls(census, names, bootstraps, random_state)
+            ranged = census_rows(census, names) if counts is not None else None
     elif not isinstance(nulls, DataFrame):
         every = [census_rows(df, names, k + 1) for k, df in enumerate(nulls)]
         nulls = every[0]
         for df in every[1:]:
             nulls = nulls.unionByName(df)
-    rows = binned(census_rows(census, names).unionByName(nulls.select("radius", "replicate", "v")), bins, len(names))
+    n = F.col("n") if ranged is not None else F.lit(1)
+    every = census_rows(census, names).withColumn("n", F.lit(1).cast("long")).unionByName(nulls.select("radius", "replicate", "v", n.cast("long").alias("n")))
+    rows = binned(every, bins, len(names), ranged=ranged)
     # Depth-1 entropies carry b / (1.5 n) in observed and null alike: it cancels in all results of size 1.
     mi = information(entropies(rows, found, bins), found)
+    if drawn:
+        # Few rows, which took all permutations to make; callers read the result more than once.
+        from cellweave.plans.random_plan import stored
+
+        mi = stored(mi)
     per = mi.groupBy("radius", "ens").agg(F.max(F.when(F.col("replicate") == 0, F.col("mi"))).alias("o"), F.avg(F.when(F.col("replicate") > 0, F.col("mi"))).alias("m"), F.coalesce(F.stddev_samp(F.when(F.col("replicate") > 0, F.col("mi"))), F.lit(0.0)).alias("sd"))
     value, sd = F.col("o") - F.col("m"), F.when(F.col("sd") <= 10 * 2.220446049250313e-16, F.lit(0.0)).otherwise(F.col("sd"))
     flat = F.when(F.abs(value) < 1e-12, F.lit(0.0)).otherwise(value)

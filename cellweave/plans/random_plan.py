@@ -10,9 +10,11 @@ import hashlib
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +80,8 @@ def with_row_id(df: DataFrame, *order: Column | str, name: str = "row_id") -> Da
     sizes = numbered.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return numbered.join(starts, "__part").withColumn(name, F.col("__start") + F.col("__pos")).drop("__part", "__pos", "__start")
+    # One row a range: sent to the rows, which else would all move again with every reading.
+    return numbered.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__pos")).drop("__part", "__pos", "__start")
 
 
 def running(df: DataFrame, value: Column | str, out: str, keys: Sequence[str], *order: Column | str, least: bool = False) -> DataFrame:
@@ -145,3 +148,141 @@ def sample_by_hash(rows: DataFrame, size: int, seed: int | str, row: str = "row_
     """`size` rows in md5 order, numbered from 1 as nbhd: a top-k, so no full sort and no partition of everything."""
     top = rows.withColumn("__k", shuffle_key(seed, row)).orderBy("__k", row).limit(size)
     return top.withColumn("nbhd", F.row_number().over(Window.orderBy("__k", row))).drop("__k")
+
+
+#: Values that one task puts in order, about.
+SLICE_VALUES = 1_500_000
+#: Rows that are dealt out together.
+DEAL_ROWS = 1 << 19
+#: Counts of keys that every task gets.
+MAX_COUNTS = 1 << 22
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers or doubles in few bytes: distinct ones once if there are few."""
+    found, at = np.unique(x, return_inverse=True)
+    if len(found) <= 256:
+        return b"c" + len(found).to_bytes(2, "little") + zlib.compress(found.tobytes() + at.astype(np.uint8).tobytes(), 1)
+    return b"r" + zlib.compress(x.tobytes(), 1)
+
+
+def _unpacked(x: bytes, kind: type) -> np.ndarray:
+    if x[:1] == b"r":
+        return np.frombuffer(zlib.decompress(x[1:]), kind)
+    n, raw = int.from_bytes(x[1:3], "little"), zlib.decompress(x[3:])
+    return np.frombuffer(raw[: 8 * n], kind)[np.frombuffer(raw[8 * n :], np.uint8)]
+
+
+def _packed_ids(ids: np.ndarray) -> bytes:
+    """Ascending numbers as their first and the gaps between them."""
+    gaps = np.diff(ids)
+    kind = next(k for k in ("u1", "u2", "u4", "u8") if k == "u8" or not len(gaps) or gaps.max() <= np.iinfo(k).max)
+    return kind.encode() + int(ids[0]).to_bytes(8, "little", signed=True) + zlib.compress(gaps.astype(kind).tobytes(), 1)
+
+
+def _unpacked_ids(x: bytes) -> np.ndarray:
+    gaps = np.frombuffer(zlib.decompress(x[10:]), x[:2].decode()).astype(np.int64)
+    return np.concatenate(([0], np.cumsum(gaps))) + int.from_bytes(x[2:10], "little", signed=True)
+
+
+def _in_order(prefix: str, ids: np.ndarray) -> np.ndarray:
+    """Positions of ids in the order of their keys, then ids."""
+    rows = [b"%d" % i for i in ids.tolist()]
+    heads = key_heads(prefix, rows)
+    order = np.lexsort((ids, heads))
+    if (heads[order][1:] == heads[order][:-1]).any():
+        whole = [hashlib.md5(f"{prefix}|".encode() + r).hexdigest() for r in rows]
+        order = np.array(sorted(range(len(ids)), key=lambda k: (whole[k], ids[k])))
+    return order
+
+
+def permuted_columns(rows: DataFrame, width: int, replicates: int, seed: int | str) -> DataFrame | None:
+    """(radius, replicate, v, n): how often the values v meet when each column is put in md5 order by itself; None if it does not apply.
+
+    rows (row_id long, radius, v array<double>) without nulls. Keys are counted by their first bits, so the bits tell a
+    row's rank nearly; a task gets a range of ranks of all columns, as packed row numbers and values, and makes the keys again.
+    """
+    told = rows.groupBy("radius").agg(F.count("*").alias("n"), F.max(F.exists("v", lambda x: x.isNull()) | F.col("row_id").isNull()).alias("lacking")).orderBy("radius").limit(1001).collect()
+    sizes = [r["n"] for r in told]
+    if not told or len(told) > 1000 or any(r["lacking"] or r["radius"] is None for r in told):
+        return None
+    step = max(1, SLICE_VALUES // width)
+    bits = (8 * -(-max(sizes) // step)).bit_length()
+    if (len(told) * replicates * width) << bits > MAX_COUNTS:
+        return None
+    spark, bins, shift = rows.sparkSession, 1 << bits, np.uint64(64 - bits)
+    radii = F.broadcast(spark.createDataFrame([(r["radius"], g) for g, r in enumerate(told)], "radius double, g int"))
+    each = rows.join(radii, "radius").select("g", "row_id", "v")
+
+    def blocks(frames):
+        """(g, ids, values) of rows in the order of their numbers."""
+        held, size = [], 0
+        for f in frames:
+            held.append((f["g"].to_numpy(np.int64), f["row_id"].to_numpy(np.int64), np.array(f["v"].tolist(), float).reshape(-1, width)))
+            size += len(f)
+            if size >= DEAL_ROWS:
+                yield from cut(held)
+                held, size = [], 0
+        if size:
+            yield from cut(held)
+
+    def cut(held):
+        g, ids, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((ids, g))
+        for one in np.unique(g).tolist():
+            at = order[g[order] == one]
+            yield one, ids[at], v[at]
+
+    def keyed(frames):
+        for g, ids, v in blocks(frames):
+            texts = [b"%d" % i for i in ids.tolist()]
+            for replicate in range(1, replicates + 1):
+                for at in range(width):
+                    yield g, replicate, at, ids, v[:, at], (key_heads(f"{seed}-{replicate}-{at}", texts) >> shift).astype(np.int64)
+
+    def counted(frames):
+        sums: dict[tuple, np.ndarray] = {}
+        for g, replicate, at, _, _, k in keyed(frames):
+            sums[g, replicate, at] = sums.get((g, replicate, at), 0) + np.bincount(k, minlength=bins)
+        if sums:
+            yield pd.DataFrame([(*key, x.tolist()) for key, x in sums.items()], columns=["g", "replicate", "at", "n"])
+
+    found = each.mapInPandas(counted, "g int, replicate int, at int, n array<long>")
+    found = found.groupBy("g", "replicate", "at").agg(F.array(*(F.sum(F.col("n")[k]) for k in range(bins))).alias("n")) if bins <= 64 else found.select("g", "replicate", "at", F.posexplode("n").alias("k", "n")).groupBy("g", "replicate", "at", "k").agg(F.sum("n").alias("n")).groupBy("g", "replicate", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda s: s["n"]).alias("n"))
+    ranks = {}
+    for r in found.collect():
+        n = np.array(r["n"], np.int64)
+        ranks[r["g"], r["replicate"], r["at"]] = (np.cumsum(n) - n, n)
+    # Of each bin the first rank and the ranges of ranks that it touches; an empty one touches none.
+    spans = {key: (start, start // step, np.where(n > 0, (start + n - 1) // step, -1)) for key, (start, n) in ranks.items()}
+
+    def dealt(frames):
+        for g, replicate, at, ids, values, k in keyed(frames):
+            _, first, last = spans[g, replicate, at]
+            low, high, out = first[k], last[k], []
+            for part in range(-(-sizes[g] // step)):
+                own = np.flatnonzero((low <= part) & (part <= high))
+                if len(own):
+                    out.append((g, replicate, part, at, _packed_ids(ids[own]), _packed(values[own])))
+            yield pd.DataFrame(out, columns=["g", "replicate", "part", "at", "ids", "values"])
+
+    def met(f):
+        g, replicate, part = (int(f[c].iloc[0]) for c in ("g", "replicate", "part"))
+        low, high = part * step, min((part + 1) * step, sizes[g])
+        codes, kinds = np.zeros(high - low, np.int64), []
+        for at in range(width):
+            own = f[f["at"] == at]
+            ids = np.concatenate([_unpacked_ids(x) for x in own["ids"]])
+            values = np.concatenate([_unpacked(x, np.float64) for x in own["values"]])
+            start, first, last = spans[g, replicate, at]
+            before = int(start[np.flatnonzero((first <= part) & (part <= last))[0]])
+            ranked = values[_in_order(f"{seed}-{replicate}-{at}", ids)][low - before : high - before]
+            kind, code = np.unique(ranked, return_inverse=True)
+            # Codes stay below the number of rows: what has been met so far is numbered anew.
+            codes = np.unique(codes, return_inverse=True)[1] * len(kind) + code
+            kinds.append(ranked)
+        _, one, n = np.unique(codes, return_index=True, return_counts=True)
+        return pd.DataFrame({"radius": told[g]["radius"], "replicate": replicate, "v": np.stack([x[one] for x in kinds], axis=1).tolist(), "n": n})
+
+    shipped = each.mapInPandas(dealt, "g int, replicate int, part int, at int, ids binary, values binary")
+    return shipped.groupBy("g", "replicate", "part").applyInPandas(met, "radius double, replicate int, v array<double>, n long")

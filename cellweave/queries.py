@@ -441,7 +441,7 @@ def cismi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cismi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = random_plan.with_row_id(read(spark, sf_dir, "orders"), "o_orderkey")
+    rows = random_plan.with_row_id(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey"), "o_orderkey")
     rows = rows.select("row_id", F.floor(F.col("o_totalprice") / 50000).cast("double").alias("S1.1"), (F.col("o_custkey") % 7).cast("double").alias("S1.2"), (F.col("o_orderkey") % 3).cast("double").alias("S1.3"), F.lit(1.0).alias("Radius"))
     return mi.measure_cis_mi(rows, 2, bootstraps=10, allow_permutation=True)
 

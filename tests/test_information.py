@@ -1,5 +1,6 @@
 """Distributions, information, diversity, spatial statistics, patterns and networks on hand-checked inputs."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -444,3 +445,23 @@ def test_patch_nulls_sum_bins_and_sort_only_near_ends(spark, monkeypatch):
     # More objects than a task has sums for are put in order as a whole.
     monkeypatch.setattr(patches, "MAX_SUMS", 1 << 10)
     assert known() == whole and sorted_rows
+
+
+def test_permuted_columns_ship_packed_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    data = [(k, float(r), float(rng.integers(0, 4)), float(rng.integers(0, 300)), float(rng.normal())) for r in (1, 2) for k in range(0, 2100 * r, 3)]
+    df = spark.createDataFrame(data, "row_id long, Radius double, `S1.1` double, `S1.2` double, `S1.3` double").repartition(5)
+    names = ["S1.1", "S1.2", "S1.3"]
+    expected = []
+    for r in (1.0, 2.0):
+        own = [d for d in data if d[1] == r]
+        for k in (1, 2):
+            order = [sorted(own, key=lambda d, k=k, a=a: hashlib.md5(f"9-{k}-{a}|{d[0]}".encode()).hexdigest()) for a in range(3)]
+            expected += [(r, k, order[0][i][2], order[1][i][3], order[2][i][4]) for i in range(len(own))]
+    monkeypatch.setattr(random_plan, "SLICE_VALUES", 700)
+    monkeypatch.setattr(random_plan, "DEAL_ROWS", 100)
+    # No row of a replicate is numbered by itself.
+    numbered = []
+    monkeypatch.setattr(random_plan, "with_row_id", lambda *a, **k: numbered.append(1))
+    got = [(r["radius"], r["replicate"], *r["v"]) for r in mi.permuted_nulls(df, names, 2, 9).collect()]
+    assert sorted(got) == sorted(expected) and not numbered
