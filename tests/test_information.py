@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellweave import queries
 from cellweave.functions.scalar import normal_sf, round_to_bins
 from cellweave.operators import composition, distribution, networks, patterns, range_join, spatial, viewdata
 from cellweave.operators import mutual_information as mi
@@ -320,6 +321,34 @@ def test_joins(spark):
         assert near[i] == [j for _, j in sorted(((x - u) ** 2 + (y - v) ** 2, j) for j, u, v in a if j != i)[:3]]
 
 
+def test_intervals_of_many_alike_rows(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    a = [(int(k), n, float(s), float(s + d)) for n, (k, s, d) in enumerate(zip(rng.integers(0, 2, 300), rng.integers(-20, 40, 300), rng.integers(0, 30, 300), strict=True))]
+    b = [(int(k), n, float(s), float(s + 5)) for n, (k, s) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(-2, 3, 200) * 7, strict=True))]
+    a, b = a + [a[0], (0, 900, None, 5.0), (None, 901, 0.0, 5.0)], b + [b[0], (1, 900, 3.0, 3.0), (0, 901, 0.0, None), (None, 902, 0.0, 5.0)]
+    left, right = spark.createDataFrame(a, "k int, i long, s1 double, e1 double"), spark.createDataFrame(b, "k int, j long, s2 double, e2 double")
+    want = sorted((k, i, j, max(s, u), min(e, v)) for k, i, s, e in a for q, j, u, v in b if None not in (k, s, e, q, u, v) and k == q and max(s, u) < min(e, v))
+    for size, meet, cells in ((128, 50_000, 100_000), (3, 40, 0), (2, 5, 100)):
+        for name, value in (("LIST", size), ("MEET", meet), ("MAX_CELLS", cells)):
+            monkeypatch.setattr(range_join, name, value)
+        got = range_join.interval_join_alike(left, right, ["k"], ("s1", "e1"), ("s2", "e2"), 4.0)
+        assert sorted(tuple(r) for r in got.select("k", "i", "j", "overlap_start", "overlap_end").collect()) == want and want
+    assert range_join.interval_join_alike(left, right.where("j < 0"), ["k"], ("s1", "e1"), ("s2", "e2"), 4.0).count() == 0
+
+
+def test_interval_overlap_keeps_many_pairs_in_few_bytes(spark, tmp_path):
+    orders, customers = spark.range(3000).selectExpr("id o_orderkey", "id * 11 % 500 o_custkey"), spark.range(126_000).selectExpr("id c_custkey")
+    for name, rows in (("orders", orders), ("customer", customers)):
+        rows.repartition(4).write.parquet(f"{tmp_path}/{name}.parquet")
+    queries.QUERIES["interval_overlap"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out")
+    a = spark.read.parquet(f"{tmp_path}/orders.parquet").groupBy((F.col("o_custkey") % 7).alias("k"), (F.col("o_orderkey") % 1000).alias("s"), (F.col("o_custkey") % 30).alias("d")).count().collect()
+    b = spark.read.parquet(f"{tmp_path}/customer.parquet").groupBy((F.col("c_custkey") % 7).alias("k"), (F.col("c_custkey") % 900).alias("s")).count().collect()
+    pairs = sum(x["count"] * y["count"] for x in a for y in b if x["k"] == y["k"] and x["s"] < y["s"] + 5 and y["s"] < x["s"] + 1 + x["d"])
+    assert rows.count() == rows.select("o_orderkey", "c_custkey").distinct().count() == pairs
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 2 * pairs
+
+
 def test_view_tables(spark):
     profile = spark.createDataFrame([(1, 1, 0.0, 5.0), (2, 1, 10.0, 5.0)], "Object int, Count int, a double, b double")
     table = lambda *a: {(r["Object"], r["component"]): r["value"] for r in viewdata.normalize_profiles(profile, *a).collect()}
