@@ -34,11 +34,12 @@ class CensusResult:
         return [c for c in self.census.columns if c not in RESERVED]
 
     def summary(self) -> dict:
-        return summarize_neighbourhoods(self.patches)
+        gathered = "n" in self.patches.columns
+        return summarize_neighbourhoods(self.patches.withColumn("area", F.col("area") * F.col("n")) if gathered else self.patches)
 
 
-def object_points(table: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """points (row_id, x, y, z, object, s) of an object table X, Y, Z, Object and scalar columns after it."""
+def object_points(table: DataFrame, order: Sequence[str] | None = None, *, numbered: bool = True) -> DataFrame:
+    """points (row_id, x, y, z, object, s) of an object table X, Y, Z, Object and scalar columns after it; row_id only if numbered."""
     missing = [c for c in ("X", "Y", "Z", "Object") if c not in table.columns]
     if missing:
         raise ValueError("an object table starts with X, Y, Z and Object")
@@ -46,9 +47,9 @@ def object_points(table: DataFrame, order: Sequence[str] | None = None) -> DataF
     wrong = [c for c, kind in table.dtypes if c in scalars and kind not in ("int", "bigint", "smallint", "tinyint", "float", "double") and not kind.startswith("decimal")]
     if wrong:
         raise ValueError("scalars of an object table are numbers")
-    numbered = table if "row_id" in table.columns else with_row_id(table, *(order or table.columns))
+    rows = table if "row_id" in table.columns or not numbered else with_row_id(table, *(order or table.columns))
     values = F.array(*(F.col(f"`{c}`").cast("double") for c in scalars)) if scalars else F.array().cast("array<double>")
-    return numbered.select("row_id", *(F.col(a.upper()).cast("double").alias(a) for a in AXES), F.col("Object").cast("long").alias("object"), values.alias("s"))
+    return rows.select(*(["row_id"] if numbered else []), *(F.col(a.upper()).cast("double").alias(a) for a in AXES), F.col("Object").cast("long").alias("object"), values.alias("s"))
 
 
 def check_finite(points: DataFrame, axes: Sequence[str] = AXES) -> None:
@@ -98,16 +99,22 @@ def member_patches(seeds: DataFrame, points: DataFrame, radius: float) -> DataFr
     return each.select(F.lit(float(radius)).alias("radius"), F.lit("O1").alias("grp"), F.col("nbhd").cast("int").alias("nbhd"), F.col("row_id").alias("patch_id"), F.lit(1).cast("long").alias("area"), F.col("p_object").alias("object"), F.col("p_s")[F.col("at")].alias("s"))
 
 
-def census_table(table: DataFrame, radii: float | Sequence[float], sample_size: int | Sequence[int] | None, links: Sequence[tuple[str, str]] = (), seed_objects: Sequence[int] | dict | None = None, *, sample_indices: Sequence | None = None, seeds: DataFrame | None = None, order: Sequence[str] | None = None, random_state: int | str = 0) -> CensusResult:
+def gathered_patches(rows: DataFrame) -> DataFrame:
+    """The rows of `member_patches` gathered, (radius, grp, nbhd, object, area 1, n): rows are those of `census_of_seeds`."""
+    return rows.select("radius", "grp", "nbhd", "object", F.lit(1).cast("long").alias("area"), F.col("area").alias("n"))
+
+
+def census_table(table: DataFrame, radii: float | Sequence[float], sample_size: int | Sequence[int] | None, links: Sequence[tuple[str, str]] = (), seed_objects: Sequence[int] | dict | None = None, *, sample_indices: Sequence | None = None, seeds: DataFrame | None = None, order: Sequence[str] | None = None, random_state: int | str = 0, gathered: bool = False) -> CensusResult:
     """Census of an object table: percentages O1.<id> and linked means O1.<id>_S1.<c> around sampled cells.
 
     Seeds are a table (nbhd, x, y, z), positions of a plan (one list for all radii, or one each), or md5
-    samples, drawn for each radius by itself. Wide rows are the variables, then X, Y, Z and Radius; a variable
+    samples, drawn for each radius by itself. `gathered` patches tell how many members of an object a neighbourhood has,
+    in place of a row for each; with given seeds the cells then need no numbers. Wide rows are the variables, then X, Y, Z and Radius; a variable
     unseen at a radius is null there.
     """
     radii = normalize_radii(radii)
     sizes = normalize_sizes(sample_size, len(radii))
-    points = object_points(table, order)
+    points = object_points(table, order, numbered=not (gathered and seeds is not None))
     check_finite(points)
     scalars = len([c for c in table.columns if c not in ("X", "Y", "Z", "Object", "row_id")])
     pool = None if seeds is not None else eligible(points, seed_objects)
@@ -126,9 +133,10 @@ def census_table(table: DataFrame, radii: float | Sequence[float], sample_size:
             own = sample_by_hash(pool, sizes[k], f"{random_state}-{k}").select(F.col("nbhd").cast("int").alias("nbhd"), *AXES)
         if seeds is None and sizes[k] is not None and own.count() < sizes[k]:
             raise ValueError("there are fewer objects than the seeds asked for")
-        long = summarize(census_of_seeds(own, points, radius, scalars), links)
+        rows = census_of_seeds(own, points, radius, scalars)
+        long = summarize(rows, links)
         # Lazy: only the null model reads the members one by one.
-        units = member_patches(own, points, radius)
+        units = gathered_patches(rows) if gathered else member_patches(own, points, radius)
         patches = units if patches is None else patches.unionByName(units)
         longs = long if longs is None else longs.unionByName(long)
         tagged = own.withColumn("radius", F.lit(radius))
@@ -242,4 +250,4 @@ def census_from_neighborhoods(rows: DataFrame, variables: Sequence[str], include
     return rows.select(*(F.coalesce(F.try_element_at("values", F.lit(v)), F.lit(0.0)).alias(v) for v in variables), *(place if include_coordinates else []), F.col("radius").alias("Radius"))
 
 
-__all__ = ["CensusResult", "census_coordinates", "census_from_neighborhoods", "census_of_seeds", "census_table", "create_neighborhoods", "eligible", "member_patches", "neighbourhoods", "object_points", "sites", "standardize", "summarize_neighbourhoods"]
+__all__ = ["CensusResult", "census_coordinates", "census_from_neighborhoods", "census_of_seeds", "census_table", "create_neighborhoods", "eligible", "gathered_patches", "member_patches", "neighbourhoods", "object_points", "sites", "standardize", "summarize_neighbourhoods"]

@@ -146,16 +146,33 @@ def permuted_counts(numbered: DataFrame, names: Sequence[str], replicates: int,
 
 
 def patch_nulls(patches: DataFrame, names: Sequence[str], replicates: int, seed: int | str, links: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """(radius, replicate, v) of censuses whose patches were shuffled; replicates are keys of one plan."""
-    from cellweave.operators.patches import neighbourhoods, random_census, shuffled_objects
+    """(radius, replicate, v) of censuses whose patches were shuffled; replicates are keys of one plan.
+
+    Gathered patches, with a column n, are shuffled by drawing how many of a kind fall to each neighbourhood.
+    """
+    from cellweave.operators.patches import drawn_objects, neighbourhoods, random_census, shuffled_objects
     from cellweave.plans.random_plan import materialize, shuffle_key, stored
 
     keys = ["radius", "replicate"]
-    # Patch ids repeat between neighbourhoods: number them by all that tells them apart.
-    numbered = patches.withColumn("patch_id", F.xxhash64("radius", "grp", "nbhd", "patch_id"))
-    areas = stored(patches.groupBy("radius", "grp", "nbhd", "object").agg(F.sum("area").alias("area")))
     replicate = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    long = None if links else shuffled_objects(numbered, areas, replicates, seed)
+    place, long, own = ["radius", "grp", "nbhd"], None, ["patch_id"]
+    if "n" in patches.columns:
+        if links:
+            raise ValueError("linked means need the patches themselves, not gathered ones")
+        area, n = (F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long").alias(c) for c in ("area", "n"))
+        gathered = stored(patches.select(*place, "object", area, n))
+        areas = gathered.withColumn("area", F.col("area") * F.col("n"))
+        long = drawn_objects(gathered, replicates, seed)
+        # Too many to draw in a task: the patches are made again, and told apart by their number among those alike.
+        alike = F.explode(F.sequence(F.lit(1).cast("long"), "n"))
+        patches = gathered.where("n > 0").select(*place, alike.alias("patch_id"), "area", "object", F.lit(None).cast("array<double>").alias("s"))
+        own = ["object", "area", "patch_id"]
+    else:
+        areas = stored(patches.groupBy(*place, "object").agg(F.sum("area").alias("area")))
+    if long is None:
+        # Patch ids repeat between neighbourhoods: number them by all that tells them apart.
+        numbered = patches.withColumn("patch_id", F.xxhash64(*place, *own))
+        long = None if links else shuffled_objects(numbered, areas, replicates, seed)
     if long is None:
         if not links:
             numbered = numbered.withColumn("s", F.when(F.col("object").isNull(), F.col("s")))

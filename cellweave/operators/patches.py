@@ -1,12 +1,14 @@
 """Patches: summaries per neighbourhood, shuffled reference censuses, connected components.
 
 A patch row is (radius, grp, nbhd, patch_id, area, object, s array<double>): `object` is null in a
-scalar-only group, `s` holds the sums of the group's channels. Censuses stay long,
-(radius, nbhd, var, value), until `to_wide`.
+scalar-only group, `s` holds the sums of the group's channels. Patches of objects alone may be gathered:
+(radius, grp, nbhd, object, area, n) stands for n patches alike. Censuses stay long, (radius, nbhd, var, value),
+until `to_wide`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Sequence
 
@@ -202,6 +204,66 @@ def shuffled_objects(patches: DataFrame, areas: DataFrame, replicates: int, seed
     return summarize(pieces.withColumn("s", F.lit(None).cast("array<double>")), (), ["radius", "replicate"])
 
 
+#: Neighbourhoods times kinds of patches (objects and areas) whose sums one task draws.
+MAX_DRAWN = 1 << 21
+
+
+def drawn_line(counts: np.ndarray, areas: np.ndarray, ends: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """[interval, kind]: the area of each kind between ascending ends, when counts[kind] patches of areas[kind] are laid end to end in random order.
+
+    Exact and for all patches, without making any: with independent uniform keys, which order patches like a shuffle, the
+    first half of a range of keys holds a binomial number of each kind. Ranges are halved until no end lies inside, or a
+    single patch, which is cut. Work grows with the ends and the logarithm of the patches.
+    """
+    out = np.zeros((len(ends), len(counts)), np.float64)
+    start, held = np.zeros(1, np.int64), np.asarray(counts, np.int64)[None]
+    while len(start):
+        stop = start + held @ areas
+        first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
+        whole, single = first == last, held.sum(axis=1) == 1
+        np.add.at(out, first[whole], held[whole] * areas)
+        for k in np.flatnonzero(single & ~whole).tolist():
+            cuts = np.unique(np.concatenate(([start[k]], ends[first[k] : last[k]], [stop[k]])))
+            np.add.at(out, (first[k] + np.arange(len(cuts) - 1), int(held[k].argmax())), np.diff(cuts))
+        open_ = ~whole & ~single
+        start, held = start[open_], held[open_]
+        left = rng.binomial(held, 0.5)
+        start, held = np.concatenate((start, start + left @ areas)), np.concatenate((left, held - left))
+        live = held.any(axis=1)
+        start, held = start[live], held[live]
+    return out
+
+
+def drawn_objects(patches: DataFrame, replicates: int, seed: int | str) -> DataFrame | None:
+    """(radius, replicate, nbhd, var, value) as `random_census` of shuffled patches (radius, grp, nbhd, object, area, n), n alike a row, for each replicate.
+
+    The order of a shuffle is drawn, not made, by `drawn_line`; a generator for each radius, group and replicate takes its
+    seed from md5, so that partitions do not matter. None if a group has more neighbourhoods and kinds than a task should hold.
+    """
+    kinds = patches.groupBy("radius", "grp").agg(F.count_distinct("nbhd").alias("k"), F.count_distinct("object", "area").alias("c"), F.max(F.col("object").isNull()).alias("lacking"), F.sum(F.col("area") * F.col("n").cast("double")).alias("line"))
+    found = kinds.agg(F.max(F.col("k") * F.col("c")).alias("most"), F.max("lacking").alias("lacking"), F.max("line").alias("line")).first()
+    if found["lacking"]:
+        raise ValueError("patches gathered by their number are of objects alone")
+    if (found["most"] or 0) > MAX_DRAWN or (found["line"] or 0) >= 1 << 53:
+        return None
+
+    def drawn(f):
+        radius, grp, replicate = f["radius"].iloc[0], f["grp"].iloc[0], int(f["replicate"].iloc[0])
+        total = f["area"].to_numpy(np.int64) * f["n"].to_numpy(np.int64)
+        # Neighbourhoods without area share their end with an earlier one, and ends count once.
+        ends = np.unique(np.cumsum(pd.Series(total).groupby(f["nbhd"].to_numpy()).sum().to_numpy()))
+        kind = f[total > 0].groupby(["object", "area"])["n"].sum().reset_index()
+        areas = kind["area"].to_numpy(np.int64)
+        key = hashlib.md5(f"{seed}-{replicate}|{float(radius)!r}|{grp}".encode()).digest()
+        sums = drawn_line(kind["n"].to_numpy(np.int64), areas, ends, np.random.Generator(np.random.PCG64(int.from_bytes(key, "big"))))
+        at, which = np.nonzero(sums)
+        return pd.DataFrame({"radius": radius, "grp": grp, "replicate": replicate, "nbhd": at + 1, "object": kind["object"].to_numpy()[which], "area": sums[at, which]})
+
+    each = patches.select("radius", "grp", "nbhd", "object", "area", "n").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    pieces = stored(each.groupBy("radius", "grp", "replicate").applyInPandas(drawn, "radius double, grp string, replicate int, nbhd int, object long, area double"))
+    return summarize(pieces.withColumn("s", F.lit(None).cast("array<double>")), (), ["radius", "replicate"])
+
+
 def _packed(x: np.ndarray) -> bytes:
     kind = next(k for k in ("u1", "u2", "u4", "i8") if k == "i8" or x.max() <= np.iinfo(k).max)
     return kind.encode() + zlib.compress(x.astype(kind).tobytes(), 1)

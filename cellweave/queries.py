@@ -413,9 +413,7 @@ def cismi_z(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cismi_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cisMI of the cells' census against censuses of shuffled patches."""
-    own = seeds(spark, sf_dir)
-    cells = random_plan.with_row_id(_table(spark, sf_dir), "X", "Y", "Z", "Object", "price")
-    got = census.census_table(cells, 2.0, None, seeds=own)
+    got = census.census_table(_table(spark, sf_dir), 2.0, None, seeds=seeds(spark, sf_dir), gathered=True)
     return mi.measure_cis_mi(got.census, 2, patches=got.patches, bootstraps=5, max_bins=5)
 
 

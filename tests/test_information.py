@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave import queries
 from cellweave.functions.scalar import normal_sf, round_to_bins
-from cellweave.operators import composition, distribution, networks, patterns, range_join, spatial, viewdata
+from cellweave.operators import census, composition, distribution, networks, patterns, range_join, spatial, viewdata
 from cellweave.operators import mutual_information as mi
 from cellweave.plans import random_plan
 from cellweave.plans.random_plan import permutation_plan
@@ -494,3 +494,63 @@ def test_permuted_columns_ship_packed_rows(spark, monkeypatch):
     monkeypatch.setattr(random_plan, "with_row_id", lambda *a, **k: numbered.append(1))
     got = [(r["radius"], r["replicate"], *r["v"]) for r in mi.permuted_nulls(df, names, 2, 9).collect()]
     assert sorted(got) == sorted(expected) and not numbered
+
+
+def test_drawn_lines_are_those_of_shuffles():
+    import itertools
+
+    from cellweave.operators import patches
+
+    counts, areas, ends = np.array([2, 1, 1]), np.array([1, 2, 3]), np.array([0, 2, 3, 7])
+
+    def cut(order):
+        out, at = np.zeros((4, 3)), 0
+        for k in order:
+            for i in range(4):
+                out[i, k] += max(0, min(ends[i], at + areas[k]) - max(ends[i - 1] if i else 0, at))
+            at += areas[k]
+        return tuple(out.ravel())
+
+    orders = [cut(o) for o in itertools.permutations(np.repeat(range(3), counts))]
+    rng = np.random.default_rng(0)
+    drawn = [tuple(patches.drawn_line(counts, areas, ends, rng).ravel()) for _ in range(6000)]
+    assert set(drawn) == set(orders)
+    assert sum((drawn.count(o) - 6000 * orders.count(o) / len(orders)) ** 2 / (6000 * orders.count(o) / len(orders)) for o in set(orders)) < 3 * len(set(orders))
+    # Of 3 * 10^9 patches all are dealt out, as many to each neighbourhood as it had.
+    many, n = np.array([10**9, 2 * 10**9 + 1]), np.arange(1, 3001) * 10**6 + (np.arange(1, 3001) == 3000)
+    got = patches.drawn_line(many, np.array([1, 1]), n, rng)
+    assert (got.sum(axis=0) == many).all() and (got.sum(axis=1) == np.diff(n, prepend=0)).all()
+    assert abs(got[:, 0].std() / math.sqrt(10**6 * 2 / 9) - 1) < 0.1
+
+
+def test_gathered_patches_are_shuffled_as_their_members(spark, monkeypatch):
+    from cellweave.operators import patches
+
+    rows = [(r, "O1", n, o, 1, 40 * n + 10 * o) for r in (1.0, 2.0) for n in (1, 2, 4) for o in (1, 2)]
+    df = spark.createDataFrame(rows, "radius double, grp string, nbhd int, object long, area long, n long")
+    known = lambda frame=df: sorted((r["radius"], r["replicate"], *r["v"]) for r in mi.patch_nulls(frame, ["O1.1", "O1.2"], 10, 7).collect())
+    whole = known()
+    assert known(df.repartition(3)) == whole and len(set(whole)) > 60
+    # More than a task draws are made again and put in order, with a spread of the same kind.
+    monkeypatch.setattr(patches, "MAX_DRAWN", 1)
+    monkeypatch.setattr(patches, "BIN_ROWS", 10**9)
+    made = known()
+    assert len(made) == len(whole) and made != whole
+    for own in (whole, made):
+        share = [w[2] for w in own if w[2]]
+        # Later neighbourhoods move up to the empty third.
+        assert len(share) == 60 and len(own) == 80 and abs(np.mean(share) - 100 * 310 / 650) < 2 and 1.5 < np.std(share) < 6
+    with pytest.raises(ValueError, match="gathered"):
+        mi.patch_nulls(df, ["O1.1"], 1, 0, [("O1.1", "S1.1")])
+
+
+def test_cismi_patches_makes_no_row_for_each_member(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(census, "member_patches", lambda *a: pytest.fail("members are made one by one"))
+    got = queries.QUERIES["cismi_patches"](spark, sf_dir).collect()
+    assert [(r["VA"], r["VB"]) for r in got] == [("O1.1", None), ("O1.2", None), ("O1.3", None), ("O1.1", "O1.2"), ("O1.1", "O1.3"), ("O1.2", "O1.3")]
+    monkeypatch.undo()
+    table, own = queries._table(spark, sf_dir), queries.seeds(spark, sf_dir).where("nbhd <= 40")
+    members, alike = (census.census_table(table, 2.0, None, seeds=own, gathered=g) for g in (False, True))
+    assert all(abs(members.summary()[k] - v) < 1e-9 for k, v in alike.summary().items())
+    count = members.patches.groupBy("radius", "grp", "nbhd", "object", "area").agg(F.count("*").alias("n"))
+    assert count.exceptAll(alike.patches.select(count.columns)).isEmpty() and alike.patches.select(count.columns).exceptAll(count).isEmpty()
